@@ -1,0 +1,123 @@
+from oracle.sql import COST, DERIVED, MINUTES, UNITS, day, eday, ets_within, oracle, pct, r, ts_within, within
+
+# ---- compute ----
+DERIVED["clusters_all"] = """
+SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY change_time DESC, cluster_name DESC, workspace_id DESC, owned_by DESC, cluster_source DESC NULLS LAST, runtime_version DESC, driver_node_type DESC, worker_node_type DESC,
+  min_autoscale_workers DESC, max_autoscale_workers DESC, auto_termination_minutes DESC, delete_time DESC NULLS LAST) AS rn FROM v_clusters"""
+DERIVED["clusters_gone"] = "SELECT cluster_id FROM v_clusters_all WHERE rn = 1 AND delete_time IS NOT NULL"
+DERIVED["clusters_now"] = """
+SELECT cluster_id, cluster_name, workspace_id, owned_by AS owner, cluster_source, runtime_version, driver_node_type, worker_node_type, min_autoscale_workers, max_autoscale_workers, auto_termination_minutes, change_time AS last_modified, delete_time
+FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY change_time DESC, cluster_name DESC, workspace_id DESC, owned_by DESC, cluster_source DESC NULLS LAST, runtime_version DESC, driver_node_type DESC, worker_node_type DESC,
+  min_autoscale_workers DESC, max_autoscale_workers DESC, auto_termination_minutes DESC, delete_time DESC NULLS LAST) AS k FROM v_clusters WHERE cluster_source IS NULL OR cluster_source <> 'JOB')
+WHERE k = 1 AND cluster_id NOT IN (SELECT cluster_id FROM v_clusters_gone)"""
+DERIVED["warehouses_all"] = """
+SELECT *, row_number() OVER (PARTITION BY warehouse_id ORDER BY change_time DESC, warehouse_name DESC, workspace_id DESC, warehouse_type DESC, warehouse_size DESC, min_clusters DESC, max_clusters DESC, auto_stop_minutes DESC, delete_time DESC NULLS LAST) AS rn FROM v_warehouses"""
+DERIVED["warehouses_now"] = "SELECT warehouse_id, warehouse_name, workspace_id, warehouse_type, warehouse_size, min_clusters, max_clusters, auto_stop_minutes, change_time AS last_modified FROM v_warehouses_all WHERE rn = 1 AND delete_time IS NULL"
+DERIVED["warehouse_ws"] = "SELECT warehouse_id, workspace_id FROM v_warehouses_all WHERE rn = 1"
+
+
+def spend() -> str:
+    out = []
+    for d in (30, 60, 90):
+        for c, n in (("usage_quantity", "units"), ("cost", "cost")):
+            out.append(f"{r(f'COALESCE(SUM(CASE WHEN usage_date >= {day(d)} THEN {c} END), 0)', 2)} AS {n}_{d}d")
+    return ", ".join(out)
+
+
+DERIVED["pipeline_spend"] = f"SELECT dlt_pipeline_id AS pipeline_id, workspace_id, {spend()}, COUNT(DISTINCT usage_date) AS active_days FROM v_priced WHERE {within(90)} AND dlt_pipeline_id IS NOT NULL GROUP BY 1, 2"
+DERIVED["resource_spend"] = f"""SELECT COALESCE(cluster_id, warehouse_id) AS resource_id, {spend()}, COUNT(*) FILTER (usage_date >= {day(30)}) AS rows_30d, COUNT(*) FILTER (usage_date >= {day(60)}) AS rows_60d, COUNT(*) AS rows_90d,
+  COUNT(DISTINCT usage_date) AS active_days FROM v_priced WHERE {within(90)} AND COALESCE(cluster_id, warehouse_id) IS NOT NULL GROUP BY 1"""
+BUSY = "CASE WHEN num_task_slots > 0 THEN CAST(avg_num_running_tasks AS DOUBLE) / num_task_slots * 100 ELSE 0 END"
+DERIVED["node_util"] = f"""SELECT cluster_id, workspace_id, COUNT(DISTINCT node_id) AS node_count, {r('SUM(uptime_seconds) / 3600', 1)} AS total_node_hours, {r(f'AVG({BUSY})', 1)} AS avg_task_util_pct, {r(f'MAX({BUSY})', 1)} AS peak_task_util_pct,
+  {r('AVG(CAST(avg_num_queued_tasks AS DOUBLE))', 2)} AS avg_queued_tasks, COUNT(*) FILTER (is_driver) AS driver_samples, COUNT(*) FILTER (NOT is_driver) AS worker_samples
+FROM v_node_timeline WHERE {ts_within(7, 'start_time')} GROUP BY 1, 2 ORDER BY total_node_hours DESC, cluster_id, workspace_id LIMIT 300"""
+DERIVED["hardware"] = f"SELECT node_type_id, num_cpus, memory_mb, {r('memory_mb / 1024', 1)} AS memory_gb, COALESCE(num_gpus, 0) AS num_gpus, COALESCE(gpu_name, '') AS gpu_name, is_deprecated, category FROM v_node_types"
+oracle("clusters_latest", "SELECT * FROM v_clusters_now")
+oracle("anti_deleted", "SELECT DISTINCT cluster_id FROM v_clusters WHERE cluster_id NOT IN (SELECT cluster_id FROM v_clusters_gone)")
+oracle("warehouses_latest", "SELECT * FROM v_warehouses_now ORDER BY warehouse_id LIMIT 200")
+oracle("warehouse_workspace", "SELECT * FROM v_warehouse_ws")
+oracle("pipeline_spend_306090", "SELECT * FROM v_pipeline_spend")
+oracle("recent_active_ids", f"SELECT DISTINCT COALESCE(cluster_id, warehouse_id) AS resource_id FROM v_usage_flat WHERE {within(30)} AND COALESCE(cluster_id, warehouse_id) IS NOT NULL")
+oracle("resource_spend_306090", "SELECT * FROM v_resource_spend")
+oracle("node_task_utilisation", "SELECT * FROM v_node_util")
+oracle("node_types", "SELECT * FROM v_hardware ORDER BY memory_mb DESC, node_type_id LIMIT 50")
+SP = "COALESCE(s.units_30d, 0.0) AS units_30d, COALESCE(s.cost_30d, 0.0) AS cost_30d, COALESCE(s.units_60d, 0.0) AS units_60d, COALESCE(s.cost_60d, 0.0) AS cost_60d, COALESCE(s.units_90d, 0.0) AS units_90d, COALESCE(s.cost_90d, 0.0) AS cost_90d, COALESCE(s.active_days, 0) AS active_days"
+HW = "d.num_cpus AS driver_cpus, d.memory_gb AS driver_mem_gb, k.num_cpus AS worker_cpus, k.memory_gb AS worker_mem_gb, NULLIF(k.num_gpus, 0) AS worker_gpus"
+HWJ = "LEFT JOIN v_hardware d ON c.driver_node_type = d.node_type_id LEFT JOIN v_hardware k ON c.worker_node_type = k.node_type_id"
+oracle("join_enrich_compute", f"""
+SELECT c.cluster_id, w.workspace_name, w.resource_group, {HW}, COALESCE(s.cost_30d, 0.0) AS cost_30d, COALESCE(s.cost_90d, 0.0) AS cost_90d, COALESCE(s.active_days, 0) AS active_days
+FROM v_clusters_now c LEFT JOIN v_workspaces w USING (workspace_id) {HWJ} LEFT JOIN v_resource_spend s ON c.cluster_id = s.resource_id""")
+DERIVED["cluster_sizing"] = f"""
+SELECT c.cluster_id, c.cluster_name, c.workspace_id, c.owner, c.cluster_source, c.runtime_version, c.driver_node_type, c.worker_node_type, c.last_modified, c.delete_time, c.min_autoscale_workers AS min_workers, c.max_autoscale_workers AS max_workers, c.auto_termination_minutes AS auto_terminate_minutes,
+  concat_ws(',', CASE WHEN c.delete_time IS NOT NULL THEN 'terminated' END, CASE WHEN c.delete_time IS NULL AND c.auto_termination_minutes = 0 THEN 'no_auto_terminate' END,
+    CASE WHEN c.delete_time IS NULL AND c.min_autoscale_workers = c.max_autoscale_workers AND c.max_autoscale_workers > 0 THEN 'fixed_size' END, CASE WHEN c.delete_time IS NULL AND c.min_autoscale_workers >= 8 THEN 'large_min_workers' END) AS flags,
+  w.workspace_name, w.subscription_id, w.resource_group, {SP}, u.node_count, u.total_node_hours, u.avg_task_util_pct, u.peak_task_util_pct, u.avg_queued_tasks, {HW}
+FROM v_clusters_now c LEFT JOIN v_workspaces w USING (workspace_id) LEFT JOIN v_resource_spend s ON c.cluster_id = s.resource_id
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY total_node_hours DESC, workspace_id DESC) AS n FROM v_node_util) u ON c.cluster_id = u.cluster_id AND u.n = 1 {HWJ}"""
+oracle("cluster_sizing", "SELECT * FROM v_cluster_sizing")
+DERIVED["warehouse_sizing"] = f"""
+SELECT c.*, concat_ws(',', CASE WHEN c.auto_stop_minutes = 0 THEN 'no_auto_stop' END, CASE WHEN c.min_clusters > 1 THEN 'min_clusters_gt_1' END) AS flags, w.workspace_name, w.subscription_id, w.resource_group, {SP}
+FROM v_warehouses_now c LEFT JOIN v_workspaces w USING (workspace_id) LEFT JOIN v_resource_spend s ON c.warehouse_id = s.resource_id"""
+oracle("warehouse_sizing", "SELECT * FROM v_warehouse_sizing")
+oracle("runtime_versions", "SELECT runtime_version AS version, COUNT(*) AS cluster_count FROM v_clusters_now GROUP BY 1")
+oracle("warehouse_sizes", "SELECT warehouse_size AS size, COUNT(*) AS warehouse_count FROM v_warehouses_now GROUP BY 1")
+DERIVED["pipeline_sizing"] = """
+SELECT s.*, COALESCE(i.name, concat(substr(s.pipeline_id, 1, 20), '…')) AS name, COALESCE(i.trigger_type, 'Unknown') AS trigger_type, i.has_trigger, w.workspace_name, w.subscription_id, w.resource_group
+FROM v_pipeline_spend s LEFT JOIN (SELECT pipeline_id, name, CASE trigger_kind WHEN 'CONTINUOUS' THEN 'Continuous' WHEN 'CRON' THEN 'Cron' WHEN 'FILE_ARRIVAL' THEN 'File Arrival' WHEN 'MANUAL' THEN 'Manual' ELSE 'None' END AS trigger_type,
+  COALESCE(trigger_kind IN ('CONTINUOUS', 'CRON', 'FILE_ARRIVAL'), FALSE) AS has_trigger FROM v_pipelines_latest QUALIFY row_number() OVER (PARTITION BY pipeline_id ORDER BY change_time DESC, workspace_id DESC) = 1) i USING (pipeline_id) LEFT JOIN v_workspaces w USING (workspace_id)"""
+oracle("pipeline_sizing", "SELECT * FROM v_pipeline_sizing")
+oracle("join_pipeline_info", f"SELECT trigger_type, has_trigger, COUNT(*) AS pipelines, {r('SUM(cost_90d)', 2)} AS cost_90d FROM v_pipeline_sizing GROUP BY 1, 2")
+oracle("compute_summary", """
+SELECT COUNT(*) AS total_clusters, COUNT(*) FILTER (contains(flags, 'no_auto_terminate')) AS no_auto_terminate, COUNT(*) FILTER (contains(flags, 'fixed_size')) AS no_autoscale, COUNT(*) FILTER (contains(flags, 'large_min_workers')) AS oversized_clusters,
+  COUNT(DISTINCT runtime_version) AS runtime_versions_in_use, COUNT(*) FILTER (avg_task_util_pct < 20 AND cost_30d > 10) AS underutilised, (SELECT COUNT(*) FROM v_warehouse_sizing) AS total_warehouses,
+  (SELECT COUNT(*) FILTER (contains(flags, 'no_auto_stop')) FROM v_warehouse_sizing) AS no_auto_stop, (SELECT COUNT(*) FROM v_pipeline_spend) AS total_pipelines, (SELECT COUNT(*) FILTER (NOT has_trigger) FROM v_pipeline_sizing) AS pipelines_no_trigger
+FROM v_cluster_sizing""")
+
+# ---- query attribution ----
+QW = f"{ets_within(90, 'start_time')} AND statement_type <> 'OTHER'"
+INTERACTIVE = "executed_by IS NOT NULL AND trim(executed_by) <> '' AND executed_by = executed_as"
+
+
+def gib(x: str, n: int = 2) -> str:
+    return r(f"CAST({x} AS DOUBLE) / 1073741824", n)
+
+
+def sec(x: str, n: int) -> str:
+    return r(f"CAST({x} AS DOUBLE) / 1000", n)
+
+
+VOLUME = f"""COUNT(*) AS queries_90d, COUNT(*) FILTER (CAST(start_time AS DATE) >= {eday(60)}) AS queries_60d, COUNT(*) FILTER (CAST(start_time AS DATE) >= {eday(30)}) AS queries_30d, {sec('SUM(total_duration_ms)', 1)} AS total_duration_sec, {sec('AVG(total_duration_ms)', 2)} AS avg_duration_sec,
+  {gib('SUM(read_bytes)')} AS gb_90d, {gib(f'SUM(CASE WHEN CAST(start_time AS DATE) >= {eday(60)} THEN read_bytes ELSE 0 END)')} AS gb_60d, {gib(f'SUM(CASE WHEN CAST(start_time AS DATE) >= {eday(30)} THEN read_bytes ELSE 0 END)')} AS gb_30d, COUNT(*) FILTER (error_message IS NOT NULL) AS failed_count"""
+DERIVED["user_stats"] = f"""SELECT executed_by AS user_email, {VOLUME}, COUNT(DISTINCT warehouse_id) AS warehouses_used, COUNT(*) FILTER (error_message IS NULL) AS success_count FROM v_query_history WHERE {QW} AND {INTERACTIVE} GROUP BY 1 ORDER BY gb_90d DESC, user_email LIMIT 200"""
+oracle("query_user_stats", "SELECT * FROM v_user_stats")
+oracle("query_daily_trend", f"SELECT CAST(start_time AS DATE) AS day, COUNT(*) AS query_count, COUNT(DISTINCT executed_by) AS unique_users, {gib('SUM(read_bytes)')} AS gb_scanned, {sec('AVG(total_duration_ms)', 2)} AS avg_duration_sec FROM v_query_history WHERE {QW} GROUP BY 1")
+DERIVED["wh_spend"] = f"SELECT warehouse_id, {spend()} FROM v_priced WHERE {within(90)} AND warehouse_id IS NOT NULL GROUP BY 1"
+
+
+def durations(prefix: str) -> str:
+    return ", ".join(f"CAST(COALESCE(SUM(CASE WHEN CAST(start_time AS DATE) >= {eday(d)} THEN total_duration_ms END), 0) AS BIGINT) AS {prefix}_{d}d" for d in (30, 60, 90))
+
+
+DERIVED["user_wh_ms"] = f"SELECT executed_by AS user_email, warehouse_id, {durations('user_ms')} FROM v_query_history WHERE {QW} AND {INTERACTIVE} AND warehouse_id IS NOT NULL GROUP BY 1, 2"
+DERIVED["wh_ms"] = f"SELECT warehouse_id, {durations('total_ms')} FROM v_query_history WHERE {QW} AND warehouse_id IS NOT NULL GROUP BY 1"
+STMT = f"""statement_id, executed_by AS user_email, warehouse_id, statement_type, substr(statement_text, 1, 200) AS query_preview, CASE WHEN error_message IS NULL THEN 'FINISHED' ELSE 'FAILED' END AS status, {sec('total_duration_ms', 2)} AS duration_sec, {gib('read_bytes', 3)} AS gb_scanned, start_time AS started_at"""
+EST = f"{r('COALESCE(b.duration_sec * 1000 / NULLIF(m.total_ms_90d, 0) * s.cost_90d, 0)', 2)} AS estimated_cost"
+PRICED_STMT = "FROM b LEFT JOIN v_wh_ms m USING (warehouse_id) LEFT JOIN v_wh_spend s USING (warehouse_id) LEFT JOIN v_warehouse_ws x USING (warehouse_id) LEFT JOIN v_workspaces w USING (workspace_id)"
+oracle("top_expensive_queries", f"WITH b AS (SELECT {STMT}, {r('CAST(read_rows AS DOUBLE) / 1000000', 2)} AS m_rows_read FROM v_query_history WHERE {QW} AND read_bytes > 0 ORDER BY read_bytes DESC, statement_id LIMIT 50) SELECT b.*, {EST}, x.workspace_id, w.workspace_name {PRICED_STMT}")
+SLOW = f"b AS (SELECT {STMT} FROM v_query_history WHERE {QW} AND total_duration_ms > 60000 ORDER BY total_duration_ms DESC, statement_id LIMIT 50)"
+oracle("slow_queries", f"WITH {SLOW} SELECT b.*, {EST}, x.workspace_id, w.workspace_name {PRICED_STMT}")
+oracle("query_cost_estimate", f"SELECT q.statement_id, q.warehouse_id, {r('COALESCE(CAST(q.total_duration_ms AS DOUBLE) / NULLIF(m.total_ms_90d, 0) * s.cost_90d, 0)', 4)} AS estimated_cost FROM v_query_history q JOIN v_wh_ms m USING (warehouse_id) LEFT JOIN v_wh_spend s USING (warehouse_id) WHERE {QW}")
+oracle("query_warehouse_stats", f"""
+SELECT q.*, COALESCE(s.units_30d, 0.0) AS units_30d, COALESCE(s.cost_30d, 0.0) AS cost_30d, COALESCE(s.units_60d, 0.0) AS units_60d, COALESCE(s.cost_60d, 0.0) AS cost_60d, COALESCE(s.units_90d, 0.0) AS units_90d, COALESCE(s.cost_90d, 0.0) AS cost_90d
+FROM (SELECT warehouse_id, {VOLUME}, COUNT(DISTINCT executed_by) AS unique_users FROM v_query_history WHERE {QW} AND warehouse_id IS NOT NULL GROUP BY 1) q LEFT JOIN v_wh_spend s USING (warehouse_id)""")
+oracle("warehouse_spend_306090", "SELECT * FROM v_wh_spend")
+oracle("user_warehouse_duration", "SELECT * FROM v_user_wh_ms")
+oracle("warehouse_total_duration", "SELECT * FROM v_wh_ms")
+ATT = ", ".join(f"COALESCE(CAST(u.user_ms_{d}d AS DOUBLE) / NULLIF(m.total_ms_{d}d, 0) * s.cost_{d}d, 0) AS share_{d}d" for d in (30, 60, 90))
+DERIVED["attributed"] = f"SELECT u.user_email, u.warehouse_id, {ATT} FROM v_user_wh_ms u JOIN v_wh_ms m USING (warehouse_id) LEFT JOIN v_wh_spend s USING (warehouse_id)"
+oracle("join_attribution", f"SELECT user_email, warehouse_id, {r('share_90d', 4)} AS cost_90d FROM v_attributed")
+oracle("user_cost_attribution", f"SELECT user_email, {r('SUM(share_30d)', 2)} AS cost_30d, {r('SUM(share_60d)', 2)} AS cost_60d, {r('SUM(share_90d)', 2)} AS cost_90d FROM v_attributed GROUP BY 1")
+oracle("warehouse_events", f"""
+WITH b AS (SELECT warehouse_id, event_time, event_type, cluster_count FROM v_warehouse_events WHERE {ets_within(7, 'event_time')} ORDER BY event_time DESC, warehouse_id, event_type, cluster_count LIMIT 500)
+SELECT b.*, x.workspace_id, w.workspace_name FROM b LEFT JOIN v_warehouse_ws x USING (warehouse_id) LEFT JOIN v_workspaces w USING (workspace_id)""")
+oracle("query_summary", f"WITH {SLOW} SELECT CAST(SUM(queries_90d) AS BIGINT) AS total_queries, {r('SUM(gb_90d)', 2)} AS total_gb_scanned, COUNT(*) AS unique_users, CAST(SUM(failed_count) AS BIGINT) AS total_failed, (SELECT COUNT(*) FROM b) AS slow_queries FROM v_user_stats")
