@@ -39,20 +39,23 @@ def exact_percentiles(
     })
     last_rank = F.col("_before") + F.col("_bn") - 1
     need = need.where((F.col("_lo") <= last_rank) & (F.col("_hi") >= F.col("_before"))).drop("_t", "_bn")
-    hit_bands = need.select(*keys, "_band", "_before").distinct()
-    on_band = [counts[k].eqNullSafe(hit_bands[k]) for k in keys] + [counts["_band"] == hit_bands["_band"]]
+
+    def renamed(frame: DataFrame, prefix: str) -> DataFrame:
+        return frame.withColumnsRenamed({c: prefix + c for c in (*keys, "_band")})
+
+    def same_band(prefix: str):
+        return [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys] + [F.col("_band") == F.col(prefix + "_band")]
+
+    hit_bands = renamed(need.select(*keys, "_band", "_before").distinct(), "h_")
     in_band = Window.partitionBy(*keys, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        counts.join(hit_bands, on_band)
-        .select(*[counts[k] for k in keys], counts["_band"], "_v", "_n", "_before")
+        counts.join(hit_bands, same_band("h_"))
+        .select(*keys, "_band", "_v", "_n", "_before")
         .withColumn("_end", F.col("_before") + F.sum("_n").over(in_band))
         .withColumn("_begin", F.col("_end") - F.col("_n"))
-        .drop("_before")
     )
-    need = need.drop("_before")
-    joined = ranked.join(
-        need, [ranked[k].eqNullSafe(need[k]) for k in keys] + [ranked["_band"] == need["_band"]]
-    ).select(*[ranked[k] for k in keys], "_name", "_pos", "_lo", "_hi", "_v", "_begin", "_end")
+    wanted_ranks = renamed(need.drop("_before"), "t_")
+    joined = ranked.join(wanted_ranks, same_band("t_"))
 
     def at(rank: str):
         return F.max(F.when((F.col("_begin") <= F.col(rank)) & (F.col(rank) < F.col("_end")), F.col("_v")))

@@ -1,0 +1,101 @@
+"""Cluster events and node utilisation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from spendscope.context import Ctx
+from spendscope.functions.measures import desc, rnd, top
+from spendscope.plans.registry import report
+
+EVENTS, NODES = "compute.cluster_events", "compute.node_timeline"
+LOOKBACK, NODE_LOOKBACK = 30, 7
+MAX_EVENTS = 5000
+
+# Event types by meaning.
+FAILURE_TYPES = ("FAILED", "ERROR", "DRIVER_NOT_FOUND", "DRIVER_UNAVAILABLE", "SPARK_ERROR")
+SCALE_TYPES = ("RESIZING", "UPSIZE_COMPLETED", "NODES_LOST", "AUTOSCALING_STATS_REPORT")
+
+
+@report("cluster_events")
+def cluster_events(ctx: Ctx) -> DataFrame:
+    rows = ctx.recent_ts(EVENTS, "event_time", LOOKBACK).select(
+        "event_time", "cluster_id", "event_type", "workspace_id", "event_ref"
+    )
+    return top(rows, MAX_EVENTS, desc("event_time"))
+
+
+@report("cluster_event_summary")
+def cluster_event_summary(ctx: Ctx) -> DataFrame:
+    rows = ctx.recent_ts(EVENTS, "event_time", LOOKBACK).groupBy("cluster_id", "event_type").agg(
+        F.count("*").alias("event_count"), F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen")
+    )
+    return top(rows, 2000, desc("event_count"))
+
+
+def _utilisation() -> list[Column]:
+    cpu = F.col("cpu_user_percent").cast("double") + F.col("cpu_system_percent").cast("double")
+    mem = F.col("mem_used_percent").cast("double")
+    return [
+        rnd(F.avg(cpu), 1).alias("avg_cpu_pct"), rnd(F.max(cpu), 1).alias("peak_cpu_pct"),
+        rnd(F.avg(mem), 1).alias("avg_mem_pct"), rnd(F.max(mem), 1).alias("peak_mem_pct"),
+        F.count_distinct("node_id").alias("node_count"),
+    ]
+
+
+@report("node_utilisation_daily")
+def node_utilisation_daily(ctx: Ctx) -> DataFrame:
+    rows = ctx.recent_ts(NODES, "start_time", NODE_LOOKBACK).groupBy(
+        "cluster_id", F.col("is_driver").alias("driver"), F.to_date("start_time").alias("day")
+    ).agg(*_utilisation())
+    return top(rows, 3000, desc("day"))
+
+
+@report("cluster_utilisation")
+def cluster_utilisation(ctx: Ctx) -> DataFrame:
+    rows = ctx.recent_ts(NODES, "start_time", NODE_LOOKBACK).groupBy("cluster_id").agg(
+        *_utilisation(), F.count_distinct(F.to_date("start_time")).alias("active_days")
+    )
+    return top(rows, 200, desc("avg_cpu_pct"))
+
+
+def _of_types(df: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    return df.where(F.upper("event_type").isin(*types))
+
+
+@report("failure_events")
+def failure_events(ctx: Ctx) -> DataFrame:
+    return top(_of_types(cluster_events(ctx), FAILURE_TYPES), 200, desc("event_time"))
+
+
+@report("scale_events")
+def scale_events(ctx: Ctx) -> DataFrame:
+    return top(_of_types(cluster_events(ctx), SCALE_TYPES), 200, desc("event_time"))
+
+
+@report("cluster_event_types")
+def cluster_event_types(ctx: Ctx) -> DataFrame:
+    return cluster_events(ctx).groupBy("event_type").agg(F.count("*").alias("event_count")).orderBy(desc("event_count"))
+
+
+@report("cluster_event_daily")
+def cluster_event_daily(ctx: Ctx) -> DataFrame:
+    return cluster_events(ctx).groupBy(F.to_date("event_time").alias("day")).agg(F.count("*").alias("event_count")).orderBy("day")
+
+
+@report("busiest_clusters")
+def busiest_clusters(ctx: Ctx) -> DataFrame:
+    return top(cluster_events(ctx).groupBy("cluster_id").agg(F.count("*").alias("total_events")), 50, desc("total_events"))
+
+
+@report("health_summary")
+def health_summary(ctx: Ctx) -> DataFrame:
+    kind, busy = F.upper("event_type"), cluster_utilisation(ctx)
+    return cluster_events(ctx).agg(
+        F.count("*").alias("total_events"), F.count_distinct("cluster_id").alias("unique_clusters"),
+        F.count_if(kind.isin(*FAILURE_TYPES)).alias("failure_events"), F.count_if(kind.isin(*SCALE_TYPES)).alias("scale_events"),
+    ).withColumns({
+        "high_cpu_clusters": busy.agg(F.count_if(F.col("avg_cpu_pct") > 70).alias("n")).scalar(),
+        "high_mem_clusters": busy.agg(F.count_if(F.col("avg_mem_pct") > 80).alias("n")).scalar(),
+    })

@@ -1,0 +1,101 @@
+"""Identity and permission changes from audit logs."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spendscope.context import Ctx
+from spendscope.functions import classify as C
+from spendscope.functions.measures import desc, top
+from spendscope.plans.registry import report
+
+AUDIT = "access.audit"
+LOOKBACK = 30
+MAX_EVENTS = 3000
+
+
+def _events(ctx: Ctx) -> DataFrame:
+    return ctx.recent_ts(AUDIT, "event_time", LOOKBACK).select(
+        "event_id", "event_time", "workspace_id", "service_name", "action_name",
+        F.coalesce("user_identity.email", F.lit("")).alias("actor"),
+    )
+
+
+def _latest(df: DataFrame, n: int) -> DataFrame:
+    return top(df, n, desc("event_time"))
+
+
+def _of(ctx: Ctx, actions: Sequence[str]) -> DataFrame:
+    return _events(ctx).where(F.col("action_name").isin(*actions)).drop("service_name")
+
+
+@report("iam_events")
+def iam_events(ctx: Ctx) -> DataFrame:
+    return _latest(_events(ctx).where(C.is_iam_event()), MAX_EVENTS)
+
+
+@report("sp_events")
+def sp_events(ctx: Ctx) -> DataFrame:
+    return _latest(_of(ctx, C.SP_ACTIONS), 500)
+
+
+@report("token_events")
+def token_events(ctx: Ctx) -> DataFrame:
+    return _latest(_of(ctx, C.TOKEN_ACTIONS), 1000)
+
+
+@report("group_events")
+def group_events(ctx: Ctx) -> DataFrame:
+    return _latest(_of(ctx, C.GROUP_ACTIONS), 1000)
+
+
+@report("permission_events")
+def permission_events(ctx: Ctx) -> DataFrame:
+    return _latest(_of(ctx, C.PERMISSION_ACTIONS), 1000)
+
+
+@report("token_summary")
+def token_summary(ctx: Ctx) -> DataFrame:
+    created = F.contains(F.lower("action_name"), F.lit("create"))
+    return token_events(ctx).agg(F.count_if(created).alias("creates"), F.count_if(~created).alias("deletes"))
+
+
+@report("group_summary")
+def group_summary(ctx: Ctx) -> DataFrame:
+    """Adds and creates against everything else, updates included."""
+    name = F.lower("action_name")
+    added = F.contains(name, F.lit("add")) | F.contains(name, F.lit("create"))
+    return group_events(ctx).agg(F.count_if(added).alias("adds"), F.count_if(~added).alias("removes"))
+
+
+@report("iam_top_actions")
+def iam_top_actions(ctx: Ctx) -> DataFrame:
+    return top(iam_events(ctx).groupBy("action_name").agg(F.count("*").alias("event_count")), 20, desc("event_count"))
+
+
+@report("iam_top_actors")
+def iam_top_actors(ctx: Ctx) -> DataFrame:
+    actor = F.coalesce(F.nullif("actor", F.lit("")), F.lit("unknown")).alias("actor")
+    return top(iam_events(ctx).groupBy(actor).agg(F.count("*").alias("event_count")), 20, desc("event_count"))
+
+
+@report("iam_daily")
+def iam_daily(ctx: Ctx) -> DataFrame:
+    return iam_events(ctx).groupBy(F.to_date("event_time").alias("day")).agg(F.count("*").alias("event_count")).orderBy("day")
+
+
+@report("governance_summary")
+def governance_summary(ctx: Ctx) -> DataFrame:
+    n = F.count("*").alias("n")
+    actor = F.coalesce(F.nullif("actor", F.lit("")), F.lit("unknown"))
+    return iam_events(ctx).agg(
+        F.count("*").alias("total_iam_events"), F.count_distinct(actor).alias("unique_actors"),
+        F.count_distinct("action_name").alias("unique_actions"),
+    ).withColumns({
+        "token_events": token_events(ctx).agg(n).scalar(), "group_events": group_events(ctx).agg(n).scalar(),
+        "permission_events": permission_events(ctx).agg(n).scalar(), "sp_count": sp_events(ctx).agg(n).scalar(),
+        "group_count": ctx.table("directory.groups").agg(n).scalar(),
+    })
