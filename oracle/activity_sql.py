@@ -5,11 +5,11 @@ KNOWN = "user_email IS NOT NULL AND trim(user_email) <> ''"
 A90 = f"event_date BETWEEN {eday(90)} AND {eday()} AND {KNOWN}"
 A30 = f"event_date BETWEEN {eday(30)} AND {eday()} AND {KNOWN}"
 DERIVED["activity"] = f"""SELECT user_email, MAX(event_time) AS last_active, COUNT(*) AS action_count, COUNT(DISTINCT event_date) AS active_days, COUNT(DISTINCT workspace_id) AS workspaces_accessed, COUNT(DISTINCT service_name) AS services_used
-FROM v_audit WHERE {A90} GROUP BY 1 ORDER BY action_count DESC, user_email LIMIT 500"""
+FROM v_audit WHERE {A90} GROUP BY 1"""
 DERIVED["top_service"] = f"""SELECT user_email, service_name AS top_service FROM (SELECT user_email, service_name, row_number() OVER (PARTITION BY user_email ORDER BY COUNT(*) DESC, service_name) AS rn FROM v_audit WHERE {A90} GROUP BY 1, 2) WHERE rn = 1"""
 DERIVED["user_classes"] = """SELECT a.*, t.top_service, regexp_matches(replace(replace(split_part(lower(trim(a.user_email)), '@', 1), '-', ''), '_', ''), '^[0-9]+$')
   OR regexp_matches(split_part(lower(trim(a.user_email)), '@', 1), '^([^-]{4}|[^-]{8}|[^-]{12})(-([^-]{4}|[^-]{8}|[^-]{12})){4}$') AS is_service_principal FROM v_activity a LEFT JOIN v_top_service t USING (user_email)"""
-oracle("user_activity", "SELECT * FROM v_activity")
+oracle("user_activity", "SELECT * FROM v_activity ORDER BY action_count DESC, user_email LIMIT 500")
 oracle("daily_active_users", f"SELECT event_date, COUNT(DISTINCT user_email) AS active_users, COUNT(*) AS total_actions FROM v_audit WHERE {A90} GROUP BY 1")
 oracle("service_breakdown", f"SELECT service_name, COUNT(*) AS action_count, COUNT(DISTINCT user_email) AS unique_users FROM v_audit WHERE {A30} GROUP BY 1")
 oracle("top_actions", f"SELECT service_name, action_name, COUNT(*) AS action_count, COUNT(DISTINCT user_email) AS unique_users FROM v_audit WHERE {A30} GROUP BY 1, 2 ORDER BY action_count DESC, service_name, action_name LIMIT 50")
@@ -84,15 +84,15 @@ E30 = ets_within(30, "event_time")
 DERIVED["gov"] = f"SELECT event_id, event_time, workspace_id, service_name, action_name, COALESCE(user_email, '') AS actor FROM v_audit WHERE {E30}"
 LATEST = "ORDER BY event_time DESC, event_id"
 DERIVED["iam"] = f"""SELECT * FROM v_gov WHERE service_name IN ('iamService', 'accountsManager', 'tokenManagement', 'groups', 'servicePrincipals', 'users', 'permissions', 'iam', 'accounts')
-  OR action_name IN ('createServicePrincipal', 'createToken', 'revokeToken', 'changePermissions', 'updateGroup', 'addPrincipalToGroup') {LATEST} LIMIT 3000"""
+  OR action_name IN ('createServicePrincipal', 'createToken', 'revokeToken', 'changePermissions', 'updateGroup', 'addPrincipalToGroup') """
 COLS = "event_id, event_time, workspace_id, action_name, actor"
-DERIVED["sp_ev"] = f"SELECT {COLS} FROM v_gov WHERE action_name = 'createServicePrincipal' {LATEST} LIMIT 500"
-DERIVED["token_ev"] = f"SELECT {COLS} FROM v_gov WHERE action_name IN ('createToken', 'deleteToken', 'revokeToken') {LATEST} LIMIT 1000"
-DERIVED["group_ev"] = f"SELECT {COLS} FROM v_gov WHERE action_name IN ('updateGroup', 'addPrincipalToGroup') {LATEST} LIMIT 1000"
-DERIVED["perm_ev"] = f"SELECT {COLS} FROM v_gov WHERE action_name = 'changePermissions' {LATEST} LIMIT 1000"
-oracle("iam_events", "SELECT * FROM v_iam")
-for key, view in (("sp_events", "sp_ev"), ("token_events", "token_ev"), ("group_events", "group_ev"), ("permission_events", "perm_ev")):
-    oracle(key, f"SELECT * FROM v_{view}")
+DERIVED["sp_ev"] = f"SELECT {COLS} FROM v_gov WHERE action_name = 'createServicePrincipal'"
+DERIVED["token_ev"] = f"SELECT {COLS} FROM v_gov WHERE action_name IN ('createToken', 'deleteToken', 'revokeToken')"
+DERIVED["group_ev"] = f"SELECT {COLS} FROM v_gov WHERE action_name IN ('updateGroup', 'addPrincipalToGroup')"
+DERIVED["perm_ev"] = f"SELECT {COLS} FROM v_gov WHERE action_name = 'changePermissions'"
+oracle("iam_events", f"SELECT * FROM v_iam {LATEST} LIMIT 3000")
+for key, view, n in (("sp_events", "sp_ev", 500), ("token_events", "token_ev", 1000), ("group_events", "group_ev", 1000), ("permission_events", "perm_ev", 1000)):
+    oracle(key, f"SELECT * FROM v_{view} {LATEST} LIMIT {n}")
 oracle("token_summary", "SELECT COUNT(*) FILTER (action_name = 'createToken') AS creates, COUNT(*) FILTER (action_name <> 'createToken') AS deletes FROM v_token_ev")
 oracle("group_summary", "SELECT COUNT(*) FILTER (action_name = 'addPrincipalToGroup') AS adds, COUNT(*) FILTER (action_name <> 'addPrincipalToGroup') AS removes FROM v_group_ev")
 oracle("iam_top_actions", "SELECT action_name, COUNT(*) AS event_count FROM v_iam GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")

@@ -30,16 +30,16 @@ DERIVED["resource_spend"] = f"""SELECT COALESCE(cluster_id, warehouse_id) AS res
 BUSY = "CASE WHEN num_task_slots > 0 THEN CAST(avg_num_running_tasks AS DOUBLE) / num_task_slots * 100 ELSE 0 END"
 DERIVED["node_util"] = f"""SELECT cluster_id, workspace_id, COUNT(DISTINCT node_id) AS node_count, {r('SUM(uptime_seconds) / 3600', 1)} AS total_node_hours, {r(f'AVG({BUSY})', 1)} AS avg_task_util_pct, {r(f'MAX({BUSY})', 1)} AS peak_task_util_pct,
   {r('AVG(CAST(avg_num_queued_tasks AS DOUBLE))', 2)} AS avg_queued_tasks, COUNT(*) FILTER (is_driver) AS driver_samples, COUNT(*) FILTER (NOT is_driver) AS worker_samples
-FROM v_node_timeline WHERE {ts_within(7, 'start_time')} GROUP BY 1, 2 ORDER BY total_node_hours DESC, cluster_id, workspace_id LIMIT 300"""
+FROM v_node_timeline WHERE {ts_within(7, 'start_time')} GROUP BY 1, 2"""
 DERIVED["hardware"] = f"SELECT node_type_id, num_cpus, memory_mb, {r('memory_mb / 1024', 1)} AS memory_gb, COALESCE(num_gpus, 0) AS num_gpus, COALESCE(gpu_name, '') AS gpu_name, is_deprecated, category FROM v_node_types"
 oracle("clusters_latest", "SELECT * FROM v_clusters_now")
 oracle("anti_deleted", "SELECT DISTINCT cluster_id FROM v_clusters WHERE cluster_id NOT IN (SELECT cluster_id FROM v_clusters_gone)")
-oracle("warehouses_latest", "SELECT * FROM v_warehouses_now ORDER BY warehouse_id LIMIT 200")
+oracle("warehouses_latest", "SELECT * FROM v_warehouses_now")
 oracle("warehouse_workspace", "SELECT * FROM v_warehouse_ws")
 oracle("pipeline_spend_306090", "SELECT * FROM v_pipeline_spend")
 oracle("recent_active_ids", f"SELECT DISTINCT COALESCE(cluster_id, warehouse_id) AS resource_id FROM v_usage_flat WHERE {within(30)} AND COALESCE(cluster_id, warehouse_id) IS NOT NULL")
 oracle("resource_spend_306090", "SELECT * FROM v_resource_spend")
-oracle("node_task_utilisation", "SELECT * FROM v_node_util")
+oracle("node_task_utilisation", "SELECT * FROM v_node_util ORDER BY total_node_hours DESC, cluster_id, workspace_id LIMIT 300")
 oracle("node_types", "SELECT * FROM v_hardware ORDER BY memory_mb DESC, node_type_id LIMIT 50")
 SP = "COALESCE(s.units_30d, 0.0) AS units_30d, COALESCE(s.cost_30d, 0.0) AS cost_30d, COALESCE(s.units_60d, 0.0) AS units_60d, COALESCE(s.cost_60d, 0.0) AS cost_60d, COALESCE(s.units_90d, 0.0) AS units_90d, COALESCE(s.cost_90d, 0.0) AS cost_90d, COALESCE(s.active_days, 0) AS active_days"
 HW = "d.num_cpus AS driver_cpus, d.memory_gb AS driver_mem_gb, k.num_cpus AS worker_cpus, k.memory_gb AS worker_mem_gb, NULLIF(k.num_gpus, 0) AS worker_gpus"
@@ -88,8 +88,8 @@ def sec(x: str, n: int) -> str:
 
 VOLUME = f"""COUNT(*) AS queries_90d, COUNT(*) FILTER (CAST(start_time AS DATE) >= {eday(60)}) AS queries_60d, COUNT(*) FILTER (CAST(start_time AS DATE) >= {eday(30)}) AS queries_30d, {sec('SUM(total_duration_ms)', 1)} AS total_duration_sec, {sec('AVG(total_duration_ms)', 2)} AS avg_duration_sec,
   {gib('SUM(read_bytes)')} AS gb_90d, {gib(f'SUM(CASE WHEN CAST(start_time AS DATE) >= {eday(60)} THEN read_bytes ELSE 0 END)')} AS gb_60d, {gib(f'SUM(CASE WHEN CAST(start_time AS DATE) >= {eday(30)} THEN read_bytes ELSE 0 END)')} AS gb_30d, COUNT(*) FILTER (error_message IS NOT NULL) AS failed_count"""
-DERIVED["user_stats"] = f"""SELECT executed_by AS user_email, {VOLUME}, COUNT(DISTINCT warehouse_id) AS warehouses_used, COUNT(*) FILTER (error_message IS NULL) AS success_count FROM v_query_history WHERE {QW} AND {INTERACTIVE} GROUP BY 1 ORDER BY gb_90d DESC, user_email LIMIT 200"""
-oracle("query_user_stats", "SELECT * FROM v_user_stats")
+DERIVED["user_stats"] = f"""SELECT executed_by AS user_email, {VOLUME}, COUNT(DISTINCT warehouse_id) AS warehouses_used, COUNT(*) FILTER (error_message IS NULL) AS success_count FROM v_query_history WHERE {QW} AND {INTERACTIVE} GROUP BY 1"""
+oracle("query_user_stats", "SELECT * FROM v_user_stats ORDER BY gb_90d DESC, user_email LIMIT 200")
 oracle("query_daily_trend", f"SELECT CAST(start_time AS DATE) AS day, COUNT(*) AS query_count, COUNT(DISTINCT executed_by) AS unique_users, {gib('SUM(read_bytes)')} AS gb_scanned, {sec('AVG(total_duration_ms)', 2)} AS avg_duration_sec FROM v_query_history WHERE {QW} GROUP BY 1")
 DERIVED["wh_spend"] = f"SELECT warehouse_id, {spend()} FROM v_priced WHERE {within(90)} AND warehouse_id IS NOT NULL GROUP BY 1"
 
@@ -120,7 +120,7 @@ oracle("user_cost_attribution", f"SELECT user_email, {r('SUM(share_30d)', 2)} AS
 oracle("warehouse_events", f"""
 WITH b AS (SELECT warehouse_id, event_time, event_type, cluster_count FROM v_warehouse_events WHERE {ets_within(7, 'event_time')} ORDER BY event_time DESC, warehouse_id, event_type, cluster_count LIMIT 500)
 SELECT b.*, x.workspace_id, w.workspace_name FROM b LEFT JOIN v_warehouse_ws x USING (warehouse_id) LEFT JOIN v_workspaces w USING (workspace_id)""")
-oracle("query_summary", f"WITH {SLOW} SELECT CAST(SUM(queries_90d) AS BIGINT) AS total_queries, {r('SUM(gb_90d)', 2)} AS total_gb_scanned, COUNT(*) AS unique_users, CAST(SUM(failed_count) AS BIGINT) AS total_failed, (SELECT COUNT(*) FROM b) AS slow_queries FROM v_user_stats")
+oracle("query_summary", f"SELECT CAST(SUM(queries_90d) AS BIGINT) AS total_queries, {r('SUM(gb_90d)', 2)} AS total_gb_scanned, COUNT(*) AS unique_users, CAST(SUM(failed_count) AS BIGINT) AS total_failed, (SELECT COUNT(*) FROM v_query_history WHERE {QW} AND total_duration_ms > 60000) AS slow_queries FROM v_user_stats")
 
 # ---- jobs ----
 R30 = ts_within(30, "period_start_time")
@@ -130,7 +130,8 @@ DERIVED["prod_runs"] = f"SELECT * FROM v_job_runs {PROD} WHERE {R30}"
 DERIVED["prod_updates"] = f"SELECT * FROM v_pipeline_updates {PROD} WHERE {R30} AND period_end_time IS NOT NULL AND result_state IS NOT NULL"
 OUT = f"COUNT(*) FILTER (result_state = 'SUCCEEDED') AS success_count, COUNT(*) FILTER ({BAD}) AS failed_count"
 DERIVED["job_stats"] = f"""SELECT job_id, workspace_id, workspace_name, run_type, COUNT(*) AS total_runs, {OUT}, {r(f"AVG(CASE WHEN result_state = 'SUCCEEDED' THEN {MINUTES} END)", 1)} AS avg_duration_min, {r(f"MAX(CASE WHEN result_state = 'SUCCEEDED' THEN {MINUTES} END)", 1)} AS max_duration_min,
-  MAX(period_end_time) AS last_run_at, arg_max(result_state, row(period_end_time, run_id)) AS last_result FROM v_prod_runs WHERE result_state IS NOT NULL GROUP BY 1, 2, 3, 4 ORDER BY failed_count DESC, total_runs DESC, job_id, workspace_id, workspace_name, run_type LIMIT 500"""
+  MAX(period_end_time) AS last_run_at, arg_max(result_state, row(period_end_time, run_id)) AS last_result FROM v_prod_runs WHERE result_state IS NOT NULL GROUP BY 1, 2, 3, 4"""
+TOP_JOBS = "ORDER BY failed_count DESC, total_runs DESC, job_id, workspace_id, workspace_name, run_type LIMIT 500"
 DERIVED["job_inv"] = f"SELECT workspace_id, job_id, name AS job_name, creator_user_name AS creator, run_as_user_name AS run_as, created_time AS created_at, cron AS cron_schedule, pause_status AS schedule_status FROM v_jobs_latest {PROD}"
 DERIVED["pipe_inv"] = f"SELECT workspace_id, pipeline_id, name AS pipeline_name, workspace_name, creator_user_name AS creator, run_as_user_name AS run_as, channel, edition, created_time AS created_at FROM v_pipelines_latest {PROD}"
 DERIVED["failures"] = f"SELECT run_id, job_id, workspace_id, workspace_name, result_state, period_start_time AS started_at, {r(MINUTES, 1)} AS duration_min FROM v_prod_runs WHERE {BAD} ORDER BY started_at DESC, run_id LIMIT 50"
@@ -139,10 +140,10 @@ DERIVED["pipe_stats"] = f"""SELECT s.*, i.pipeline_name, {pct('success_count', '
 DERIVED["tasks_n"] = f"SELECT workspace_id, job_id, COUNT(DISTINCT task_key) AS task_count FROM v_job_tasks {PROD} WHERE delete_time IS NULL GROUP BY 1, 2"
 DERIVED["bottlenecks"] = f"""SELECT s.*, i.job_name FROM (SELECT job_id, task_key, workspace_id, workspace_name, COUNT(*) AS run_count, {OUT}, {r(f'AVG({MINUTES})', 1)} AS avg_duration_min, {r(f'MAX({MINUTES})', 1)} AS max_duration_min
   FROM v_prod_runs WHERE period_end_time IS NOT NULL GROUP BY 1, 2, 3, 4 ORDER BY avg_duration_min DESC, job_id, task_key, workspace_id LIMIT 200) s LEFT JOIN v_job_inv i USING (workspace_id, job_id)"""
-oracle("job_runs", "SELECT * FROM v_job_stats")
+oracle("job_runs", f"SELECT * FROM v_job_stats {TOP_JOBS}")
 oracle("join_prod_inner", "SELECT workspace_id, workspace_name, COUNT(*) AS runs FROM v_prod_runs WHERE result_state IS NOT NULL GROUP BY 1, 2")
 oracle("job_daily", f"SELECT CAST(period_start_time AS DATE) AS day, COUNT(*) AS total_runs, {OUT} FROM v_prod_runs WHERE result_state IS NOT NULL GROUP BY 1")
-oracle("jobs_inventory", "SELECT * FROM v_job_inv ORDER BY workspace_id, job_id LIMIT 500")
+oracle("jobs_inventory", "SELECT * FROM v_job_inv")
 oracle("top_failures", "SELECT * FROM v_failures")
 oracle("join_job_inventory", "SELECT f.*, COALESCE(i.job_name, '') AS job_name FROM v_failures f LEFT JOIN v_job_inv i USING (workspace_id, job_id)")
 oracle("pipeline_runs", "SELECT * FROM v_pipe_stats")
@@ -157,13 +158,13 @@ s AS (SELECT """ + ", ".join(
 oracle("combined_sla", SLA)
 oracle("job_task_counts", "SELECT * FROM v_tasks_n")
 oracle("task_bottlenecks", "SELECT * FROM v_bottlenecks")
-oracle("pipelines_inventory", "SELECT * FROM v_pipe_inv ORDER BY workspace_id, pipeline_id LIMIT 300")
+oracle("pipelines_inventory", "SELECT * FROM v_pipe_inv")
 oracle("pipeline_updates", f"""SELECT s.*, i.pipeline_name FROM (SELECT update_id, pipeline_id, workspace_id, workspace_name, result_state AS state, {r(MINUTES, 1)} AS duration_min, period_start_time AS started_at, period_end_time AS ended_at FROM v_prod_updates
   ORDER BY started_at DESC, update_id LIMIT 300) s LEFT JOIN v_pipe_inv i USING (workspace_id, pipeline_id)""")
 oracle("job_report", f"""SELECT s.*, i.job_name, i.creator, i.run_as, i.created_at, i.cron_schedule, i.schedule_status, COALESCE(t.task_count, 0) AS task_count, {pct('success_count', 'total_runs')} AS success_rate
-FROM v_job_stats s LEFT JOIN v_job_inv i USING (workspace_id, job_id) LEFT JOIN v_tasks_n t USING (workspace_id, job_id)""")
+FROM (SELECT * FROM v_job_stats {TOP_JOBS}) s LEFT JOIN v_job_inv i USING (workspace_id, job_id) LEFT JOIN v_tasks_n t USING (workspace_id, job_id)""")
 oracle("job_report_summary", f"""SELECT COUNT(*) AS total_jobs, CAST(SUM(total_runs) AS BIGINT) AS total_runs, CAST(SUM(success_count) AS BIGINT) AS total_success, CAST(SUM(failed_count) AS BIGINT) AS total_failed, {pct('SUM(success_count)', 'SUM(total_runs)')} AS sla_pct,
-  (SELECT COUNT(*) FROM v_pipe_stats) AS pipelines, (SELECT COUNT(*) FROM v_bottlenecks) AS task_bottlenecks, (SELECT COUNT(*) FROM v_pipe_inv) AS pipeline_inventory FROM v_job_stats""")
+  (SELECT COUNT(*) FROM (SELECT DISTINCT pipeline_id, workspace_id FROM v_prod_updates)) AS pipelines, (SELECT COUNT(*) FROM (SELECT DISTINCT job_id, task_key, workspace_id FROM v_prod_runs WHERE period_end_time IS NOT NULL)) AS task_bottlenecks, (SELECT COUNT(*) FROM v_pipe_inv) AS pipeline_inventory FROM v_job_stats""")
 
 # ---- lineage, serving, ML registry ----
 DERIVED["edges"] = f"SELECT DISTINCT concat_ws('.', source_catalog, source_schema, source_table) AS source, concat_ws('.', target_catalog, target_schema, target_table) AS target FROM v_table_lineage WHERE {ts_within(30, 'event_time')}"
@@ -179,16 +180,16 @@ SELECT COALESCE(e.endpoint_name, u.entity_name) AS endpoint_name, CAST(COALESCE(
 FROM v_served_entities e FULL OUTER JOIN v_serve_days u ON e.served_entity_name = u.entity_name GROUP BY 1""")
 oracle("ml_experiments", "SELECT experiment_id, name AS experiment_name, lifecycle_stage, make_timestamp(creation_time * 1000) AS created_at, make_timestamp(last_update_time * 1000) AS updated_at FROM v_experiments ORDER BY updated_at DESC, experiment_id LIMIT 200")
 oracle("ml_models", "SELECT name AS model_name, make_timestamp(creation_timestamp * 1000) AS created_at, make_timestamp(last_updated_timestamp * 1000) AS updated_at, user_id AS owner FROM v_ml_models ORDER BY updated_at DESC, model_name LIMIT 200")
-DERIVED["runs_ml"] = f"SELECT run_id, experiment_id, status, start_time AS started_at, end_time AS ended_at, user_id AS user_email FROM v_ml_runs WHERE {ts_within(30, 'start_time')} ORDER BY started_at DESC, run_id LIMIT 2000"
-oracle("ml_runs", "SELECT * FROM v_runs_ml")
+DERIVED["runs_ml"] = f"SELECT run_id, experiment_id, status, start_time AS started_at, end_time AS ended_at, user_id AS user_email FROM v_ml_runs WHERE {ts_within(30, 'start_time')}"
+oracle("ml_runs", "SELECT * FROM v_runs_ml ORDER BY started_at DESC, run_id LIMIT 2000")
 oracle("ml_runs_summary", f"SELECT COUNT(*) AS total_runs, COUNT(*) FILTER (status = 'FINISHED') AS finished, COUNT(*) FILTER (status = 'FAILED') AS failed, {pct(chr(67) + 'OUNT(*) FILTER (status = ' + chr(39) + 'FINISHED' + chr(39) + ')', 'COUNT(*)')} AS success_rate FROM v_runs_ml")
 
 # ---- storage ----
-DERIVED["ops"] = f"SELECT catalog_name, schema_name, table_name, operation_type, operation_status, start_time AS started_at, {r('(epoch(end_time) - epoch(start_time)) / 60.0', 1)} AS duration_min, operation_id FROM v_optimization_ops WHERE {ts_within(30, 'start_time')} ORDER BY started_at DESC, catalog_name, schema_name, table_name, operation_type, operation_status, duration_min, operation_id LIMIT 500"
+DERIVED["ops"] = f"SELECT catalog_name, schema_name, table_name, operation_type, operation_status, start_time AS started_at, {r('(epoch(end_time) - epoch(start_time)) / 60.0', 1)} AS duration_min, operation_id FROM v_optimization_ops WHERE {ts_within(30, 'start_time')}"
 DERIVED["user_tables"] = "SELECT table_catalog AS catalog_name, table_schema AS schema_name, table_name, table_type, created AS created_at FROM v_tables WHERE table_schema <> 'information_schema' AND table_catalog NOT IN ('system', 'samples') AND table_type IN ('MANAGED', 'EXTERNAL')"
-DERIVED["inv"] = "SELECT * FROM v_user_tables ORDER BY catalog_name, schema_name, table_name LIMIT 5000"
-DERIVED["schemas"] = "SELECT catalog_name, schema_name, COUNT(*) AS table_count FROM v_user_tables GROUP BY 1, 2 ORDER BY table_count DESC, catalog_name, schema_name LIMIT 500"
-oracle("optimization_ops", "SELECT * FROM v_ops")
+DERIVED["inv"] = "SELECT * FROM v_user_tables"
+DERIVED["schemas"] = "SELECT catalog_name, schema_name, COUNT(*) AS table_count FROM v_user_tables GROUP BY 1, 2"
+oracle("optimization_ops", "SELECT * FROM v_ops ORDER BY started_at DESC, catalog_name, schema_name, table_name, operation_type, operation_status, duration_min, operation_id LIMIT 500")
 oracle("optimization_summary", "SELECT operation_type, COUNT(*) AS total, COUNT(*) FILTER (operation_status = 'SUCCEEDED') AS success, COUNT(*) FILTER (operation_status = 'FAILED') AS failed FROM v_ops GROUP BY 1")
 oracle("table_inventory", "SELECT * FROM v_inv")
 oracle("schema_summary", "SELECT * FROM v_schemas")
@@ -199,16 +200,16 @@ oracle("storage_summary", """SELECT COUNT(DISTINCT catalog_name) AS total_catalo
   (SELECT COUNT(*) FILTER (table_type = 'EXTERNAL') FROM v_inv) AS external_tables, (SELECT COUNT(*) FROM v_ops) AS optimization_ops, (SELECT COUNT(DISTINCT operation_type) FROM v_ops) AS op_types, (SELECT COUNT(*) FROM v_workspaces) AS total_workspaces FROM v_schemas""")
 
 # ---- cluster health ----
-DERIVED["cl_events"] = f"SELECT event_time, cluster_id, event_type, workspace_id, event_ref FROM v_cluster_events WHERE {ets_within(30, 'event_time')} ORDER BY event_time DESC, cluster_id, event_type, workspace_id, event_ref LIMIT 5000"
+DERIVED["cl_events"] = f"SELECT event_time, cluster_id, event_type, workspace_id, event_ref FROM v_cluster_events WHERE {ets_within(30, 'event_time')} "
 FAILT = "event_type IN ('FAILED', 'ERROR', 'DRIVER_NOT_FOUND', 'DRIVER_UNAVAILABLE', 'SPARK_ERROR')"
 SCALET = "event_type IN ('RESIZING', 'UPSIZE_COMPLETED', 'NODES_LOST', 'AUTOSCALING_STATS_REPORT')"
 CPU, MEM = "(CAST(cpu_user_percent AS DOUBLE) + CAST(cpu_system_percent AS DOUBLE))", "CAST(mem_used_percent AS DOUBLE)"
 UTIL = f"{r(f'AVG({CPU})', 1)} AS avg_cpu_pct, {r(f'MAX({CPU})', 1)} AS peak_cpu_pct, {r(f'AVG({MEM})', 1)} AS avg_mem_pct, {r(f'MAX({MEM})', 1)} AS peak_mem_pct, COUNT(DISTINCT node_id) AS node_count"
-DERIVED["cl_util"] = f"SELECT cluster_id, {UTIL}, COUNT(DISTINCT CAST(start_time AS DATE)) AS active_days FROM v_node_timeline WHERE {ts_within(7, 'start_time')} GROUP BY 1 ORDER BY avg_cpu_pct DESC, cluster_id LIMIT 200"
-oracle("cluster_events", "SELECT * FROM v_cl_events")
-oracle("cluster_event_summary", f"SELECT cluster_id, event_type, COUNT(*) AS event_count, MIN(event_time) AS first_seen, MAX(event_time) AS last_seen FROM v_cluster_events WHERE {ets_within(30, 'event_time')} GROUP BY 1, 2 ORDER BY event_count DESC, cluster_id, event_type LIMIT 2000")
-oracle("node_utilisation_daily", f"SELECT cluster_id, is_driver AS driver, CAST(start_time AS DATE) AS day, {UTIL} FROM v_node_timeline WHERE {ts_within(7, 'start_time')} GROUP BY 1, 2, 3 ORDER BY day DESC, cluster_id, driver LIMIT 3000")
-oracle("cluster_utilisation", "SELECT * FROM v_cl_util")
+DERIVED["cl_util"] = f"SELECT cluster_id, {UTIL}, COUNT(DISTINCT CAST(start_time AS DATE)) AS active_days FROM v_node_timeline WHERE {ts_within(7, 'start_time')} GROUP BY 1"
+oracle("cluster_events", "SELECT * FROM v_cl_events ORDER BY event_time DESC, cluster_id, event_type, workspace_id, event_ref LIMIT 5000")
+oracle("cluster_event_summary", f"SELECT cluster_id, event_type, COUNT(*) AS event_count, MIN(event_time) AS first_seen, MAX(event_time) AS last_seen FROM v_cluster_events WHERE {ets_within(30, 'event_time')} GROUP BY 1, 2")
+oracle("node_utilisation_daily", f"SELECT cluster_id, is_driver AS driver, CAST(start_time AS DATE) AS day, {UTIL} FROM v_node_timeline WHERE {ts_within(7, 'start_time')} GROUP BY 1, 2, 3")
+oracle("cluster_utilisation", "SELECT * FROM v_cl_util ORDER BY avg_cpu_pct DESC, cluster_id LIMIT 200")
 oracle("failure_events", f"SELECT * FROM v_cl_events WHERE {FAILT} ORDER BY event_time DESC, cluster_id, event_type, workspace_id, event_ref LIMIT 200")
 oracle("scale_events", f"SELECT * FROM v_cl_events WHERE {SCALET} ORDER BY event_time DESC, cluster_id, event_type, workspace_id, event_ref LIMIT 200")
 oracle("cluster_event_types", "SELECT event_type, COUNT(*) AS event_count FROM v_cl_events GROUP BY 1")
@@ -224,7 +225,7 @@ def known(c: str, word: str = "unknown") -> str:
     return f"CASE WHEN COALESCE({c}, '') = '' THEN '{word}' ELSE {c} END AS {c}"
 
 
-DERIVED["pe"] = "SELECT workspace_id, endpoint_name, private_endpoint_id AS endpoint_id, resource_id, group_id AS sub_resource_target, fqdn AS domain, COALESCE(state, '') AS status FROM v_private_endpoint_rules ORDER BY workspace_id NULLS FIRST, endpoint_name LIMIT 500"
+DERIVED["pe"] = "SELECT workspace_id, endpoint_name, private_endpoint_id AS endpoint_id, resource_id, group_id AS sub_resource_target, fqdn AS domain, COALESCE(state, '') AS status FROM v_private_endpoint_rules"
 DERIVED["dash"] = f"SELECT * FROM v_dashboard_events WHERE {ets_within(30, 'event_time')}"
 BOARD = "CASE WHEN COALESCE(dashboard_name, '') = '' THEN dashboard_id ELSE dashboard_name END AS dashboard"
 DERIVED["dash_day"] = "SELECT CAST(event_time AS DATE) AS day, COUNT(*) AS event_count FROM v_dash GROUP BY 1"
@@ -242,15 +243,15 @@ oracle("dashboard_event_types", "SELECT * FROM v_dash_types")
 oracle("dashboard_usage", "SELECT 'day' AS section, CAST(day AS VARCHAR) AS item, event_count FROM v_dash_day UNION ALL SELECT 'dashboard', dashboard, views FROM v_dash_top UNION ALL SELECT 'user', user_id, event_count FROM v_dash_users UNION ALL SELECT 'type', event_type, event_count FROM v_dash_types")
 oracle("dashboard_inventory", "SELECT * FROM v_dash_inv")
 oracle("alert_states", f"SELECT {known('state')}, COUNT(*) AS row_count FROM v_sql_alerts GROUP BY 1")
-oracle("platform_summary", "SELECT COUNT(*) AS dashboard_events, COUNT(DISTINCT CASE WHEN COALESCE(user_id, '') = '' THEN 'unknown' ELSE user_id END) AS unique_dash_users, (SELECT COUNT(*) FROM v_pe) AS private_endpoints, (SELECT COUNT(*) FROM v_dash_inv) AS dashboards, (SELECT COUNT(*) FROM v_sql_alerts) AS active_alerts FROM v_dash")
-DERIVED["lst"] = f"SELECT event_ref, listing_id, listing_name, event_type, event_time, consumer_workspace_id FROM v_listing_events WHERE {ets_within(90, 'event_time')} ORDER BY event_time DESC, event_ref LIMIT 2000"
-DERIVED["cons"] = "SELECT * FROM v_consumer_listings ORDER BY installed_on DESC, listing_id LIMIT 500"
-DERIVED["prov"] = "SELECT * FROM v_provider_listings ORDER BY updated_at DESC, listing_id LIMIT 200"
-oracle("listing_events", "SELECT * FROM v_lst")
+oracle("platform_summary", "SELECT COUNT(*) AS dashboard_events, COUNT(DISTINCT CASE WHEN COALESCE(user_id, '') = '' THEN 'unknown' ELSE user_id END) AS unique_dash_users, (SELECT COUNT(*) FROM v_pe) AS private_endpoints, (SELECT COUNT(*) FROM v_dashboards) AS dashboards, (SELECT COUNT(*) FROM v_sql_alerts) AS active_alerts FROM v_dash")
+DERIVED["lst"] = f"SELECT event_ref, listing_id, listing_name, event_type, event_time, consumer_workspace_id FROM v_listing_events WHERE {ets_within(90, 'event_time')}"
+DERIVED["cons"] = "SELECT * FROM v_consumer_listings"
+DERIVED["prov"] = "SELECT * FROM v_provider_listings"
+oracle("listing_events", "SELECT * FROM v_lst ORDER BY event_time DESC, event_ref LIMIT 2000")
 oracle("listing_event_types", "SELECT event_type, COUNT(*) AS event_count FROM v_lst GROUP BY 1")
 oracle("listing_daily", "SELECT CAST(event_time AS DATE) AS day, COUNT(*) AS event_count FROM v_lst GROUP BY 1")
-oracle("consumer_listings", "SELECT * FROM v_cons")
-oracle("provider_listings", "SELECT * FROM v_prov")
+oracle("consumer_listings", "SELECT * FROM v_cons ORDER BY installed_on DESC, listing_id LIMIT 500")
+oracle("provider_listings", "SELECT * FROM v_prov ORDER BY updated_at DESC, listing_id LIMIT 200")
 oracle("top_providers", f"SELECT {known('provider_name')}, COUNT(*) AS listings FROM v_cons GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
 oracle("listing_types", f"SELECT {known('listing_type', 'UNKNOWN')}, COUNT(*) AS listings FROM v_cons GROUP BY 1")
 oracle("marketplace_summary", "SELECT COUNT(*) AS listing_events, COUNT(DISTINCT event_type) AS unique_event_types, (SELECT COUNT(*) FROM v_cons) AS consumer_listings, (SELECT COUNT(*) FROM v_prov) AS provider_listings, (SELECT COUNT(DISTINCT COALESCE(provider_name, 'unknown')) FROM v_cons) AS unique_providers FROM v_lst")

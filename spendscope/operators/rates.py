@@ -15,8 +15,8 @@ def sliding_counts(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, sl
     )
 
 
-def trailing_count(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Each row with the number of the key's rows in the ``seconds`` up to and including it.
+def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, seconds: int) -> DataFrame:
+    """Each row with the number of rows of its keys in the ``seconds`` up to and including it.
 
     Time is cut into slices of the window length; every row is also placed, as history only, in the
     next slice. A slice thus sees all it needs, and no task sees a key's whole history.
@@ -28,6 +28,6 @@ def trailing_count(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
                                  F.struct((own + 1).alias("slice"), F.lit(False).alias("own"))))
     )
     trailing = (
-        Window.partitionBy(key, "_at.slice").orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
+        Window.partitionBy(*keys, "_at.slice").orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
     )
     return placed.withColumn("trailing", F.count("*").over(trailing)).where("_at.own").drop("_us", "_at")

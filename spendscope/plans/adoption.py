@@ -73,8 +73,8 @@ def user_top_service(ctx: Ctx) -> DataFrame:
 
 @report("user_classes")
 def user_classes(ctx: Ctx) -> DataFrame:
-    """The 500 most active users as human or service principal, with their top service."""
-    return user_activity(ctx).join(user_top_service(ctx), "user_email", "left").withColumn(
+    """All users as human or service principal, with their top service."""
+    return _activity(ctx).join(user_top_service(ctx), "user_email", "left").withColumn(
         "is_service_principal", C.is_service_principal(F.col("user_email"))
     )
 
@@ -92,7 +92,7 @@ def inactive_users(ctx: Ctx, idle_days: int = 30) -> DataFrame:
 @report("adoption_summary")
 def adoption_summary(ctx: Ctx) -> DataFrame:
     human, idle = ~F.col("is_service_principal"), _days_idle(ctx)
-    return user_activity(ctx).withColumn("is_service_principal", C.is_service_principal(F.col("user_email"))).agg(
+    return _activity(ctx).withColumn("is_service_principal", C.is_service_principal(F.col("user_email"))).agg(
         F.count_if(human).alias("total_users"), F.count_if(human & (idle <= 7)).alias("active_7d"),
         F.count_if(human & (idle <= 30)).alias("active_30d"), F.count_if(human & (idle > 30)).alias("inactive"),
         F.count_if(~human).alias("service_principals"),

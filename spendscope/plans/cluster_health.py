@@ -18,20 +18,24 @@ FAILURE_TYPES = ("FAILED", "ERROR", "DRIVER_NOT_FOUND", "DRIVER_UNAVAILABLE", "S
 SCALE_TYPES = ("RESIZING", "UPSIZE_COMPLETED", "NODES_LOST", "AUTOSCALING_STATS_REPORT")
 
 
-@report("cluster_events")
-def cluster_events(ctx: Ctx) -> DataFrame:
-    rows = ctx.recent_ts(EVENTS, "event_time", LOOKBACK).select(
+def _events(ctx: Ctx) -> DataFrame:
+    return ctx.recent_ts(EVENTS, "event_time", LOOKBACK).select(
         "event_time", "cluster_id", "event_type", "workspace_id", "event_ref"
     )
-    return top(rows, MAX_EVENTS, desc("event_time"))
+
+
+@report("cluster_events")
+def cluster_events(ctx: Ctx) -> DataFrame:
+    """The latest events; the counts below are over all events of the window."""
+    return top(_events(ctx), MAX_EVENTS, desc("event_time"))
 
 
 @report("cluster_event_summary")
 def cluster_event_summary(ctx: Ctx) -> DataFrame:
-    rows = ctx.recent_ts(EVENTS, "event_time", LOOKBACK).groupBy("cluster_id", "event_type").agg(
+    rows = _events(ctx).groupBy("cluster_id", "event_type").agg(
         F.count("*").alias("event_count"), F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen")
     )
-    return top(rows, 2000, desc("event_count"))
+    return rows.orderBy(desc("event_count"))
 
 
 def _utilisation() -> list[Column]:
@@ -49,15 +53,18 @@ def node_utilisation_daily(ctx: Ctx) -> DataFrame:
     rows = ctx.recent_ts(NODES, "start_time", NODE_LOOKBACK).groupBy(
         "cluster_id", F.col("is_driver").alias("driver"), F.to_date("start_time").alias("day")
     ).agg(*_utilisation())
-    return top(rows, 3000, desc("day"))
+    return rows.orderBy(desc("day"), "cluster_id")
 
 
-@report("cluster_utilisation")
-def cluster_utilisation(ctx: Ctx) -> DataFrame:
-    rows = ctx.recent_ts(NODES, "start_time", NODE_LOOKBACK).groupBy("cluster_id").agg(
+def _cluster_utilisation(ctx: Ctx) -> DataFrame:
+    return ctx.recent_ts(NODES, "start_time", NODE_LOOKBACK).groupBy("cluster_id").agg(
         *_utilisation(), F.count_distinct(F.to_date("start_time")).alias("active_days")
     )
-    return top(rows, 200, desc("avg_cpu_pct"))
+
+
+@report("cluster_utilisation")
+def cluster_utilisation(ctx: Ctx) -> DataFrame:
+    return top(_cluster_utilisation(ctx), 200, desc("avg_cpu_pct"))
 
 
 def _of_types(df: DataFrame, types: tuple[str, ...]) -> DataFrame:
@@ -66,33 +73,33 @@ def _of_types(df: DataFrame, types: tuple[str, ...]) -> DataFrame:
 
 @report("failure_events")
 def failure_events(ctx: Ctx) -> DataFrame:
-    return top(_of_types(cluster_events(ctx), FAILURE_TYPES), 200, desc("event_time"))
+    return top(_of_types(_events(ctx), FAILURE_TYPES), 200, desc("event_time"))
 
 
 @report("scale_events")
 def scale_events(ctx: Ctx) -> DataFrame:
-    return top(_of_types(cluster_events(ctx), SCALE_TYPES), 200, desc("event_time"))
+    return top(_of_types(_events(ctx), SCALE_TYPES), 200, desc("event_time"))
 
 
 @report("cluster_event_types")
 def cluster_event_types(ctx: Ctx) -> DataFrame:
-    return cluster_events(ctx).groupBy("event_type").agg(F.count("*").alias("event_count")).orderBy(desc("event_count"))
+    return _events(ctx).groupBy("event_type").agg(F.count("*").alias("event_count")).orderBy(desc("event_count"))
 
 
 @report("cluster_event_daily")
 def cluster_event_daily(ctx: Ctx) -> DataFrame:
-    return cluster_events(ctx).groupBy(F.to_date("event_time").alias("day")).agg(F.count("*").alias("event_count")).orderBy("day")
+    return _events(ctx).groupBy(F.to_date("event_time").alias("day")).agg(F.count("*").alias("event_count")).orderBy("day")
 
 
 @report("busiest_clusters")
 def busiest_clusters(ctx: Ctx) -> DataFrame:
-    return top(cluster_events(ctx).groupBy("cluster_id").agg(F.count("*").alias("total_events")), 50, desc("total_events"))
+    return top(_events(ctx).groupBy("cluster_id").agg(F.count("*").alias("total_events")), 50, desc("total_events"))
 
 
 @report("health_summary")
 def health_summary(ctx: Ctx) -> DataFrame:
-    kind, busy = F.upper("event_type"), cluster_utilisation(ctx)
-    return cluster_events(ctx).agg(
+    kind, busy = F.upper("event_type"), _cluster_utilisation(ctx)
+    return _events(ctx).agg(
         F.count("*").alias("total_events"), F.count_distinct("cluster_id").alias("unique_clusters"),
         F.count_if(kind.isin(*FAILURE_TYPES)).alias("failure_events"), F.count_if(kind.isin(*SCALE_TYPES)).alias("scale_events"),
     ).withColumns({

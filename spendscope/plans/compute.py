@@ -70,7 +70,7 @@ def anti_deleted(ctx: Ctx) -> DataFrame:
 @report("warehouses_latest")
 def warehouses_latest(ctx: Ctx) -> DataFrame:
     newest = latest_version(ctx.table("compute.warehouses"), ["warehouse_id"])
-    return top(newest.drop("delete_time").withColumnRenamed("change_time", "last_modified"), 200, F.asc("warehouse_id"))
+    return newest.drop("delete_time").withColumnRenamed("change_time", "last_modified")
 
 
 @report("warehouse_workspace")
@@ -104,12 +104,11 @@ def resource_spend(ctx: Ctx) -> DataFrame:
     )
 
 
-@report("node_task_utilisation")
-def node_task_utilisation(ctx: Ctx) -> DataFrame:
+def _task_utilisation(ctx: Ctx) -> DataFrame:
     slots = F.col("num_task_slots")
     busy = F.when(slots > 0, F.col("avg_num_running_tasks").cast("double") / slots * 100).otherwise(0.0)
     driver = F.coalesce("is_driver", F.lit(False))
-    rows = ctx.recent_ts("compute.node_timeline", "start_time", 7).groupBy("cluster_id", "workspace_id").agg(
+    return ctx.recent_ts("compute.node_timeline", "start_time", 7).groupBy("cluster_id", "workspace_id").agg(
         F.count_distinct("node_id").alias("node_count"),
         rnd(F.sum("uptime_seconds") / 3600, 1).alias("total_node_hours"),
         rnd(F.avg(busy), 1).alias("avg_task_util_pct"),
@@ -118,7 +117,11 @@ def node_task_utilisation(ctx: Ctx) -> DataFrame:
         F.count_if(driver).alias("driver_samples"),
         F.count_if(~driver).alias("worker_samples"),
     )
-    return top(rows, 300, desc("total_node_hours"))
+
+
+@report("node_task_utilisation")
+def node_task_utilisation(ctx: Ctx) -> DataFrame:
+    return top(_task_utilisation(ctx), 300, desc("total_node_hours"))
 
 
 @report("node_types")
@@ -180,7 +183,7 @@ def join_enrich_compute(ctx: Ctx) -> DataFrame:
 
 
 def _cluster_sizing(ctx: Ctx) -> DataFrame:
-    util = node_task_utilisation(ctx).select(
+    util = _task_utilisation(ctx).select(
         "cluster_id", "workspace_id", "node_count", "total_node_hours", "avg_task_util_pct",
         "peak_task_util_pct", "avg_queued_tasks",
     )

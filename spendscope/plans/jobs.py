@@ -44,17 +44,20 @@ def _outcomes(ok: str, bad: tuple[str, ...]) -> list[Column]:
     return [F.count_if(state == ok).alias("success_count"), F.count_if(state.isin(*bad)).alias("failed_count")]
 
 
-@report("job_runs")
-def job_runs(ctx: Ctx) -> DataFrame:
-    """``last_result`` is the state of the run that ended last."""
+def _job_stats(ctx: Ctx) -> DataFrame:
     done = F.when(F.col("result_state") == "SUCCEEDED", _minutes())
-    rows = _job_runs(ctx).groupBy("job_id", "workspace_id", "workspace_name", "run_type").agg(
+    return _job_runs(ctx).groupBy("job_id", "workspace_id", "workspace_name", "run_type").agg(
         F.count("*").alias("total_runs"), *_outcomes("SUCCEEDED", JOB_FAILED),
         rnd(F.avg(done), 1).alias("avg_duration_min"), rnd(F.max(done), 1).alias("max_duration_min"),
         F.max("period_end_time").alias("last_run_at"),
         F.max_by("result_state", F.struct("period_end_time", "run_id")).alias("last_result"),
     )
-    return top(rows, 500, desc("failed_count"), desc("total_runs"))
+
+
+@report("job_runs")
+def job_runs(ctx: Ctx) -> DataFrame:
+    """Top 500 by failures; ``last_result`` is the state of the run that ended last."""
+    return top(_job_stats(ctx), 500, desc("failed_count"), desc("total_runs"))
 
 
 @report("join_prod_inner")
@@ -71,7 +74,7 @@ def job_daily(ctx: Ctx) -> DataFrame:
 
 @report("jobs_inventory")
 def jobs_inventory(ctx: Ctx) -> DataFrame:
-    return top(_jobs_inventory(ctx), 500, F.asc("workspace_id"), F.asc("job_id"))
+    return _jobs_inventory(ctx).orderBy("workspace_id", "job_id")
 
 
 def _jobs_inventory(ctx: Ctx) -> DataFrame:
@@ -147,9 +150,13 @@ def job_task_counts(ctx: Ctx) -> DataFrame:
     return tasks.groupBy("workspace_id", "job_id").agg(F.count_distinct("task_key").alias("task_count"))
 
 
+def _task_runs(ctx: Ctx) -> DataFrame:
+    return _runs(ctx, "lakeflow.job_task_run_timeline").where(F.col("period_end_time").isNotNull())
+
+
 @report("task_bottlenecks")
 def task_bottlenecks(ctx: Ctx) -> DataFrame:
-    rows = _runs(ctx, "lakeflow.job_task_run_timeline").where(F.col("period_end_time").isNotNull()).groupBy(
+    rows = _task_runs(ctx).groupBy(
         "job_id", "task_key", "workspace_id", "workspace_name"
     ).agg(
         F.count("*").alias("run_count"), *_outcomes("SUCCEEDED", JOB_FAILED),
@@ -170,7 +177,7 @@ def _pipelines_inventory(ctx: Ctx) -> DataFrame:
 
 @report("pipelines_inventory")
 def pipelines_inventory(ctx: Ctx) -> DataFrame:
-    return top(_pipelines_inventory(ctx), 300, F.asc("workspace_id"), F.asc("pipeline_id"))
+    return _pipelines_inventory(ctx).orderBy("workspace_id", "pipeline_id")
 
 
 @report("pipeline_updates")
@@ -196,15 +203,16 @@ def job_report(ctx: Ctx) -> DataFrame:
 
 @report("job_report_summary")
 def job_report_summary(ctx: Ctx) -> DataFrame:
+    """Totals over all jobs, pipelines and tasks of the window, beyond the listed top ones."""
     n = F.count("*").alias("n")
-    sums = job_runs(ctx).agg(
+    sums = _job_stats(ctx).agg(
         F.count("*").alias("total_jobs"), *[
             F.coalesce(F.sum(c), F.lit(0)).alias(a)
             for c, a in (("total_runs", "total_runs"), ("success_count", "total_success"), ("failed_count", "total_failed"))
         ]
     )
     return sums.withColumns({
-        "sla_pct": share_pct("total_success", "total_runs"), "pipelines": pipeline_runs(ctx).agg(n).scalar(),
-        "task_bottlenecks": task_bottlenecks(ctx).agg(n).scalar(),
-        "pipeline_inventory": pipelines_inventory(ctx).agg(n).scalar(),
+        "sla_pct": share_pct("total_success", "total_runs"), "pipelines": _pipeline_runs(ctx).select("pipeline_id", "workspace_id").distinct().agg(n).scalar(),
+        "task_bottlenecks": _task_runs(ctx).select("job_id", "task_key", "workspace_id").distinct().agg(n).scalar(),
+        "pipeline_inventory": _pipelines_inventory(ctx).agg(n).scalar(),
     })

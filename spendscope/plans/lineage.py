@@ -105,9 +105,13 @@ def ml_models(ctx: Ctx) -> DataFrame:
     return top(rows, 200, desc("updated_at"))
 
 
+def _ml_runs(ctx: Ctx) -> DataFrame:
+    return ctx.recent_ts("mlflow.runs_latest", "start_time", LOOKBACK)
+
+
 @report("ml_runs")
 def ml_runs(ctx: Ctx) -> DataFrame:
-    rows = ctx.recent_ts("mlflow.runs_latest", "start_time", LOOKBACK).select(
+    rows = _ml_runs(ctx).select(
         "run_id", "experiment_id", "status", F.col("start_time").alias("started_at"), F.col("end_time").alias("ended_at"),
         F.col("user_id").alias("user_email"),
     )
@@ -117,7 +121,7 @@ def ml_runs(ctx: Ctx) -> DataFrame:
 @report("ml_runs_summary")
 def ml_runs_summary(ctx: Ctx) -> DataFrame:
     status = F.col("status")
-    return ml_runs(ctx).agg(
+    return _ml_runs(ctx).agg(
         F.count("*").alias("total_runs"), F.count_if(status == "FINISHED").alias("finished"),
         F.count_if(status == "FAILED").alias("failed"),
     ).withColumn("success_rate", share_pct("finished", "total_runs"))

@@ -13,23 +13,26 @@ from spendscope.plans.registry import report
 LOOKBACK = 90
 
 
-@report("listing_events")
-def listing_events(ctx: Ctx) -> DataFrame:
-    """The 2000 latest events."""
-    rows = ctx.recent_ts("marketplace.listing_events", "event_time", LOOKBACK).select(
+def _events(ctx: Ctx) -> DataFrame:
+    return ctx.recent_ts("marketplace.listing_events", "event_time", LOOKBACK).select(
         "event_ref", "listing_id", "listing_name", "event_type", "event_time", "consumer_workspace_id"
     )
-    return top(rows, 2000, desc("event_time"))
+
+
+@report("listing_events")
+def listing_events(ctx: Ctx) -> DataFrame:
+    """The 2000 latest events; the counts below are over all events of the window."""
+    return top(_events(ctx), 2000, desc("event_time"))
 
 
 @report("listing_event_types")
 def listing_event_types(ctx: Ctx) -> DataFrame:
-    return counts(listing_events(ctx), "event_type", "event_count")
+    return counts(_events(ctx), "event_type", "event_count")
 
 
 @report("listing_daily")
 def listing_daily(ctx: Ctx) -> DataFrame:
-    return counts(listing_events(ctx), F.to_date("event_time").alias("day"), "event_count")
+    return counts(_events(ctx), F.to_date("event_time").alias("day"), "event_count")
 
 
 @report("consumer_listings")
@@ -50,22 +53,22 @@ def provider_listings(ctx: Ctx) -> DataFrame:
 
 @report("top_providers")
 def top_providers(ctx: Ctx) -> DataFrame:
-    return top(counts(consumer_listings(ctx), known("provider_name"), "listings"), 15, desc("listings"))
+    return top(counts(ctx.table("marketplace.consumer_listings"), known("provider_name"), "listings"), 15, desc("listings"))
 
 
 @report("listing_types")
 def listing_types(ctx: Ctx) -> DataFrame:
     kind = F.coalesce(F.nullif("listing_type", F.lit("")), F.lit("UNKNOWN")).alias("listing_type")
-    return counts(consumer_listings(ctx), kind, "listings")
+    return counts(ctx.table("marketplace.consumer_listings"), kind, "listings")
 
 
 @report("marketplace_summary")
 def marketplace_summary(ctx: Ctx) -> DataFrame:
-    n, consumer = F.count("*").alias("n"), consumer_listings(ctx)
-    return listing_events(ctx).agg(
+    n, consumer = F.count("*").alias("n"), ctx.table("marketplace.consumer_listings")
+    return _events(ctx).agg(
         F.count("*").alias("listing_events"), F.count_distinct("event_type").alias("unique_event_types")
     ).withColumns({
         "consumer_listings": consumer.agg(n).scalar(),
-        "provider_listings": provider_listings(ctx).agg(n).scalar(),
+        "provider_listings": ctx.table("marketplace.provider_listings").agg(n).scalar(),
         "unique_providers": consumer.agg(F.count_distinct(known("provider_name")).alias("n")).scalar(),
     })

@@ -34,7 +34,7 @@ def private_endpoints(ctx: Ctx) -> DataFrame:
         first_col(chosen, "sub_resource_target", "group_id").alias("sub_resource_target"),
         first_col(chosen, "domain", "fqdn").alias("domain"), first_col(chosen, "state", "status").alias("status"),
     )
-    return top(rows, 500, F.asc_nulls_first("workspace_id"))
+    return rows.orderBy("workspace_id")
 
 
 @report("endpoint_status")
@@ -111,6 +111,6 @@ def platform_summary(ctx: Ctx) -> DataFrame:
     return _dashboard_events(ctx).agg(
         F.count("*").alias("dashboard_events"), F.count_distinct(known("user_id")).alias("unique_dash_users")
     ).withColumns({
-        "private_endpoints": private_endpoints(ctx).agg(n).scalar(), "dashboards": dashboard_inventory(ctx).agg(n).scalar(),
+        "private_endpoints": private_endpoints(ctx).agg(n).scalar(), "dashboards": ctx.table("dashboards.dashboards").agg(n).scalar(),
         "active_alerts": ctx.table("sql.alerts").agg(n).scalar(),
     })

@@ -50,14 +50,17 @@ def _volume(ctx: Ctx) -> list[Column]:
     ]
 
 
-@report("query_user_stats")
-def query_user_stats(ctx: Ctx) -> DataFrame:
-    """Top 200 users by data read, interactive statements only."""
-    rows = _history(ctx).where(C.is_interactive_query()).groupBy(F.col("executed_by").alias("user_email")).agg(
+def _user_stats(ctx: Ctx) -> DataFrame:
+    return _history(ctx).where(C.is_interactive_query()).groupBy(F.col("executed_by").alias("user_email")).agg(
         *_volume(ctx), F.count_distinct(WAREHOUSE).alias("warehouses_used"),
         F.count_if(F.col("error_message").isNull()).alias("success_count"),
     )
-    return top(rows, 200, desc("gb_90d"))
+
+
+@report("query_user_stats")
+def query_user_stats(ctx: Ctx) -> DataFrame:
+    """Top 200 users by data read, interactive statements only."""
+    return top(_user_stats(ctx), 200, desc("gb_90d"))
 
 
 @report("query_daily_trend")
@@ -106,9 +109,13 @@ def top_expensive_queries(ctx: Ctx) -> DataFrame:
     return _priced_statements(ctx, top(rows, 50, desc("read_bytes"))).orderBy(desc("gb_scanned"))
 
 
+def _slow(ctx: Ctx) -> DataFrame:
+    return _history(ctx).where(F.col("total_duration_ms") > 60_000)
+
+
 @report("slow_queries")
 def slow_queries(ctx: Ctx) -> DataFrame:
-    rows = _history(ctx).where(F.col("total_duration_ms") > 60_000).select(*_statement())
+    rows = _slow(ctx).select(*_statement())
     return _priced_statements(ctx, top(rows, 50, desc("total_duration_ms"))).orderBy(desc("duration_sec"))
 
 
@@ -198,8 +205,9 @@ def warehouse_events(ctx: Ctx) -> DataFrame:
 
 @report("query_summary")
 def query_summary(ctx: Ctx) -> DataFrame:
-    slow = slow_queries(ctx).agg(F.count("*").alias("n")).scalar()
-    return query_user_stats(ctx).agg(
+    """Totals over all interactive users; slow statements are counted whoever ran them."""
+    slow = _slow(ctx).agg(F.count("*").alias("n")).scalar()
+    return _user_stats(ctx).agg(
         F.coalesce(F.sum("queries_90d"), F.lit(0)).alias("total_queries"),
         rnd(F.coalesce(F.sum("gb_90d"), F.lit(0.0)), 2).alias("total_gb_scanned"), F.count("*").alias("unique_users"),
         F.coalesce(F.sum("failed_count"), F.lit(0)).alias("total_failed"),

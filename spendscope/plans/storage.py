@@ -12,9 +12,14 @@ from spendscope.plans.registry import report
 LOOKBACK = 30
 
 
+def _ops(ctx: Ctx) -> DataFrame:
+    return ctx.recent_ts("storage.optimization_operations", "start_time", LOOKBACK)
+
+
 @report("optimization_ops")
 def optimization_ops(ctx: Ctx) -> DataFrame:
-    rows = ctx.recent_ts("storage.optimization_operations", "start_time", LOOKBACK).select(
+    """The 500 latest operations; the counts below are over all of the window."""
+    rows = _ops(ctx).select(
         "catalog_name", "schema_name", "table_name", "operation_type", "operation_status",
         F.col("start_time").alias("started_at"), rnd(minutes_between("start_time", "end_time"), 1).alias("duration_min"),
         "operation_id",
@@ -24,10 +29,10 @@ def optimization_ops(ctx: Ctx) -> DataFrame:
 
 @report("optimization_summary")
 def optimization_summary(ctx: Ctx) -> DataFrame:
-    """Outcomes per operation over the latest operations; both SUCCESS and SUCCEEDED count."""
+    """Outcomes per operation; both SUCCESS and SUCCEEDED count."""
     status = F.upper("operation_status")
     ok = F.contains(status, F.lit("SUCCE"))
-    return optimization_ops(ctx).groupBy("operation_type").agg(
+    return _ops(ctx).groupBy("operation_type").agg(
         F.count("*").alias("total"), F.count_if(ok).alias("success"),
         F.count_if(~ok & F.contains(status, F.lit("FAIL"))).alias("failed"),
     ).orderBy(desc("total"))
@@ -42,14 +47,15 @@ def _user_tables(ctx: Ctx) -> DataFrame:
 
 @report("table_inventory")
 def table_inventory(ctx: Ctx) -> DataFrame:
-    rows = _user_tables(ctx).select("catalog_name", "schema_name", "table_name", "table_type", F.col("created").alias("created_at"))
-    return top(rows, 5000, F.asc("catalog_name"))
+    return _user_tables(ctx).select(
+        "catalog_name", "schema_name", "table_name", "table_type", F.col("created").alias("created_at")
+    ).orderBy("catalog_name", "schema_name", "table_name")
 
 
 @report("schema_summary")
 def schema_summary(ctx: Ctx) -> DataFrame:
     rows = _user_tables(ctx).groupBy("catalog_name", "schema_name").agg(F.count("*").alias("table_count"))
-    return top(rows, 500, desc("table_count"))
+    return rows.orderBy(desc("table_count"), "catalog_name", "schema_name")
 
 
 @report("catalog_summary")
@@ -64,7 +70,7 @@ def catalog_summary(ctx: Ctx) -> DataFrame:
 
 @report("table_types")
 def table_types(ctx: Ctx) -> DataFrame:
-    return table_inventory(ctx).groupBy("table_type").agg(F.count("*").alias("table_count")).orderBy(desc("table_count"))
+    return _user_tables(ctx).groupBy("table_type").agg(F.count("*").alias("table_count")).orderBy(desc("table_count"))
 
 
 @report("workspace_inventory")
@@ -80,14 +86,14 @@ def workspace_inventory(ctx: Ctx) -> DataFrame:
 
 @report("storage_summary")
 def storage_summary(ctx: Ctx) -> DataFrame:
-    ops, types = optimization_ops(ctx), F.col("table_type")
+    ops, types = _ops(ctx), F.col("table_type")
     n = F.count("*").alias("n")
     return schema_summary(ctx).agg(
         F.count_distinct("catalog_name").alias("total_catalogs"), F.count("*").alias("total_schemas"),
         F.coalesce(F.sum("table_count"), F.lit(0)).alias("total_tables"),
     ).withColumns({
-        "managed_tables": table_inventory(ctx).agg(F.count_if(types == "MANAGED").alias("n")).scalar(),
-        "external_tables": table_inventory(ctx).agg(F.count_if(types == "EXTERNAL").alias("n")).scalar(),
+        "managed_tables": _user_tables(ctx).agg(F.count_if(types == "MANAGED").alias("n")).scalar(),
+        "external_tables": _user_tables(ctx).agg(F.count_if(types == "EXTERNAL").alias("n")).scalar(),
         "optimization_ops": ops.agg(n).scalar(),
         "op_types": ops.agg(F.count_distinct("operation_type").alias("n")).scalar(),
         "total_workspaces": ctx.table("access.workspaces_latest").agg(n).scalar(),
