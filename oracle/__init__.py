@@ -7,6 +7,7 @@ from oracle import (  # noqa: F401
     executive_sql,
     inputs_sql,
     operations_sql,
+    streams_sql,
 )
 from oracle.sql import ORACLE
 

@@ -21,6 +21,7 @@ from spendscope.plans import (  # noqa: F401
     query_attribution,
     running,
     storage,
+    streams,
 )
 from spendscope.plans.registry import REPORTS
 

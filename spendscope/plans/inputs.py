@@ -1,0 +1,239 @@
+"""Inputs: catalog resolution, ingestion, upserts, configuration, data quality."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spendscope.context import Ctx
+from spendscope.functions.measures import rnd, total
+from spendscope.operators.pricing import priced_usage
+from spendscope.plans.registry import report
+from spendscope.sources import ingest, permissions, quality
+from spendscope.sources.catalog import first_col, first_nonempty
+from spendscope.sources.sinks import COST_KEYS, shared_folder, upsert, upsert_partitions, write_partitioned
+
+CATALOG_SAMPLE = ("billing.usage", "access.audit", "lakeflow.jobs", "compute.clusters", "query.history")
+
+
+def _row_counts(ctx: Ctx, names, optional: bool = False) -> DataFrame:
+    out = None
+    for name in names:
+        rows = ctx.table(name, optional=optional).agg(F.count("*").alias("row_count"))
+        rows = rows.select(F.lit(name).alias("table_name"), "row_count")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@report("src_catalog")
+def src_catalog(ctx: Ctx) -> DataFrame:
+    """Rows of a few logical tables, each found through the catalog."""
+    return _row_counts(ctx, CATALOG_SAMPLE)
+
+
+@report("src_missing_empty")
+def src_missing_empty(ctx: Ctx) -> DataFrame:
+    """A table that is not there is an empty one when it is optional."""
+    return _row_counts(ctx, ("access.workspaces_latest", "networking.vpc_endpoints"), optional=True)
+
+
+@report("src_column_drift")
+def src_column_drift(ctx: Ctx) -> DataFrame:
+    """Alternative column names of endpoint rules resolved to one."""
+    df = ctx.table("networking.private_endpoint_rules")
+    return df.select(
+        first_col(df, "name", "endpoint_name").alias("endpoint_name"), first_col(df, "domain", "fqdn").alias("domain"),
+        first_col(df, "state", "status").alias("status"), first_col(df, "region").alias("region"),
+    )
+
+
+@report("src_first_nonempty")
+def src_first_nonempty(ctx: Ctx) -> DataFrame:
+    """Falls back from an absent event table to the older one."""
+    rows = first_nonempty(ctx.table("dashboards.lakeview_events", optional=True), ctx.table("dashboards.dashboard_events"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("row_count"))
+
+
+# ---- ingestion ----
+
+
+def _stamp(ctx: Ctx) -> str:
+    return f"{ctx.day()} 06:00:00"
+
+
+LOADED = ("azure", "aws", "gcp")
+
+
+def unified_export(ctx: Ctx, provider: str) -> DataFrame:
+    if provider == "azure":
+        return ingest.normalize_azure(ctx.table("platform.azure_export"), _stamp(ctx))
+    if provider == "aws":
+        return ingest.normalize_aws(ctx.table("platform.aws_export"), _stamp(ctx), ("acct-1", "acct-2", "acct-5"))
+    return ingest.normalize_gcp(ctx.table("platform.gcp_export"), _stamp(ctx))
+
+
+def _export_totals(df: DataFrame, *keys: str) -> DataFrame:
+    """Sums in DECIMAL, so that they do not depend on the order of rows."""
+    return df.groupBy("cloud_provider", "account_id", *keys, "pricing_model", "currency").agg(
+        F.count("*").alias("row_count"), total(F.col("usage_quantity").cast("decimal(18,4)"), 4).alias("usage_quantity"),
+        rnd(F.sum(F.col("unit_price").cast("decimal(18,8)")), 4).alias("unit_prices"),
+        total(F.col("cost_usd").cast("decimal(18,4)"), 4).alias("cost_usd"),
+    )
+
+
+@report("ingest_azure_costs")
+def ingest_azure_costs(ctx: Ctx) -> DataFrame:
+    return _export_totals(unified_export(ctx, "azure"), "service_category", "region")
+
+
+@report("ingest_aws_costs")
+def ingest_aws_costs(ctx: Ctx) -> DataFrame:
+    return _export_totals(unified_export(ctx, "aws"), "service_category", "region")
+
+
+@report("ingest_gcp_costs")
+def ingest_gcp_costs(ctx: Ctx) -> DataFrame:
+    return _export_totals(unified_export(ctx, "gcp"), "account_name", "service_category", "region")
+
+
+@report("ingest_window")
+def ingest_window(ctx: Ctx, lookback: int = 30) -> DataFrame:
+    rows = ingest.in_window(unified_export(ctx, "azure"), ctx.day(), lookback)
+    return rows.groupBy("usage_date").agg(F.count("*").alias("row_count"))
+
+
+@report("ingest_cast")
+def ingest_cast(ctx: Ctx) -> DataFrame:
+    """Days are dates, the load time is a timestamp, the tag map is NULL."""
+    return unified_export(ctx, "aws").groupBy("usage_date", "ingested_at", F.col("tags").isNull().alias("no_tags")).agg(
+        F.count("*").alias("row_count")
+    )
+
+
+def _keyed_costs(ctx: Ctx, days: int) -> DataFrame:
+    """Unified costs of the last days, one row per merge key."""
+    rows = ctx.recent("platform.cloud_costs", "usage_date", days)
+    return rows.groupBy(*COST_KEYS).agg(
+        F.sum("cost_usd").cast("decimal(18,4)").alias("cost_usd"), F.count("*").cast("bigint").alias("row_count")
+    )
+
+
+def _cost_totals(df: DataFrame) -> DataFrame:
+    return df.groupBy("cloud_provider", "usage_date").agg(
+        F.count("*").alias("row_count"), total("cost_usd").alias("cost_usd")
+    )
+
+
+def _correction(ctx: Ctx) -> DataFrame:
+    """A reload of the last three days at twice the cost, with a new account in one place."""
+    rows = _keyed_costs(ctx, 2).withColumn("cost_usd", (F.col("cost_usd") * 2).cast("decimal(18,4)"))
+    fresh = rows.where(F.col("account_id") == "acct-1").withColumn("account_id", F.lit("acct-new"))
+    return rows.unionByName(fresh)
+
+
+@report("sink_partitioned")
+def sink_partitioned(ctx: Ctx) -> DataFrame:
+    """Costs written by provider and day, then read back for one provider."""
+    path = shared_folder(ctx.spark, "cloud-costs")
+    write_partitioned(_keyed_costs(ctx, 30), path)
+    return _cost_totals(ctx.spark.read.parquet(path).where(F.col("cloud_provider") == "aws"))
+
+
+@report("upsert_cloud_costs")
+def upsert_cloud_costs(ctx: Ctx) -> DataFrame:
+    """Totals after merging the correction into the table, twice: the second load changes nothing."""
+    path = shared_folder(ctx.spark, "cloud-costs")
+    write_partitioned(_keyed_costs(ctx, 30), path)
+    for _ in range(2):
+        upsert_partitions(ctx.spark, path, _correction(ctx))
+    return _cost_totals(ctx.spark.read.parquet(path))
+
+
+@report("upsert_permissions")
+def upsert_permissions(ctx: Ctx) -> DataFrame:
+    """A batch that changes, adds and removes users of every tenth customer."""
+    table = ctx.table("platform.user_permissions")
+    number = F.regexp_extract("email", "([0-9]+)@", 1).cast("bigint")
+    changed = table.where(number % 10 < 3).select(
+        F.when(number % 10 == 1, F.concat(F.lit("new-"), "email")).otherwise(F.upper("email")).alias("email"),
+        F.when(number % 10 != 2, F.lit('{"tabs": ["audit"]}')).alias("config"), F.lit("owner@example.com").alias("updated_by"),
+        F.lit(1).alias("change_no"),
+    )
+    stamp = F.to_timestamp(F.lit(_stamp(ctx)))
+    return permissions.upsert_permissions(table, changed, stamp)
+
+
+@report("read_permissions")
+def read_permissions(ctx: Ctx) -> DataFrame:
+    """One row per user and tag, the tag NULL for users without tags."""
+    rows = permissions.parse_permissions(ctx.table("platform.user_permissions"))
+    return rows.select(
+        "email", "is_valid", F.array_join("allowed_tabs", ",").alias("tabs"), F.array_join("workspaces", ",").alias("workspaces"),
+        F.explode_outer("tags").alias("_t"),
+    ).select("email", "is_valid", "tabs", "workspaces", F.col("_t.key").alias("tag_key"), F.col("_t.value").alias("tag_value"))
+
+
+# ---- quality ----
+
+
+@report("dq_validate")
+def dq_validate(ctx: Ctx) -> DataFrame:
+    q = quality
+    usage = q.check(ctx.table("billing.usage"), {
+        "usage.usage_date": q.is_plausible_day(F.col("usage_date"), ctx.day()),
+        "usage.workspace_id": q.matches(F.col("workspace_id"), q.WORKSPACE_ID),
+        "usage.sku_name": q.matches(F.col("sku_name"), q.SKU),
+        "usage.tag_keys": F.forall(F.map_keys("custom_tags"), lambda k: q.matches(k, q.TAG_KEY)),
+        "usage.tag_values": F.forall(F.map_values("custom_tags"), lambda v: v.isNull() | q.matches(v, q.TAG_VALUE)),
+    })
+    audit = q.check(ctx.table("access.audit"), {
+        "audit.identity": q.is_identity(F.col("user_identity.email")), "audit.email": q.is_email(F.col("user_identity.email")),
+    })
+    workspaces = q.check(ctx.table("access.workspaces_latest"), {
+        "workspace.subscription": q.matches(F.col("subscription_id"), q.SUBSCRIPTION),
+        "workspace.resource_group": q.matches(F.col("resource_group"), q.RESOURCE_GROUP),
+    })
+    tables = q.check(ctx.table("information_schema.tables"), {"table.name": q.matches(F.col("table_name"), q.IDENTIFIER)})
+    config = permissions.parse_permissions(ctx.table("platform.user_permissions"))
+    configs = q.check(config, {
+        "config.json": F.col("is_valid"), "config.tabs": q.is_tab_list(F.col("allowed_tabs")),
+        "config.workspaces": q.is_workspace_list(F.col("workspaces")),
+    })
+    prices = ctx.table("billing.list_prices")
+    overlaps = prices.agg(F.count("*").alias("n")).select(
+        F.lit("prices.no_overlap").alias("rule"), F.col("n").alias("_n")
+    ).withColumn("failed", q.overlapping_prices(prices).agg(F.count("*").alias("n")).scalar())
+    overlaps = overlaps.select("rule", (F.col("_n") - F.col("failed")).alias("passed"), "failed")
+    out = usage
+    for part in (audit, workspaces, tables, configs, overlaps):
+        out = out.unionByName(part)
+    return out
+
+
+@report("dq_rejects")
+def dq_rejects(ctx: Ctx) -> DataFrame:
+    """Audit rows whose actor is not a proper identity or e-mail address."""
+    email = F.col("user_identity.email")
+    rules = {"identity": quality.is_identity(email), "email": quality.is_email(email)}
+    bad = quality.rejects(ctx.table("access.audit"), rules)
+    return bad.select("event_id", email.alias("email"), F.array_join("broken_rules", ",").alias("broken_rules"))
+
+
+@report("unpriced_usage")
+def unpriced_usage(ctx: Ctx) -> DataFrame:
+    """Units that cost nothing because no price was in force."""
+    return priced_usage(ctx, 30).where(~F.col("is_priced")).groupBy("sku_name", "cloud").agg(
+        F.count("*").alias("row_count"), total("usage_quantity").alias("units")
+    )
+
+
+@report("join_effective_price")
+def join_effective_price(ctx: Ctx) -> DataFrame:
+    """Usage around the change of prices, per SKU, cloud and price in force."""
+    first, last = dt.date(1998, 12, 1), dt.date(1999, 1, 31)
+    usage = ctx.table("billing.usage").where((F.col("usage_date") >= F.lit(first)) & (F.col("usage_date") <= F.lit(last)))
+    return priced_usage(ctx, usage=usage).groupBy("sku_name", "cloud", rnd("price", 6).alias("price")).agg(
+        F.count("*").alias("row_count"), total("usage_quantity").alias("units"), total("cost").alias("cost")
+    )

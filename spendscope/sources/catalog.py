@@ -37,11 +37,13 @@ class Catalog:
         locations: Mapping[str, Location] | None = None,
         areas: Mapping[str, str] | None = None,
         root: str | None = None,
+        streams: Mapping[str, Callable[[SparkSession], DataFrame]] | None = None,
     ):
         self._spark = spark
         self._locations = dict(locations or {})
         self._areas = dict(areas or {})
         self._root = root
+        self._streams = dict(streams or {})
 
     def resolve(self, name: str) -> Location:
         if name in self._locations:
@@ -66,6 +68,12 @@ class Catalog:
                 raise
             return self._spark.createDataFrame([], SCHEMAS[name])
 
+    def stream(self, name: str) -> DataFrame:
+        """The same table as a stream: its registered stream, else new parquet files of its folder."""
+        if name in self._streams:
+            return self._streams[name](self._spark)
+        return self._spark.readStream.schema(self.table(name).schema).parquet(self.resolve(name))
+
 
 def first_col(df: DataFrame, *names: str, default: Column | str | None = "") -> Column:
     """Value of the first non-null column among those of ``names`` that exist in ``df``."""

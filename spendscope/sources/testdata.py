@@ -468,6 +468,20 @@ _EVENT_BASED = (
 )
 
 
+def _stream(sf_dir: str, flat: str, wrap, base: str):
+    """The view with generated table ``base`` read as a file stream, the others as they are."""
+    def build(spark: SparkSession) -> DataFrame:
+        path = f"{sf_dir}/{base}.parquet"
+        source = spark.readStream.schema(_read(spark, path).schema).option("pathGlobFilter", f"{base}.parquet").parquet(sf_dir)
+        names = set(_TABLE_REF.findall(FLAT[flat]))
+        tables = {t: source if t == base else _read(spark, f"{sf_dir}/{t}.parquet") for t in names}
+        df = spark.sql(FLAT[flat], **tables)
+        df = df.withColumns({n: F.col(n).cast("timestamp") for n, t in df.dtypes if t == "timestamp_ntz"})
+        return wrap(df) if wrap else df
+
+    return build
+
+
 def _view(sf_dir: str, flat: str, wrap):
     def build(spark: SparkSession) -> DataFrame:
         df = _flat(spark, sf_dir, flat)
@@ -478,7 +492,9 @@ def _view(sf_dir: str, flat: str, wrap):
 
 def testdata_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     locations = {name: _view(sf_dir, flat, wrap) for name, (flat, wrap) in _VIEWS.items()}
-    return Catalog(spark, locations)
+    bases = {"billing.usage": "lineitem", "platform.cloud_costs": "lineitem", "access.audit": "events"}
+    streams = {name: _stream(sf_dir, *_VIEWS[name], base) for name, base in bases.items()}
+    return Catalog(spark, locations, streams=streams)
 
 
 def testdata_ctx(spark: SparkSession, sf_dir: str) -> Ctx:
