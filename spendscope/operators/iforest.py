@@ -66,19 +66,30 @@ class IsolationForest:
     seed: int = 42
     min_rows: int = 30
 
-    def nodes(self, rows: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+    @property
+    def pool_size(self) -> int:
+        return self.trees * self.sample
+
+    def available(self, rows: DataFrame) -> int:
+        """Number of training rows, counted up to the size of the pool."""
+        return rows.limit(self.pool_size).count()
+
+    def nodes(self, rows: DataFrame, id_cols: Sequence[str], available: int) -> DataFrame:
         """The grown trees as rows; a row's identity is the hash of ``id_cols``."""
         features, seed = list(self.features), self.seed
         key = F.xxhash64(F.lit(seed), *[F.col(c) for c in id_cols])
-        pool = (
-            rows.select(*features, key.alias("_key"))
-            .orderBy("_key", *features).limit(self.trees * self.sample)
-        )
+        pool = rows.select(*features, key.alias("_key")).orderBy("_key", *features).limit(self.pool_size)
+        # Each tree looks at about four times its sample, picked by hash, and keeps the least draws.
+        spaces = 1_000_000
+        keep = min(spaces, math.ceil(4 * self.sample * spaces / max(available, 1)))
         drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1)))).withColumn(
             "_draw", F.xxhash64("_key", "tree")
-        )
+        ).where(F.pmod("_draw", F.lit(spaces)) < keep)
         order = Window.partitionBy("tree").orderBy("_draw", "_key", *features)
-        chosen = drawn.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= self.sample)
+        chosen = (
+            drawn.repartition(self.trees, "tree").withColumn("_rn", F.row_number().over(order))
+            .where(F.col("_rn") <= self.sample)
+        )
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("_rn")
@@ -88,12 +99,18 @@ class IsolationForest:
 
     def fit(self, rows: DataFrame, id_cols: Sequence[str]) -> IsolationForestModel | None:
         """None when there are too few rows. Collects the model's bounded node table and one quantile."""
-        if rows.limit(self.min_rows).count() < self.min_rows:
-            return None
-        nodes = self.nodes(rows, id_cols).toPandas()
-        model = IsolationForestModel(tuple(self.features), nodes, 0.0)
-        marks = exact_percentiles(model.normality(rows), [], "normality", {"q": self.contamination})
-        return IsolationForestModel(tuple(self.features), nodes, float(marks.first()["q"]))
+        rows = rows.select(*self.features, *[c for c in id_cols if c not in self.features]).persist()
+        try:
+            available = self.available(rows)
+            if available < self.min_rows:
+                return None
+            nodes = self.nodes(rows, id_cols, available).toPandas()
+            model = IsolationForestModel(tuple(self.features), nodes, 0.0)
+            scored = model.normality(rows.select(*self.features))
+            marks = exact_percentiles(scored, [], "normality", {"q": self.contamination})
+            return IsolationForestModel(tuple(self.features), nodes, float(marks.first()["q"]))
+        finally:
+            rows.unpersist()
 
 
 @dataclass(frozen=True)

@@ -9,9 +9,24 @@ from pyspark.sql import functions as F
 
 
 def sliding_counts(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, slide: int) -> DataFrame:
-    """Events per key in every window of ``seconds`` that slides by ``slide``; batch or streaming."""
-    return df.groupBy(*keys, F.window(ts, f"{seconds} seconds", f"{slide} seconds")).agg(
-        F.count("*").alias("n")
+    """Events per key in every window of ``seconds`` that slides by ``slide``: keys, window_start, n.
+
+    Events are first counted per slide, then each count is added to the windows that contain it, so raw
+    rows are not multiplied by the number of overlapping windows.
+    """
+    step = F.floor(F.unix_micros(ts) / (slide * 1_000_000))
+    per_slide = df.groupBy(*keys, step.alias("_step")).agg(F.count("*").alias("_n"))
+    starts = F.explode(F.sequence(F.col("_step") - (seconds // slide - 1), F.col("_step")))
+    return per_slide.select(*keys, starts.alias("_start"), "_n").groupBy(*keys, "_start").agg(
+        F.sum("_n").alias("n")
+    ).select(*keys, F.timestamp_micros(F.col("_start") * (slide * 1_000_000)).alias("window_start"), "n")
+
+
+def streaming_sliding_counts(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, slide: int) -> DataFrame:
+    """The same for a stream with a watermark on ``ts``, in one stateful aggregation."""
+    window = F.window(ts, f"{seconds} seconds", f"{slide} seconds")
+    return df.groupBy(*keys, window).agg(F.count("*").alias("n")).select(
+        *keys, F.col("window.start").alias("window_start"), "n"
     )
 
 

@@ -26,8 +26,12 @@ def _users(exact: bool, name: str) -> Column:
 
 
 def _activity(ctx: Ctx) -> DataFrame:
-    return _events(ctx).groupBy(F.col(EMAIL).alias("user_email")).agg(
-        F.max("event_time").alias("last_active"), F.count("*").alias("action_count"),
+    """Counted per user, day, workspace and service first; the distinct counts see those rows only."""
+    cells = _events(ctx).groupBy(F.col(EMAIL).alias("user_email"), "event_date", "workspace_id", "service_name").agg(
+        F.max("event_time").alias("_last"), F.count("*").alias("_n")
+    )
+    return cells.groupBy("user_email").agg(
+        F.max("_last").alias("last_active"), F.sum("_n").alias("action_count"),
         F.count_distinct("event_date").alias("active_days"),
         F.count_distinct("workspace_id").alias("workspaces_accessed"),
         F.count_distinct("service_name").alias("services_used"),

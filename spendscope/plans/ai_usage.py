@@ -91,7 +91,10 @@ def latency_daily(ctx: Ctx, approximate: bool = False) -> DataFrame:
 @report("serving_by_user")
 def serving_by_user(ctx: Ctx) -> DataFrame:
     user = F.coalesce("identity_metadata.run_as", "identity_metadata.created_by", F.lit("unknown"))
-    rows = _serving(ctx).groupBy(user.alias("user_email"), "sku_name").agg(
+    cells = _serving(ctx).groupBy(user.alias("user_email"), "sku_name", "usage_date", "workspace_id").agg(
+        F.sum("usage_quantity").alias("usage_quantity"), F.sum("cost").alias("cost")
+    )
+    rows = cells.groupBy("user_email", "sku_name").agg(
         total("usage_quantity", 4).alias("units"), total("cost", 4).alias("cost"),
         F.count_distinct("usage_date").alias("active_days"), F.count_distinct("workspace_id").alias("workspaces"),
     )

@@ -17,6 +17,7 @@ from spendscope.operators.rates import sliding_counts, trailing_count
 from spendscope.plans.cost import with_workspace
 from spendscope.plans.registry import report
 from spendscope.plans.running import running_anomalies
+from spendscope.sources.catalog import empty
 
 HISTORY_DAYS, DRIFT_DAYS = 90, 30
 MIN_SESSIONS = 5
@@ -121,9 +122,10 @@ def feature_rows(ctx: Ctx) -> DataFrame:
 def iforest_train(ctx: Ctx) -> DataFrame:
     """The model as a table of tree nodes; empty when there are fewer than 30 training rows."""
     rows = training_rows(ctx)
-    if rows.limit(FOREST.min_rows).count() < FOREST.min_rows:
-        return ctx.spark.createDataFrame([], NODE_SCHEMA)
-    return FOREST.nodes(rows, TRAINING_ID)
+    available = FOREST.available(rows)
+    if available < FOREST.min_rows:
+        return empty(ctx.spark, NODE_SCHEMA)
+    return FOREST.nodes(rows, TRAINING_ID, available)
 
 
 def _running_features(ctx: Ctx) -> DataFrame:

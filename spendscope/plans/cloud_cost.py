@@ -82,7 +82,10 @@ def cloud_summary(ctx: Ctx, p: CloudFilter | None = None) -> DataFrame:
     def of_period(c: str) -> Column:
         return F.when(now, F.col(c))
 
-    sums = cloud_filter(ctx, p, back_to=start - dt.timedelta(days=span)).agg(
+    cells = cloud_filter(ctx, p, back_to=start - dt.timedelta(days=span)).groupBy(
+        "usage_date", "account_id", "service_name", "region"
+    ).agg(F.sum("cost_usd").alias("cost_usd"))
+    sums = cells.agg(
         rnd(F.coalesce(F.sum(of_period("cost_usd")), F.lit(0)), 2).alias("total_cost_usd"),
         rnd(F.coalesce(F.sum(F.when(~now, F.col("cost_usd"))), F.lit(0)), 2).alias("prev_cost_usd"),
         *[F.count_distinct(of_period(c)).alias(a) for c, a in (
@@ -109,7 +112,10 @@ def cloud_by_service(ctx: Ctx, p: CloudFilter | None = None, n: int = 20) -> Dat
 
 @report("cloud_by_account")
 def cloud_by_account(ctx: Ctx, p: CloudFilter | None = None) -> DataFrame:
-    return cloud_filter(ctx, p).groupBy("cloud_provider", "account_id").agg(
+    cells = cloud_filter(ctx, p).groupBy("cloud_provider", "account_id", "service_name", "region").agg(
+        F.max("account_name").alias("account_name"), F.sum("cost_usd").alias("cost_usd")
+    )
+    return cells.groupBy("cloud_provider", "account_id").agg(
         F.max("account_name").alias("account_name"), _cost(), F.count_distinct("service_name").alias("service_count"),
         F.count_distinct("region").alias("region_count"),
     ).orderBy(desc("cost_usd"))

@@ -38,28 +38,37 @@ def cluster_event_summary(ctx: Ctx) -> DataFrame:
     return rows.orderBy(desc("event_count"))
 
 
+def _node_days(ctx: Ctx) -> DataFrame:
+    """Samples summed per node and day, from which both reports below are cut."""
+    cpu = F.col("cpu_user_percent") + F.col("cpu_system_percent")
+    mem = F.col("mem_used_percent")
+    return ctx.recent_ts(NODES, "start_time", NODE_LOOKBACK).groupBy(
+        "cluster_id", F.col("is_driver").alias("driver"), F.to_date("start_time").alias("day"), "node_id"
+    ).agg(
+        F.sum(cpu).alias("_cpu"), F.max(cpu).alias("_max_cpu"), F.sum(mem).alias("_mem"), F.max(mem).alias("_max_mem"),
+        F.count("*").alias("_n"),
+    )
+
+
 def _utilisation() -> list[Column]:
-    cpu = F.col("cpu_user_percent").cast("double") + F.col("cpu_system_percent").cast("double")
-    mem = F.col("mem_used_percent").cast("double")
+    def mean(c: str) -> Column:
+        return rnd(F.sum(c).cast("double") / F.sum("_n"), 1)
+
     return [
-        rnd(F.avg(cpu), 1).alias("avg_cpu_pct"), rnd(F.max(cpu), 1).alias("peak_cpu_pct"),
-        rnd(F.avg(mem), 1).alias("avg_mem_pct"), rnd(F.max(mem), 1).alias("peak_mem_pct"),
+        mean("_cpu").alias("avg_cpu_pct"), rnd(F.max("_max_cpu"), 1).alias("peak_cpu_pct"),
+        mean("_mem").alias("avg_mem_pct"), rnd(F.max("_max_mem"), 1).alias("peak_mem_pct"),
         F.count_distinct("node_id").alias("node_count"),
     ]
 
 
 @report("node_utilisation_daily")
 def node_utilisation_daily(ctx: Ctx) -> DataFrame:
-    rows = ctx.recent_ts(NODES, "start_time", NODE_LOOKBACK).groupBy(
-        "cluster_id", F.col("is_driver").alias("driver"), F.to_date("start_time").alias("day")
-    ).agg(*_utilisation())
+    rows = _node_days(ctx).groupBy("cluster_id", "driver", "day").agg(*_utilisation())
     return rows.orderBy(desc("day"), "cluster_id")
 
 
 def _cluster_utilisation(ctx: Ctx) -> DataFrame:
-    return ctx.recent_ts(NODES, "start_time", NODE_LOOKBACK).groupBy("cluster_id").agg(
-        *_utilisation(), F.count_distinct(F.to_date("start_time")).alias("active_days")
-    )
+    return _node_days(ctx).groupBy("cluster_id").agg(*_utilisation(), F.count_distinct("day").alias("active_days"))
 
 
 @report("cluster_utilisation")

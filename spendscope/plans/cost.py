@@ -49,7 +49,11 @@ def with_workspace(ctx: Ctx, df: DataFrame, *columns: str) -> DataFrame:
 
 @report("cost_summary")
 def cost_summary(ctx: Ctx, p: UsageFilter | None = None) -> DataFrame:
-    return _period(ctx, p).agg(
+    """Summed per workspace and SKU first, so the distinct counts see only those few rows."""
+    pairs = _period(ctx, p).groupBy("workspace_id", "sku_name").agg(
+        F.sum("usage_quantity").alias("usage_quantity"), F.sum("cost").alias("cost")
+    )
+    return pairs.agg(
         F.count_distinct("workspace_id").alias("workspace_count"),
         F.count_distinct("sku_name").alias("product_count"),
         F.coalesce(total("usage_quantity"), F.lit(0.0)).alias("units"),
@@ -303,10 +307,14 @@ def session_row_counts(ctx: Ctx) -> DataFrame:
 
 @report("job_cost_30d")
 def job_cost_30d(ctx: Ctx) -> DataFrame:
-    rows = _job_rows(priced_usage(ctx, 30)).groupBy("job_id", "workspace_id", "sku_name").agg(
-        F.count_distinct("usage_metadata.job_run_id").alias("run_count"), _units(), _cost(),
-        F.min("usage_start_time").alias("first_run"), F.max("usage_start_time").alias("last_run"),
-        F.count_distinct("usage_date").alias("active_days"),
+    keys = ["job_id", "workspace_id", "sku_name"]
+    run_days = _job_rows(priced_usage(ctx, 30)).groupBy(*keys, "usage_date", "usage_metadata.job_run_id").agg(
+        F.sum("usage_quantity").alias("usage_quantity"), F.sum("cost").alias("cost"),
+        F.min("usage_start_time").alias("_first"), F.max("usage_start_time").alias("_last"),
+    )
+    rows = run_days.groupBy(*keys).agg(
+        F.count_distinct("job_run_id").alias("run_count"), _units(), _cost(), F.min("_first").alias("first_run"),
+        F.max("_last").alias("last_run"), F.count_distinct("usage_date").alias("active_days"),
     )
     return with_workspace(ctx, _with_job_name(ctx, top(rows, 200, desc("cost"))), "workspace_name").orderBy(
         desc("cost"), "job_id"

@@ -263,9 +263,11 @@ def join_using_latest(ctx: Ctx) -> DataFrame:
 def active_users(ctx: Ctx, vendor_domain: str = VENDOR_DOMAIN) -> DataFrame:
     email = F.col("user_identity.email")
     week = F.col("event_date") >= F.lit(ctx.back(7, "access.audit"))
-    return ctx.recent("access.audit", "event_date", 30).where(C.is_human(email, vendor_domain)).agg(
-        F.count_distinct(email).alias("active_users_30d"),
-        F.count_distinct(F.when(week, email)).alias("active_users_7d"),
+    humans = ctx.recent("access.audit", "event_date", 30).where(C.is_human(email, vendor_domain))
+    pairs = humans.groupBy(email.alias("email"), "service_name").agg(F.max(week).alias("_week"))
+    return pairs.agg(
+        F.count_distinct("email").alias("active_users_30d"),
+        F.count_distinct(F.when(F.col("_week"), F.col("email"))).alias("active_users_7d"),
         F.count_distinct("service_name").alias("services_used_30d"),
     )
 

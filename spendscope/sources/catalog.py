@@ -66,7 +66,7 @@ class Catalog:
         except AnalysisException as err:
             if not optional or not any(c in (err.getCondition() or str(err)) for c in _ABSENT):
                 raise
-            return self._spark.createDataFrame([], SCHEMAS[name])
+            return empty(self._spark, SCHEMAS[name])
 
     def stream(self, name: str) -> DataFrame:
         """The same table as a stream: its registered stream, else new parquet files of its folder."""
@@ -75,6 +75,11 @@ class Catalog:
         return self._spark.readStream.schema(self.table(name).schema).parquet(self.resolve(name))
 
 
+def empty(spark: SparkSession, ddl: str) -> DataFrame:
+    """No rows of the given schema, without a Python stage."""
+    return spark.range(0).select(F.from_json(F.lit("{}"), ddl).alias("r")).select("r.*")
+
+
 def first_col(df: DataFrame, *names: str, default: Column | str | None = "") -> Column:
     """Value of the first non-null column among those of ``names`` that exist in ``df``."""
     present = [F.col(n) for n in names if n in df.columns]

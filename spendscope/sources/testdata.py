@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from decimal import Decimal
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,21 @@ from spendscope.sources.catalog import Catalog
 USAGE_DAY = dt.date(2001, 8, 1)
 EVENTS_DAY = dt.date(2024, 1, 31)
 
+# Base price per SKU and unit; prices rose by a tenth in 1999. The serving SKU has no price.
+_BASE_PRICES = {
+    "JOBS_COMPUTE": "0.15", "PREMIUM_ALL_PURPOSE_COMPUTE": "0.70", "PRO_SQL": "0.55", "DLT_PRO_COMPUTE": "0.25", "SERVERLESS_SQL": "0.70",
+}
+
+
+def _price_rows() -> str:
+    windows = (("TIMESTAMP '1995-01-01 00:00:00'", "TIMESTAMP '1999-01-01 00:00:00'", "1.0"),
+               ("TIMESTAMP '1999-01-01 00:00:00'", "CAST(NULL AS TIMESTAMP)", "1.1"))
+    return ", ".join(
+        f"('{sku}', '{cloud}', {start}, {end}, CAST({Decimal(base) * Decimal(rise)} AS DECIMAL(18,6)))"
+        for sku, base in _BASE_PRICES.items() for cloud in ("AWS", "AZURE", "GCP") for start, end, rise in windows
+    )
+
+
 FLAT: dict[str, str] = {
     "workspaces": """
 SELECT concat('ws-', n.n_nationkey) AS workspace_id,
@@ -53,11 +69,7 @@ SELECT concat('r-', l.l_orderkey, '-', l.l_linenumber, '-', l.l_partkey) AS reco
   CASE o.o_custkey % 4 WHEN 0 THEN 'prod' WHEN 1 THEN 'dev' WHEN 2 THEN 'uat' END AS tag_env
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
 JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey""",
-    "list_prices": """
-SELECT b.sku_name, k.cloud, w.price_start_time, w.price_end_time, CAST(b.base * w.mult AS DECIMAL(18,6)) AS price_default
-FROM (VALUES ('JOBS_COMPUTE', CAST(0.15 AS DECIMAL(9,4))), ('PREMIUM_ALL_PURPOSE_COMPUTE', 0.70), ('PRO_SQL', 0.55), ('DLT_PRO_COMPUTE', 0.25), ('SERVERLESS_SQL', 0.70)) AS b(sku_name, base)
-CROSS JOIN (VALUES ('AWS'), ('AZURE'), ('GCP')) AS k(cloud)
-CROSS JOIN (VALUES (TIMESTAMP '1995-01-01 00:00:00', TIMESTAMP '1999-01-01 00:00:00', CAST(1.0 AS DECIMAL(9,4))), (TIMESTAMP '1999-01-01 00:00:00', CAST(NULL AS TIMESTAMP), 1.1)) AS w(price_start_time, price_end_time, mult)""",
+    "list_prices": f"SELECT * FROM (VALUES {_price_rows()}) AS p(sku_name, cloud, price_start_time, price_end_time, price_default)",
     "jobs": """
 SELECT concat('ws-', (c_custkey % 200) % 25) AS workspace_id, concat('job-', c_custkey % 200) AS job_id,
   concat('etl-', lower(c_mktsegment), '-', c_custkey % 200) AS name, concat('user', c_custkey % 150, '@example.com') AS creator_user_name,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendscope.functions.classify import product_category
 from spendscope.operators.pricing import join_effective_price
-from spendscope.operators.rates import sliding_counts
+from spendscope.operators.rates import streaming_sliding_counts
 from spendscope.operators.sessions import MAX_GAP_SECONDS
 from spendscope.plans.anomaly import rate_limit, requests
 
@@ -47,6 +47,7 @@ def rate_violations(
     audit: DataFrame, seconds: int = 60, slide: int = 5, limit: int | None = None, lateness: str = "1 minute"
 ) -> DataFrame:
     """Sliding windows in which a client sent more than its tier's limit, or more than ``limit``."""
-    counts = sliding_counts(requests(audit.withWatermark("event_time", lateness)), ["client", "tier"], "event_time", seconds, slide)
+    timed = requests(audit.withWatermark("event_time", lateness))
+    counts = streaming_sliding_counts(timed, ["client", "tier"], "event_time", seconds, slide)
     allowed = F.lit(limit) if limit is not None else rate_limit(F.col("tier"), burst=seconds <= 5)
-    return counts.where(F.col("n") > allowed).select("client", "tier", F.col("window.start").alias("window_start"), "n")
+    return counts.where(F.col("n") > allowed)
