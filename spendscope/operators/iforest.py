@@ -87,7 +87,7 @@ class IsolationForest:
         ).where(F.pmod("_draw", F.lit(spaces)) < keep)
         order = Window.partitionBy("tree").orderBy("_draw", "_key", *features)
         chosen = (
-            drawn.repartition(self.trees, "tree").withColumn("_rn", F.row_number().over(order))
+            drawn.repartition(max(1, self.trees // 4), "tree").withColumn("_rn", F.row_number().over(order))
             .where(F.col("_rn") <= self.sample)
         )
 
@@ -106,9 +106,10 @@ class IsolationForest:
                 return None
             nodes = self.nodes(rows, id_cols, available).toPandas()
             model = IsolationForestModel(tuple(self.features), nodes, 0.0)
-            scored = model.normality(rows.select(*self.features))
-            marks = exact_percentiles(scored, [], "normality", {"q": self.contamination})
-            return IsolationForestModel(tuple(self.features), nodes, float(marks.first()["q"]))
+            scored = model.normality(rows.select(*self.features)).select("normality").persist()
+            marks = exact_percentiles(scored, [], "normality", {"q": self.contamination}).first()
+            scored.unpersist()
+            return IsolationForestModel(tuple(self.features), nodes, float(marks["q"]))
         finally:
             rows.unpersist()
 

@@ -65,15 +65,17 @@ def running_anomalies(ctx: Ctx) -> DataFrame:
     rows = with_workspace(ctx, _with_sessions(ctx, ctx.table("live.running_resources")), "workspace_name")
     ran = (F.unix_timestamp(day_start(ctx.day())) - F.unix_timestamp("started_at")) / 3600.0
     hours = F.when(F.col("started_at").isNull(), F.lit(-1.0)).otherwise(F.greatest(F.lit(0.0), ran.cast("double")))
-    rows = rows.withColumn("_env", C.env_tier(F.col("name"), F.col("tags"), F.col("workspace_name"))).withColumn("_h", hours)
+    # inline() gives the tier fields as plain columns, so the long expression is evaluated once per row.
+    env = C.env_tier(F.col("name"), F.col("tags"), F.col("workspace_name"))
+    rows = rows.withColumn("_h", hours).select("*", F.inline(F.array(env)))
     long_cluster = (F.col("service_type") == "Cluster") & (F.col("_h") >= UNTAGGED_CLUSTER_HOURS)
-    rows = rows.where(F.col("_env.tier").isNotNull() | long_cluster)
-    tier = F.coalesce("_env.tier", F.lit("other"))
+    rows = rows.where(F.col("tier").isNotNull() | long_cluster)
+    tier = F.coalesce("tier", F.lit("other"))
     level = C.severity_by_duration(F.col("_h"), tier, F.col("service_type") == "Job Run")
     rank = F.when(F.col("anomaly_level") == "critical", 0).when(F.col("anomaly_level") == "warning", 1).otherwise(2)
     return rows.select(
         "service_type", "resource_id", "name", "workspace_id", "workspace_name",
-        F.coalesce("_env.label", F.lit("unknown")).alias("environment"), tier.alias("env_tier"),
-        F.coalesce("_env.source", F.lit("duration")).alias("detected_by"), "started_at",
+        F.coalesce("label", F.lit("unknown")).alias("environment"), tier.alias("env_tier"),
+        F.coalesce("source", F.lit("duration")).alias("detected_by"), "started_at",
         rnd("_h", 1).alias("duration_hours"), level.alias("anomaly_level"), "units", "cost",
     ).orderBy(rank, desc("duration_hours"), "name")
