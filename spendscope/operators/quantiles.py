@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BANDS_PER_DOUBLING = 512
+
 
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]
@@ -22,7 +24,7 @@ def exact_percentiles(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))
-        .withColumn("_band", F.signum("_v") * F.floor(F.log2(F.abs(F.col("_v")) + 1) * 64))
+        .withColumn("_band", F.signum("_v") * F.floor(F.log2(F.abs(F.col("_v")) + 1) * BANDS_PER_DOUBLING))
     )
     bands = counts.groupBy(*keys, "_band").agg(F.sum("_n").alias("_bn"))
     upto = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)

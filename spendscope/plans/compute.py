@@ -79,6 +79,13 @@ def warehouse_workspace(ctx: Ctx) -> DataFrame:
     return newest.select("warehouse_id", "workspace_id")
 
 
+def _billed_pipelines(ctx: Ctx) -> DataFrame:
+    pipeline = F.col("usage_metadata.dlt_pipeline_id")
+    return ctx.recent("billing.usage", "usage_date", 90).where(pipeline.isNotNull()).select(
+        pipeline.alias("pipeline_id"), "workspace_id"
+    ).distinct()
+
+
 @report("pipeline_spend_306090")
 def pipeline_spend(ctx: Ctx) -> DataFrame:
     pipeline = F.col("usage_metadata.dlt_pipeline_id")
@@ -205,12 +212,16 @@ def cluster_sizing(ctx: Ctx) -> DataFrame:
     )
 
 
-def _warehouse_sizing(ctx: Ctx) -> DataFrame:
+def _flagged_warehouses(ctx: Ctx) -> DataFrame:
     flags = _flags(
         no_auto_stop=F.coalesce("auto_stop_minutes", F.lit(0)) == 0,
         min_clusters_gt_1=F.coalesce("min_clusters", F.lit(0)) > 1,
     )
-    rows = warehouses_latest(ctx).withColumn("flags", flags)
+    return warehouses_latest(ctx).withColumn("flags", flags)
+
+
+def _warehouse_sizing(ctx: Ctx) -> DataFrame:
+    rows = _flagged_warehouses(ctx)
     return _with_spend(ctx, with_workspace(ctx, rows, "workspace_name", "subscription_id", "resource_group"), "warehouse_id")
 
 
@@ -285,11 +296,12 @@ def compute_summary(ctx: Ctx) -> DataFrame:
         F.count_distinct("runtime_version").alias("runtime_versions_in_use"),
         F.count_if((F.col("avg_task_util_pct") < 20) & (F.col("cost_30d") > 10)).alias("underutilised"),
     )
-    warehouses = _warehouse_sizing(ctx)
-    no_trigger = pipeline_sizing(ctx).agg(F.count_if(~F.col("has_trigger")).alias("n")).scalar()
+    n = F.count("*").alias("n")
+    warehouses, pipelines = _flagged_warehouses(ctx), _billed_pipelines(ctx)
+    settings = pipeline_settings(ctx).select("pipeline_id", "has_trigger")
+    no_trigger = pipelines.join(settings, "pipeline_id").agg(F.count_if(~F.col("has_trigger")).alias("n"))
     return clusters.withColumns({
-        "total_warehouses": warehouses.agg(F.count("*").alias("n")).scalar(),
+        "total_warehouses": warehouses.agg(n).scalar(),
         "no_auto_stop": warehouses.agg(flagged("no_auto_stop").alias("n")).scalar(),
-        "total_pipelines": pipeline_spend(ctx).agg(F.count("*").alias("n")).scalar(),
-        "pipelines_no_trigger": no_trigger,
+        "total_pipelines": pipelines.agg(n).scalar(), "pipelines_no_trigger": no_trigger.scalar(),
     })

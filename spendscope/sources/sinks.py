@@ -6,9 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+MAX_LISTED = 5000  # partitions named in a filter
 COST_PARTITIONS = ("cloud_provider", "usage_date")
 COST_KEYS = (
     "cloud_provider", "account_id", "usage_date", "service_name", "sku_description", "region", "resource_group",
@@ -57,8 +58,37 @@ def upsert_partitions(
     spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str] = COST_KEYS,
     partitions: Sequence[str] = COST_PARTITIONS,
 ) -> None:
-    """Upsert into a partitioned table by rewriting only the partitions that ``source`` touches."""
+    """Upsert into a partitioned table by reading and rewriting only the partitions that ``source`` touches.
+
+    The values of up to MAX_LISTED touched partitions become a filter, so that other folders are not even
+    listed for reading; beyond that a semi-join finds the affected rows.
+    """
     stored = spark.read.schema(source.schema).parquet(path)
     touched = source.select(*partitions).distinct()
-    affected = stored.alias("t").join(touched.alias("s"), _match(partitions, "t", "s"), "left_semi")
+    listed = touched.limit(MAX_LISTED + 1).collect()
+    if len(listed) <= MAX_LISTED:
+        affected = stored.where(_one_of(listed, partitions))
+    else:
+        affected = stored.alias("t").join(touched.alias("s"), _match(partitions, "t", "s"), "left_semi")
     write_partitioned(upsert(affected, source, keys), path, partitions)
+
+
+def _one_of(rows: Sequence[Row], names: Sequence[str]) -> Column:
+    """Values grouped under their first column: a = 1 and (b is null or b in (2, 3)), or a = 4 and ..."""
+    def equal(name: str, values: set) -> Column:
+        known = [v for v in values if v is not None]
+        found = F.col(name).isin(*known) if known else F.lit(False)
+        return found | F.col(name).isNull() if None in values else found
+
+    if not names:
+        return F.lit(True)
+    first, rest = names[0], names[1:]
+    groups: dict = {}
+    for row in rows:
+        groups.setdefault(row[first], []).append(row)
+    if not rest:
+        return equal(first, set(groups))
+    found = F.lit(False)
+    for value, members in groups.items():
+        found = found | (equal(first, {value}) & _one_of(members, rest))
+    return found
