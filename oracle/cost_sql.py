@@ -31,7 +31,7 @@ IDS = """MIN(cluster_id) AS cluster_id, MIN(warehouse_id) AS warehouse_id, MIN(j
 
 oracle("spike_resources", f"""
 WITH g AS (SELECT workspace_id, resource_id, sku_name, {IDS}, {UNITS}, {COST} FROM v_priced WHERE {TODAY} AND resource_id IS NOT NULL GROUP BY 1, 2, 3),
-k AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY cost DESC, resource_id, sku_name) AS rank, {FINE} AS product FROM g)
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY workspace_id ORDER BY cost DESC, resource_id, sku_name) AS INTEGER) AS rank, {FINE} AS product FROM g)
 SELECT *, {PATH} AS ui_path FROM k WHERE rank <= 20""")
 oracle("spike_by_product", f"""
 SELECT u.*, w.workspace_name, w.resource_group FROM (SELECT sku_name, product_category, workspace_id, {UNITS}, {COST} FROM v_priced WHERE {TODAY} GROUP BY 1, 2, 3) u

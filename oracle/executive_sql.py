@@ -36,7 +36,7 @@ f AS (SELECT AVG(cost) FILTER (rn <= 7) AS m7, AVG(cost) AS m30, regr_slope(cost
 v AS (SELECT i, {r('greatest(0.0, m7 + b * i)', 2)} AS cost, m30, last_actual_cost FROM f, range(1, 8) x(i) WHERE n >= 7),
 a AS (SELECT AVG(cost) AS af FROM v)
 SELECT CAST({day()} + CAST(i AS INTEGER) AS DATE) AS forecast_date, cost, {r('af', 2)} AS avg_forecast_daily, {change('af', 'm30')} AS forecast_pct_change, last_actual_cost FROM v, a""")
-oracle("pareto_top", f"WITH {WST} SELECT workspace_id, workspace_name, cost, row_number() OVER (ORDER BY cost DESC, workspace_id) AS rank FROM w QUALIFY rank <= 10")
+oracle("pareto_top", f"WITH {WST} SELECT workspace_id, workspace_name, cost, CAST(row_number() OVER (ORDER BY cost DESC, workspace_id) AS INTEGER) AS rank FROM w QUALIFY rank <= 10")
 oracle("pareto", f"""
 WITH {WST}, k AS (SELECT *, row_number() OVER (ORDER BY cost DESC, workspace_id) AS rank FROM w),
 s AS (SELECT SUM(cost) FILTER (rank <= 5) AS c5, SUM(cost) FILTER (rank <= 10) AS c10, SUM(cost) AS t FROM k)

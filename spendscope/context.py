@@ -18,7 +18,7 @@ class Ctx:
 
     Nothing in the library reads the wall clock. ``table_days`` overrides the anchor for tables that
     are fresh up to another day. ``allowed_workspaces`` is a frame with one ``workspace_id`` column, or
-    None for no row scoping.
+    None for no row scoping. ``subscription_names`` maps subscription or account ids to display names.
     """
 
     spark: SparkSession
@@ -26,6 +26,7 @@ class Ctx:
     as_of: dt.date
     table_days: Mapping[str, dt.date] = field(default_factory=dict)
     allowed_workspaces: DataFrame | None = None
+    subscription_names: Mapping[str, str] = field(default_factory=dict)
     threshold_pct: float = 20.0
 
     def table(self, name: str, optional: bool = False) -> DataFrame:

@@ -263,6 +263,20 @@ def severity_by_duration(hours: Column, tier: Column, is_job_run: Column) -> Col
     )
 
 
+def subscription_name(ident: Column, names: Mapping[str, str]) -> Column:
+    """Display name of a subscription id in any case, the id itself when it has none, '' for blank."""
+    known = lookup(F.lower(F.trim(ident)), {k.strip().lower(): v for k, v in names.items()}) if names else F.lit(None)
+    return F.coalesce(known, ident, F.lit(""))
+
+
+def subscription_id(name_or_id: str, names: Mapping[str, str]) -> str:
+    """The id for a display name or id given by a user; unknown values stand for themselves."""
+    value = name_or_id.strip()
+    if value.lower() in {k.lower() for k in names}:
+        return value
+    return {v.lower(): k for k, v in names.items()}.get(value.lower(), value)
+
+
 def resource_path(product: Column, prefix: str = "") -> Column:
     """Relative deep link of a billed resource, by the most specific id present; '' when none is."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendscope.context import Ctx
+from spendscope.functions.classify import subscription_id
 
 
 @dataclass(frozen=True)
@@ -47,10 +48,11 @@ def scope_workspaces(ctx: Ctx, df: DataFrame, requested: Sequence[str] = ()) ->
 
 
 def workspaces_of(ctx: Ctx, subscriptions: Sequence[str] = (), resource_group: str | None = None) -> DataFrame:
-    """Workspace ids of the given subscriptions and resource group, ignoring case."""
+    """Workspace ids of the given subscriptions (ids or display names) and resource group, ignoring case."""
     dim = ctx.table("access.workspaces_latest")
     if subscriptions:
-        dim = dim.where(F.lower("subscription_id").isin(*[s.strip().lower() for s in subscriptions]))
+        ids = [subscription_id(s, ctx.subscription_names).lower() for s in subscriptions]
+        dim = dim.where(F.lower("subscription_id").isin(*ids))
     if resource_group:
         dim = dim.where(F.lower("resource_group") == resource_group.strip().lower())
     return dim.select("workspace_id").distinct()

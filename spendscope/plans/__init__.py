@@ -23,6 +23,7 @@ from spendscope.plans import (  # noqa: F401
     storage,
     streams,
 )
+from spendscope.plans.bundles import BUNDLES, bundle
 from spendscope.plans.registry import REPORTS
 
-__all__ = ["REPORTS"]
+__all__ = ["BUNDLES", "REPORTS", "bundle"]

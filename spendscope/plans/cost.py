@@ -238,7 +238,10 @@ def tag_keys(ctx: Ctx) -> DataFrame:
 
 @report("filter_options")
 def filter_options(ctx: Ctx) -> DataFrame:
-    """Choices for the filter boxes, of workspaces with usage in the last 90 days: kind, id, name."""
+    """Choices for the filter boxes, of workspaces with usage in the last 90 days: kind, id, name.
+
+    Subscriptions that have a display name are offered whether used or not.
+    """
     active = _recent_usage(ctx).select("workspace_id").distinct()
     dim = active.join(workspace_names(ctx), "workspace_id", "left")
 
@@ -249,9 +252,14 @@ def filter_options(ctx: Ctx) -> DataFrame:
 
     ws, sub, rg = F.col("workspace_id"), F.col("subscription_id"), F.col("resource_group")
     named = F.coalesce(F.nullif(F.col("workspace_name"), F.lit("")), ws)
-    return options("workspace", ws, named).unionByName(options("subscription", sub, sub)).unionByName(
-        options("resource_group", rg, rg)
-    )
+    subscriptions = options("subscription", sub, C.subscription_name(sub, ctx.subscription_names))
+    if ctx.subscription_names:
+        listed = F.explode(F.create_map(*[F.lit(x) for pair in ctx.subscription_names.items() for x in pair])).alias("id", "name")
+        named_ones = ctx.spark.range(1).select(F.lit("subscription").alias("kind"), listed)
+        used = subscriptions.select(F.lower("id").alias("_used"))
+        unused = named_ones.join(used, F.lower("id") == F.col("_used"), "left_anti")
+        subscriptions = subscriptions.unionByName(unused)
+    return options("workspace", ws, named).unionByName(subscriptions).unionByName(options("resource_group", rg, rg))
 
 
 @report("resource_groups")

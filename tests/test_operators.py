@@ -148,6 +148,8 @@ def test_usage_filter(spark, ctx_of):
     assert ids(start=dt.date(2024, 2, 29)) == ["ws-1", "ws-2", "ws-3"]
     assert ids(workspaces=["ws-2"]) == ["ws-2"]
     assert ids(subscriptions=["SUB-a"]) == ["ws-1"]
+    by_name = ctx.with_(subscription_names={"sub-b": "Sandbox"})
+    assert [r.workspace_id for r in filter_usage(by_name, UsageFilter(subscriptions=["sandbox"])).collect()] == ["ws-2"]
     assert ids(resource_group="RG-Y") == ["ws-2"]
     assert ids(subscriptions=["nowhere"]) == []
     assert ids(tag_key="Team") == ["ws-1"]

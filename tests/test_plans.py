@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from spendscope.plans import alerts, anomaly, executive, query_attribution
 from spendscope.plans.adoption import adoption_summary, inactive_users
 from spendscope.plans.compute import clusters_latest
-from spendscope.plans.cost import cost_summary, spike_resources
+from spendscope.plans import BUNDLES, REPORTS, bundle
+from spendscope.plans.cost import cost_summary, filter_options, spike_resources
 from spendscope.plans.running import running_anomalies
 from spendscope.sources.schemas import SCHEMAS
 from tests.helpers import flat_price, ts, usage, workspaces
@@ -33,6 +34,20 @@ def test_window_counts_both_ends(spark, ctx_of):
     assert row.cost == 11.0
 
 
+def test_filter_options_offer_named_subscriptions(spark, ctx_of):
+    ctx = money_ctx(spark, ctx_of, spend(spark, {1: 1}), subscription_names={"S": "Main", "other": "Spare"})
+    got = sorted((r.kind, r.id, r.name) for r in filter_options(ctx).collect())
+    assert got == [("resource_group", "g", "g"), ("subscription", "other", "Spare"), ("subscription", "s", "Main"), ("workspace", "ws-1", "prod-1")]
+
+
+def test_bundles_name_registered_reports(spark):
+    assert {s for sections in BUNDLES.values() for s in sections} <= set(REPORTS)
+    from spendscope.sources.testdata import testdata_ctx
+
+    pages = bundle(testdata_ctx(spark, "/root/testdata/sf0.001"), "cost")
+    assert list(pages) == list(BUNDLES["cost"]) and pages["cost_summary"].count() == 1
+
+
 def test_top_resources_per_workspace(spark, ctx_of):
     u = usage(spark, [{"start": str(TODAY), "warehouse": f"w{i:02}", "qty": i} for i in range(1, 31)] + [{"start": str(TODAY), "qty": 99}])
     got = spike_resources(money_ctx(spark, ctx_of, u)).orderBy("rank").collect()
