@@ -1,7 +1,7 @@
 """Isolation forest: trees grown in parallel from small samples, scoring in Arrow batches.
 
-Growing: the rows with the least hash values form a pool of fixed size, each tree draws its sample from
-the pool by a hash of row and tree, and ``applyInPandas`` grows one tree per group. A model thus has at
+Growing: rows are thinned by a hash to about four times the size of a fixed pool, of which the least hash
+values form the pool; each tree draws its sample from the pool by a hash of row and tree, and ``applyInPandas`` grows one tree per group. A model thus has at
 most ``trees * (2 * sample - 1)`` nodes whatever the number of training rows, which bounds what is
 collected and broadcast. Scoring maps over partitions without a shuffle.
 """
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendscope.operators.quantiles import exact_percentiles
@@ -57,6 +57,12 @@ def grow_tree(tree: int, x: np.ndarray, seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
 
 
+def _picked(hashed: str, wanted: int, of: int) -> Column:
+    """True for about ``wanted`` out of ``of`` rows, decided by a hash column; for all when there are fewer."""
+    spaces = 1_000_000_000_000
+    return F.pmod(F.col(hashed), F.lit(spaces)) < math.ceil(wanted * spaces / max(of, wanted))
+
+
 @dataclass(frozen=True)
 class IsolationForest:
     features: Sequence[str]
@@ -70,21 +76,18 @@ class IsolationForest:
     def pool_size(self) -> int:
         return self.trees * self.sample
 
-    def available(self, rows: DataFrame) -> int:
-        """Number of training rows, counted up to the size of the pool."""
-        return rows.limit(self.pool_size).count()
-
-    def nodes(self, rows: DataFrame, id_cols: Sequence[str], available: int) -> DataFrame:
+    def nodes(self, rows: DataFrame, id_cols: Sequence[str], row_count: int) -> DataFrame:
         """The grown trees as rows; a row's identity is the hash of ``id_cols``."""
         features, seed = list(self.features), self.seed
         key = F.xxhash64(F.lit(seed), *[F.col(c) for c in id_cols])
-        pool = rows.select(*features, key.alias("_key")).orderBy("_key", *features).limit(self.pool_size)
-        # Each tree looks at about four times its sample, picked by hash, and keeps the least draws.
-        spaces = 1_000_000
-        keep = min(spaces, math.ceil(4 * self.sample * spaces / max(available, 1)))
+        pool = (
+            rows.select(*features, key.alias("_key")).where(_picked("_key", 4 * self.pool_size, row_count))
+            .orderBy("_key", *features).limit(self.pool_size)
+        )
+        # Each tree looks at about four times its sample and keeps the least draws.
         drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1)))).withColumn(
             "_draw", F.xxhash64("_key", "tree")
-        ).where(F.pmod("_draw", F.lit(spaces)) < keep)
+        ).where(_picked("_draw", 4 * self.sample, min(row_count, self.pool_size)))
         order = Window.partitionBy("tree").orderBy("_draw", "_key", *features)
         chosen = (
             drawn.repartition(max(1, self.trees // 4), "tree").withColumn("_rn", F.row_number().over(order))
@@ -101,10 +104,10 @@ class IsolationForest:
         """None when there are too few rows. Collects the model's bounded node table and one quantile."""
         rows = rows.select(*self.features, *[c for c in id_cols if c not in self.features]).persist()
         try:
-            available = self.available(rows)
-            if available < self.min_rows:
+            row_count = rows.count()
+            if row_count < self.min_rows:
                 return None
-            nodes = self.nodes(rows, id_cols, available).toPandas()
+            nodes = self.nodes(rows, id_cols, row_count).toPandas()
             model = IsolationForestModel(tuple(self.features), nodes, 0.0)
             scored = model.normality(rows.select(*self.features)).select("normality").persist()
             marks = exact_percentiles(scored, [], "normality", {"q": self.contamination}).first()

@@ -122,10 +122,10 @@ def feature_rows(ctx: Ctx) -> DataFrame:
 def iforest_train(ctx: Ctx) -> DataFrame:
     """The model as a table of tree nodes; empty when there are fewer than 30 training rows."""
     rows = training_rows(ctx)
-    available = FOREST.available(rows)
-    if available < FOREST.min_rows:
+    row_count = rows.count()
+    if row_count < FOREST.min_rows:
         return empty(ctx.spark, NODE_SCHEMA)
-    return FOREST.nodes(rows, TRAINING_ID, available)
+    return FOREST.nodes(rows, TRAINING_ID, row_count)
 
 
 def _running_features(ctx: Ctx) -> DataFrame:
