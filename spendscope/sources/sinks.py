@@ -61,16 +61,21 @@ def upsert_partitions(
     """Upsert into a partitioned table by reading and rewriting only the partitions that ``source`` touches.
 
     The values of up to MAX_LISTED touched partitions become a filter, so that other folders are not even
-    listed for reading; beyond that a semi-join finds the affected rows.
+    listed for reading; beyond that a semi-join finds the affected rows. The source is used three times and
+    therefore kept for the duration.
     """
     stored = spark.read.schema(source.schema).parquet(path)
-    touched = source.select(*partitions).distinct()
-    listed = touched.limit(MAX_LISTED + 1).collect()
-    if len(listed) <= MAX_LISTED:
-        affected = stored.where(_one_of(listed, partitions))
-    else:
-        affected = stored.alias("t").join(touched.alias("s"), _match(partitions, "t", "s"), "left_semi")
-    write_partitioned(upsert(affected, source, keys), path, partitions)
+    source = source.persist()
+    try:
+        touched = source.select(*partitions).distinct()
+        listed = touched.limit(MAX_LISTED + 1).collect()
+        if len(listed) <= MAX_LISTED:
+            affected = stored.where(_one_of(listed, partitions))
+        else:
+            affected = stored.alias("t").join(touched.alias("s"), _match(partitions, "t", "s"), "left_semi")
+        write_partitioned(upsert(affected, source, keys), path, partitions)
+    finally:
+        source.unpersist()
 
 
 def _one_of(rows: Sequence[Row], names: Sequence[str]) -> Column:
