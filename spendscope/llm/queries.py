@@ -1,10 +1,16 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
 from spendscope.llm.bpe_automaton import op1_bpe_automaton
+from spendscope.llm.near_dedup import op5_bayes_minhash
 from spendscope.llm.packing import op4_binary_packing
+from spendscope.llm.suffix_dedup import op10_suffix_dedup
+from spendscope.llm.window_dedup import op8_window_dedup
 
 LLM_QUERIES = {
     "op1_bpe_automaton": op1_bpe_automaton,
     "op4_binary_packing": op4_binary_packing,
+    "op5_bayes_minhash": op5_bayes_minhash,
+    "op8_window_dedup": op8_window_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 LLM_SQL: dict[str, str] = {}
