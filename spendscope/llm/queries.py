@@ -2,12 +2,14 @@
 
 from spendscope.llm.bpe_automaton import op1_bpe_automaton
 from spendscope.llm.near_dedup import op5_bayes_minhash
+from spendscope.llm.order_minhash import op3_order_minhash
 from spendscope.llm.packing import op4_binary_packing
 from spendscope.llm.suffix_dedup import op10_suffix_dedup
 from spendscope.llm.window_dedup import op8_window_dedup
 
 LLM_QUERIES = {
     "op1_bpe_automaton": op1_bpe_automaton,
+    "op3_order_minhash": op3_order_minhash,
     "op4_binary_packing": op4_binary_packing,
     "op5_bayes_minhash": op5_bayes_minhash,
     "op8_window_dedup": op8_window_dedup,
