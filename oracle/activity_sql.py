@@ -9,7 +9,7 @@ FROM v_audit WHERE {A90} GROUP BY 1"""
 DERIVED["top_service"] = f"""SELECT user_email, service_name AS top_service FROM (SELECT user_email, service_name, row_number() OVER (PARTITION BY user_email ORDER BY COUNT(*) DESC, service_name) AS rn FROM v_audit WHERE {A90} GROUP BY 1, 2) WHERE rn = 1"""
 DERIVED["user_classes"] = """SELECT a.*, t.top_service, regexp_matches(replace(replace(split_part(lower(trim(a.user_email)), '@', 1), '-', ''), '_', ''), '^[0-9]+$')
   OR regexp_matches(split_part(lower(trim(a.user_email)), '@', 1), '^([^-]{4}|[^-]{8}|[^-]{12})(-([^-]{4}|[^-]{8}|[^-]{12})){4}$') AS is_service_principal FROM v_activity a LEFT JOIN v_top_service t USING (user_email)"""
-oracle("user_activity", "SELECT * FROM v_activity ORDER BY action_count DESC, user_email LIMIT 500")
+oracle("user_activity", "SELECT * FROM v_activity")
 oracle("daily_active_users", f"SELECT event_date, COUNT(DISTINCT user_email) AS active_users, COUNT(*) AS total_actions FROM v_audit WHERE {A90} GROUP BY 1")
 oracle("service_breakdown", f"SELECT service_name, COUNT(*) AS action_count, COUNT(DISTINCT user_email) AS unique_users FROM v_audit WHERE {A30} GROUP BY 1")
 oracle("top_actions", f"SELECT service_name, action_name, COUNT(*) AS action_count, COUNT(DISTINCT user_email) AS unique_users FROM v_audit WHERE {A30} GROUP BY 1, 2 ORDER BY action_count DESC, service_name, action_name LIMIT 50")
@@ -24,7 +24,7 @@ oracle("adoption_summary", f"""SELECT COUNT(*) FILTER (NOT is_service_principal)
 G30 = ets_within(30, "event_time")
 TRAFFIC = f"COUNT(*) AS request_count, CAST(SUM(total_token_count) AS BIGINT) AS total_tokens, CAST(SUM(input_token_count) AS BIGINT) AS input_tokens, CAST(SUM(output_token_count) AS BIGINT) AS output_tokens, {r('AVG(execution_duration_ms)', 1)} AS avg_latency_ms"
 DERIVED["gateway_days"] = f"SELECT route_name, CAST(event_time AS DATE) AS day, {TRAFFIC}, {r('CAST(SUM(total_token_count) AS DOUBLE) / 1000000', 3)} AS m_tokens FROM v_gateway_usage WHERE {G30} GROUP BY 1, 2"
-DERIVED["gateway_users"] = f"SELECT requester AS user_email, {TRAFFIC}, COUNT(DISTINCT route_name) AS routes_used FROM v_gateway_usage WHERE {G30} AND requester IS NOT NULL GROUP BY 1 ORDER BY total_tokens DESC, user_email LIMIT 100"
+DERIVED["gateway_users"] = f"SELECT requester AS user_email, {TRAFFIC}, COUNT(DISTINCT route_name) AS routes_used FROM v_gateway_usage WHERE {G30} AND requester IS NOT NULL GROUP BY 1"
 DERIVED["serving_rows"] = f"SELECT * FROM v_priced WHERE {within(30)} AND (contains(sku_name, 'FOUNDATION_MODEL') OR contains(sku_name, 'MODEL_SERVING'))"
 DERIVED["serving_days"] = f"SELECT sku_name, workspace_id, usage_date, {r('SUM(usage_quantity)', 4)} AS units, {r('SUM(cost)', 4)} AS cost FROM v_serving_rows GROUP BY 1, 2, 3"
 oracle("gateway_usage", "SELECT * FROM v_gateway_days")
@@ -34,14 +34,14 @@ oracle("latency_percentiles", f"""
 SELECT route_name, COUNT(*) AS request_count, {r('quantile_cont(execution_duration_ms, 0.5)', 1)} AS p50_ms, {r('quantile_cont(execution_duration_ms, 0.9)', 1)} AS p90_ms, {r('quantile_cont(execution_duration_ms, 0.99)', 1)} AS p99_ms,
   {r('AVG(execution_duration_ms)', 1)} AS avg_ms, {r('MAX(execution_duration_ms)', 1)} AS max_ms, {pct('COUNT(*) FILTER (COALESCE(output_token_count, 0) = 0)', 'COUNT(*)', 2)} AS error_rate_pct FROM v_gateway_usage WHERE {G30} GROUP BY 1""")
 oracle("latency_daily", f"SELECT CAST(event_time AS DATE) AS day, COUNT(*) AS request_count, {r('quantile_cont(execution_duration_ms, 0.5)', 1)} AS p50_ms, {r('quantile_cont(execution_duration_ms, 0.9)', 1)} AS p90_ms FROM v_gateway_usage WHERE {G30} GROUP BY 1")
-oracle("serving_by_user", f"SELECT COALESCE(run_as, 'unknown') AS user_email, sku_name, {r('SUM(usage_quantity)', 4)} AS units, {r('SUM(cost)', 4)} AS cost, COUNT(DISTINCT usage_date) AS active_days, COUNT(DISTINCT workspace_id) AS workspaces FROM v_serving_rows GROUP BY 1, 2 ORDER BY cost DESC, user_email, sku_name LIMIT 200")
+oracle("serving_by_user", f"SELECT COALESCE(run_as, 'unknown') AS user_email, sku_name, {r('SUM(usage_quantity)', 4)} AS units, {r('SUM(cost)', 4)} AS cost, COUNT(DISTINCT usage_date) AS active_days, COUNT(DISTINCT workspace_id) AS workspaces FROM v_serving_rows GROUP BY 1, 2")
 oracle("gateway_daily", f"SELECT day, CAST(SUM(request_count) AS BIGINT) AS requests, CAST(SUM(total_tokens) AS BIGINT) AS total_tokens, {r('SUM(m_tokens)', 3)} AS m_tokens FROM v_gateway_days GROUP BY 1")
 oracle("model_breakdown", f"""SELECT route_name AS model, CAST(SUM(request_count) AS BIGINT) AS requests, CAST(SUM(total_tokens) AS BIGINT) AS total_tokens, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens, CAST(SUM(output_tokens) AS BIGINT) AS output_tokens,
   {r('SUM(avg_latency_ms * request_count) / SUM(request_count)', 1)} AS avg_latency_ms FROM v_gateway_days GROUP BY 1""")
 oracle("serving_trend", f"SELECT usage_date, {r('SUM(units)', 4)} AS units, {r('SUM(cost)', 4)} AS cost FROM v_serving_days GROUP BY 1")
 oracle("serving_skus", f"SELECT sku_name, {r('SUM(units)', 4)} AS units, {r('SUM(cost)', 4)} AS cost FROM v_serving_days GROUP BY 1")
 oracle("ai_summary", f"""SELECT COUNT(*) AS total_requests, CAST(COALESCE(SUM(total_token_count), 0) AS BIGINT) AS total_tokens, {r('CAST(COALESCE(SUM(total_token_count), 0) AS DOUBLE) / 1000000', 2)} AS total_m_tokens, COUNT(DISTINCT route_name) AS models_in_use,
-  (SELECT COALESCE({r('SUM(cost)', 2)}, 0.0) FROM v_serving_rows) AS total_serving_cost, (SELECT COUNT(*) FROM v_gateway_users) AS gateway_users FROM v_gateway_usage WHERE {G30}""")
+  (SELECT COALESCE({r('SUM(cost)', 2)}, 0.0) FROM v_serving_rows) AS total_serving_cost, COUNT(DISTINCT requester) AS gateway_users FROM v_gateway_usage WHERE {G30}""")
 
 # ---- access ----
 DERIVED["cat_grants"] = "SELECT trim(grantee) AS grantee, trim(catalog_name) AS catalog_name, trim(privilege_type) AS privilege_type FROM v_catalog_privileges WHERE trim(grantee) <> '' AND trim(catalog_name) <> '' AND privilege_type IS NOT NULL"
@@ -82,7 +82,6 @@ SELECT g.catalog_name, g.grantee AS principal, g.privilege_type AS action, COUNT
 # ---- governance ----
 E30 = ets_within(30, "event_time")
 DERIVED["gov"] = f"SELECT event_id, event_time, workspace_id, service_name, action_name, COALESCE(user_email, '') AS actor FROM v_audit WHERE {E30}"
-LATEST = "ORDER BY event_time DESC, event_id"
 DERIVED["iam"] = f"""SELECT * FROM v_gov WHERE service_name IN ('iamService', 'accountsManager', 'tokenManagement', 'groups', 'servicePrincipals', 'users', 'permissions', 'iam', 'accounts')
   OR action_name IN ('createServicePrincipal', 'createToken', 'revokeToken', 'changePermissions', 'updateGroup', 'addPrincipalToGroup') """
 COLS = "event_id, event_time, workspace_id, action_name, actor"
@@ -90,9 +89,9 @@ DERIVED["sp_ev"] = f"SELECT {COLS} FROM v_gov WHERE action_name = 'createService
 DERIVED["token_ev"] = f"SELECT {COLS} FROM v_gov WHERE action_name IN ('createToken', 'deleteToken', 'revokeToken')"
 DERIVED["group_ev"] = f"SELECT {COLS} FROM v_gov WHERE action_name IN ('updateGroup', 'addPrincipalToGroup')"
 DERIVED["perm_ev"] = f"SELECT {COLS} FROM v_gov WHERE action_name = 'changePermissions'"
-oracle("iam_events", f"SELECT * FROM v_iam {LATEST} LIMIT 3000")
-for key, view, n in (("sp_events", "sp_ev", 500), ("token_events", "token_ev", 1000), ("group_events", "group_ev", 1000), ("permission_events", "perm_ev", 1000)):
-    oracle(key, f"SELECT * FROM v_{view} {LATEST} LIMIT {n}")
+oracle("iam_events", "SELECT * FROM v_iam")
+for key, view in (("sp_events", "sp_ev"), ("token_events", "token_ev"), ("group_events", "group_ev"), ("permission_events", "perm_ev")):
+    oracle(key, f"SELECT * FROM v_{view}")
 oracle("token_summary", "SELECT COUNT(*) FILTER (action_name = 'createToken') AS creates, COUNT(*) FILTER (action_name <> 'createToken') AS deletes FROM v_token_ev")
 oracle("group_summary", "SELECT COUNT(*) FILTER (action_name = 'addPrincipalToGroup') AS adds, COUNT(*) FILTER (action_name <> 'addPrincipalToGroup') AS removes FROM v_group_ev")
 oracle("iam_top_actions", "SELECT action_name, COUNT(*) AS event_count FROM v_iam GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")

@@ -42,12 +42,10 @@ WITH g AS (SELECT workspace_id, resource_id, sku_name, {IDS}, {UNITS}, {COST} FR
 k AS (SELECT *, {FINE} AS product FROM g)
 SELECT k.*, {PATH} AS ui_path, w.workspace_name, w.resource_group FROM k LEFT JOIN v_workspaces w USING (workspace_id)""")
 oracle("spike_by_job", f"""
-WITH g AS (SELECT job_id, workspace_id, sku_name, COUNT(DISTINCT job_run_id) AS run_count, {UNITS}, {COST} FROM v_priced WHERE {TODAY} AND job_id IS NOT NULL GROUP BY 1, 2, 3
-  ORDER BY cost DESC, job_id, workspace_id, sku_name LIMIT 100)
+WITH g AS (SELECT job_id, workspace_id, sku_name, COUNT(DISTINCT job_run_id) AS run_count, {UNITS}, {COST} FROM v_priced WHERE {TODAY} AND job_id IS NOT NULL GROUP BY 1, 2, 3)
 SELECT g.*, j.name AS job_name, w.workspace_name FROM g LEFT JOIN v_jobs_latest j USING (workspace_id, job_id) LEFT JOIN v_workspaces w USING (workspace_id)""")
 oracle("spike_job_runs", f"""
-WITH g AS (SELECT job_id, workspace_id, sku_name, {COST} FROM v_priced WHERE {TODAY} AND job_id IS NOT NULL GROUP BY 1, 2, 3
-  ORDER BY cost DESC, job_id, workspace_id, sku_name LIMIT 100)
+WITH g AS (SELECT job_id, workspace_id, sku_name, {COST} FROM v_priced WHERE {TODAY} AND job_id IS NOT NULL GROUP BY 1, 2, 3)
 SELECT u.job_id, u.workspace_id, u.sku_name, u.job_run_id AS run_id, {UNITS}, {r('SUM(u.cost)', 2)} AS cost
 FROM v_priced u JOIN g USING (job_id, workspace_id, sku_name) WHERE {TODAY} GROUP BY 1, 2, 3, 4""")
 oracle("spike_totals", f"""
@@ -58,9 +56,8 @@ SELECT tag_team AS tag_value, {UNITS}, {COST}, COUNT(DISTINCT workspace_id) AS w
 ENV = """CASE WHEN lower(w.workspace_name) LIKE '%prod%' THEN 'prod' WHEN lower(w.workspace_name) LIKE '%uat%' THEN 'uat' WHEN lower(w.workspace_name) LIKE '%test%' THEN 'test'
   WHEN lower(w.workspace_name) LIKE '%dev%' THEN 'dev' ELSE 'other' END"""
 oracle("cost_by_tag_env", f"""
-SELECT tag_team AS tag_value, {ENV} AS environment, {UNITS}, {COST} FROM v_priced u LEFT JOIN v_workspaces w USING (workspace_id) WHERE {W30} AND tag_team IS NOT NULL GROUP BY 1, 2
-ORDER BY units DESC, tag_value, environment LIMIT 200""")
-oracle("tag_values", f"SELECT DISTINCT tag_team AS tag_value FROM v_usage_flat WHERE {within(90)} AND tag_team IS NOT NULL ORDER BY 1 LIMIT 100")
+SELECT tag_team AS tag_value, {ENV} AS environment, {UNITS}, {COST} FROM v_priced u LEFT JOIN v_workspaces w USING (workspace_id) WHERE {W30} AND tag_team IS NOT NULL GROUP BY 1, 2""")
+oracle("tag_values", f"SELECT DISTINCT tag_team AS tag_value FROM v_usage_flat WHERE {within(90)} AND tag_team IS NOT NULL")
 oracle("tag_keys", f"""
 SELECT DISTINCT tag_key FROM (SELECT unnest([CASE WHEN tag_team IS NOT NULL THEN 'Team' END, CASE WHEN tag_product_name IS NOT NULL THEN 'ProductName' END,
   CASE WHEN tag_product IS NOT NULL THEN 'Product' END, CASE WHEN tag_env IS NOT NULL THEN 'Env' END]) AS tag_key FROM v_usage_flat WHERE {within(90)}) WHERE tag_key IS NOT NULL""")
@@ -88,7 +85,7 @@ WITH {SESSION} SELECT b.warehouse_id, b.session_start, COUNT(*) AS row_count FRO
 WHERE {within(365)} AND u.usage_start_time >= b.session_start GROUP BY 1, 2""")
 oracle("job_cost_30d", f"""
 WITH g AS (SELECT job_id, workspace_id, sku_name, COUNT(DISTINCT job_run_id) AS run_count, {UNITS}, {COST}, MIN(usage_start_time) AS first_run, MAX(usage_start_time) AS last_run,
-  COUNT(DISTINCT usage_date) AS active_days FROM v_priced WHERE {W30} AND job_id IS NOT NULL GROUP BY 1, 2, 3 ORDER BY cost DESC, job_id, workspace_id, sku_name LIMIT 200)
+  COUNT(DISTINCT usage_date) AS active_days FROM v_priced WHERE {W30} AND job_id IS NOT NULL GROUP BY 1, 2, 3)
 SELECT g.*, j.name AS job_name, w.workspace_name FROM g LEFT JOIN v_jobs_latest j USING (workspace_id, job_id) LEFT JOIN v_workspaces w USING (workspace_id)""")
 oracle("join_job_name", f"""
 SELECT u.*, j.name AS job_name FROM (SELECT workspace_id, job_id, {UNITS} FROM v_usage_flat WHERE {W30} AND job_id IS NOT NULL GROUP BY 1, 2) u LEFT JOIN v_jobs_latest j USING (workspace_id, job_id)""")

@@ -56,9 +56,9 @@ oracle("join_using_latest", f"WITH {RUNS} SELECT kind, succeeded, failed, COUNT(
 oracle("active_users", f"""
 SELECT COUNT(DISTINCT user_email) AS active_users_30d, COUNT(DISTINCT CASE WHEN event_date >= {eday(7)} THEN user_email END) AS active_users_7d, COUNT(DISTINCT service_name) AS services_used_30d
 FROM v_audit WHERE event_date BETWEEN {eday(30)} AND {eday()} AND user_email IS NOT NULL AND trim(user_email) <> ''""")
-S1 = f"""s1 AS (SELECT COUNT(*) AS n, {r('SUM(cost)', 2)} AS b FROM (SELECT cluster_id, {COST} FROM v_priced WHERE {W7} AND contains(sku_name, 'ALL_PURPOSE') AND cluster_id IS NOT NULL AND job_run_id IS NULL GROUP BY 1 HAVING {r('SUM(cost)', 2)} > 20 ORDER BY cost DESC, cluster_id LIMIT 30)),
+S1 = f"""s1 AS (SELECT COUNT(*) AS n, {r('SUM(cost)', 2)} AS b FROM (SELECT cluster_id, {COST} FROM v_priced WHERE {W7} AND contains(sku_name, 'ALL_PURPOSE') AND cluster_id IS NOT NULL AND job_run_id IS NULL GROUP BY 1 HAVING {r('SUM(cost)', 2)} > 20)),
 o1 AS (SELECT 'Interactive compute waste' AS category, n AS resource_count, b AS basis, {r('b * 0.4', 2)} AS estimated_saving, CASE WHEN {r('b * 0.4', 2)} > 500 THEN 'critical' ELSE 'warning' END AS priority FROM s1 WHERE n > 0)"""
-S2 = f"""s2 AS (SELECT COUNT(*) AS n, {r('SUM(cost)', 2)} AS b FROM (SELECT warehouse_id, {COST}, COUNT(DISTINCT usage_date) AS k FROM v_priced WHERE {W30} AND contains(sku_name, 'SQL') AND warehouse_id IS NOT NULL GROUP BY 1 HAVING COUNT(DISTINCT usage_date) >= 5 AND {r('SUM(cost)', 2)} > 50 ORDER BY cost DESC, warehouse_id LIMIT 20)),
+S2 = f"""s2 AS (SELECT COUNT(*) AS n, {r('SUM(cost)', 2)} AS b FROM (SELECT warehouse_id, {COST}, COUNT(DISTINCT usage_date) AS k FROM v_priced WHERE {W30} AND contains(sku_name, 'SQL') AND warehouse_id IS NOT NULL GROUP BY 1 HAVING COUNT(DISTINCT usage_date) >= 5 AND {r('SUM(cost)', 2)} > 50)),
 o2 AS (SELECT 'SQL Warehouse right-sizing' AS category, n AS resource_count, b AS basis, {r('b * 0.25', 2)} AS estimated_saving, 'warning' AS priority FROM s2 WHERE n > 0)"""
 S3 = f"""s3 AS (SELECT COUNT(*) AS n, {r('SUM((epoch(period_end_time) - epoch(period_start_time)) / 3600.0)', 1)} AS b FROM v_job_runs WHERE {ts_within(7, 'period_start_time')} AND result_state IN ('FAILED', 'TIMED_OUT') AND epoch(period_end_time) - epoch(period_start_time) > 3600),
 o3 AS (SELECT 'Failed long-running jobs' AS category, n AS resource_count, b AS basis, 0.0 AS estimated_saving, 'info' AS priority FROM s3 WHERE n > 0)"""
@@ -89,7 +89,7 @@ oracle("chargeback", f"SELECT {AREA}, COALESCE(w.workspace_name, workspace_id) A
 oracle("infra_costs", f"""
 SELECT CASE billing_origin_product WHEN 'JOBS' THEN 'Jobs' WHEN 'SQL' THEN 'SQL Warehouses' WHEN 'DLT' THEN 'Delta Live Tables' WHEN 'ALL_PURPOSE' THEN 'Interactive Clusters' ELSE 'Model Serving' END AS infra_category,
   usage_type, COALESCE(w.workspace_name, workspace_id) AS workspace_name, {r('SUM(usage_quantity)', 4)} AS units, {r('SUM(cost)', 4)} AS cost
-FROM v_priced LEFT JOIN v_workspaces w USING (workspace_id) WHERE {W30} AND usage_type IN ('STORAGE_SPACE', 'NETWORK_BYTE') GROUP BY 1, 2, 3 ORDER BY cost DESC, infra_category, usage_type, workspace_name LIMIT 200""")
+FROM v_priced LEFT JOIN v_workspaces w USING (workspace_id) WHERE {W30} AND usage_type IN ('STORAGE_SPACE', 'NETWORK_BYTE') GROUP BY 1, 2, 3""")
 oracle("sla_breaches", f"""
 WITH l AS (SELECT * FROM v_jobs_ranked WHERE rn = 1 AND lower(tag_env) IN ('prod', 'production', 'prd'))
 SELECT r.run_id, l.name AS job_name, r.workspace_id, r.result_state, r.termination_code, r.period_start_time AS started_at, r.period_end_time AS ended_at, {r(MINUTES, 1)} AS duration_mins

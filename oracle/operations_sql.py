@@ -39,8 +39,8 @@ oracle("warehouse_workspace", "SELECT * FROM v_warehouse_ws")
 oracle("pipeline_spend_306090", "SELECT * FROM v_pipeline_spend")
 oracle("recent_active_ids", f"SELECT DISTINCT COALESCE(cluster_id, warehouse_id) AS resource_id FROM v_usage_flat WHERE {within(30)} AND COALESCE(cluster_id, warehouse_id) IS NOT NULL")
 oracle("resource_spend_306090", "SELECT * FROM v_resource_spend")
-oracle("node_task_utilisation", "SELECT * FROM v_node_util ORDER BY total_node_hours DESC, cluster_id, workspace_id LIMIT 300")
-oracle("node_types", "SELECT * FROM v_hardware ORDER BY memory_mb DESC, node_type_id LIMIT 50")
+oracle("node_task_utilisation", "SELECT * FROM v_node_util")
+oracle("node_types", "SELECT * FROM v_hardware")
 SP = "COALESCE(s.units_30d, 0.0) AS units_30d, COALESCE(s.cost_30d, 0.0) AS cost_30d, COALESCE(s.units_60d, 0.0) AS units_60d, COALESCE(s.cost_60d, 0.0) AS cost_60d, COALESCE(s.units_90d, 0.0) AS units_90d, COALESCE(s.cost_90d, 0.0) AS cost_90d, COALESCE(s.active_days, 0) AS active_days"
 HW = "d.num_cpus AS driver_cpus, d.memory_gb AS driver_mem_gb, k.num_cpus AS worker_cpus, k.memory_gb AS worker_mem_gb, NULLIF(k.num_gpus, 0) AS worker_gpus"
 HWJ = "LEFT JOIN v_hardware d ON c.driver_node_type = d.node_type_id LEFT JOIN v_hardware k ON c.worker_node_type = k.node_type_id"
@@ -89,7 +89,7 @@ def sec(x: str, n: int) -> str:
 VOLUME = f"""COUNT(*) AS queries_90d, COUNT(*) FILTER (CAST(start_time AS DATE) >= {eday(60)}) AS queries_60d, COUNT(*) FILTER (CAST(start_time AS DATE) >= {eday(30)}) AS queries_30d, {sec('SUM(total_duration_ms)', 1)} AS total_duration_sec, {sec('AVG(total_duration_ms)', 2)} AS avg_duration_sec,
   {gib('SUM(read_bytes)')} AS gb_90d, {gib(f'SUM(CASE WHEN CAST(start_time AS DATE) >= {eday(60)} THEN read_bytes ELSE 0 END)')} AS gb_60d, {gib(f'SUM(CASE WHEN CAST(start_time AS DATE) >= {eday(30)} THEN read_bytes ELSE 0 END)')} AS gb_30d, COUNT(*) FILTER (error_message IS NOT NULL) AS failed_count"""
 DERIVED["user_stats"] = f"""SELECT executed_by AS user_email, {VOLUME}, COUNT(DISTINCT warehouse_id) AS warehouses_used, COUNT(*) FILTER (error_message IS NULL) AS success_count FROM v_query_history WHERE {QW} AND {INTERACTIVE} GROUP BY 1"""
-oracle("query_user_stats", "SELECT * FROM v_user_stats ORDER BY gb_90d DESC, user_email LIMIT 200")
+oracle("query_user_stats", "SELECT * FROM v_user_stats")
 oracle("query_daily_trend", f"SELECT CAST(start_time AS DATE) AS day, COUNT(*) AS query_count, COUNT(DISTINCT executed_by) AS unique_users, {gib('SUM(read_bytes)')} AS gb_scanned, {sec('AVG(total_duration_ms)', 2)} AS avg_duration_sec FROM v_query_history WHERE {QW} GROUP BY 1")
 DERIVED["wh_spend"] = f"SELECT warehouse_id, {spend()} FROM v_priced WHERE {within(90)} AND warehouse_id IS NOT NULL GROUP BY 1"
 
@@ -118,7 +118,7 @@ DERIVED["attributed"] = f"SELECT u.user_email, u.warehouse_id, {ATT} FROM v_user
 oracle("join_attribution", f"SELECT user_email, warehouse_id, {r('share_90d', 4)} AS cost_90d FROM v_attributed")
 oracle("user_cost_attribution", f"SELECT user_email, {r('SUM(share_30d)', 2)} AS cost_30d, {r('SUM(share_60d)', 2)} AS cost_60d, {r('SUM(share_90d)', 2)} AS cost_90d FROM v_attributed GROUP BY 1")
 oracle("warehouse_events", f"""
-WITH b AS (SELECT warehouse_id, event_time, event_type, cluster_count FROM v_warehouse_events WHERE {ets_within(7, 'event_time')} ORDER BY event_time DESC, warehouse_id, event_type, cluster_count LIMIT 500)
+WITH b AS (SELECT warehouse_id, event_time, event_type, cluster_count FROM v_warehouse_events WHERE {ets_within(7, 'event_time')})
 SELECT b.*, x.workspace_id, w.workspace_name FROM b LEFT JOIN v_warehouse_ws x USING (warehouse_id) LEFT JOIN v_workspaces w USING (workspace_id)""")
 oracle("query_summary", f"SELECT CAST(SUM(queries_90d) AS BIGINT) AS total_queries, {r('SUM(gb_90d)', 2)} AS total_gb_scanned, COUNT(*) AS unique_users, CAST(SUM(failed_count) AS BIGINT) AS total_failed, (SELECT COUNT(*) FROM v_query_history WHERE {QW} AND total_duration_ms > 60000) AS slow_queries FROM v_user_stats")
 
@@ -131,16 +131,17 @@ DERIVED["prod_updates"] = f"SELECT * FROM v_pipeline_updates {PROD} WHERE {R30}
 OUT = f"COUNT(*) FILTER (result_state = 'SUCCEEDED') AS success_count, COUNT(*) FILTER ({BAD}) AS failed_count"
 DERIVED["job_stats"] = f"""SELECT job_id, workspace_id, workspace_name, run_type, COUNT(*) AS total_runs, {OUT}, {r(f"AVG(CASE WHEN result_state = 'SUCCEEDED' THEN {MINUTES} END)", 1)} AS avg_duration_min, {r(f"MAX(CASE WHEN result_state = 'SUCCEEDED' THEN {MINUTES} END)", 1)} AS max_duration_min,
   MAX(period_end_time) AS last_run_at, arg_max(result_state, row(period_end_time, run_id)) AS last_result FROM v_prod_runs WHERE result_state IS NOT NULL GROUP BY 1, 2, 3, 4"""
-TOP_JOBS = "ORDER BY failed_count DESC, total_runs DESC, job_id, workspace_id, workspace_name, run_type LIMIT 500"
 DERIVED["job_inv"] = f"SELECT workspace_id, job_id, name AS job_name, creator_user_name AS creator, run_as_user_name AS run_as, created_time AS created_at, cron AS cron_schedule, pause_status AS schedule_status FROM v_jobs_latest {PROD}"
 DERIVED["pipe_inv"] = f"SELECT workspace_id, pipeline_id, name AS pipeline_name, workspace_name, creator_user_name AS creator, run_as_user_name AS run_as, channel, edition, created_time AS created_at FROM v_pipelines_latest {PROD}"
 DERIVED["failures"] = f"SELECT run_id, job_id, workspace_id, workspace_name, result_state, period_start_time AS started_at, {r(MINUTES, 1)} AS duration_min FROM v_prod_runs WHERE {BAD} ORDER BY started_at DESC, run_id LIMIT 50"
 DERIVED["pipe_stats"] = f"""SELECT s.*, i.pipeline_name, {pct('success_count', 'total_runs')} AS success_rate FROM (SELECT pipeline_id, workspace_id, workspace_name, COUNT(DISTINCT update_id) AS total_runs, COUNT(*) FILTER (result_state = 'COMPLETED') AS success_count, COUNT(*) FILTER (result_state IN ('FAILED', 'CANCELED')) AS failed_count,
-  {r(f"AVG(CASE WHEN result_state = 'COMPLETED' THEN {MINUTES} END)", 1)} AS avg_duration_min, MAX(period_end_time) AS last_run_at FROM v_prod_updates GROUP BY 1, 2, 3 ORDER BY failed_count DESC, pipeline_id, workspace_id LIMIT 200) s LEFT JOIN v_pipe_inv i USING (workspace_id, pipeline_id)"""
-DERIVED["tasks_n"] = f"SELECT workspace_id, job_id, COUNT(DISTINCT task_key) AS task_count FROM v_job_tasks {PROD} WHERE delete_time IS NULL GROUP BY 1, 2"
+  {r(f"AVG(CASE WHEN result_state = 'COMPLETED' THEN {MINUTES} END)", 1)} AS avg_duration_min, MAX(period_end_time) AS last_run_at FROM v_prod_updates GROUP BY 1, 2, 3) s LEFT JOIN v_pipe_inv i USING (workspace_id, pipeline_id)"""
+DERIVED["tasks_latest"] = """SELECT workspace_id, job_id, task_key FROM (
+  SELECT *, row_number() OVER (PARTITION BY workspace_id, job_id, task_key ORDER BY change_time DESC, delete_time DESC NULLS LAST) AS rn FROM v_job_tasks) WHERE rn = 1 AND delete_time IS NULL"""
+DERIVED["tasks_n"] = f"SELECT workspace_id, job_id, COUNT(*) AS task_count FROM v_tasks_latest {PROD} GROUP BY 1, 2"
 DERIVED["bottlenecks"] = f"""SELECT s.*, i.job_name FROM (SELECT job_id, task_key, workspace_id, workspace_name, COUNT(*) AS run_count, {OUT}, {r(f'AVG({MINUTES})', 1)} AS avg_duration_min, {r(f'MAX({MINUTES})', 1)} AS max_duration_min
-  FROM v_prod_runs WHERE period_end_time IS NOT NULL GROUP BY 1, 2, 3, 4 ORDER BY avg_duration_min DESC, job_id, task_key, workspace_id LIMIT 200) s LEFT JOIN v_job_inv i USING (workspace_id, job_id)"""
-oracle("job_runs", f"SELECT * FROM v_job_stats {TOP_JOBS}")
+  FROM v_prod_runs WHERE period_end_time IS NOT NULL GROUP BY 1, 2, 3, 4) s LEFT JOIN v_job_inv i USING (workspace_id, job_id)"""
+oracle("job_runs", f"SELECT * FROM v_job_stats")
 oracle("join_prod_inner", "SELECT workspace_id, workspace_name, COUNT(*) AS runs FROM v_prod_runs WHERE result_state IS NOT NULL GROUP BY 1, 2")
 oracle("job_daily", f"SELECT CAST(period_start_time AS DATE) AS day, COUNT(*) AS total_runs, {OUT} FROM v_prod_runs WHERE result_state IS NOT NULL GROUP BY 1")
 oracle("jobs_inventory", "SELECT * FROM v_job_inv")
@@ -159,17 +160,16 @@ oracle("combined_sla", SLA)
 oracle("job_task_counts", "SELECT * FROM v_tasks_n")
 oracle("task_bottlenecks", "SELECT * FROM v_bottlenecks")
 oracle("pipelines_inventory", "SELECT * FROM v_pipe_inv")
-oracle("pipeline_updates", f"""SELECT s.*, i.pipeline_name FROM (SELECT update_id, pipeline_id, workspace_id, workspace_name, result_state AS state, {r(MINUTES, 1)} AS duration_min, period_start_time AS started_at, period_end_time AS ended_at FROM v_prod_updates
-  ORDER BY started_at DESC, update_id LIMIT 300) s LEFT JOIN v_pipe_inv i USING (workspace_id, pipeline_id)""")
+oracle("pipeline_updates", f"""SELECT s.*, i.pipeline_name FROM (SELECT update_id, pipeline_id, workspace_id, workspace_name, result_state AS state, {r(MINUTES, 1)} AS duration_min, period_start_time AS started_at, period_end_time AS ended_at FROM v_prod_updates) s LEFT JOIN v_pipe_inv i USING (workspace_id, pipeline_id)""")
 oracle("job_report", f"""SELECT s.*, i.job_name, i.creator, i.run_as, i.created_at, i.cron_schedule, i.schedule_status, COALESCE(t.task_count, 0) AS task_count, {pct('success_count', 'total_runs')} AS success_rate
-FROM (SELECT * FROM v_job_stats {TOP_JOBS}) s LEFT JOIN v_job_inv i USING (workspace_id, job_id) LEFT JOIN v_tasks_n t USING (workspace_id, job_id)""")
+FROM (SELECT * FROM v_job_stats) s LEFT JOIN v_job_inv i USING (workspace_id, job_id) LEFT JOIN v_tasks_n t USING (workspace_id, job_id)""")
 oracle("job_report_summary", f"""SELECT COUNT(*) AS total_jobs, CAST(SUM(total_runs) AS BIGINT) AS total_runs, CAST(SUM(success_count) AS BIGINT) AS total_success, CAST(SUM(failed_count) AS BIGINT) AS total_failed, {pct('SUM(success_count)', 'SUM(total_runs)')} AS sla_pct,
   (SELECT COUNT(*) FROM (SELECT DISTINCT pipeline_id, workspace_id FROM v_prod_updates)) AS pipelines, (SELECT COUNT(*) FROM (SELECT DISTINCT job_id, task_key, workspace_id FROM v_prod_runs WHERE period_end_time IS NOT NULL)) AS task_bottlenecks, (SELECT COUNT(*) FROM v_pipe_inv) AS pipeline_inventory FROM v_job_stats""")
 
 # ---- lineage, serving, ML registry ----
 DERIVED["edges"] = f"SELECT DISTINCT concat_ws('.', source_catalog, source_schema, source_table) AS source, concat_ws('.', target_catalog, target_schema, target_table) AS target FROM v_table_lineage WHERE {ts_within(30, 'event_time')}"
 oracle("table_lineage_edges", "SELECT * FROM v_edges")
-oracle("column_lineage", f"SELECT * FROM v_column_lineage WHERE {ts_within(30, 'event_time')} ORDER BY event_time DESC, source_catalog, source_schema, source_table, source_column, target_catalog, target_schema, target_table, target_column LIMIT 5000")
+oracle("column_lineage", f"SELECT * FROM v_column_lineage WHERE {ts_within(30, 'event_time')}")
 oracle("lineage_tables", "SELECT table_name, CAST(SUM(o) AS BIGINT) AS edges_out, CAST(SUM(i) AS BIGINT) AS edges_in FROM (SELECT source AS table_name, 1 AS o, 0 AS i FROM v_edges UNION ALL SELECT target, 0, 1 FROM v_edges) GROUP BY 1")
 DERIVED["serve_days"] = f"SELECT served_entity_name AS entity_name, CAST(request_time AS DATE) AS day, COUNT(*) AS request_count, {r('AVG(total_token_count)', 1)} AS avg_tokens, COUNT(*) FILTER (status_code >= 400) AS error_count FROM v_endpoint_usage WHERE {ets_within(30, 'request_time')} GROUP BY 1, 2"
 oracle("serving_daily", "SELECT * FROM v_serve_days")
@@ -178,10 +178,10 @@ oracle("serving_summary", f"""
 SELECT COALESCE(e.endpoint_name, u.entity_name) AS endpoint_name, CAST(COALESCE(SUM(request_count), 0) AS BIGINT) AS total_requests, CAST(COALESCE(SUM(error_count), 0) AS BIGINT) AS total_errors, COUNT(day) AS active_days,
   COALESCE({r('SUM(avg_tokens * request_count) FILTER (avg_tokens > 0) / SUM(request_count) FILTER (avg_tokens > 0)', 1)}, 0.0) AS avg_tokens, {pct('COALESCE(SUM(error_count), 0)', 'SUM(request_count)')} AS error_rate
 FROM v_served_entities e FULL OUTER JOIN v_serve_days u ON e.served_entity_name = u.entity_name GROUP BY 1""")
-oracle("ml_experiments", "SELECT experiment_id, name AS experiment_name, lifecycle_stage, make_timestamp(creation_time * 1000) AS created_at, make_timestamp(last_update_time * 1000) AS updated_at FROM v_experiments ORDER BY updated_at DESC, experiment_id LIMIT 200")
-oracle("ml_models", "SELECT name AS model_name, make_timestamp(creation_timestamp * 1000) AS created_at, make_timestamp(last_updated_timestamp * 1000) AS updated_at, user_id AS owner FROM v_ml_models ORDER BY updated_at DESC, model_name LIMIT 200")
+oracle("ml_experiments", "SELECT experiment_id, name AS experiment_name, lifecycle_stage, make_timestamp(creation_time * 1000) AS created_at, make_timestamp(last_update_time * 1000) AS updated_at FROM v_experiments")
+oracle("ml_models", "SELECT name AS model_name, make_timestamp(creation_timestamp * 1000) AS created_at, make_timestamp(last_updated_timestamp * 1000) AS updated_at, user_id AS owner FROM v_ml_models")
 DERIVED["runs_ml"] = f"SELECT run_id, experiment_id, status, start_time AS started_at, end_time AS ended_at, user_id AS user_email FROM v_ml_runs WHERE {ts_within(30, 'start_time')}"
-oracle("ml_runs", "SELECT * FROM v_runs_ml ORDER BY started_at DESC, run_id LIMIT 2000")
+oracle("ml_runs", "SELECT * FROM v_runs_ml")
 oracle("ml_runs_summary", f"SELECT COUNT(*) AS total_runs, COUNT(*) FILTER (status = 'FINISHED') AS finished, COUNT(*) FILTER (status = 'FAILED') AS failed, {pct(chr(67) + 'OUNT(*) FILTER (status = ' + chr(39) + 'FINISHED' + chr(39) + ')', 'COUNT(*)')} AS success_rate FROM v_runs_ml")
 
 # ---- storage ----
@@ -189,7 +189,7 @@ DERIVED["ops"] = f"SELECT catalog_name, schema_name, table_name, operation_type,
 DERIVED["user_tables"] = "SELECT table_catalog AS catalog_name, table_schema AS schema_name, table_name, table_type, created AS created_at FROM v_tables WHERE table_schema <> 'information_schema' AND table_catalog NOT IN ('system', 'samples') AND table_type IN ('MANAGED', 'EXTERNAL')"
 DERIVED["inv"] = "SELECT * FROM v_user_tables"
 DERIVED["schemas"] = "SELECT catalog_name, schema_name, COUNT(*) AS table_count FROM v_user_tables GROUP BY 1, 2"
-oracle("optimization_ops", "SELECT * FROM v_ops ORDER BY started_at DESC, catalog_name, schema_name, table_name, operation_type, operation_status, duration_min, operation_id LIMIT 500")
+oracle("optimization_ops", "SELECT * FROM v_ops")
 oracle("optimization_summary", "SELECT operation_type, COUNT(*) AS total, COUNT(*) FILTER (operation_status = 'SUCCEEDED') AS success, COUNT(*) FILTER (operation_status = 'FAILED') AS failed FROM v_ops GROUP BY 1")
 oracle("table_inventory", "SELECT * FROM v_inv")
 oracle("schema_summary", "SELECT * FROM v_schemas")
@@ -206,12 +206,12 @@ SCALET = "event_type IN ('RESIZING', 'UPSIZE_COMPLETED', 'NODES_LOST', 'AUTOSCAL
 CPU, MEM = "(CAST(cpu_user_percent AS DOUBLE) + CAST(cpu_system_percent AS DOUBLE))", "CAST(mem_used_percent AS DOUBLE)"
 UTIL = f"{r(f'AVG({CPU})', 1)} AS avg_cpu_pct, {r(f'MAX({CPU})', 1)} AS peak_cpu_pct, {r(f'AVG({MEM})', 1)} AS avg_mem_pct, {r(f'MAX({MEM})', 1)} AS peak_mem_pct, COUNT(DISTINCT node_id) AS node_count"
 DERIVED["cl_util"] = f"SELECT cluster_id, {UTIL}, COUNT(DISTINCT CAST(start_time AS DATE)) AS active_days FROM v_node_timeline WHERE {ts_within(7, 'start_time')} GROUP BY 1"
-oracle("cluster_events", "SELECT * FROM v_cl_events ORDER BY event_time DESC, cluster_id, event_type, workspace_id, event_ref LIMIT 5000")
+oracle("cluster_events", "SELECT * FROM v_cl_events")
 oracle("cluster_event_summary", f"SELECT cluster_id, event_type, COUNT(*) AS event_count, MIN(event_time) AS first_seen, MAX(event_time) AS last_seen FROM v_cluster_events WHERE {ets_within(30, 'event_time')} GROUP BY 1, 2")
 oracle("node_utilisation_daily", f"SELECT cluster_id, is_driver AS driver, CAST(start_time AS DATE) AS day, {UTIL} FROM v_node_timeline WHERE {ts_within(7, 'start_time')} GROUP BY 1, 2, 3")
-oracle("cluster_utilisation", "SELECT * FROM v_cl_util ORDER BY avg_cpu_pct DESC, cluster_id LIMIT 200")
-oracle("failure_events", f"SELECT * FROM v_cl_events WHERE {FAILT} ORDER BY event_time DESC, cluster_id, event_type, workspace_id, event_ref LIMIT 200")
-oracle("scale_events", f"SELECT * FROM v_cl_events WHERE {SCALET} ORDER BY event_time DESC, cluster_id, event_type, workspace_id, event_ref LIMIT 200")
+oracle("cluster_utilisation", "SELECT * FROM v_cl_util")
+oracle("failure_events", f"SELECT * FROM v_cl_events WHERE {FAILT}")
+oracle("scale_events", f"SELECT * FROM v_cl_events WHERE {SCALET}")
 oracle("cluster_event_types", "SELECT event_type, COUNT(*) AS event_count FROM v_cl_events GROUP BY 1")
 oracle("cluster_event_daily", "SELECT CAST(event_time AS DATE) AS day, COUNT(*) AS event_count FROM v_cl_events GROUP BY 1")
 oracle("busiest_clusters", "SELECT cluster_id, COUNT(*) AS total_events FROM v_cl_events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
@@ -232,7 +232,7 @@ DERIVED["dash_day"] = "SELECT CAST(event_time AS DATE) AS day, COUNT(*) AS event
 DERIVED["dash_top"] = f"SELECT {BOARD}, COUNT(*) AS views FROM v_dash GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"
 DERIVED["dash_users"] = f"SELECT {known('user_id')}, COUNT(*) AS event_count FROM v_dash GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"
 DERIVED["dash_types"] = "SELECT event_type, COUNT(*) AS event_count FROM v_dash GROUP BY 1"
-DERIVED["dash_inv"] = "SELECT dashboard_id, name AS dashboard_name, owner_username AS owner, created_time AS created_at, updated_time AS updated_at FROM v_dashboards ORDER BY updated_at DESC, dashboard_id LIMIT 500"
+DERIVED["dash_inv"] = "SELECT dashboard_id, name AS dashboard_name, owner_username AS owner, created_time AS created_at, updated_time AS updated_at FROM v_dashboards"
 oracle("private_endpoints", "SELECT * FROM v_pe")
 oracle("endpoint_status", f"SELECT {known('status')}, COUNT(*) AS row_count FROM v_pe GROUP BY 1")
 oracle("endpoints_by_workspace", f"SELECT {known('workspace_id')}, COUNT(*) AS row_count FROM v_pe GROUP BY 1")
@@ -247,11 +247,11 @@ oracle("platform_summary", "SELECT COUNT(*) AS dashboard_events, COUNT(DISTINCT
 DERIVED["lst"] = f"SELECT event_ref, listing_id, listing_name, event_type, event_time, consumer_workspace_id FROM v_listing_events WHERE {ets_within(90, 'event_time')}"
 DERIVED["cons"] = "SELECT * FROM v_consumer_listings"
 DERIVED["prov"] = "SELECT * FROM v_provider_listings"
-oracle("listing_events", "SELECT * FROM v_lst ORDER BY event_time DESC, event_ref LIMIT 2000")
+oracle("listing_events", "SELECT * FROM v_lst")
 oracle("listing_event_types", "SELECT event_type, COUNT(*) AS event_count FROM v_lst GROUP BY 1")
 oracle("listing_daily", "SELECT CAST(event_time AS DATE) AS day, COUNT(*) AS event_count FROM v_lst GROUP BY 1")
-oracle("consumer_listings", "SELECT * FROM v_cons ORDER BY installed_on DESC, listing_id LIMIT 500")
-oracle("provider_listings", "SELECT * FROM v_prov ORDER BY updated_at DESC, listing_id LIMIT 200")
+oracle("consumer_listings", "SELECT * FROM v_cons")
+oracle("provider_listings", "SELECT * FROM v_prov")
 oracle("top_providers", f"SELECT {known('provider_name')}, COUNT(*) AS listings FROM v_cons GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
 oracle("listing_types", f"SELECT {known('listing_type', 'UNKNOWN')}, COUNT(*) AS listings FROM v_cons GROUP BY 1")
 oracle("marketplace_summary", "SELECT COUNT(*) AS listing_events, COUNT(DISTINCT event_type) AS unique_event_types, (SELECT COUNT(*) FROM v_cons) AS consumer_listings, (SELECT COUNT(*) FROM v_prov) AS provider_listings, (SELECT COUNT(DISTINCT COALESCE(provider_name, 'unknown')) FROM v_cons) AS unique_providers FROM v_lst")
@@ -270,7 +270,7 @@ SELECT *, COALESCE({r('(total_cost_usd - prev_cost_usd) * 100 / NULLIF(prev_cost
 oracle("cloud_daily", f"SELECT usage_date, cloud_provider, {CC} FROM v_cloud_costs WHERE {CW} GROUP BY 1, 2")
 oracle("cloud_by_service", f"SELECT service_name, service_category, cloud_provider, {CC}, COUNT(DISTINCT account_id) AS account_count FROM v_cloud_costs WHERE {CW} GROUP BY 1, 2, 3 ORDER BY cost_usd DESC, service_name, service_category, cloud_provider LIMIT 20")
 oracle("cloud_by_account", f"SELECT cloud_provider, account_id, MAX(account_name) AS account_name, {CC}, COUNT(DISTINCT service_name) AS service_count, COUNT(DISTINCT region) AS region_count FROM v_cloud_costs WHERE {CW} GROUP BY 1, 2")
-oracle("cloud_by_region", f"SELECT cloud_provider, region, {CC} FROM v_cloud_costs WHERE {CW} GROUP BY 1, 2 ORDER BY cost_usd DESC, 1, 2 LIMIT 30")
+oracle("cloud_by_region", f"SELECT cloud_provider, region, {CC} FROM v_cloud_costs WHERE {CW} GROUP BY 1, 2")
 oracle("cloud_by_sku", f"""SELECT cloud_provider, service_name, service_category, sku_description, usage_unit, pricing_model, {r('SUM(usage_quantity)', 2)} AS total_quantity, {r('AVG(CAST(unit_price AS DOUBLE))', 8)} AS avg_unit_price, {CC}, COUNT(DISTINCT account_id) AS account_count
 FROM v_cloud_costs WHERE {CW} GROUP BY 1, 2, 3, 4, 5, 6 ORDER BY cost_usd DESC, 1, 2, 3, 4, 5, 6 LIMIT 30""")
 oracle("cloud_by_category", f"SELECT service_category, cloud_provider, {CC} FROM v_cloud_costs WHERE {CW} GROUP BY 1, 2")

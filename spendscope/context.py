@@ -46,9 +46,13 @@ class Ctx:
             (col >= F.lit(self.back(days, table))) & (col <= F.lit(self.day(table)))
         )
 
-    def recent_ts(self, table: str, ts_col: str, days: int) -> DataFrame:
-        """The same for a TIMESTAMP column; half-open at the end of today."""
-        return self.table(table).where(self.ts_within(table, ts_col, days))
+    def recent_ts(self, table: str, ts_col: str, days: int, date_col: str | None = None) -> DataFrame:
+        """The same for a TIMESTAMP column; half-open at the end of today.
+
+        ``date_col`` names the column with the timestamp's day, by which the table may be partitioned.
+        """
+        rows = self.table(table) if date_col is None else self.recent(table, date_col, days)
+        return rows.where(self.ts_within(table, ts_col, days))
 
     def ts_within(self, table: str, ts_col: str, days: int) -> Column:
         col = F.col(ts_col)

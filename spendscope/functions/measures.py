@@ -46,8 +46,13 @@ def hours_between(start: ColumnOrName, end: ColumnOrName) -> Column:
     return (F.unix_timestamp(col(end)) - F.unix_timestamp(col(start))) / F.lit(3600.0)
 
 
-def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """First ``n`` rows in ``order``; the remaining columns break ties so that the result is stable."""
+def top(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
+    """First ``n`` rows in ``order``; the remaining columns break ties so that the result is stable.
+
+    Without ``n`` all rows, in no order.
+    """
+    if n is None:
+        return df
     ties = [F.col(c).asc_nulls_last() for c, t in df.dtypes if not t.startswith(("map", "array", "struct"))]
     return df.orderBy(*order, *ties).limit(n)
 

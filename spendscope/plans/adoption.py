@@ -39,8 +39,8 @@ def _activity(ctx: Ctx) -> DataFrame:
 
 
 @report("user_activity")
-def user_activity(ctx: Ctx) -> DataFrame:
-    return top(_activity(ctx), 500, desc("action_count"))
+def user_activity(ctx: Ctx, n: int | None = None) -> DataFrame:
+    return top(_activity(ctx), n, desc("action_count"))
 
 
 @report("daily_active_users")
@@ -58,11 +58,11 @@ def service_breakdown(ctx: Ctx, exact: bool = True) -> DataFrame:
 
 
 @report("top_actions")
-def top_actions(ctx: Ctx, exact: bool = True) -> DataFrame:
+def top_actions(ctx: Ctx, exact: bool = True, n: int | None = 50) -> DataFrame:
     rows = _events(ctx, 30).groupBy("service_name", "action_name").agg(
         F.count("*").alias("action_count"), _users(exact, "unique_users")
     )
-    return top(rows, 50, desc("action_count"))
+    return top(rows, n, desc("action_count"))
 
 
 @report("user_top_service")

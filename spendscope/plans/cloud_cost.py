@@ -122,8 +122,8 @@ def cloud_by_account(ctx: Ctx, p: CloudFilter | None = None) -> DataFrame:
 
 
 @report("cloud_by_region")
-def cloud_by_region(ctx: Ctx, p: CloudFilter | None = None) -> DataFrame:
-    return top(cloud_filter(ctx, p).groupBy("cloud_provider", "region").agg(_cost()), 30, desc("cost_usd"))
+def cloud_by_region(ctx: Ctx, p: CloudFilter | None = None, n: int | None = None) -> DataFrame:
+    return top(cloud_filter(ctx, p).groupBy("cloud_provider", "region").agg(_cost()), n, desc("cost_usd"))
 
 
 @report("cloud_by_sku")

@@ -11,7 +11,6 @@ from spendscope.plans.registry import report
 
 EVENTS, NODES = "compute.cluster_events", "compute.node_timeline"
 LOOKBACK, NODE_LOOKBACK = 30, 7
-MAX_EVENTS = 5000
 
 # Event types by meaning.
 FAILURE_TYPES = ("FAILED", "ERROR", "DRIVER_NOT_FOUND", "DRIVER_UNAVAILABLE", "SPARK_ERROR")
@@ -25,9 +24,9 @@ def _events(ctx: Ctx) -> DataFrame:
 
 
 @report("cluster_events")
-def cluster_events(ctx: Ctx) -> DataFrame:
+def cluster_events(ctx: Ctx, n: int | None = None) -> DataFrame:
     """The latest events; the counts below are over all events of the window."""
-    return top(_events(ctx), MAX_EVENTS, desc("event_time"))
+    return top(_events(ctx), n, desc("event_time"))
 
 
 @report("cluster_event_summary")
@@ -72,8 +71,8 @@ def _cluster_utilisation(ctx: Ctx) -> DataFrame:
 
 
 @report("cluster_utilisation")
-def cluster_utilisation(ctx: Ctx) -> DataFrame:
-    return top(_cluster_utilisation(ctx), 200, desc("avg_cpu_pct"))
+def cluster_utilisation(ctx: Ctx, n: int | None = None) -> DataFrame:
+    return top(_cluster_utilisation(ctx), n, desc("avg_cpu_pct"))
 
 
 def _of_types(df: DataFrame, types: tuple[str, ...]) -> DataFrame:
@@ -81,13 +80,13 @@ def _of_types(df: DataFrame, types: tuple[str, ...]) -> DataFrame:
 
 
 @report("failure_events")
-def failure_events(ctx: Ctx) -> DataFrame:
-    return top(_of_types(_events(ctx), FAILURE_TYPES), 200, desc("event_time"))
+def failure_events(ctx: Ctx, n: int | None = None) -> DataFrame:
+    return top(_of_types(_events(ctx), FAILURE_TYPES), n, desc("event_time"))
 
 
 @report("scale_events")
-def scale_events(ctx: Ctx) -> DataFrame:
-    return top(_of_types(_events(ctx), SCALE_TYPES), 200, desc("event_time"))
+def scale_events(ctx: Ctx, n: int | None = None) -> DataFrame:
+    return top(_of_types(_events(ctx), SCALE_TYPES), n, desc("event_time"))
 
 
 @report("cluster_event_types")
@@ -101,8 +100,8 @@ def cluster_event_daily(ctx: Ctx) -> DataFrame:
 
 
 @report("busiest_clusters")
-def busiest_clusters(ctx: Ctx) -> DataFrame:
-    return top(_events(ctx).groupBy("cluster_id").agg(F.count("*").alias("total_events")), 50, desc("total_events"))
+def busiest_clusters(ctx: Ctx, n: int | None = 50) -> DataFrame:
+    return top(_events(ctx).groupBy("cluster_id").agg(F.count("*").alias("total_events")), n, desc("total_events"))
 
 
 @report("health_summary")

@@ -127,13 +127,13 @@ def _task_utilisation(ctx: Ctx) -> DataFrame:
 
 
 @report("node_task_utilisation")
-def node_task_utilisation(ctx: Ctx) -> DataFrame:
-    return top(_task_utilisation(ctx), 300, desc("total_node_hours"))
+def node_task_utilisation(ctx: Ctx, n: int | None = None) -> DataFrame:
+    return top(_task_utilisation(ctx), n, desc("total_node_hours"))
 
 
 @report("node_types")
-def node_types(ctx: Ctx) -> DataFrame:
-    return top(_hardware(ctx), 50, desc("memory_mb"))
+def node_types(ctx: Ctx, n: int | None = None) -> DataFrame:
+    return top(_hardware(ctx), n, desc("memory_mb"))
 
 
 def _hardware(ctx: Ctx) -> DataFrame:

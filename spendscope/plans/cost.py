@@ -82,11 +82,11 @@ def cost_by_product(ctx: Ctx, p: UsageFilter | None = None) -> DataFrame:
 
 
 @report("cost_by_workspace")
-def cost_by_workspace(ctx: Ctx, p: UsageFilter | None = None) -> DataFrame:
+def cost_by_workspace(ctx: Ctx, p: UsageFilter | None = None, n: int | None = 20) -> DataFrame:
     by_ws = _period(ctx, p).groupBy("workspace_id").agg(
         _units(), _cost(), F.count_distinct("sku_name").alias("product_count")
     )
-    return top(by_ws, 20, desc("units"))
+    return top(by_ws, n, desc("units"))
 
 
 # ---- one-day drill-down ----
@@ -143,9 +143,9 @@ def spike_by_product(ctx: Ctx, day: dt.date | None = None) -> DataFrame:
 
 
 @report("spike_top_resources")
-def spike_top_resources(ctx: Ctx, day: dt.date | None = None) -> DataFrame:
+def spike_top_resources(ctx: Ctx, day: dt.date | None = None, n: int | None = 30) -> DataFrame:
     """Top 30; usage without any resource id forms one row per SKU and workspace."""
-    best = top(_by_resource(_day_usage(ctx, day)), 30, desc("cost"))
+    best = top(_by_resource(_day_usage(ctx, day)), n, desc("cost"))
     return with_workspace(ctx, _with_path(best), "workspace_name", "resource_group").orderBy(desc("cost"))
 
 
@@ -162,21 +162,21 @@ def _job_rows(usage: DataFrame) -> DataFrame:
 
 
 @report("spike_by_job")
-def spike_by_job(ctx: Ctx, day: dt.date | None = None) -> DataFrame:
+def spike_by_job(ctx: Ctx, day: dt.date | None = None, n: int | None = None) -> DataFrame:
     """Top 100 job x workspace x SKU. The run ids themselves are the rows of ``spike_job_runs``."""
     rows = _job_rows(_day_usage(ctx, day)).groupBy("job_id", "workspace_id", "sku_name").agg(
         F.count_distinct("usage_metadata.job_run_id").alias("run_count"), _units(), _cost()
     )
-    named = with_workspace(ctx, _with_job_name(ctx, top(rows, 100, desc("cost"))), "workspace_name")
+    named = with_workspace(ctx, _with_job_name(ctx, top(rows, n, desc("cost"))), "workspace_name")
     return named.orderBy(desc("cost"), "job_id")
 
 
 @report("spike_job_runs")
-def spike_job_runs(ctx: Ctx, day: dt.date | None = None) -> DataFrame:
+def spike_job_runs(ctx: Ctx, day: dt.date | None = None, n: int | None = None) -> DataFrame:
     """One row per run of the jobs in ``spike_by_job``, so a job's run list never sits in one value."""
     usage = _job_rows(_day_usage(ctx, day))
     keys = ["job_id", "workspace_id", "sku_name"]
-    best = top(usage.groupBy(*keys).agg(_cost()), 100, desc("cost")).select(*keys)
+    best = top(usage.groupBy(*keys).agg(_cost()), n, desc("cost")).select(*keys)
     run = F.col("usage_metadata.job_run_id").alias("run_id")
     return usage.join(best, keys, "left_semi").groupBy(*keys, run).agg(_units(), _cost())
 
@@ -194,16 +194,16 @@ def spike_totals(ctx: Ctx, day: dt.date | None = None) -> DataFrame:
 
 
 @report("cost_by_tag")
-def cost_by_tag(ctx: Ctx, tag: str = TEAM_TAG, p: UsageFilter | None = None) -> DataFrame:
+def cost_by_tag(ctx: Ctx, tag: str = TEAM_TAG, p: UsageFilter | None = None, n: int | None = 20) -> DataFrame:
     value = F.col("custom_tags")[tag]
     rows = _period(ctx, p).where(value.isNotNull()).groupBy(value.alias("tag_value")).agg(
         _units(), _cost(), F.count_distinct("workspace_id").alias("workspace_count")
     )
-    return top(rows, 20, desc("units"))
+    return top(rows, n, desc("units"))
 
 
 @report("cost_by_tag_env")
-def cost_by_tag_env(ctx: Ctx, tag: str = TEAM_TAG, p: UsageFilter | None = None) -> DataFrame:
+def cost_by_tag_env(ctx: Ctx, tag: str = TEAM_TAG, p: UsageFilter | None = None, n: int | None = None) -> DataFrame:
     """Summed per workspace before the workspace's name is looked up, then per environment."""
     value = F.col("custom_tags")[tag]
     by_ws = _period(ctx, p).where(value.isNotNull()).groupBy(value.alias("tag_value"), "workspace_id").agg(
@@ -211,7 +211,7 @@ def cost_by_tag_env(ctx: Ctx, tag: str = TEAM_TAG, p: UsageFilter | None = None)
     )
     env = C.env_from_workspace(F.col("workspace_name")).alias("environment")
     rows = with_workspace(ctx, by_ws, "workspace_name").groupBy("tag_value", env).agg(_units(), _cost())
-    return top(rows, 200, desc("units"))
+    return top(rows, n, desc("units"))
 
 
 def _recent_usage(ctx: Ctx) -> DataFrame:
@@ -223,7 +223,6 @@ def tag_values(ctx: Ctx, tag: str = TEAM_TAG) -> DataFrame:
     value = F.col("custom_tags")[tag]
     return (
         _recent_usage(ctx).where(value.isNotNull() & (value != "")).select(value.alias("tag_value")).distinct()
-        .orderBy("tag_value").limit(100)
     )
 
 
@@ -294,9 +293,10 @@ def billing_snapshot(ctx: Ctx) -> DataFrame:
     )
 
 
-def warehouse_sessions(ctx: Ctx) -> DataFrame:
+def warehouse_sessions(ctx: Ctx, lookback: int = 365) -> DataFrame:
+    """The last session of each warehouse; one that began before the look-back starts with it."""
     warehouse = F.col("usage_metadata.warehouse_id")
-    usage = ctx.recent("billing.usage", "usage_date", 365).where(warehouse.isNotNull())
+    usage = ctx.recent("billing.usage", "usage_date", lookback).where(warehouse.isNotNull())
     return last_sessions(priced_usage(ctx, usage=usage).withColumn("warehouse_id", warehouse), "warehouse_id")
 
 
@@ -314,7 +314,7 @@ def session_row_counts(ctx: Ctx) -> DataFrame:
 
 
 @report("job_cost_30d")
-def job_cost_30d(ctx: Ctx) -> DataFrame:
+def job_cost_30d(ctx: Ctx, n: int | None = None) -> DataFrame:
     keys = ["job_id", "workspace_id", "sku_name"]
     run_days = _job_rows(priced_usage(ctx, 30)).groupBy(*keys, "usage_date", "usage_metadata.job_run_id").agg(
         F.sum("usage_quantity").alias("usage_quantity"), F.sum("cost").alias("cost"),
@@ -324,7 +324,7 @@ def job_cost_30d(ctx: Ctx) -> DataFrame:
         F.count_distinct("job_run_id").alias("run_count"), _units(), _cost(), F.min("_first").alias("first_run"),
         F.max("_last").alias("last_run"), F.count_distinct("usage_date").alias("active_days"),
     )
-    return with_workspace(ctx, _with_job_name(ctx, top(rows, 200, desc("cost"))), "workspace_name").orderBy(
+    return with_workspace(ctx, _with_job_name(ctx, top(rows, n, desc("cost"))), "workspace_name").orderBy(
         desc("cost"), "job_id"
     )
 

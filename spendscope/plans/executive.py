@@ -124,8 +124,8 @@ def _workspace_totals(ctx: Ctx) -> DataFrame:
 
 
 @report("top_workspaces")
-def top_workspaces(ctx: Ctx) -> DataFrame:
-    return top(_workspace_totals(ctx), 8, desc("cost"))
+def top_workspaces(ctx: Ctx, n: int | None = 8) -> DataFrame:
+    return top(_workspace_totals(ctx), n, desc("cost"))
 
 
 @report("join_workspace_dim")
@@ -178,9 +178,9 @@ def forecast_7d(ctx: Ctx, method: str = "mean") -> DataFrame:
 
 
 @report("pareto_top")
-def pareto_top(ctx: Ctx) -> DataFrame:
+def pareto_top(ctx: Ctx, n: int | None = 10) -> DataFrame:
     """The ten costliest workspaces with their rank."""
-    ten = top(_workspace_totals(ctx).select("workspace_id", "workspace_name", "cost"), 10, desc("cost"))
+    ten = top(_workspace_totals(ctx).select("workspace_id", "workspace_name", "cost"), n, desc("cost"))
     order = Window.orderBy(desc("cost"), "workspace_id")  # over ten rows
     return ten.withColumn("rank", F.row_number().over(order))
 
@@ -287,7 +287,7 @@ def _opportunity(df: DataFrame, category: str, basis: Column, rate: float, count
 
 @report("savings_interactive")
 def savings_interactive(ctx: Ctx) -> DataFrame:
-    """40 % of the 30 costliest all-purpose clusters that ran no job in the last week."""
+    """40 % of the all-purpose clusters that ran no job in the last week."""
     meta = F.col("usage_metadata")
     rows = (
         priced_usage(ctx, 7)
@@ -296,13 +296,13 @@ def savings_interactive(ctx: Ctx) -> DataFrame:
     )
     critical = F.when(F.col("estimated_saving") > 500, "critical").otherwise("warning")
     return _opportunity(
-        top(rows, 30, desc("cost")), "Interactive compute waste", F.sum("cost"), 0.4, F.count("*"), critical
+        rows, "Interactive compute waste", F.sum("cost"), 0.4, F.count("*"), critical
     )
 
 
 @report("savings_warehouse")
 def savings_warehouse(ctx: Ctx) -> DataFrame:
-    """25 % of the 20 costliest SQL warehouses in steady use."""
+    """25 % of the SQL warehouses in steady use."""
     wh = F.col("usage_metadata.warehouse_id")
     rows = (
         priced_usage(ctx, 30).where(F.col("sku_name").contains("SQL") & wh.isNotNull())
@@ -311,7 +311,7 @@ def savings_warehouse(ctx: Ctx) -> DataFrame:
         .where("active_days >= 5 AND cost > 50")
     )
     return _opportunity(
-        top(rows, 20, desc("cost")), "SQL Warehouse right-sizing", F.sum("cost"), 0.25, F.count("*"), F.lit("warning")
+        rows, "SQL Warehouse right-sizing", F.sum("cost"), 0.25, F.count("*"), F.lit("warning")
     )
 
 
@@ -444,7 +444,7 @@ def chargeback(ctx: Ctx) -> DataFrame:
 
 
 @report("infra_costs")
-def infra_costs(ctx: Ctx) -> DataFrame:
+def infra_costs(ctx: Ctx, n: int | None = None) -> DataFrame:
     code = F.col("billing_origin_product")
     by_ws = (
         priced_usage(ctx, 30).where(C.is_infra(code, F.col("usage_type")))
@@ -456,11 +456,11 @@ def infra_costs(ctx: Ctx) -> DataFrame:
     rows = with_workspace(ctx, by_ws, "workspace_name").groupBy(
         "infra_category", "usage_type", name.alias("workspace_name")
     ).agg(total("_u", 4).alias("units"), total("_c", 4).alias("cost"))
-    return top(rows, 200, desc("cost"))
+    return top(rows, n, desc("cost"))
 
 
 @report("sla_breaches")
-def sla_breaches(ctx: Ctx) -> DataFrame:
+def sla_breaches(ctx: Ctx, n: int | None = 50) -> DataFrame:
     """The 50 latest failed runs of jobs whose latest version is tagged as production."""
     jobs = latest_version(ctx.table("lakeflow.jobs"), ["workspace_id", "job_id"], drop_deleted=False)
     jobs = jobs.where(C.is_prod_tag()).select("workspace_id", "job_id", F.col("name").alias("job_name"))
@@ -471,7 +471,7 @@ def sla_breaches(ctx: Ctx) -> DataFrame:
                 F.col("period_start_time").alias("started_at"), F.col("period_end_time").alias("ended_at"),
                 rnd(minutes_between("period_start_time", "period_end_time"), 1).alias("duration_mins"))
     )
-    return top(rows, 50, desc("started_at"))
+    return top(rows, n, desc("started_at"))
 
 
 @report("governance_signals")

@@ -14,17 +14,16 @@ from spendscope.plans.registry import report
 
 AUDIT = "access.audit"
 LOOKBACK = 30
-MAX_EVENTS = 3000
 
 
 def _events(ctx: Ctx) -> DataFrame:
-    return ctx.recent_ts(AUDIT, "event_time", LOOKBACK).select(
+    return ctx.recent_ts(AUDIT, "event_time", LOOKBACK, "event_date").select(
         "event_id", "event_time", "workspace_id", "service_name", "action_name",
         F.coalesce("user_identity.email", F.lit("")).alias("actor"),
     )
 
 
-def _latest(df: DataFrame, n: int) -> DataFrame:
+def _latest(df: DataFrame, n: int | None) -> DataFrame:
     return top(df, n, desc("event_time"))
 
 
@@ -37,29 +36,29 @@ def _iam(ctx: Ctx) -> DataFrame:
 
 
 @report("iam_events")
-def iam_events(ctx: Ctx) -> DataFrame:
-    """The latest events; the counts below are over all events of the window."""
-    return _latest(_iam(ctx), MAX_EVENTS)
+def iam_events(ctx: Ctx, n: int | None = None) -> DataFrame:
+    """All events of the window, or the latest ``n``."""
+    return _latest(_iam(ctx), n)
 
 
 @report("sp_events")
-def sp_events(ctx: Ctx) -> DataFrame:
-    return _latest(_of(ctx, C.SP_ACTIONS), 500)
+def sp_events(ctx: Ctx, n: int | None = None) -> DataFrame:
+    return _latest(_of(ctx, C.SP_ACTIONS), n)
 
 
 @report("token_events")
-def token_events(ctx: Ctx) -> DataFrame:
-    return _latest(_of(ctx, C.TOKEN_ACTIONS), 1000)
+def token_events(ctx: Ctx, n: int | None = None) -> DataFrame:
+    return _latest(_of(ctx, C.TOKEN_ACTIONS), n)
 
 
 @report("group_events")
-def group_events(ctx: Ctx) -> DataFrame:
-    return _latest(_of(ctx, C.GROUP_ACTIONS), 1000)
+def group_events(ctx: Ctx, n: int | None = None) -> DataFrame:
+    return _latest(_of(ctx, C.GROUP_ACTIONS), n)
 
 
 @report("permission_events")
-def permission_events(ctx: Ctx) -> DataFrame:
-    return _latest(_of(ctx, C.PERMISSION_ACTIONS), 1000)
+def permission_events(ctx: Ctx, n: int | None = None) -> DataFrame:
+    return _latest(_of(ctx, C.PERMISSION_ACTIONS), n)
 
 
 @report("token_summary")
@@ -77,14 +76,14 @@ def group_summary(ctx: Ctx) -> DataFrame:
 
 
 @report("iam_top_actions")
-def iam_top_actions(ctx: Ctx) -> DataFrame:
-    return top(_iam(ctx).groupBy("action_name").agg(F.count("*").alias("event_count")), 20, desc("event_count"))
+def iam_top_actions(ctx: Ctx, n: int | None = 20) -> DataFrame:
+    return top(_iam(ctx).groupBy("action_name").agg(F.count("*").alias("event_count")), n, desc("event_count"))
 
 
 @report("iam_top_actors")
-def iam_top_actors(ctx: Ctx) -> DataFrame:
+def iam_top_actors(ctx: Ctx, n: int | None = 20) -> DataFrame:
     actor = F.coalesce(F.nullif("actor", F.lit("")), F.lit("unknown")).alias("actor")
-    return top(_iam(ctx).groupBy(actor).agg(F.count("*").alias("event_count")), 20, desc("event_count"))
+    return top(_iam(ctx).groupBy(actor).agg(F.count("*").alias("event_count")), n, desc("event_count"))
 
 
 @report("iam_daily")

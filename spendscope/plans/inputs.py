@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,6 @@ from spendscope.sources import ingest, permissions, quality
 from spendscope.sources.catalog import first_col, first_nonempty
 from spendscope.sources.sinks import COST_KEYS, shared_folder, upsert, upsert_partitions, write_partitioned
 
-CATALOG_SAMPLE = ("billing.usage", "access.audit", "lakeflow.jobs", "compute.clusters", "query.history")
 
 
 def _row_counts(ctx: Ctx, names, optional: bool = False) -> DataFrame:
@@ -29,8 +28,8 @@ def _row_counts(ctx: Ctx, names, optional: bool = False) -> DataFrame:
 
 @report("src_catalog")
 def src_catalog(ctx: Ctx) -> DataFrame:
-    """Rows of a few logical tables, each found through the catalog."""
-    return _row_counts(ctx, CATALOG_SAMPLE)
+    """Rows of every logical table that the catalog knows."""
+    return _row_counts(ctx, ctx.catalog.names())
 
 
 @report("src_missing_empty")
@@ -63,15 +62,13 @@ def _stamp(ctx: Ctx) -> str:
     return f"{ctx.day()} 06:00:00"
 
 
-LOADED = ("azure", "aws", "gcp")
-
-
-def unified_export(ctx: Ctx, provider: str) -> DataFrame:
+def unified_export(ctx: Ctx, provider: str, accounts: Sequence[str] = ()) -> DataFrame:
+    """All rows of a provider's export, or those of ``accounts`` (AWS) or projects (GCP)."""
     if provider == "azure":
         return ingest.normalize_azure(ctx.table("platform.azure_export"), _stamp(ctx))
     if provider == "aws":
-        return ingest.normalize_aws(ctx.table("platform.aws_export"), _stamp(ctx), ("acct-1", "acct-2", "acct-5"))
-    return ingest.normalize_gcp(ctx.table("platform.gcp_export"), _stamp(ctx))
+        return ingest.normalize_aws(ctx.table("platform.aws_export"), _stamp(ctx), accounts)
+    return ingest.normalize_gcp(ctx.table("platform.gcp_export"), _stamp(ctx), accounts)
 
 
 def _export_totals(df: DataFrame, *keys: str) -> DataFrame:
@@ -112,14 +109,22 @@ def ingest_cast(ctx: Ctx) -> DataFrame:
     )
 
 
-def _keyed_costs(ctx: Ctx, days: int) -> DataFrame:
-    """Unified costs of the last days, one row per merge key."""
-    rows = ctx.recent("platform.cloud_costs", "usage_date", days)
-    return rows.groupBy(*COST_KEYS).agg(
+def _keyed_costs(costs: DataFrame) -> DataFrame:
+    """Unified costs, one row per merge key."""
+    return costs.groupBy(*COST_KEYS).agg(
         F.sum("cost_usd").cast("decimal(18,4)").alias("cost_usd"), F.count("*").cast("bigint").alias("row_count")
     )
 
 
+MONTHLY = ("cloud_provider", "usage_month")
+MONTHLY_KEYS = (*COST_KEYS, "usage_month")
+
+
+def by_month(costs: DataFrame) -> DataFrame:
+    """With the month to partition by: years of small days would make thousands of folders."""
+    return costs.withColumn("usage_month", F.trunc("usage_date", "month"))
+
+
 def _cost_totals(df: DataFrame) -> DataFrame:
     return df.groupBy("cloud_provider", "usage_date").agg(
         F.count("*").alias("row_count"), total("cost_usd").alias("cost_usd")
@@ -128,26 +133,26 @@ def _cost_totals(df: DataFrame) -> DataFrame:
 
 def _correction(ctx: Ctx) -> DataFrame:
     """A reload of the last three days at twice the cost, with a new account in one place."""
-    rows = _keyed_costs(ctx, 2).withColumn("cost_usd", (F.col("cost_usd") * 2).cast("decimal(18,4)"))
+    rows = _keyed_costs(ctx.recent("platform.cloud_costs", "usage_date", 2)).withColumn("cost_usd", (F.col("cost_usd") * 2).cast("decimal(18,4)"))
     fresh = rows.where(F.col("account_id") == "acct-1").withColumn("account_id", F.lit("acct-new"))
     return rows.unionByName(fresh)
 
 
 @report("sink_partitioned")
 def sink_partitioned(ctx: Ctx) -> DataFrame:
-    """Costs written by provider and day, then read back for one provider."""
+    """Costs written by provider and month, then read back."""
     path = shared_folder(ctx.spark, "cloud-costs")
-    write_partitioned(_keyed_costs(ctx, 30), path)
-    return _cost_totals(ctx.spark.read.parquet(path).where(F.col("cloud_provider") == "aws"))
+    write_partitioned(by_month(_keyed_costs(ctx.table("platform.cloud_costs"))), path, MONTHLY)
+    return _cost_totals(ctx.spark.read.parquet(path))
 
 
 @report("upsert_cloud_costs")
 def upsert_cloud_costs(ctx: Ctx) -> DataFrame:
     """Totals after merging the correction into the table, twice: the second load changes nothing."""
     path = shared_folder(ctx.spark, "cloud-costs")
-    write_partitioned(_keyed_costs(ctx, 30), path)
+    write_partitioned(by_month(_keyed_costs(ctx.table("platform.cloud_costs"))), path, MONTHLY)
     for _ in range(2):
-        upsert_partitions(ctx.spark, path, _correction(ctx))
+        upsert_partitions(ctx.spark, path, by_month(_correction(ctx)), MONTHLY_KEYS, MONTHLY)
     return _cost_totals(ctx.spark.read.parquet(path))
 
 
@@ -231,9 +236,7 @@ def unpriced_usage(ctx: Ctx) -> DataFrame:
 
 @report("join_effective_price")
 def join_effective_price(ctx: Ctx) -> DataFrame:
-    """Usage around the change of prices, per SKU, cloud and price in force."""
-    first, last = dt.date(1998, 12, 1), dt.date(1999, 1, 31)
-    usage = ctx.table("billing.usage").where((F.col("usage_date") >= F.lit(first)) & (F.col("usage_date") <= F.lit(last)))
-    return priced_usage(ctx, usage=usage).groupBy("sku_name", "cloud", rnd("price", 6).alias("price")).agg(
+    """Usage per SKU, cloud and price in force."""
+    return priced_usage(ctx, usage=ctx.table("billing.usage")).groupBy("sku_name", "cloud", rnd("price", 6).alias("price")).agg(
         F.count("*").alias("row_count"), total("usage_quantity").alias("units"), total("cost").alias("cost")
     )

@@ -55,9 +55,9 @@ def _job_stats(ctx: Ctx) -> DataFrame:
 
 
 @report("job_runs")
-def job_runs(ctx: Ctx) -> DataFrame:
+def job_runs(ctx: Ctx, n: int | None = None) -> DataFrame:
     """Top 500 by failures; ``last_result`` is the state of the run that ended last."""
-    return top(_job_stats(ctx), 500, desc("failed_count"), desc("total_runs"))
+    return top(_job_stats(ctx), n, desc("failed_count"), desc("total_runs"))
 
 
 @report("join_prod_inner")
@@ -91,13 +91,13 @@ def _job_names(ctx: Ctx) -> DataFrame:
 
 
 @report("top_failures")
-def top_failures(ctx: Ctx) -> DataFrame:
+def top_failures(ctx: Ctx, n: int | None = 50) -> DataFrame:
     """The 50 latest failures."""
     rows = _runs(ctx, "lakeflow.job_run_timeline").where(F.col("result_state").isin(*JOB_FAILED)).select(
         "run_id", "job_id", "workspace_id", "workspace_name", "result_state",
         F.col("period_start_time").alias("started_at"), rnd(_minutes(), 1).alias("duration_min"),
     )
-    return top(rows, 50, desc("started_at"))
+    return top(rows, n, desc("started_at"))
 
 
 @report("join_job_inventory")
@@ -108,13 +108,13 @@ def join_job_inventory(ctx: Ctx) -> DataFrame:
 
 
 @report("pipeline_runs")
-def pipeline_runs(ctx: Ctx) -> DataFrame:
+def pipeline_runs(ctx: Ctx, n: int | None = None) -> DataFrame:
     done = F.when(F.col("result_state") == "COMPLETED", _minutes())
     rows = _pipeline_runs(ctx).groupBy("pipeline_id", "workspace_id", "workspace_name").agg(
         F.count_distinct("update_id").alias("total_runs"), *_outcomes("COMPLETED", PIPELINE_FAILED),
         rnd(F.avg(done), 1).alias("avg_duration_min"), F.max("period_end_time").alias("last_run_at"),
     )
-    best = top(rows, 200, desc("failed_count"))
+    best = top(rows, n, desc("failed_count"))
     named = best.join(_pipelines_inventory(ctx).select("workspace_id", "pipeline_id", "pipeline_name"), ["workspace_id", "pipeline_id"], "left")
     return named.withColumn("success_rate", share_pct("success_count", "total_runs"))
 
@@ -146,8 +146,8 @@ def combined_sla(ctx: Ctx) -> DataFrame:
 @report("job_task_counts")
 def job_task_counts(ctx: Ctx) -> DataFrame:
     """Distinct live tasks per job and workspace."""
-    tasks = prod_only(ctx, ctx.table("lakeflow.job_tasks").where(F.col("delete_time").isNull()))
-    return tasks.groupBy("workspace_id", "job_id").agg(F.count_distinct("task_key").alias("task_count"))
+    live = latest_version(ctx.table("lakeflow.job_tasks"), ["workspace_id", "job_id", "task_key"])
+    return prod_only(ctx, live).groupBy("workspace_id", "job_id").agg(F.count("*").alias("task_count"))
 
 
 def _task_runs(ctx: Ctx) -> DataFrame:
@@ -155,14 +155,14 @@ def _task_runs(ctx: Ctx) -> DataFrame:
 
 
 @report("task_bottlenecks")
-def task_bottlenecks(ctx: Ctx) -> DataFrame:
+def task_bottlenecks(ctx: Ctx, n: int | None = None) -> DataFrame:
     rows = _task_runs(ctx).groupBy(
         "job_id", "task_key", "workspace_id", "workspace_name"
     ).agg(
         F.count("*").alias("run_count"), *_outcomes("SUCCEEDED", JOB_FAILED),
         rnd(F.avg(_minutes()), 1).alias("avg_duration_min"), rnd(F.max(_minutes()), 1).alias("max_duration_min"),
     )
-    best = top(rows, 200, desc("avg_duration_min"))
+    best = top(rows, n, desc("avg_duration_min"))
     return best.join(_job_names(ctx), ["workspace_id", "job_id"], "left")
 
 
@@ -181,14 +181,14 @@ def pipelines_inventory(ctx: Ctx) -> DataFrame:
 
 
 @report("pipeline_updates")
-def pipeline_updates(ctx: Ctx) -> DataFrame:
+def pipeline_updates(ctx: Ctx, n: int | None = None) -> DataFrame:
     rows = _pipeline_runs(ctx).select(
         "update_id", "pipeline_id", "workspace_id", "workspace_name", F.col("result_state").alias("state"),
         rnd(_minutes(), 1).alias("duration_min"), F.col("period_start_time").alias("started_at"),
         F.col("period_end_time").alias("ended_at"),
     )
     names = _pipelines_inventory(ctx).select("workspace_id", "pipeline_id", "pipeline_name")
-    return top(rows, 300, desc("started_at")).join(names, ["workspace_id", "pipeline_id"], "left")
+    return top(rows, n, desc("started_at")).join(names, ["workspace_id", "pipeline_id"], "left")
 
 
 @report("job_report")

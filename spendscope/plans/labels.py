@@ -51,8 +51,8 @@ def filter_tag(ctx: Ctx) -> DataFrame:
     )
 
 
-def _recent(ctx: Ctx) -> DataFrame:
-    return ctx.recent("billing.usage", "usage_date", 30)
+def _usage(ctx: Ctx) -> DataFrame:
+    return ctx.table("billing.usage")
 
 
 def _label_counts(df: DataFrame, key: str, label: Column, name: str) -> DataFrame:
@@ -61,39 +61,39 @@ def _label_counts(df: DataFrame, key: str, label: Column, name: str) -> DataFram
 
 @report("product_category")
 def product_category(ctx: Ctx) -> DataFrame:
-    return _label_counts(_recent(ctx), "sku_name", C.product_category(F.col("sku_name")), "product_category")
+    return _label_counts(_usage(ctx), "sku_name", C.product_category(F.col("sku_name")), "product_category")
 
 
 @report("product_category_fine")
 def product_category_fine(ctx: Ctx) -> DataFrame:
-    return _label_counts(_recent(ctx), "sku_name", C.product_category_fine(F.col("sku_name")), "product_category")
+    return _label_counts(_usage(ctx), "sku_name", C.product_category_fine(F.col("sku_name")), "product_category")
 
 
 @report("origin_product_label")
 def origin_product_label(ctx: Ctx) -> DataFrame:
     code = "billing_origin_product"
-    return _label_counts(_recent(ctx), code, C.origin_product_label(F.col(code)), "label")
+    return _label_counts(_usage(ctx), code, C.origin_product_label(F.col(code)), "label")
 
 
 @report("infra_category")
 def infra_category(ctx: Ctx) -> DataFrame:
     code = "billing_origin_product"
-    return _label_counts(_recent(ctx), code, C.infra_category(F.col(code)), "label")
+    return _label_counts(_usage(ctx), code, C.infra_category(F.col(code)), "label")
 
 
 @report("resource_type")
 def resource_type(ctx: Ctx) -> DataFrame:
-    return _label_counts(_recent(ctx), "sku_name", C.resource_type(F.col("sku_name")), "resource_type")
+    return _label_counts(_usage(ctx), "sku_name", C.resource_type(F.col("sku_name")), "resource_type")
 
 
 @report("resource_id")
 def resource_id(ctx: Ctx) -> DataFrame:
-    return _recent(ctx).groupBy(C.resource_id().alias("resource_id")).agg(F.count("*").alias("row_count"))
+    return _usage(ctx).groupBy(C.resource_id().alias("resource_id")).agg(F.count("*").alias("row_count"))
 
 
 @report("tag_alias")
 def tag_alias(ctx: Ctx) -> DataFrame:
-    return _recent(ctx).groupBy(
+    return _usage(ctx).groupBy(
         C.tag_alias("product").alias("product_tag"), C.tag_alias("environment").alias("env_tag"),
         C.tag_alias("subscription").alias("subscription_tag"), C.tag_alias("resource_group").alias("resource_group_tag"),
     ).agg(F.count("*").alias("row_count"))
@@ -117,7 +117,7 @@ def env_from_workspace(ctx: Ctx) -> DataFrame:
 @report("prod_workspace_filter")
 def prod_workspace_filter(ctx: Ctx) -> DataFrame:
     prod = ctx.table("access.workspaces_latest").where(C.is_prod_name(F.col("workspace_name"))).select("workspace_id")
-    return _units_by_workspace(_recent(ctx).join(prod, "workspace_id", "left_semi"))
+    return _units_by_workspace(_usage(ctx).join(prod, "workspace_id", "left_semi"))
 
 
 @report("prod_tag_filter")
@@ -130,7 +130,7 @@ def prod_tag_filter(ctx: Ctx) -> DataFrame:
 @report("resource_path")
 def resource_path(ctx: Ctx) -> DataFrame:
     ids = [F.col(f"usage_metadata.{i}").alias(i) for i in ID_FIELDS]
-    rows = _recent(ctx).select("sku_name", *ids).distinct()
+    rows = _usage(ctx).select("sku_name", *ids).distinct()
     return rows.withColumn("ui_path", C.resource_path(C.product_category_fine(F.col("sku_name"))))
 
 
@@ -160,7 +160,7 @@ def subscription_name(ctx: Ctx) -> DataFrame:
     names = ctx.table("access.workspaces_latest").where(F.col("subscription_id") != "sub-3").groupBy(
         F.lower("subscription_id").alias("_id")
     ).agg(F.concat(F.lit("Subscription of "), F.min("workspace_name")).alias("_name"))
-    usage = _recent(ctx).groupBy("workspace_id").agg(F.sum("usage_quantity").alias("_u"))
+    usage = _usage(ctx).groupBy("workspace_id").agg(F.sum("usage_quantity").alias("_u"))
     ids = ctx.table("access.workspaces_latest").select("workspace_id", F.upper("subscription_id").alias("subscription_id"))
     rows = usage.join(ids, "workspace_id").groupBy("subscription_id").agg(total("_u").alias("units"))
     return rows.join(names, F.lower("subscription_id") == F.col("_id"), "left").select(
@@ -170,13 +170,13 @@ def subscription_name(ctx: Ctx) -> DataFrame:
 
 @report("ai_sku_filter")
 def ai_sku_filter(ctx: Ctx) -> DataFrame:
-    return _label_counts(_recent(ctx), "sku_name", C.is_ai_sku(F.col("sku_name")), "is_ai")
+    return _label_counts(_usage(ctx), "sku_name", C.is_ai_sku(F.col("sku_name")), "is_ai")
 
 
 @report("infra_filter")
 def infra_filter(ctx: Ctx) -> DataFrame:
     infra = C.is_infra(F.col("billing_origin_product"), F.col("usage_type")).alias("is_infra")
-    return _recent(ctx).groupBy("usage_type", infra).agg(F.count("*").alias("row_count"))
+    return _usage(ctx).groupBy("usage_type", infra).agg(F.count("*").alias("row_count"))
 
 
 @report("iam_filter")

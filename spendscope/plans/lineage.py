@@ -25,13 +25,13 @@ def table_lineage_edges(ctx: Ctx) -> DataFrame:
 
 
 @report("column_lineage")
-def column_lineage(ctx: Ctx) -> DataFrame:
+def column_lineage(ctx: Ctx, n: int | None = None) -> DataFrame:
     """The 5000 latest column events."""
     rows = ctx.recent_ts("access.column_lineage", "event_time", LOOKBACK).select(
         "source_catalog", "source_schema", "source_table", "source_column", "target_catalog", "target_schema",
         "target_table", "target_column", "event_time",
     )
-    return top(rows, 5000, desc("event_time"))
+    return top(rows, n, desc("event_time"))
 
 
 @report("lineage_tables")
@@ -88,21 +88,21 @@ def serving_summary(ctx: Ctx) -> DataFrame:
 
 
 @report("ml_experiments")
-def ml_experiments(ctx: Ctx) -> DataFrame:
+def ml_experiments(ctx: Ctx, n: int | None = None) -> DataFrame:
     rows = ctx.table("mlflow.experiments_latest").select(
         "experiment_id", F.col("name").alias("experiment_name"), "lifecycle_stage",
         F.timestamp_millis("creation_time").alias("created_at"), F.timestamp_millis("last_update_time").alias("updated_at"),
     )
-    return top(rows, 200, desc("updated_at"))
+    return top(rows, n, desc("updated_at"))
 
 
 @report("ml_models")
-def ml_models(ctx: Ctx) -> DataFrame:
+def ml_models(ctx: Ctx, n: int | None = None) -> DataFrame:
     rows = ctx.table("mlflow.registered_models_latest").select(
         F.col("name").alias("model_name"), F.timestamp_millis("creation_timestamp").alias("created_at"),
         F.timestamp_millis("last_updated_timestamp").alias("updated_at"), F.col("user_id").alias("owner"),
     )
-    return top(rows, 200, desc("updated_at"))
+    return top(rows, n, desc("updated_at"))
 
 
 def _ml_runs(ctx: Ctx) -> DataFrame:
@@ -110,12 +110,12 @@ def _ml_runs(ctx: Ctx) -> DataFrame:
 
 
 @report("ml_runs")
-def ml_runs(ctx: Ctx) -> DataFrame:
+def ml_runs(ctx: Ctx, n: int | None = None) -> DataFrame:
     rows = _ml_runs(ctx).select(
         "run_id", "experiment_id", "status", F.col("start_time").alias("started_at"), F.col("end_time").alias("ended_at"),
         F.col("user_id").alias("user_email"),
     )
-    return top(rows, 2000, desc("started_at"))
+    return top(rows, n, desc("started_at"))
 
 
 @report("ml_runs_summary")

@@ -20,9 +20,9 @@ def _events(ctx: Ctx) -> DataFrame:
 
 
 @report("listing_events")
-def listing_events(ctx: Ctx) -> DataFrame:
+def listing_events(ctx: Ctx, n: int | None = None) -> DataFrame:
     """The 2000 latest events; the counts below are over all events of the window."""
-    return top(_events(ctx), 2000, desc("event_time"))
+    return top(_events(ctx), n, desc("event_time"))
 
 
 @report("listing_event_types")
@@ -36,24 +36,24 @@ def listing_daily(ctx: Ctx) -> DataFrame:
 
 
 @report("consumer_listings")
-def consumer_listings(ctx: Ctx) -> DataFrame:
+def consumer_listings(ctx: Ctx, n: int | None = None) -> DataFrame:
     rows = ctx.table("marketplace.consumer_listings").select(
         "listing_id", "listing_name", "provider_name", "status", "listing_type", "installed_on", "installed_catalog"
     )
-    return top(rows, 500, desc("installed_on"))
+    return top(rows, n, desc("installed_on"))
 
 
 @report("provider_listings")
-def provider_listings(ctx: Ctx) -> DataFrame:
+def provider_listings(ctx: Ctx, n: int | None = None) -> DataFrame:
     rows = ctx.table("marketplace.provider_listings").select(
         "listing_id", "listing_name", "status", "listing_type", "created_at", "updated_at"
     )
-    return top(rows, 200, desc("updated_at"))
+    return top(rows, n, desc("updated_at"))
 
 
 @report("top_providers")
-def top_providers(ctx: Ctx) -> DataFrame:
-    return top(counts(ctx.table("marketplace.consumer_listings"), known("provider_name"), "listings"), 15, desc("listings"))
+def top_providers(ctx: Ctx, n: int | None = 15) -> DataFrame:
+    return top(counts(ctx.table("marketplace.consumer_listings"), known("provider_name"), "listings"), n, desc("listings"))
 
 
 @report("listing_types")

@@ -64,13 +64,13 @@ def dashboard_daily(ctx: Ctx) -> DataFrame:
 
 
 @report("top_dashboards")
-def top_dashboards(ctx: Ctx) -> DataFrame:
-    return top(counts(_dashboard_events(ctx), _board(), "views"), 20, desc("views"))
+def top_dashboards(ctx: Ctx, n: int | None = 20) -> DataFrame:
+    return top(counts(_dashboard_events(ctx), _board(), "views"), n, desc("views"))
 
 
 @report("top_dashboard_users")
-def top_dashboard_users(ctx: Ctx) -> DataFrame:
-    return top(counts(_dashboard_events(ctx), known("user_id"), "event_count"), 20, desc("event_count"))
+def top_dashboard_users(ctx: Ctx, n: int | None = 20) -> DataFrame:
+    return top(counts(_dashboard_events(ctx), known("user_id"), "event_count"), n, desc("event_count"))
 
 
 @report("dashboard_event_types")
@@ -92,12 +92,12 @@ def dashboard_usage(ctx: Ctx) -> DataFrame:
 
 
 @report("dashboard_inventory")
-def dashboard_inventory(ctx: Ctx) -> DataFrame:
+def dashboard_inventory(ctx: Ctx, n: int | None = None) -> DataFrame:
     rows = ctx.table("dashboards.dashboards").select(
         "dashboard_id", F.col("name").alias("dashboard_name"), F.col("owner_username").alias("owner"),
         F.col("created_time").alias("created_at"), F.col("updated_time").alias("updated_at"),
     )
-    return top(rows, 500, desc("updated_at"))
+    return top(rows, n, desc("updated_at"))
 
 
 @report("alert_states")

@@ -58,9 +58,9 @@ def _user_stats(ctx: Ctx) -> DataFrame:
 
 
 @report("query_user_stats")
-def query_user_stats(ctx: Ctx) -> DataFrame:
+def query_user_stats(ctx: Ctx, n: int | None = None) -> DataFrame:
     """Top 200 users by data read, interactive statements only."""
-    return top(_user_stats(ctx), 200, desc("gb_90d"))
+    return top(_user_stats(ctx), n, desc("gb_90d"))
 
 
 @report("query_daily_trend")
@@ -102,11 +102,11 @@ def _warehouse_costs(ctx: Ctx) -> DataFrame:
 
 
 @report("top_expensive_queries")
-def top_expensive_queries(ctx: Ctx) -> DataFrame:
+def top_expensive_queries(ctx: Ctx, n: int | None = 50) -> DataFrame:
     rows = _history(ctx).where(F.col("read_bytes") > 0).select(
         *_statement(rnd(F.col("read_rows").cast("double") / 1_000_000, 2).alias("m_rows_read"))
     )
-    return _priced_statements(ctx, top(rows, 50, desc("read_bytes"))).orderBy(desc("gb_scanned"))
+    return _priced_statements(ctx, top(rows, n, desc("read_bytes"))).orderBy(desc("gb_scanned"))
 
 
 def _slow(ctx: Ctx) -> DataFrame:
@@ -114,9 +114,9 @@ def _slow(ctx: Ctx) -> DataFrame:
 
 
 @report("slow_queries")
-def slow_queries(ctx: Ctx) -> DataFrame:
+def slow_queries(ctx: Ctx, n: int | None = 50) -> DataFrame:
     rows = _slow(ctx).select(*_statement())
-    return _priced_statements(ctx, top(rows, 50, desc("total_duration_ms"))).orderBy(desc("duration_sec"))
+    return _priced_statements(ctx, top(rows, n, desc("total_duration_ms"))).orderBy(desc("duration_sec"))
 
 
 @report("query_cost_estimate")
@@ -195,11 +195,11 @@ def user_cost_attribution(ctx: Ctx) -> DataFrame:
 
 
 @report("warehouse_events")
-def warehouse_events(ctx: Ctx) -> DataFrame:
+def warehouse_events(ctx: Ctx, n: int | None = None) -> DataFrame:
     rows = ctx.recent_ts("compute.warehouse_events", "event_time", 7).select(
         "warehouse_id", "event_time", "event_type", "cluster_count"
     )
-    best = top(rows, 500, desc("event_time"))
+    best = top(rows, n, desc("event_time"))
     return with_workspace(ctx, best.join(warehouse_workspace(ctx), "warehouse_id", "left"), "workspace_name")
 
 

@@ -17,14 +17,14 @@ def _ops(ctx: Ctx) -> DataFrame:
 
 
 @report("optimization_ops")
-def optimization_ops(ctx: Ctx) -> DataFrame:
+def optimization_ops(ctx: Ctx, n: int | None = None) -> DataFrame:
     """The 500 latest operations; the counts below are over all of the window."""
     rows = _ops(ctx).select(
         "catalog_name", "schema_name", "table_name", "operation_type", "operation_status",
         F.col("start_time").alias("started_at"), rnd(minutes_between("start_time", "end_time"), 1).alias("duration_min"),
         "operation_id",
     )
-    return top(rows, 500, desc("started_at"))
+    return top(rows, n, desc("started_at"))
 
 
 @report("optimization_summary")

@@ -9,7 +9,7 @@ from spendscope.context import Ctx
 from spendscope.functions.measures import rnd
 from spendscope.operators.pricing import join_effective_price
 from spendscope.plans.alerts import HISTORY_DAYS, daily_spikes
-from spendscope.plans.inputs import _cost_totals, _keyed_costs
+from spendscope.plans.inputs import MONTHLY, _cost_totals, _keyed_costs, by_month
 from spendscope.plans.registry import report
 from spendscope.sources.sinks import COST_KEYS, shared_folder, write_partitioned
 from spendscope.streaming import operators as S
@@ -59,15 +59,15 @@ def stream_spend_alerts(ctx: Ctx) -> DataFrame:
 
 @report("stream_upsert_costs")
 def stream_upsert_costs(ctx: Ctx) -> DataFrame:
-    """A stored month of costs, then the last three days arriving again as a stream."""
+    """All stored costs, then the last three days arriving again as a stream."""
     base = shared_folder(ctx.spark, "stream-costs")
-    write_partitioned(_keyed_costs(ctx, 30), f"{base}/table")
+    write_partitioned(by_month(_keyed_costs(ctx.table("platform.cloud_costs"))), f"{base}/table", MONTHLY)
 
     def keyed(batch: DataFrame) -> DataFrame:
-        return batch.groupBy(*COST_KEYS).agg(
+        return by_month(batch.groupBy(*COST_KEYS).agg(
             (F.sum("cost_usd") * 2).cast("decimal(18,4)").alias("cost_usd"), F.count("*").alias("row_count")
-        )
+        ))
 
-    writer = R.upsert_writer(f"{base}/table", keyed)
+    writer = R.upsert_writer(f"{base}/table", f"{base}/arrived", keyed, partitions=MONTHLY)
     R.run_available(_recent(ctx, "platform.cloud_costs", 2), f"{base}/checkpoint", writer, mode="append")
     return _cost_totals(ctx.spark.read.parquet(f"{base}/table"))

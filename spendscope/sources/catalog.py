@@ -54,6 +54,10 @@ class Catalog:
             return posixpath.join(base, table) if "/" in base else f"{base}.{table}"
         return posixpath.join(self._root, area, table) if self._root else name
 
+    def names(self) -> list[str]:
+        """The logical tables with an entry of their own."""
+        return sorted(self._locations)
+
     def table(self, name: str, optional: bool = False) -> DataFrame:
         """The frame behind ``name``; when ``optional``, an absent input is an empty typed frame."""
         where = self.resolve(name)

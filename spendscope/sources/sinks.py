@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_LISTED = 5000  # partitions named in a filter
+SHARED_DIR = "spendscope.shared.dir"
 COST_PARTITIONS = ("cloud_provider", "usage_date")
 COST_KEYS = (
     "cloud_provider", "account_id", "usage_date", "service_name", "sku_description", "region", "resource_group",
@@ -17,11 +16,13 @@ COST_KEYS = (
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the one the session names in spark.checkpoint.dir.
+    """A fresh folder below the one the session names in spark.checkpoint.dir, else in spendscope.shared.dir.
 
-    Where that is unset, as in local tests, a temporary folder takes its place.
+    It must be one that driver and executors share; without it there is nowhere to keep intermediate tables.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spendscope-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SHARED_DIR, None)
+    if not base:
+        raise ValueError(f"set spark.checkpoint.dir, or {SHARED_DIR} in the session, to a shared folder")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -37,7 +38,7 @@ def write_partitioned(df: DataFrame, path: str, partitions: Sequence[str] = COST
     )
 
 
-def _match(keys: Sequence[str], left: str, right: str):
+def matching(keys: Sequence[str], left: str, right: str):
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
@@ -47,53 +48,46 @@ def _match(keys: Sequence[str], left: str, right: str):
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], deletes: DataFrame | None = None) -> DataFrame:
     """``target`` with rows of equal key replaced by ``source``, other source rows added, deletes gone.
 
-    NULL keys match NULL keys, so loading the same rows again changes nothing.
+    NULL keys match NULL keys, so loading the same rows again changes nothing. ``source`` has one row per
+    key: ``check_unique`` tells.
     """
     gone = source.select(*keys) if deletes is None else source.select(*keys).unionByName(deletes.select(*keys))
-    kept = target.alias("t").join(gone.distinct().alias("s"), _match(keys, "t", "s"), "left_anti")
+    kept = target.alias("t").join(gone.distinct().alias("s"), matching(keys, "t", "s"), "left_anti")
     return kept.select(*target.columns).unionByName(source.select(*target.columns))
 
 
+def check_unique(df: DataFrame, keys: Sequence[str]) -> None:
+    twice = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys).first()
+    if twice:
+        raise ValueError(f"more than one row for {twice.asDict()}")
+
+
 def upsert_partitions(
     spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str] = COST_KEYS,
     partitions: Sequence[str] = COST_PARTITIONS,
 ) -> None:
     """Upsert into a partitioned table by reading and rewriting only the partitions that ``source`` touches.
 
-    The values of up to MAX_LISTED touched partitions become a filter, so that other folders are not even
-    listed for reading; beyond that a semi-join finds the affected rows. The source is used three times and
-    therefore kept for the duration.
+    A semi-join on the partition columns finds the stored rows; as a plain equality it lets Spark prune the
+    partitions that are read, and NULL partition values are matched beside it. Rows of a key stay in one
+    partition, so the partition columns must be among the keys. The source must have one row per key; it is
+    used several times and therefore kept for the duration.
     """
+    if not set(partitions) <= set(keys):
+        raise ValueError("the partition columns must be among the keys")
     stored = spark.read.schema(source.schema).parquet(path)
     source = source.persist()
     try:
+        check_unique(source, keys)
         touched = source.select(*partitions).distinct()
-        listed = touched.limit(MAX_LISTED + 1).collect()
-        if len(listed) <= MAX_LISTED:
-            affected = stored.where(_one_of(listed, partitions))
-        else:
-            affected = stored.alias("t").join(touched.alias("s"), _match(partitions, "t", "s"), "left_semi")
+        some_null = F.lit(False)
+        for p in partitions:
+            some_null = some_null | F.col(p).isNull()
+        plain = stored.where(~some_null).join(touched, list(partitions), "left_semi")
+        rest = stored.where(some_null).alias("t").join(
+            touched.where(some_null).alias("s"), matching(partitions, "t", "s"), "left_semi"
+        )
+        affected = plain.select(*stored.columns).unionByName(rest.select(*stored.columns))
         write_partitioned(upsert(affected, source, keys), path, partitions)
     finally:
         source.unpersist()
-
-
-def _one_of(rows: Sequence[Row], names: Sequence[str]) -> Column:
-    """Values grouped under their first column: a = 1 and (b is null or b in (2, 3)), or a = 4 and ..."""
-    def equal(name: str, values: set) -> Column:
-        known = [v for v in values if v is not None]
-        found = F.col(name).isin(*known) if known else F.lit(False)
-        return found | F.col(name).isNull() if None in values else found
-
-    if not names:
-        return F.lit(True)
-    first, rest = names[0], names[1:]
-    groups: dict = {}
-    for row in rows:
-        groups.setdefault(row[first], []).append(row)
-    if not rest:
-        return equal(first, set(groups))
-    found = F.lit(False)
-    for value, members in groups.items():
-        found = found | (equal(first, {value}) & _one_of(members, rest))
-    return found

@@ -420,7 +420,7 @@ def _running(df: DataFrame) -> DataFrame:
 
 
 # logical table -> (flat view, wrapper)
-_VIEWS = {
+VIEWS = {
     "access.workspaces_latest": ("workspaces", None),
     "billing.usage": ("usage_flat", _usage),
     "billing.list_prices": ("list_prices", _prices),
@@ -503,9 +503,9 @@ def _view(sf_dir: str, flat: str, wrap):
 
 
 def testdata_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    locations = {name: _view(sf_dir, flat, wrap) for name, (flat, wrap) in _VIEWS.items()}
+    locations = {name: _view(sf_dir, flat, wrap) for name, (flat, wrap) in VIEWS.items()}
     bases = {"billing.usage": "lineitem", "platform.cloud_costs": "lineitem", "access.audit": "events"}
-    streams = {name: _stream(sf_dir, *_VIEWS[name], base) for name, base in bases.items()}
+    streams = {name: _stream(sf_dir, *VIEWS[name], base) for name, base in bases.items()}
     return Catalog(spark, locations, streams=streams)
 
 

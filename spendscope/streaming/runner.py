@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendscope.sources.sinks import COST_KEYS, upsert_partitions
+from spendscope.sources.sinks import COST_KEYS, COST_PARTITIONS, matching, upsert_partitions
 
 
 def run_available(df: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None], mode: str = "update") -> None:
@@ -59,9 +59,21 @@ def daily_spike_writer(state: str, alerts: str, rule: Callable[[DataFrame], Data
     return write
 
 
-def upsert_writer(path: str, prepare: Callable[[DataFrame], DataFrame], keys: Sequence[str] = COST_KEYS) -> Callable[[DataFrame, int], None]:
-    """Upserts each prepared batch into the partitioned cost table."""
+def upsert_writer(
+    path: str, arrived: str, prepare: Callable[[DataFrame], DataFrame], keys: Sequence[str] = COST_KEYS,
+    partitions: Sequence[str] = COST_PARTITIONS,
+) -> Callable[[DataFrame, int], None]:
+    """Upserts into the partitioned cost table what ``prepare`` makes of all rows that arrived for a batch's keys.
+
+    Batches are kept under their number in ``arrived``, so a key that is met in several batches gets the total
+    over all of them, and a batch that is run again replaces itself.
+    """
     def write(batch: DataFrame, number: int) -> None:
-        upsert_partitions(batch.sparkSession, path, prepare(batch), keys)
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{arrived}/batch={number}")
+        seen = spark.read.parquet(arrived).where(F.col("batch") <= number).select(*batch.columns)
+        touched = spark.read.parquet(f"{arrived}/batch={number}").select(*keys).distinct()
+        rows = seen.alias("r").join(touched.alias("s"), matching(keys, "r", "s"), "left_semi")
+        upsert_partitions(spark, path, prepare(rows), tuple(dict.fromkeys((*keys, *partitions))), partitions)
 
     return write

@@ -8,7 +8,14 @@ from spendscope import Catalog
 from spendscope.sources import ingest, permissions, quality
 from spendscope.sources.catalog import first_col, first_nonempty
 from spendscope.sources.schemas import SCHEMAS
-from spendscope.sources.sinks import COST_KEYS, upsert, upsert_partitions, write_partitioned
+from spendscope.sources.sinks import (
+    COST_KEYS,
+    SHARED_DIR,
+    shared_folder,
+    upsert,
+    upsert_partitions,
+    write_partitioned,
+)
 from tests.helpers import prices
 
 
@@ -63,6 +70,33 @@ def test_upsert_rewrites_only_touched_partitions(spark, tmp_path):
     assert sorted((r.account_id, r.cost_usd) for r in spark.read.parquet(path).collect()) == [("a", 1.0), ("b", 7.0), ("d", 1.0)]
 
 
+def test_upsert_refuses_what_it_cannot_keep_unique(spark, tmp_path):
+    path = str(tmp_path / "costs")
+    write_partitioned(_costs(spark, [("a", 1, "g", 1)]), path)
+    with pytest.raises(ValueError, match="more than one row"):
+        upsert_partitions(spark, path, _costs(spark, [("b", 2, "g", 7), ("b", 2, "g", 1)]))
+    with pytest.raises(ValueError, match="among the keys"):
+        upsert_partitions(spark, path, _costs(spark, [("b", 2, "g", 7)]), keys=("account_id",))
+
+
+def test_upsert_matches_null_partitions(spark, tmp_path):
+    path = str(tmp_path / "costs")
+    first = _costs(spark, [("a", 1, "g", 1), ("b", 2, "g", 2)]).withColumn("usage_date", F.when(F.col("account_id") != "a", F.col("usage_date")))
+    write_partitioned(first, path)
+    upsert_partitions(spark, path, first.withColumn("cost_usd", F.col("cost_usd") * 10))
+    assert sorted((r.account_id, r.cost_usd) for r in spark.read.parquet(path).collect()) == [("a", 10.0), ("b", 20.0)]
+
+
+def test_shared_folder_needs_a_setting(spark, tmp_path):
+    before = spark.conf.get(SHARED_DIR, None)
+    spark.conf.unset(SHARED_DIR)
+    with pytest.raises(ValueError):
+        shared_folder(spark, "x")
+    spark.conf.set(SHARED_DIR, str(tmp_path))
+    assert shared_folder(spark, "x").startswith(str(tmp_path))
+    spark.conf.unset(SHARED_DIR) if before is None else spark.conf.set(SHARED_DIR, before)
+
+
 def test_permissions(spark):
     rows = [
         ("Ann@X", '{"tabs": ["cost"], "tags": [{"key": "Team", "value": "a"}, {"Product": "b"}]}'), ("bob@x", "{}"), ("cy@x", "oops"),

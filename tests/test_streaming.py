@@ -75,6 +75,18 @@ def test_upserts(spark, tmp_path):
     base = str(tmp_path)
     table, load = _costs(spark, [("a", 1, None, 1), ("b", 2, "g", 2)]), _costs(spark, [("a", 1, None, 5), ("c", 3, None, 6), ("d", 3, "g", 7)])
     write_partitioned(table, f"{base}/table")
-    R.run_available(as_stream(spark, load, f"{base}/in"), f"{base}/cp", R.upsert_writer(f"{base}/table", lambda df: df), mode="append")
+    R.run_available(as_stream(spark, load, f"{base}/in"), f"{base}/cp", R.upsert_writer(f"{base}/table", f"{base}/arrived", lambda df: df), mode="append")
     want = {(r.account_id, r.cost_usd) for r in upsert(table, load, COST_KEYS).collect()}
     assert {(r.account_id, r.cost_usd) for r in spark.read.parquet(f"{base}/table").collect()} == want
+
+
+def test_upserts_add_up_a_key_over_batches(spark, tmp_path):
+    base = str(tmp_path)
+    load = _costs(spark, [("a", 1, None, 5), ("a", 1, None, 7), ("b", 1, "g", 2), ("b", 1, "g", 4)])
+    write_partitioned(_costs(spark, [("a", 1, None, 1), ("z", 1, "g", 3)]), f"{base}/table")
+    for i, amount in enumerate((5, 7, 2, 4)):
+        load.where(F.col("cost_usd") == amount).coalesce(1).write.mode("append").parquet(f"{base}/in/part{i}")
+    stream = spark.readStream.schema(load.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    sums = lambda df: df.groupBy(*COST_KEYS).agg(F.sum("cost_usd").alias("cost_usd"))
+    R.run_available(stream, f"{base}/cp", R.upsert_writer(f"{base}/table", f"{base}/arrived", sums), mode="append")
+    assert sorted((r.account_id, r.cost_usd) for r in spark.read.parquet(f"{base}/table").collect()) == [("a", 12.0), ("b", 6.0), ("z", 3.0)]
