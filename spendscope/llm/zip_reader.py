@@ -41,7 +41,7 @@ def directory_range(file: RangeFile) -> tuple[int, int]:
     size = file.size()
     at = max(0, size - END_SIZE - LONGEST_COMMENT)
     tail = bytes(file.read_at(size - at, at))
-    k = tail.rfind(END)
+    k = tail.rfind(END, 0, max(0, len(tail) - END_SIZE + len(END)))
     while k >= 0 and k + END_SIZE + struct.unpack("<H", tail[k + 20 : k + 22])[0] != len(tail):
         k = tail.rfind(END, 0, k)
     if k < 0:
