@@ -20,7 +20,9 @@ from spendscope.llm.common import shuffle_partitions, table
 
 SKETCHES, SLOTS, KMER = 64, 2, 2
 PIECE = r"\S{1,8}+\s*+"
-BUCKETS_PER_PARTITION = 8
+PARTITION_BYTES = 4_000_000  # of text; a token takes some fifty bytes while it is sorted
+LEVEL = 16
+MOST_BUCKETS = LEVEL**3  # as their bounds are collected; larger buckets only sort longer
 
 
 def kmers(text: Column, k: int) -> Column:
@@ -76,28 +78,42 @@ def as_text(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def beside_next(df: DataFrame, doc_id: str, text: str, buckets: int) -> DataFrame:
+def beside_next(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """bucket, rid, guest, doc_id, text, next_text: each row with the text of the next by (doc_id, text).
 
     Buckets are ranges of ids. The first row of a bucket also stands, as a guest, at the end of the bucket before;
     that of the first bucket at the end of the last. A row without id is its own next.
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.min("doc_id").alias("first")).first()
+    partitions = min(MOST_BUCKETS // 2, max(shuffle_partitions(df.sparkSession), -(-(size["n"] or 0) // PARTITION_BYTES)))
+    buckets, first = min(MOST_BUCKETS, 4 * partitions), size["first"]
     shares = [i / buckets for i in range(1, buckets)]
-    found = docs.agg(F.min("doc_id").alias("first"), F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 20 * buckets).alias("cuts")).first()
-    first = found["first"]
-    cuts = sorted({c for c in found["cuts"] or () if c != first})
-    starts = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>")
-    own = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(len(cuts) + 1))).otherwise(
-        F.size(F.filter(starts, lambda c: c <= F.col("doc_id")))
-    ).cast("int")
-    guest = F.when(F.col("doc_id") == F.lit(first), F.lit(len(cuts))).when(F.array_contains(starts, F.col("doc_id")), F.col("own") - 1)
-    placed = docs.withColumn("own", own).select("doc_id", "text", F.explode(F.array_compact(F.array(
+    found = docs.agg(F.percentile_approx("doc_id", shares, 10 * buckets)).first()[0]
+    cuts = sorted({c for c in found or () if c != first})
+    starts = F.lit(cuts) if cuts else F.array().cast("array<bigint>")
+
+    def placed_by(step: int, before: Column) -> Column:
+        """How many of every ``step``-th of the next cuts after the first ``before`` are at most the id."""
+        heads = F.lit([*cuts[step - 1 :: step], *[2**63 - 1] * LEVEL])
+        return before + step * F.size(F.filter(F.slice(heads, F.expr("1") + (before / step).cast("int"), LEVEL), lambda c: c <= F.col("doc_id")))
+
+    docs = docs.withColumn("own", F.lit(0))
+    for step in (LEVEL * LEVEL, LEVEL, 1):
+        docs = docs.withColumn("own", placed_by(step, F.col("own")))
+    alone = F.pmod(F.xxhash64("text"), F.lit(len(cuts) + 1)).cast("int")
+    docs = docs.withColumn("own", F.when(F.col("doc_id").isNull(), alone).otherwise(F.col("own")))
+    guest = F.when(F.col("doc_id") == F.lit(first), F.lit(len(cuts))).when(
+        F.element_at(F.concat(F.array(F.lit(None).cast("bigint")), starts), F.col("own") + 1) == F.col("doc_id"), F.col("own") - 1
+    )
+    placed = docs.select("doc_id", "text", F.explode(F.array_compact(F.array(
         F.struct(F.col("own").alias("bucket"), F.lit(False).alias("guest")),
         F.when(guest.isNotNull(), F.struct(guest.cast("int").alias("bucket"), F.lit(True).alias("guest"))),
-    ))).alias("at")).select("doc_id", "text", "at.*")
+    ))).alias("at"))
+    # never null, so that no filter on one use of it makes the two uses of this shuffle differ
+    dealt = placed.select(F.coalesce("at.bucket", F.lit(0)).alias("bucket"), F.coalesce("at.guest", F.lit(False)).alias("guest"), "doc_id", "text")
     order = Window.partitionBy("bucket").orderBy("guest", "doc_id", "text")  # without id first, guests last
-    return placed.select(
+    return dealt.repartition(partitions, "bucket").select(
         "bucket", F.row_number().over(order).alias("rid"), "guest", "doc_id", "text",
         F.when(F.col("doc_id").isNull(), F.col("text")).otherwise(F.lead("text").over(order)).alias("next_text"),
     )
@@ -116,7 +132,7 @@ def order_minhash(
     spark = df.sparkSession
     # Rows of a bucket lie together already; joining on (bucket, rid) need not deal them anew.
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    rows = beside_next(df, doc_id, text, BUCKETS_PER_PARTITION * shuffle_partitions(spark))
+    rows = beside_next(df, doc_id, text)
     n, cut = F.length("text"), F.floor(F.length("text") / 4).cast("int")
     beginning = F.substring(F.col("text"), F.lit(1), n - cut)
     rows = rows.select(
