@@ -136,3 +136,8 @@ b AS ({trail(f'SELECT * EXCLUDE (t) FROM m WHERE t > {LIM60}', 'client', 300)}),
 f AS (SELECT client, MAX(t) AS peak_failures FROM d GROUP BY 1), v AS (SELECT client, MAX(t) AS peak_violations FROM b GROUP BY 1)
 SELECT client, COALESCE(peak_failures, 0) AS peak_failures, COALESCE(peak_violations, 0) AS peak_violations, COALESCE(peak_failures, 0) >= 10 OR COALESCE(peak_violations, 0) >= 5 AS is_candidate FROM f FULL OUTER JOIN v USING (client)""")
 oracle("suspicious_agents", """SELECT client, CASE WHEN COALESCE(user_agent, '') = '' THEN 'missing_user_agent' ELSE 'bot_user_agent' END AS reason, COUNT(*) AS request_count FROM v_requests WHERE COALESCE(user_agent, '') = '' OR lower(user_agent) LIKE '%curl/%' GROUP BY 1, 2""")
+
+# The forest is random, but what its trees are grown from, and how scores and flags agree, is not.
+oracle("iforest_trees", """
+SELECT CAST(t AS INTEGER) AS tree, least(256, n) AS sampled_rows, least(256, n) AS leaf_rows, TRUE AS depth_in_limit FROM range(100) x(t), (SELECT COUNT(*) AS n FROM v_history) WHERE n >= 30""")
+oracle("iforest_checks", "SELECT resource_id, service_type, name, TRUE AS score_in_range, TRUE AS flag_follows FROM v_running")

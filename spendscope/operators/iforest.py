@@ -1,9 +1,9 @@
 """Isolation forest: trees grown in parallel from small samples, scoring in Arrow batches.
 
-Growing: rows are thinned by a hash to about four times the size of a fixed pool, of which the least hash
-values form the pool; each tree draws its sample from the pool by a hash of row and tree, and ``applyInPandas`` grows one tree per group. A model thus has at
-most ``trees * (2 * sample - 1)`` nodes whatever the number of training rows, which bounds what is
-collected and broadcast. Scoring maps over partitions without a shuffle.
+Growing: a hash of row and tree decides which rows a tree draws, about four times its sample, of which the
+least draws are kept; ``applyInPandas`` grows one tree per group. A model thus has at most
+``trees * (2 * sample - 1)`` nodes whatever the number of training rows, which bounds what is collected and
+broadcast. Scoring maps over partitions without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendscope.operators.quantiles import exact_percentiles
-
+OFFSET_ACCURACY = 10_000  # the offset quantile is off by at most one rank in so many
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, depth int, size int"
 
 
@@ -57,10 +56,10 @@ def grow_tree(tree: int, x: np.ndarray, seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
 
 
-def _picked(hashed: str, wanted: int, of: int) -> Column:
-    """True for about ``wanted`` out of ``of`` rows, decided by a hash column; for all when there are fewer."""
+def _picked(hashed: Column, wanted: int, of: int) -> Column:
+    """True for about ``wanted`` out of ``of`` hashes; for all when there are fewer."""
     spaces = 1_000_000_000_000
-    return F.pmod(F.col(hashed), F.lit(spaces)) < math.ceil(wanted * spaces / max(of, wanted))
+    return F.pmod(hashed, F.lit(spaces)) < math.ceil(wanted * spaces / max(of, wanted))
 
 
 @dataclass(frozen=True)
@@ -72,22 +71,18 @@ class IsolationForest:
     seed: int = 42
     min_rows: int = 30
 
-    @property
-    def pool_size(self) -> int:
-        return self.trees * self.sample
-
     def nodes(self, rows: DataFrame, id_cols: Sequence[str], row_count: int) -> DataFrame:
         """The grown trees as rows; a row's identity is the hash of ``id_cols``."""
         features, seed = list(self.features), self.seed
         key = F.xxhash64(F.lit(seed), *[F.col(c) for c in id_cols])
-        pool = (
-            rows.select(*features, key.alias("_key")).where(_picked("_key", 4 * self.pool_size, row_count))
-            .orderBy("_key", *features).limit(self.pool_size)
+        # Each row decides by hashes which trees look at it, so no pool is gathered first. A tree sees about four
+        # times its sample and keeps the least draws.
+        draw = F.transform(
+            F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64("_key", t).alias("_draw"))
         )
-        # Each tree looks at about four times its sample and keeps the least draws.
-        drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1)))).withColumn(
-            "_draw", F.xxhash64("_key", "tree")
-        ).where(_picked("_draw", 4 * self.sample, min(row_count, self.pool_size)))
+        drawn = rows.select(*features, key.alias("_key")).select(
+            *features, "_key", F.explode(F.filter(draw, lambda d: _picked(d["_draw"], 4 * self.sample, row_count))).alias("_d")
+        ).select(*features, "_key", "_d.*")
         order = Window.partitionBy("tree").orderBy("_draw", "_key", *features)
         chosen = (
             drawn.repartition(max(1, self.trees // 4), "tree").withColumn("_rn", F.row_number().over(order))
@@ -109,10 +104,9 @@ class IsolationForest:
                 return None
             nodes = self.nodes(rows, id_cols, row_count).toPandas()
             model = IsolationForestModel(tuple(self.features), nodes, 0.0)
-            scored = model.normality(rows.select(*self.features)).select("normality").persist()
-            marks = exact_percentiles(scored, [], "normality", {"q": self.contamination}).first()
-            scored.unpersist()
-            return IsolationForestModel(tuple(self.features), nodes, float(marks["q"]))
+            scored = model.normality(rows.select(*self.features)).select("normality")
+            mark = scored.agg(F.percentile_approx("normality", self.contamination, OFFSET_ACCURACY)).first()[0]
+            return IsolationForestModel(tuple(self.features), nodes, float(mark))
         finally:
             rows.unpersist()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -128,6 +129,16 @@ def iforest_train(ctx: Ctx) -> DataFrame:
     return FOREST.nodes(rows, TRAINING_ID, row_count)
 
 
+@report("iforest_trees")
+def iforest_trees(ctx: Ctx) -> DataFrame:
+    """Per tree: rows it was grown from, rows in its leaves, and whether it keeps its depth limit."""
+    leaf, limit = F.col("feature") < 0, math.ceil(math.log2(FOREST.sample))
+    return iforest_train(ctx).groupBy("tree").agg(
+        F.max(F.when(F.col("node") == 0, F.col("size"))).cast("bigint").alias("sampled_rows"),
+        F.sum(F.when(leaf, F.col("size"))).alias("leaf_rows"), (F.max("depth") <= limit).alias("depth_in_limit"),
+    )
+
+
 def _running_features(ctx: Ctx) -> DataFrame:
     started = F.col("started_at")
     cols = (
@@ -154,6 +165,16 @@ def iforest_score(ctx: Ctx) -> DataFrame:
     )
 
 
+@report("iforest_checks")
+def iforest_checks(ctx: Ctx) -> DataFrame:
+    """Per running resource: whether its score is in range and its flag follows from it."""
+    score = F.col("if_score")
+    return iforest_score(ctx).select(
+        "resource_id", "service_type", "name", F.coalesce(score.between(0, 1), F.lit(False)).alias("score_in_range"),
+        F.coalesce(F.col("is_anomaly") == (score >= 0.5), F.lit(False)).alias("flag_follows"),
+    )
+
+
 @report("resource_anomalies")
 def resource_anomalies(ctx: Ctx) -> DataFrame:
     """Running resources flagged by their baseline or by the forest, scored by the stronger of the two."""
@@ -279,10 +300,10 @@ RATE_LIMITS = {"auth": (20, 5), "heavy": (30, 5), "api": (120, 20), "static": (2
 TIER_OF_SERVICE = {"accounts": "auth", "iamService": "heavy", "dashboards": "static"}
 BAN_FAILURES, BAN_FAILURE_SECONDS = 10, 600
 BAN_VIOLATIONS, BAN_VIOLATION_SECONDS = 5, 300
-BOT_WORDS = (
-    "python-requests", "httpx", "curl/", "wget/", "scrapy", "bot", "spider", "crawl", "headless", "phantom",
-    "selenium", "puppeteer", "playwright", "httrack", "nikto", "sqlmap", "nmap", "masscan", "nuclei", "gobuster",
-    "dirbuster", "ffuf", "burp",
+# Fixed value: agents that are taken for bots.
+BOT_PATTERN = (
+    r"python-requests|httpx|curl/|wget/|scrapy|bot|spider|crawl|headless|phantom|selenium|puppeteer|playwright|httrack"
+    r"|nikto|sqlmap|nmap|masscan|nuclei|gobuster|dirbuster|ffuf|burp"
 )
 
 
@@ -304,7 +325,7 @@ def requests(audit: DataFrame) -> DataFrame:
 @report("request_rate_violations")
 def request_rate_violations(ctx: Ctx) -> DataFrame:
     """Per client and tier: busiest minute and five seconds, and how many windows were over the limit."""
-    rows = requests(ctx.recent_ts("access.audit", "event_time", 30))
+    rows = requests(ctx.recent_ts("access.audit", "event_time", 30, "event_date"))
 
     def side(seconds: int, slide: int, burst: bool, suffix: str) -> DataFrame:
         over = F.col("n") > rate_limit(F.col("tier"), burst)
@@ -318,7 +339,7 @@ def request_rate_violations(ctx: Ctx) -> DataFrame:
 @report("failure_ban_candidates")
 def failure_ban_candidates(ctx: Ctx) -> DataFrame:
     """Clients by their worst ten minutes of denied requests and five minutes of rate violations."""
-    rows = requests(ctx.recent_ts("access.audit", "event_time", 30))
+    rows = requests(ctx.recent_ts("access.audit", "event_time", 30, "event_date"))
     denied = trailing_count(rows.where(F.col("status_code") == 403), ["client"], "event_time", BAN_FAILURE_SECONDS)
     per_minute = trailing_count(rows, ["client", "tier"], "event_time", 60)
     broken = per_minute.where(F.col("trailing") > rate_limit(F.col("tier"), False)).drop("trailing")
@@ -337,7 +358,7 @@ def failure_ban_candidates(ctx: Ctx) -> DataFrame:
 def suspicious_agents(ctx: Ctx) -> DataFrame:
     """Requests without a user agent or with that of a known scanner, per client."""
     agent = F.coalesce("user_agent", F.lit(""))
-    bot = F.lower(agent).rlike("|".join(BOT_WORDS))
+    bot = F.lower(agent).rlike(BOT_PATTERN)
     reason = F.when(agent == "", "missing_user_agent").when(bot, "bot_user_agent")
-    rows = requests(ctx.recent_ts("access.audit", "event_time", 30)).withColumn("reason", reason)
+    rows = requests(ctx.recent_ts("access.audit", "event_time", 30, "event_date")).withColumn("reason", reason)
     return rows.where(F.col("reason").isNotNull()).groupBy("client", "reason").agg(F.count("*").alias("request_count"))

@@ -181,7 +181,7 @@ def forecast_7d(ctx: Ctx, method: str = "mean") -> DataFrame:
 def pareto_top(ctx: Ctx, n: int | None = 10) -> DataFrame:
     """The ten costliest workspaces with their rank."""
     ten = top(_workspace_totals(ctx).select("workspace_id", "workspace_name", "cost"), n, desc("cost"))
-    order = Window.orderBy(desc("cost"), "workspace_id")  # over ten rows
+    order = Window.orderBy(desc("cost"), "workspace_id")  # over n rows, ten unless asked otherwise
     return ten.withColumn("rank", F.row_number().over(order))
 
 
