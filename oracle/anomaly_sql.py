@@ -53,11 +53,11 @@ def txt(x: str, n: int) -> str:
 
 
 PCT = "(recent - base) * 100 / base"
-A1 = f"SELECT 'SPEND_SPIKE' AS type, CASE WHEN {PCT} > 40 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 'all' AS subject, concat('Spend up ', {txt(PCT, 1)}, '% above baseline') AS title, {r('recent', 2)} AS value, {r('base', 2)} AS baseline, {r(PCT, 1)} AS pct_change FROM v_base WHERE rn = 1 AND base > 0 AND {PCT} > 20"
-A2 = f"SELECT 'DAILY_SPIKE' AS type, 'HIGH' AS severity, strftime(usage_date, '%Y-%m-%d') AS subject, concat('Extreme spike on ', strftime(usage_date, '%Y-%m-%d'), ': $', {txt('cost', 2)}) AS title, {r('cost', 2)} AS value, {r('base', 2)} AS baseline, CAST(NULL AS DOUBLE) AS pct_change FROM v_base WHERE rn <= 7 AND base > 0 AND cost > base * 2"
-A3 = f"SELECT 'NEW_SKU' AS type, 'MEDIUM' AS severity, sku_name AS subject, concat('New SKU: ', sku_name) AS title, {r('cost_7d', 2)} AS value, CAST(NULL AS DOUBLE) AS baseline, CAST(NULL AS DOUBLE) AS pct_change FROM v_wow WHERE cost_prior_7d = 0 AND cost_7d > 10"
+A1 = f"SELECT 'SPEND_SPIKE' AS type, CASE WHEN {PCT} > 40 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, 'all' AS subject, {r('recent', 2)} AS value, {r('base', 2)} AS baseline, {r(PCT, 1)} AS pct_change FROM v_base WHERE rn = 1 AND base > 0 AND {PCT} > 20"
+A2 = f"SELECT 'DAILY_SPIKE' AS type, 'HIGH' AS severity, strftime(usage_date, '%Y-%m-%d') AS subject, {r('cost', 2)} AS value, {r('base', 2)} AS baseline, CAST(NULL AS DOUBLE) AS pct_change FROM v_base WHERE rn <= 7 AND base > 0 AND cost > base * 2"
+A3 = f"SELECT 'NEW_SKU' AS type, 'MEDIUM' AS severity, sku_name AS subject, {r('cost_7d', 2)} AS value, CAST(NULL AS DOUBLE) AS baseline, CAST(NULL AS DOUBLE) AS pct_change FROM v_wow WHERE cost_prior_7d = 0 AND cost_7d > 10"
 GROW = "(cost_7d - cost_prior_7d) * 100 / cost_prior_7d"
-A4 = f"SELECT 'SKU_GROWTH' AS type, 'MEDIUM' AS severity, sku_name AS subject, concat(sku_name, ' up ', {txt(GROW, 0)}, '% week-over-week') AS title, {r('cost_7d', 2)} AS value, {r('cost_prior_7d', 2)} AS baseline, {r(GROW, 1)} AS pct_change FROM v_wow WHERE cost_prior_7d > 0 AND cost_7d > 0 AND {GROW} > 30"
+A4 = f"SELECT 'SKU_GROWTH' AS type, 'MEDIUM' AS severity, sku_name AS subject, {r('cost_7d', 2)} AS value, {r('cost_prior_7d', 2)} AS baseline, {r(GROW, 1)} AS pct_change FROM v_wow WHERE cost_prior_7d > 0 AND cost_7d > 0 AND {GROW} > 30"
 DERIVED["alerts"] = f"{A1} UNION ALL {A2} UNION ALL {A3} UNION ALL {A4}"
 oracle("alert_daily_spend", "SELECT * FROM v_spend_days")
 oracle("sku_wow", "SELECT * FROM v_wow")

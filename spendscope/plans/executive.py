@@ -285,6 +285,10 @@ def _opportunity(df: DataFrame, category: str, basis: Column, rate: float, count
     )
 
 
+# The names that identify the kinds of saving.
+INTERACTIVE, WAREHOUSES, FAILED_JOBS = "Interactive compute waste", "SQL Warehouse right-sizing", "Failed long-running jobs"
+
+
 @report("savings_interactive")
 def savings_interactive(ctx: Ctx) -> DataFrame:
     """40 % of the all-purpose clusters that ran no job in the last week."""
@@ -296,7 +300,7 @@ def savings_interactive(ctx: Ctx) -> DataFrame:
     )
     critical = F.when(F.col("estimated_saving") > 500, "critical").otherwise("warning")
     return _opportunity(
-        rows, "Interactive compute waste", F.sum("cost"), 0.4, F.count("*"), critical
+        rows, INTERACTIVE, F.sum("cost"), 0.4, F.count("*"), critical
     )
 
 
@@ -311,7 +315,7 @@ def savings_warehouse(ctx: Ctx) -> DataFrame:
         .where("active_days >= 5 AND cost > 50")
     )
     return _opportunity(
-        rows, "SQL Warehouse right-sizing", F.sum("cost"), 0.25, F.count("*"), F.lit("warning")
+        rows, WAREHOUSES, F.sum("cost"), 0.25, F.count("*"), F.lit("warning")
     )
 
 
@@ -323,7 +327,7 @@ def savings_failed_jobs(ctx: Ctx) -> DataFrame:
         F.col("result_state").isin("FAILED", "TIMEDOUT", "TIMED_OUT") & (hours > 1)
     )
     return _opportunity(
-        rows, "Failed long-running jobs", rnd(F.sum(hours), 1), 0.0, F.count("*"), F.lit("info")
+        rows, FAILED_JOBS, rnd(F.sum(hours), 1), 0.0, F.count("*"), F.lit("info")
     )
 
 

@@ -51,7 +51,7 @@ def src_column_drift(ctx: Ctx) -> DataFrame:
 @report("src_first_nonempty")
 def src_first_nonempty(ctx: Ctx) -> DataFrame:
     """Falls back from an absent event table to the older one."""
-    rows = first_nonempty(ctx.table("dashboards.lakeview_events", optional=True), ctx.table("dashboards.dashboard_events"))
+    rows = first_nonempty(ctx.table("dashboards.published_events", optional=True), ctx.table("dashboards.dashboard_events"))
     return rows.groupBy("event_type").agg(F.count("*").alias("row_count"))
 
 

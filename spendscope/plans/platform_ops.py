@@ -50,7 +50,7 @@ def endpoints_by_workspace(ctx: Ctx) -> DataFrame:
 def _dashboard_events(ctx: Ctx) -> DataFrame:
     """The newer event table when it has rows, else the older one."""
     name = "dashboards.dashboard_events"
-    newer = ctx.table("dashboards.lakeview_events", optional=True)
+    newer = ctx.table("dashboards.published_events", optional=True)
     return first_nonempty(newer, ctx.table(name)).where(ctx.ts_within(name, "event_time", LOOKBACK))
 
 

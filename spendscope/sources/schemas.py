@@ -39,7 +39,7 @@ SCHEMAS: dict[str, str] = {
         warehouse_id string, warehouse_name string, workspace_id string, warehouse_type string,
         warehouse_size string, min_clusters int, max_clusters int, auto_stop_minutes int,
         change_time timestamp, delete_time timestamp""",
-    "dashboards.lakeview_events": """
+    "dashboards.published_events": """
         workspace_id string, dashboard_id string, dashboard_name string, event_type string,
         user_id string, event_time timestamp""",
     "networking.vpc_endpoints": """
