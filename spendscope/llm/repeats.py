@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendscope.llm.byte_hash import pack_hashes, unpack_hashes
+from spendscope.llm.common import shuffle_partitions
 
 WIDTH = 7  # bytes of a key that travel; the range's number holds the top bits
 CHUNK_BYTES = 2_000_000
@@ -35,18 +36,17 @@ def text_bytes(df: DataFrame, text: str) -> int:
     return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
-def in_chunks(df: DataFrame, chunks: int, doc_id: str, text: str, partitions: int | None = None) -> DataFrame:
-    """(chunk, doc_id, text), rows of a chunk in one partition. Texts that are equal may be in different chunks.
+def in_chunks(df: DataFrame, chunks: int, doc_id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk, doc_id, text, k0 ...), rows of a chunk in one partition. Equal texts may be in different chunks.
 
     The chunk follows from id and text, so the same rows come together wherever the plan is used; repeated rows
     are told apart by their order there, and as equals it does not matter which is which.
     """
     keyed = df.select(
         F.pmod(F.xxhash64(F.col(doc_id), F.octet_length(text), F.lit(17)), F.lit(chunks)).alias("chunk"),
-        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
+        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)),
     )
-    partitions = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return keyed.repartition(partitions, "chunk")
+    return keyed.repartition(shuffle_partitions(df.sparkSession), "chunk")
 
 
 def ordered(chunk: pa.Table) -> pa.Table:
