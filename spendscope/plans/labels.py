@@ -12,6 +12,7 @@ from spendscope.operators.filters import UsageFilter, filter_usage
 from spendscope.plans.cost import ID_FIELDS
 from spendscope.plans.executive import VENDOR_DOMAIN
 from spendscope.plans.registry import report
+from spendscope.sources import permissions
 
 
 def _units_by_workspace(df: DataFrame) -> DataFrame:
@@ -51,6 +52,36 @@ def filter_tag(ctx: Ctx) -> DataFrame:
     )
 
 
+def ctx_for_user(ctx: Ctx, email: str) -> Ctx:
+    """``ctx`` restricted to the workspaces of the user's stored configuration.
+
+    Without a configuration, without a workspace list in it, and with "*" in the list the user sees everything.
+    """
+    own = permissions.permissions_of(ctx.table("platform.user_permissions"), email).where(_restricted())
+    if own.isEmpty():
+        return ctx
+    return ctx.with_(allowed_workspaces=own.select(F.explode("workspaces").alias("workspace_id")).distinct())
+
+
+def _restricted() -> Column:
+    return F.col("workspaces").isNotNull() & ~F.array_contains("workspaces", "*")
+
+
+@report("visible_usage")
+def visible_usage(ctx: Ctx) -> DataFrame:
+    """What each configured user may see: usage rows and units of their workspaces, or of all."""
+    by_workspace = _usage(ctx).groupBy("workspace_id").agg(F.count("*").alias("_n"), F.sum("usage_quantity").alias("_q"))
+    users = permissions.parse_permissions(ctx.table("platform.user_permissions")).select("email", "workspaces")
+    seen = [F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"), F.coalesce(total("_q"), F.lit(0.0)).alias("units")]
+    own = users.where(_restricted()).select("email", F.explode_outer(F.array_distinct("workspaces")).alias("workspace_id"))
+    some = own.join(by_workspace, "workspace_id", "left").groupBy("email").agg(*seen)
+    everything = by_workspace.agg(*seen)
+    rest = users.where(~_restricted()).select(
+        "email", everything.select("row_count").scalar().alias("row_count"), everything.select("units").scalar().alias("units")
+    )
+    return some.unionByName(rest)
+
+
 def _usage(ctx: Ctx) -> DataFrame:
     return ctx.table("billing.usage")
 

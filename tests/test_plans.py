@@ -212,3 +212,24 @@ def test_inactive_users(spark, ctx_of):
     assert [(r.user_email, r.days_inactive) for r in inactive_users(ctx).collect()] == [("old@x", 31)]
     row = adoption_summary(ctx).first()
     assert tuple(row) == (3, 1, 2, 1, 1)
+
+
+def test_scope_of_a_user(spark, ctx_of):
+    from spendscope.plans.labels import ctx_for_user
+
+    rows = [("Ann@x", '{"workspaces": ["ws-1", "ws-1"]}'), ("bob@x", '{"workspaces": ["*"]}'), ("cy@x", "oops"), ("di@x", '{"workspaces": []}')]
+    config = spark.createDataFrame([(e, c, None, "me") for e, c in rows], SCHEMAS["platform.user_permissions"])
+    ctx = ctx_of(tables={"platform.user_permissions": config})
+    assert [r.workspace_id for r in ctx_for_user(ctx, " ANN@x ").allowed_workspaces.collect()] == ["ws-1"]
+    assert all(ctx_for_user(ctx, e).allowed_workspaces is None for e in ("bob@x", "cy@x", "nobody@x"))
+    assert ctx_for_user(ctx, "di@x").allowed_workspaces.count() == 0
+
+
+def test_deleted_tasks_stay_deleted(spark, ctx_of):
+    day = lambda n: dt.datetime(2024, 1, n)
+    tasks = spark.createDataFrame(
+        [("ws-1", "j", "a", day(1), None), ("ws-1", "j", "a", day(2), day(2)), ("ws-1", "j", "b", day(1), None)],
+        "workspace_id string, job_id string, task_key string, change_time timestamp, delete_time timestamp",
+    )
+    ctx = ctx_of(tables={"lakeflow.job_tasks": tasks, "access.workspaces_latest": workspaces(spark, [("ws-1", "prod one", "s", "g")])})
+    assert [r.task_count for r in REPORTS["job_task_counts"](ctx).collect()] == [1]
