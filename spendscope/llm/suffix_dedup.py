@@ -30,6 +30,7 @@ from spendscope.llm.window_dedup import runs
 LENGTH = 400
 GRAM = 100
 MANY_CHUNKS = 64
+CHUNK_BYTES = 1_000_000  # a task holds some hundred bytes for each byte of a chunk
 _LOW = np.uint64(0xFFFFFFFF)
 CONTEXT_BITS = 6  # contexts of one range of grams are matched in one task; see Layout for how many ranges
 
@@ -73,7 +74,7 @@ class ChunkAnchors:
         self.at = anchor[change]
         self.first = starts[change]
         self.last = starts[np.concatenate([change[1:], [len(starts)]]) - 1] if len(change) else self.first
-        self.key = grams[self.at]
+        self.key = mix(grams[self.at] + np.uint64(1))  # anew, as anchors have the least values
 
 
 def _cut(anchors: ChunkAnchors, i: int) -> bytes:
@@ -272,17 +273,18 @@ def whole_characters(raw: bytes, gone: np.ndarray) -> np.ndarray:
 
 def remove_repeated_strings(
     df: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, output: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept, stretches.
+    """One row per document: doc_id, the ``keep`` columns, n_bytes, n_removed, n_spans, kept, stretches.
 
     ``output`` "text" returns the kept text, where characters of which only some bytes repeat stay whole; "digest"
     the SHA-256 of the exact remaining bytes. ``stretches`` are starts and ends of the removed runs. Null and empty
     texts have no bytes; texts shorter than ``length`` stay whole. Repeated rows repeat each other. Other columns
     of ``df`` are ignored.
     """
-    layout = Layout(text_bytes(df, text), 1.0)
-    chunked = in_chunks(df, layout.chunks, doc_id, text)
-    gram_bits, bits = max(4, layout.range_bits - 6), max(CONTEXT_BITS, layout.range_bits - 1)
+    layout = Layout(text_bytes(df, text), 1.0, CHUNK_BYTES)
+    chunked = in_chunks(df, layout.chunks, doc_id, text, keep)
+    gram_bits, bits = max(4, layout.range_bits - 6), max(CONTEXT_BITS, layout.range_bits)
 
     def keys_of(texts: list[str]) -> np.ndarray:
         return np.unique(ChunkAnchors(texts, length, gram).key)
@@ -311,7 +313,7 @@ def remove_repeated_strings(
             kept.append(left.decode() if output == "text" else hashlib.sha256(left).hexdigest())
             spans.append(np.stack([start, end], 1).ravel())
         return pa.table({
-            "doc_id": chunk["doc_id"], "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
+            "doc_id": chunk["doc_id"], **{f"k{i}": chunk[f"k{i}"] for i in range(len(keep))}, "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
             "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.string()), "spans": pa.array(spans, pa.list_(pa.int32())),
         })
 
@@ -320,11 +322,12 @@ def remove_repeated_strings(
         send, "bucket int, kind byte, chunk long, head binary, body binary"
     )
     stretches = sent.groupBy("bucket").applyInArrow(lambda t: answer(t, length), "chunk long, stretches binary")
-    kind = df.schema[doc_id].dataType.simpleString()
+    kinds = [df.schema[c].dataType.simpleString() for c in (doc_id, *keep)]
+    kind = ", ".join([kinds[0], *(f"k{i} {t}" for i, t in enumerate(kinds[1:]))])
     out = chunked.groupBy("chunk").cogroup(stretches.groupBy("chunk")).applyInArrow(
         judge, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept string, spans array<int>"
     )
-    return out.toDF(doc_id, "n_bytes", "n_removed", "n_spans", "kept" if output == "text" else "kept_sha256", "stretches")
+    return out.toDF(doc_id, *keep, "n_bytes", "n_removed", "n_spans", "kept" if output == "text" else "kept_sha256", "stretches")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
