@@ -1,4 +1,5 @@
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -87,14 +88,12 @@ def test_upsert_matches_null_partitions(spark, tmp_path):
     assert sorted((r.account_id, r.cost_usd) for r in spark.read.parquet(path).collect()) == [("a", 10.0), ("b", 20.0)]
 
 
-def test_shared_folder_needs_a_setting(spark, tmp_path):
-    before = spark.conf.get(SHARED_DIR, None)
-    spark.conf.unset(SHARED_DIR)
+def test_shared_folder_needs_a_setting():
+    session = lambda **conf: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: conf.get(key, default)))
     with pytest.raises(ValueError):
-        shared_folder(spark, "x")
-    spark.conf.set(SHARED_DIR, str(tmp_path))
-    assert shared_folder(spark, "x").startswith(str(tmp_path))
-    spark.conf.unset(SHARED_DIR) if before is None else spark.conf.set(SHARED_DIR, before)
+        shared_folder(session(), "x")
+    assert shared_folder(session(**{SHARED_DIR: "s3://lake/"}), "x").startswith("s3://lake/x-")
+    assert shared_folder(session(**{SHARED_DIR: "/a", "spark.checkpoint.dir": "/b"}), "x").startswith("/b/x-")
 
 
 def test_permissions(spark):
