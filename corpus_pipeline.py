@@ -20,11 +20,11 @@ from spendscope.llm.suffix_dedup import remove_repeated_strings
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = COLUMNS[1:]
-LEAST_SHARE = 0.5  # a language must have at least this mean chance over a text's windows
+LEAST_SHARE = 0.4  # a language must have at least this mean chance over a text's windows
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, and texts no language of which reaches half the score, go."""
+    """Texts without letters, and texts of which no language reaches the least score, go."""
     told = identify_language(docs, keep=REST)
     return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
 
