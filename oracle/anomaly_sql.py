@@ -118,12 +118,13 @@ DERIVED["requests"] = f"""SELECT source_ip AS client, CASE service_name WHEN 'ac
 LIM60, LIM5 = "CASE tier WHEN 'auth' THEN 20 WHEN 'heavy' THEN 30 WHEN 'api' THEN 120 ELSE 200 END", "CASE tier WHEN 'auth' THEN 5 WHEN 'heavy' THEN 5 WHEN 'api' THEN 20 ELSE 40 END"
 
 
-def slide(size: int, step: int, lim: str, suffix: str) -> str:
-    return f"""SELECT client, tier, MAX(n) AS peak_{suffix}, COUNT(*) FILTER (n > {lim}) AS violations_{suffix} FROM (
-  SELECT client, tier, us // {step}000000 - k AS w, COUNT(*) AS n FROM v_requests, range(0, {size // step}) x(k) GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+def busiest(seconds: int, limit: str) -> str:
+    return f"""SELECT client, tier, CAST(MAX(t) AS BIGINT) AS peak_{seconds}s, COUNT(*) FILTER (t > {limit}) AS violations_{seconds}s FROM (
+  SELECT *, SUM(n) OVER (PARTITION BY client, tier ORDER BY s RANGE BETWEEN {seconds - 1} PRECEDING AND CURRENT ROW) AS t FROM (
+    SELECT client, tier, us // 1000000 AS s, COUNT(*) AS n FROM v_requests GROUP BY 1, 2, 3)) GROUP BY 1, 2"""
 
 
-oracle("request_rate_violations", f"SELECT * FROM ({slide(60, 5, LIM60, '60s')}) JOIN ({slide(5, 1, LIM5, '5s')}) USING (client, tier)")
+oracle("request_rate_violations", f"SELECT * FROM ({busiest(60, LIM60)}) JOIN ({busiest(5, LIM5)}) USING (client, tier)")
 
 
 def trail(source: str, keys: str, seconds: int) -> str:

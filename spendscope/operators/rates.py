@@ -46,3 +46,18 @@ def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, seconds: int) ->
         Window.partitionBy(*keys, "_at.slice").orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
     )
     return placed.withColumn("trailing", F.count("*").over(trailing)).where("_at.own").drop("_us", "_at")
+
+
+def trailing_totals(df: DataFrame, keys: Sequence[str], ts: str, seconds: int) -> DataFrame:
+    """keys, second, n, trailing: events of each second, and of the ``seconds`` seconds up to and including it.
+
+    Events are counted per second first, so that a key with much of the data is one row per second, and the slices
+    of ``trailing_count`` hold at most twice ``seconds`` rows of a key.
+    """
+    per_second = df.groupBy(*keys, F.unix_seconds(ts).alias("second")).agg(F.count("*").alias("n"))
+    own = F.floor(F.col("second") / seconds)
+    placed = per_second.withColumn("_at", F.explode(F.array(
+        F.struct(own.alias("slice"), F.lit(True).alias("own")), F.struct((own + 1).alias("slice"), F.lit(False).alias("own")),
+    )))
+    trailing = Window.partitionBy(*keys, "_at.slice").orderBy("second").rangeBetween(-(seconds - 1), 0)
+    return placed.withColumn("trailing", F.sum("n").over(trailing)).where("_at.own").drop("_at")

@@ -14,7 +14,7 @@ from spendscope.functions.features import FEATURES, anomaly_features
 from spendscope.functions.measures import desc, hours_between, rnd, total
 from spendscope.operators.iforest import NODE_SCHEMA, IsolationForest, IsolationForestModel
 from spendscope.operators.pricing import priced_usage
-from spendscope.operators.rates import sliding_counts, trailing_count
+from spendscope.operators.rates import trailing_count, trailing_totals
 from spendscope.plans.cost import with_workspace
 from spendscope.plans.registry import report
 from spendscope.plans.running import running_anomalies
@@ -324,16 +324,16 @@ def requests(audit: DataFrame) -> DataFrame:
 
 @report("request_rate_violations")
 def request_rate_violations(ctx: Ctx) -> DataFrame:
-    """Per client and tier: busiest minute and five seconds, and how many windows were over the limit."""
+    """Per client and tier: busiest minute and five seconds, and the seconds at which they were over the limit."""
     rows = requests(ctx.recent_ts("access.audit", "event_time", 30, "event_date"))
 
-    def side(seconds: int, slide: int, burst: bool, suffix: str) -> DataFrame:
-        over = F.col("n") > rate_limit(F.col("tier"), burst)
-        return sliding_counts(rows, ["client", "tier"], "event_time", seconds, slide).groupBy("client", "tier").agg(
-            F.max("n").alias(f"peak_{suffix}"), F.count_if(over).alias(f"violations_{suffix}")
+    def side(seconds: int, burst: bool) -> DataFrame:
+        over = F.col("trailing") > rate_limit(F.col("tier"), burst)
+        return trailing_totals(rows, ["client", "tier"], "event_time", seconds).groupBy("client", "tier").agg(
+            F.max("trailing").alias(f"peak_{seconds}s"), F.count_if(over).alias(f"violations_{seconds}s")
         )
 
-    return side(60, 5, False, "60s").join(side(5, 1, True, "5s"), ["client", "tier"])
+    return side(60, False).join(side(5, True), ["client", "tier"])
 
 
 @report("failure_ban_candidates")

@@ -9,7 +9,7 @@ from spendscope.operators.filters import UsageFilter, WorkspaceNotAllowed, filte
 from spendscope.operators.iforest import IsolationForest, grow_tree
 from spendscope.operators.pricing import join_effective_price
 from spendscope.operators.quantiles import exact_percentiles
-from spendscope.operators.rates import sliding_counts, trailing_count
+from spendscope.operators.rates import sliding_counts, trailing_count, trailing_totals
 from spendscope.operators.sessions import event_session_start, last_sessions
 from spendscope.operators.versions import latest_version
 from tests.helpers import flat_price, prices, ts, usage, workspaces
@@ -182,3 +182,16 @@ def test_tree_isolates_every_distinct_row():
     leaves = nodes[nodes.feature < 0]
     assert leaves["size"].sum() == 4
     assert nodes[nodes.feature >= 0][["left", "right"]].min().min() > 0
+
+
+def test_trailing_totals_of_a_burst_client(spark):
+    """A client that floods for a minute, and one whose events lie just beside a window."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [("flood", start + dt.timedelta(seconds=50 + k / 4)) for k in range(240)] + [("slow", start), ("slow", start + dt.timedelta(seconds=60))]
+    df = spark.createDataFrame(rows, "k string, t timestamp")
+    got = {(r.k, r.second): r.trailing for r in trailing_totals(df, ["k"], "t", 60).collect()}
+    per = {}
+    for k, t in rows:
+        per[k, int(t.timestamp())] = per.get((k, int(t.timestamp())), 0) + 1
+    assert got == {(k, s): sum(n for (j, u), n in per.items() if j == k and s - 59 <= u <= s) for k, s in per}
+    assert max(got.values()) == 240
