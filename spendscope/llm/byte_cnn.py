@@ -8,7 +8,6 @@ their lengths, so the whole text counts.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendscope.llm.common import map_arrow, table
+from spendscope.llm.common import least_hashed, map_arrow, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -25,7 +24,6 @@ TRAIN_DOCS = 3000  # the bound of the training sample
 TRAIN_CHARS = 2048  # of each document in it
 BATCH = 32
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -153,9 +151,9 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 def training_sample(df: DataFrame, text: str, lang: str, doc_id: str, docs: int, chars: int) -> tuple[list[str], list[str]]:
     """At most ``docs`` labelled texts that are not held out, least by a hash of the id; at most ``chars`` of each."""
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~held_out(F.col(doc_id), 4, 2)).select(
-        F.xxhash64(doc_id).alias("h"), F.substring(text, 1, chars).alias("text"), F.col(lang).alias("lang")
-    ).orderBy("h", "text", "lang").limit(docs).collect()
+    known = df.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id), 4, 2))
+    rows = least_hashed(known.select(F.col(doc_id).alias("doc_id"), F.substring(text, 1, chars).alias("text"), F.col(lang).alias("lang")), "doc_id", docs)
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
@@ -180,7 +178,7 @@ def identify_language(
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, scores = [], []
         for value in batch.column("text").to_pylist():
-            if model is None or not value or not _LETTER.search(value):
+            if model is None or not value or not any(map(str.isalpha, value)):
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue

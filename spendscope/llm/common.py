@@ -52,6 +52,13 @@ def map_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
-def row_key(*columns: str):
-    """A 64-bit hash that spreads rows evenly and the same way at every run."""
-    return F.xxhash64(*columns)
+def least_hashed(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The ``rows`` rows with the least hash of ``key``, all if there are fewer.
+
+    The rows are counted first and all but about twice the wanted number are filtered out by their hash where they
+    are read, so what is gathered does not grow with the table.
+    """
+    share = min(1.0, 2 * rows / max(1, df.count()))
+    hashed = F.xxhash64(F.col(key))
+    few = df if share == 1.0 else df.where(hashed < F.lit(int(-(2**63) + share * 2**64)))
+    return few.orderBy(hashed, *df.columns).limit(rows)

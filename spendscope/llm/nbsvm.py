@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spendscope.llm.byte_cnn import held_out
 from spendscope.llm.byte_hash import joined, mix, word_hashes, words_of
-from spendscope.llm.common import map_arrow, table
+from spendscope.llm.common import least_hashed, map_arrow, table
 
 BITS = 18  # n-grams are hashed to so many bits
 TRAIN_DOCS = 5000  # the bound of the training sample
@@ -176,9 +176,8 @@ def training_sample(df: DataFrame, labels: DataFrame, text: str, label: str, doc
 
     Documents are joined with a chosen set of at most that many ids, so it can be broadcast.
     """
-    chosen = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id), 5, 0)).groupBy(
-        F.col(doc_id).alias("doc_id")
-    ).agg(F.min(label).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs)
+    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id), 5, 0))
+    chosen = least_hashed(known.groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(label).alias("label")), "doc_id", docs)
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -53,7 +53,7 @@ def test_languages_of_held_out_documents(spark):
 
 def test_languages_of_odd_rows(spark, docs_of):
     model = byte_cnn.train(["the cat is here " * 20, "der Hund ist da " * 20] * 4, ["en", "de"] * 4, epochs=2)
-    found = {(r["doc_id"], r["lang_pred"]) for r in identify_language(docs_of([*ODD, (20, "123 !?")]), keep=("score", "keys"), model=model).collect()}
+    found = {(r["doc_id"], r["lang_pred"]) for r in identify_language(docs_of([*ODD, (20, "123 !? ½²Ⅷ")]), keep=("score", "keys"), model=model).collect()}
     assert {d for d, p in found if p == "und"} == {7, 8, 9, 20} and {p for _, p in found} <= {"und", "en", "de"}
     assert identify_language(docs_of([]), model=model).count() == 0
     nothing = identify_language(docs_of(ODD).selectExpr("doc_id", "text", "cast(null as string) AS lang")).collect()
