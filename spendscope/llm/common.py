@@ -41,13 +41,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``make`` over every Arrow batch of ``df``; nothing for empty batches."""
+def map_arrow(
+    df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int | None = 1000
+) -> DataFrame:
+    """``make`` over the Arrow batches of ``df``, ``rows`` at a time to keep a worker small (None: whole batches)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield make(batch)
+            step = rows or max(1, batch.num_rows)
+            for at in range(0, batch.num_rows, step):
+                yield make(batch.slice(at, step))
 
     return df.mapInArrow(run, schema)
 

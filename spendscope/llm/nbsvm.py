@@ -26,7 +26,7 @@ TRAIN_DOCS = 5000  # the bound of the training sample
 THRESHOLD = 0.3
 SHAPES = 4
 COMMON = np.frombuffer(b".,;:'- \t\r\n", np.uint8)  # marks that ordinary prose has
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 

@@ -101,7 +101,8 @@ def profiles(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
             names=["doc_id", "n_shingles", "set_key", "keys"],
         )
 
-    return map_arrow(docs, make, "doc_id long, n_shingles long, set_key binary, keys array<long>")
+    # whole batches, as copies within one are told apart from new sets
+    return map_arrow(docs, make, "doc_id long, n_shingles long, set_key binary, keys array<long>", rows=None)
 
 
 class _Union:

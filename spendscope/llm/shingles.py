@@ -9,7 +9,7 @@ import numpy as np
 from spendscope.llm.byte_hash import MIX_A, Hashes, joined, mix, word_hashes, words_of
 
 WORDS = 5
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
