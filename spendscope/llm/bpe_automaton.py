@@ -139,8 +139,8 @@ _BEYOND_LATIN = re.compile("[^\0-ɏ]")
 class WordBpe:
     """Encoder and decoder for a tokenizers file of a BPE with word ends over byte letters.
 
-    Text of Latin code points is split here; other text is normalized and split by the tokenizers library, which
-    then stops before any merge. Merging is the automaton's.
+    Text whose lower case has Latin code points only is split here; other text is normalized and split by the
+    tokenizers library, which then stops before any merge. Merging is the automaton's.
     """
 
     def __init__(self, path: str):
@@ -182,11 +182,13 @@ class WordBpe:
         for part, special in self.split(text):
             if special is not None:
                 out.append((str(special), part))
-            elif _BEYOND_LATIN.search(part):
+                continue
+            lowered = part.lower()
+            if _BEYOND_LATIN.search(lowered):
                 pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
                 out.extend(map(self._render, (self.word_ids(w, lettered=True) for w, _ in pieces)))
             else:
-                out.extend(map(known.__getitem__, _LATIN_WORDS.findall(part.lower())))
+                out.extend(map(known.__getitem__, _LATIN_WORDS.findall(lowered)))
         return [ids for ids, _ in out], [labels for _, labels in out]
 
     def _render(self, ids: list[int]) -> tuple[str, str]:

@@ -59,6 +59,14 @@ def test_word_bpe_equals_library(text):
     assert bpe.decode(expected) == bpe.library.decode(expected, skip_special_tokens=False)
 
 
+def test_every_latin_code_point_inside_a_word_equals_library():
+    bpe = word_bpe(public_tokenizers.path(WORD_BPE))
+    for c in map(chr, range(0x250)):
+        for text in (f"x{c}liyev", f"{c}liyev", f"ab{c}", f"AB{c} {c}{c} 1{c}2"):
+            assert bpe.encode(text) == bpe.library.encode(text, add_special_tokens=False).ids, (hex(ord(c)), text)
+    assert bpe.encode("Əliyev") == [133, 247, 554, 39855]
+
+
 def test_encode_decode_on_odd_rows(spark, docs_of):
     library = Tokenizer.from_file(public_tokenizers.path(WORD_BPE))
     found = encode_decode(docs_of(ODD), texts=False).collect()
