@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from spendscope.llm.order_minhash import KMER, SKETCHES, SLOTS, kmers, likeness, order_minhash
+from spendscope.llm.order_minhash import KMER, SKETCHES, SLOTS, WORDS, kmers, likeness, order_minhash
 from tests.llm.conftest import ODD
 
 
@@ -83,6 +83,64 @@ def test_order_matters_and_copies_agree(spark, docs_of):
     assert 0.3 < found[2]["near_next"] < 0.95  # the same words, half of them elsewhere
 
 
+@pytest.mark.parametrize("sketches, slots", [(SKETCHES, SLOTS), (70, 3)])
+def test_every_sketch_selects_from_all_elements(spark, docs_of, sketches, slots):
+    """The least of all elements by a plain loop, on texts short and long; words of hash bits come from Spark."""
+    long = " ".join(f"{i * i % 1013}" for i in range(700))
+    rows = [(i, t) for i, t in enumerate([*texts(6), "one two", long])]
+    found = {r["doc_id"]: r["fingerprint"] for r in order_minhash(docs_of(rows), sketches=sketches, slots=slots, every=True).collect()}
+    low = (1 << (sketches - 1).bit_length()) - 1
+
+    def xx(values, kinds):
+        df = spark.createDataFrame(values, kinds)
+        return [r[0] % 2**64 for r in df.select(F.xxhash64(*df.columns)).collect()]
+
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    for doc_id, text in rows:
+        tokens = re.findall(r"\S{1,8}\s*", text + " \1" * (KMER - 1))
+        runs = ["".join(tokens[i : i + KMER]) for i in range(len(tokens) - KMER + 1)]
+        if not runs:
+            assert found[doc_id] == ""
+            continue
+        seen, numbered = {}, []
+        for run, h in zip(runs, xx([(r,) for r in runs], "v string"), strict=True):
+            seen[run] = seen.get(run, 0) + 1
+            numbered.append((signed(h), seen[run]))
+        elements = [signed(g) for g in xx(numbered, "h long, n long")]
+        jw = [(j, w) for j in range(1, WORDS + 1) for w in range(-(-sketches // 64))]
+        word = dict(zip([(g, *x) for g in elements for x in jw], xx([(g, *x) for g in elements for x in jw], "g long, j int, w int"), strict=True))
+        gs = [(g, -1, s) for g in elements for s in range(sketches)]
+        rest = dict(zip(gs, xx(gs, "g long, j int, s long"), strict=True))
+        lists = []
+        for s in range(sketches):
+            def rank(pos, s=s):
+                g = elements[pos]
+                bits = [word[g, j, s // 64] >> s % 64 & 1 for j in range(1, WORDS + 1)]
+                zeros = bits.index(1) if 1 in bits else WORDS
+                return WORDS - zeros, rest[g, -1, s] % 2**56, g
+            lists.append(([elements[p] for p in sorted(sorted(range(len(elements)), key=rank)[:slots])],))
+        tuples = [signed((h & ~low) | s) for s, h in enumerate(xx(lists, "a array<long>"))]
+        assert found[doc_id] == "".join(f"{t % 2**64:016x}" for t in sorted(tuples)), doc_id
+
+
+def test_moved_halves_count_at_every_length(spark, docs_of):
+    rng, rows, n = random.Random(4), [], 0
+    for length in (10, 20, 40, 80, 160):
+        for _ in range(12):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+            rows += [(n, " ".join(words)), (n + 1, " ".join(words[length // 2 :] + words[: length // 2]))]
+            n += 2
+    found = {r["doc_id"]: r["near_next"] for r in order_minhash(docs_of(rows), every=True).collect()}
+    for at, length in enumerate((10, 20, 40, 80, 160)):
+        mean = sum(found[24 * at + 2 * i] for i in range(12)) / 12
+        assert 0.1 < mean < 0.6, (length, mean)  # ten pieces keep some seven of thirteen k-mers
+
+
+def test_plan_of_every_stays_native(spark, docs_of):
+    plan = order_minhash(docs_of([(1, "a b")]), every=True)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
 def test_odd_rows(spark, docs_of):
     found = order_minhash(docs_of(ODD)).collect()
     assert len(found) == len(ODD)
