@@ -191,6 +191,19 @@ def block_edges(docs: DataFrame, open_members: DataFrame, hasher: MinHash, words
     return dealt.groupBy("key", "at").applyInArrow(verify, "a long, b long")
 
 
+def open_once(of_bucket: DataFrame) -> DataFrame:
+    """The keys of the buckets with several components; of equal buckets one.
+
+    Buckets are equal by their size, least and greatest id, and two exact sums of 64-bit hashes of the ids.
+    """
+    sums = [F.sum(F.xxhash64("doc_id", F.lit(seed)).cast("decimal(20,0)")).alias(f"sum{seed}") for seed in (1, 2)]
+    spread = of_bucket.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"),
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), *sums,
+    ).where("lo <> hi")
+    return spread.groupBy("n", "first", "last", "sum1", "sum2").agg(F.min("key").alias("key")).select("key")
+
+
 def near_duplicates(
     df: DataFrame, text: str = "text", doc_id: str = "doc_id", bands: int = BANDS, rows: int = ROWS, words: int = 5,
     miss: float = MISS,
@@ -222,12 +235,7 @@ def near_duplicates(
     of_bucket = members.where("n > 2").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
     )
-    spread = of_bucket.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).alias("content"),
-    ).where("lo <> hi")
-    once = spread.groupBy("content", "n").agg(F.min("key").alias("key")).select("key")  # equal buckets once
-    more = cut(block_edges(candidates, of_bucket.join(once, "key"), hasher, words, miss))
+    more = cut(block_edges(candidates, of_bucket.join(open_once(of_bucket), "key"), hasher, words, miss))
     if not more.isEmpty():
         labels = cut(components(edges.unionByName(more)))
 

@@ -205,3 +205,21 @@ def test_components(spark):
                 up[a] = up[b] = min(up[a], up[b])
     assert found == up
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_buckets_with_equal_short_sums_stay_two(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from spendscope.llm.near_dedup import open_once
+
+    n = 4000
+    h = np.array([r[0] for r in spark.range(n).coalesce(1).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).collect()])
+    a, b = np.triu_indices(n, 1)
+    sums = h[a] + h[b]
+    order = np.argsort(sums)
+    same = order[np.flatnonzero(np.diff(sums[order]) == 0)[0] :][:2]
+    pairs = [(int(a[i]), int(b[i])) for i in same]
+    rows = [(k, d, d) for k, pair in enumerate([*pairs, pairs[0]]) for d in pair]
+    found = open_once(spark.createDataFrame(rows, "key long, doc_id long, component long")).collect()
+    assert sorted(r["key"] for r in found) == [0, 1]
