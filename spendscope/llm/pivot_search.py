@@ -23,6 +23,7 @@ from spendscope.llm.common import cut, map_arrow, shuffle_partitions, table
 
 PIVOTS = 64
 BLOCK = 2048  # vectors of a block
+SHARE = 16  # blocks a group of the last search holds on average
 QUERIES = 4096  # queries that meet a block at once
 RING = 256  # vectors by which the first search widens
 SLICE = 512  # queries of one matrix product
@@ -226,6 +227,11 @@ def blocks_of(keyed: DataFrame, parts: DataFrame) -> DataFrame:
     ).drop("parts").groupBy("pivot", "part").applyInArrow(make, _BLOCK)
 
 
+def shares_of(blocks: int, partitions: int) -> int:
+    """Into how many groups the blocks are dealt: their number grows with the table, not their size."""
+    return max(1, partitions, -(-blocks // SHARE))
+
+
 def top_k(
     vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, scale: float = 64.0, pivots: int = PIVOTS,
 ) -> DataFrame:
@@ -258,7 +264,7 @@ def top_k(
         begin, "row long, vec_id long, width int, vector binary, floor double"
     ))
     n_sets = max(1, -(-asked.count() // QUERIES))
-    shares = shuffle_partitions(spark)
+    shares = shares_of(blocks.count(), shuffle_partitions(spark))
 
     def answer(asked_: pa.Table, block: pa.Table) -> pa.Table:
         if not asked_.num_rows or not block.num_rows:

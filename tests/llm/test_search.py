@@ -51,3 +51,11 @@ def test_few_rows_and_none(spark):
     assert found(spark, []) == [] and found(spark, [(20, None)]) == []
     assert found(spark, [(20, [1.0])]) == []
     assert found(spark, [(20, [1.0]), (20, [1.0]), (21, [0.5, 9.0])]) == sorted(2 * [(20, 1, 20, 4096), (20, 2, 21, 2048)])
+
+
+def test_shares_grow_with_the_blocks(spark):
+    from spendscope.llm.pivot_search import SHARE, shares_of
+
+    for blocks in (0, 1, 100, 10_000, 1_000_000):
+        shares = shares_of(blocks, 8)
+        assert shares >= 8 and blocks <= SHARE * shares
