@@ -175,10 +175,12 @@ def training_sample(df: DataFrame, labels: DataFrame, text: str, label: str, doc
     """n-grams and labels of at most ``docs`` labelled documents that are not held out, least by a hash of the id.
 
     Documents are joined with a chosen set of at most that many ids, so it can be broadcast.
+    Of rows with the same id one is taken, that with the least hash of the text.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id), 5, 0))
     chosen = least_hashed(known.groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(label).alias("label")), "doc_id", docs)
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [s.astype(np.int32) for s in ngram_sets(batch.column("text").to_pylist())]

@@ -95,3 +95,14 @@ def test_dual_coordinate_descent_separates():
     labels = np.arange(200) % 2
     model = nbsvm.train(sets, labels)
     assert all((model.score(s) > 0.5) == bool(v) for s, v in zip(sets, labels, strict=True))
+
+
+def test_repeated_id_is_one_training_document(spark):
+    from spendscope.llm.nbsvm import training_sample
+
+    rows = [(i, f"text number {i} of some words") for i in range(40)]
+    first = spark.createDataFrame([(i, i // 20) for i in range(40)], "doc_id long, quality int")
+    docs = spark.createDataFrame([*rows, *((i, f"again {n}") for i in range(20) for n in range(10))], "doc_id long, text string")
+    sets, labels = training_sample(docs, first, "text", "quality", "doc_id", 60)
+    once, expected = training_sample(spark.createDataFrame(rows, "doc_id long, text string"), first, "text", "quality", "doc_id", 60)
+    assert len(sets) == len(once) and labels.tolist() == expected.tolist() and set(labels.tolist()) == {0, 1}
