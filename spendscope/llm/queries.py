@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from spendscope.llm import filter_audit, pivot_search, sql, warc_zip
+from spendscope.llm import decontamination, filter_audit, pivot_search, sql, warc_zip
 from spendscope.llm.bpe_automaton import op1_bpe_automaton
 from spendscope.llm.byte_cnn import op6_byte_cnn
 from spendscope.llm.nbsvm import op7_nbsvm
@@ -21,6 +21,7 @@ LLM_QUERIES = {
     "op8_window_dedup": op8_window_dedup,
     "op9_pivot_search": pivot_search.op9_pivot_search,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_suffix_decontamination": decontamination.op11_suffix_decontamination,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 LLM_SQL = {
@@ -28,5 +29,6 @@ LLM_SQL = {
     "op5_bayes_minhash": sql.NEAR_DUPLICATES,
     "op8_window_dedup": sql.REPEATED_WINDOWS,
     "op9_pivot_search": pivot_search.SQL,
+    "op11_suffix_decontamination": decontamination.SQL,
     "op13_filter_audit": filter_audit.SQL,
 }
