@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from spendscope.llm import decontamination, filter_audit, pivot_search, sql, warc_zip
+from spendscope.llm import conversations, decontamination, filter_audit, pivot_search, sql, warc_zip
 from spendscope.llm.bpe_automaton import op1_bpe_automaton
 from spendscope.llm.byte_cnn import op6_byte_cnn
 from spendscope.llm.nbsvm import op7_nbsvm
@@ -22,6 +22,7 @@ LLM_QUERIES = {
     "op9_pivot_search": pivot_search.op9_pivot_search,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_suffix_decontamination": decontamination.op11_suffix_decontamination,
+    "op12_rank_viterbi": conversations.op12_rank_viterbi,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 LLM_SQL = {
