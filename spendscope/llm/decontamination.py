@@ -103,6 +103,8 @@ class Block:
         """The numbers of words; the number after the last for those that no test has."""
         other = len(self.words) + 1
         out = np.full(len(start), other, np.int32)
+        if not self.words:
+            return out
         cuts = np.searchsorted(start, np.arange(0, len(buffer) + HASH_BYTES, HASH_BYTES))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if a == b:
