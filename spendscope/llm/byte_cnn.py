@@ -12,16 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spendscope.llm.common import least_hashed, map_arrow, table
+from spendscope.llm.common import map_arrow, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 TRAIN_DOCS = 3000  # the bound of the training sample
-TRAIN_CHARS = 2048  # of each document in it
+TRAIN_CHARS = 2048  # of each document in it, from two places anywhere in its text
 BATCH = 32
 UNKNOWN = "und"
 
@@ -150,10 +150,28 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def training_sample(df: DataFrame, text: str, lang: str, doc_id: str, docs: int, chars: int) -> tuple[list[str], list[str]]:
-    """At most ``docs`` labelled texts that are not held out, least by a hash of the id; at most ``chars`` of each."""
-    known = df.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id), 4, 2))
-    rows = least_hashed(known.select(F.col(doc_id).alias("doc_id"), F.substring(text, 1, chars).alias("text"), F.col(lang).alias("lang")), "doc_id", docs)
-    rows = rows.where(F.col("text").rlike(r"\p{L}")).collect()
+    """At most ``docs`` labelled texts that are not held out, least by a hash of the id.
+
+    Every language has an equal share of them, or all its rows if these are fewer; of more languages than ``docs`` the
+    most frequent ones are learned. Of texts longer than ``chars`` two stretches of half that length are taken, which
+    begin at hashed places of the whole text.
+    """
+    known = df.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id), 4, 2)).select(
+        F.xxhash64(F.col(doc_id), F.lit(29)).alias("at"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")
+    ).where(F.col("text").rlike(r"\p{L}"))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(docs).collect()
+    if not counts:
+        return [], []
+    share = max(1, docs // len(counts))
+    # all but some twice the wanted rows are left out by their hash where they are read
+    most = {r["lang"]: int(min(2**63 - 1, -(2**63) + 2 * (share + 8) * 2**64 // r["count"])) for r in counts}
+    bound = F.create_map(*[x for k, v in most.items() for x in (F.lit(k), F.lit(v))])
+    few = known.where(F.col("at") <= F.element_at(bound, F.col("lang")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
+    half, n = chars // 2, F.length("text")
+    stretch = lambda k: F.substring("text", 1 + F.pmod(F.xxhash64("at", F.lit(k)), n - half + 1).cast("int"), F.lit(half))
+    cut = F.when(n <= chars, F.col("text")).otherwise(F.concat(stretch(1), stretch(2)))
+    rows = few.select("at", "lang", cut.alias("text")).withColumn("place", place).where(F.col("place") <= share).orderBy("lang", "place").collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 

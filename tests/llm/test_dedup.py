@@ -102,6 +102,23 @@ def test_strings_of_odd_tables(spark, docs_of):
     assert found == {(1, len(text.encode()), ""), (None, 0, "c")}
 
 
+@pytest.mark.parametrize("texts", [["hi"], [None, ""], ["x" * 399, "x" * 399], ["x" * 400], ["x" * 401], ["y" * 400, "y" * 400, "z"]])
+def test_strings_of_short_tables(spark, docs_of, texts):
+    rows = list(enumerate(texts))
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in remove_repeated_strings(docs_of(rows)).collect()}
+    twice = [t for t in texts if t and len(t) >= 400 and (texts.count(t) > 1 or t == "x" * 401)]
+    assert found == {i: (len(t or ""), len(t) if t in twice else 0) for i, t in rows}
+
+
+def test_short_text_alone_among_chunks(spark, docs_of):
+    """Texts larger than a chunk, so that the short ones have chunks of their own."""
+    rng = random.Random(8)
+    long = ["".join(rng.choices("abcdefghijklmnop ", k=1_100_000)) for _ in range(3)]
+    rows = [(1, long[0]), (2, long[1] + long[0][:500]), (3, long[2]), (4, "short"), (5, None), (6, "also short")]
+    found = {r["doc_id"]: r["n_removed"] for r in remove_repeated_strings(docs_of(rows)).collect()}
+    assert found == {1: 500, 2: 500, 3: 0, 4: 0, 5: 0, 6: 0}
+
+
 def test_whole_characters_stay():
     raw = "aéb".encode()
     assert whole_characters(raw, np.array([1, 0, 1, 1], bool)).tolist() == [True, False, False, True]

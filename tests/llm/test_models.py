@@ -51,6 +51,17 @@ def test_languages_of_held_out_documents(spark):
     assert (held["lang_pred"] == held["lang"]).mean() > 0.97
 
 
+def test_training_sample_is_spread_over_languages_and_texts(spark):
+    rows = [(i, "a" * 5000 + "z" * 5000, "en") for i in range(4000)] + [(10_000 + i, f"b{i}", "rare") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, langs = byte_cnn.training_sample(docs, "text", "lang", "doc_id", 200, 1000)
+    rare = [i for i, _, v in rows if v == "rare" and zlib.crc32(str(i).encode()) % 4 != 2]
+    assert langs.count("en") == 100 and langs.count("rare") == len(rare)
+    assert all(len(t) <= 1000 for t in texts)
+    late = sum("z" in t for t in texts) / 100
+    assert 0.6 < late < 0.9  # of two stretches at least one lies in the later half, mostly
+
+
 def test_languages_of_odd_rows(spark, docs_of):
     model = byte_cnn.train(["the cat is here " * 20, "der Hund ist da " * 20] * 4, ["en", "de"] * 4, epochs=2)
     found = {(r["doc_id"], r["lang_pred"]) for r in identify_language(docs_of([*ODD, (20, "123 !? ½²Ⅷ")]), keep=("score", "keys"), model=model).collect()}
