@@ -20,6 +20,7 @@ from spendscope.llm.suffix_dedup import remove_repeated_strings
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = COLUMNS[1:]
+PASSAGE_BYTES, PASSAGE_GRAM = 200, 64  # repeated strings of that length go: 51 words of four letters have more
 LEAST_SHARE = 0.4  # a language must have at least this mean chance over a text's windows
 
 
@@ -41,8 +42,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that stand twice leave the texts; documents stay, if need be without text."""
-    kept = remove_repeated_strings(docs, keep=("lang", "source"))
+    """Passages of ``PASSAGE_BYTES`` and more that stand twice leave the texts; documents stay, if need be without text."""
+    kept = remove_repeated_strings(docs, length=PASSAGE_BYTES, gram=PASSAGE_GRAM, keep=("lang", "source"))
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
