@@ -114,7 +114,9 @@ oracle("anomaly_summary", """SELECT COUNT(*) AS training_records, 90 AS training
   (SELECT COUNT(*) FROM v_drifts) AS drift_alerts, (SELECT COUNT(*) FROM v_idle) AS idle_resources FROM v_history""")
 
 # ---- API clients ----
-DERIVED["requests"] = f"""SELECT source_ip AS client, CASE service_name WHEN 'accounts' THEN 'auth' WHEN 'iamService' THEN 'heavy' WHEN 'dashboards' THEN 'static' ELSE 'api' END AS tier, event_time, epoch_us(event_time) AS us, status_code, user_agent FROM v_audit WHERE {ets_within(30, 'event_time')}"""
+DERIVED["requests"] = f"""SELECT *, CASE WHEN broken THEN 'unreadable_headers' WHEN agent = '' THEN 'missing_user_agent' WHEN contains(agent, 'curl/') THEN 'bot_user_agent' WHEN tier <> 'static' AND accept = '' THEN 'missing_accept_header' END AS reason
+FROM (SELECT client, CASE service_name WHEN 'accounts' THEN 'auth' WHEN 'iamService' THEN 'heavy' WHEN 'dashboards' THEN 'static' ELSE 'api' END AS tier, event_time, epoch_us(event_time) AS us, request_id, status_code, headers NOT LIKE '%}}' AS broken,
+  regexp_extract(headers, '"user-agent": "([^"]*)"', 1) AS agent, regexp_extract(headers, '"accept": "([^"]*)"', 1) AS accept FROM v_request_log WHERE {ets_within(30, 'event_time')})"""
 LIM60, LIM5 = "CASE tier WHEN 'auth' THEN 20 WHEN 'heavy' THEN 30 WHEN 'api' THEN 120 ELSE 200 END", "CASE tier WHEN 'auth' THEN 5 WHEN 'heavy' THEN 5 WHEN 'api' THEN 20 ELSE 40 END"
 
 
@@ -127,16 +129,28 @@ def busiest(seconds: int, limit: str) -> str:
 oracle("request_rate_violations", f"SELECT * FROM ({busiest(60, LIM60)}) JOIN ({busiest(5, LIM5)}) USING (client, tier)")
 
 
-def trail(source: str, keys: str, seconds: int) -> str:
-    return f"SELECT *, COUNT(*) OVER (PARTITION BY {keys} ORDER BY us RANGE BETWEEN {seconds * 1000000 - 1} PRECEDING AND CURRENT ROW) AS t FROM ({source})"
-
-
+# The limiter row by row, all clients at once: each step of the recursion takes every client's next request.
+KEEP = "list_filter({x}, lambda e: q.us - e{us} < {seconds} * 1000000)"
 oracle("failure_ban_candidates", f"""
-WITH d AS ({trail('SELECT * FROM v_requests WHERE status_code = 403', 'client', 600)}), m AS ({trail('SELECT * FROM v_requests', 'client, tier', 60)}),
-b AS ({trail(f'SELECT * EXCLUDE (t) FROM m WHERE t > {LIM60}', 'client', 300)}),
-f AS (SELECT client, MAX(t) AS peak_failures FROM d GROUP BY 1), v AS (SELECT client, MAX(t) AS peak_violations FROM b GROUP BY 1)
-SELECT client, COALESCE(peak_failures, 0) AS peak_failures, COALESCE(peak_violations, 0) AS peak_violations, COALESCE(peak_failures, 0) >= 10 OR COALESCE(peak_violations, 0) >= 5 AS is_candidate FROM f FULL OUTER JOIN v USING (client)""")
-oracle("suspicious_agents", """SELECT client, CASE WHEN COALESCE(user_agent, '') = '' THEN 'missing_user_agent' ELSE 'bot_user_agent' END AS reason, COUNT(*) AS request_count FROM v_requests WHERE COALESCE(user_agent, '') = '' OR lower(user_agent) LIKE '%curl/%' GROUP BY 1, 2""")
+WITH RECURSIVE q AS (SELECT client, tier, us, {LIM60} AS lim, {LIM5} AS burst, status_code = 403 AS denied, reason IS NOT NULL AND tier <> 'static' AS blocked, row_number() OVER (PARTITION BY client ORDER BY us, request_id) AS rn FROM v_requests),
+s AS (
+  SELECT client, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS until, CAST([] AS STRUCT(tier VARCHAR, us BIGINT)[]) AS b, CAST([] AS STRUCT(tier VARCHAR, us BIGINT)[]) AS m, CAST([] AS BIGINT[]) AS v, CAST([] AS BIGINT[]) AS f,
+    CAST('' AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS ban, CAST(0 AS BIGINT) AS nv, CAST(0 AS BIGINT) AS nf FROM (SELECT DISTINCT client FROM q)
+  UNION ALL
+  SELECT client, rn, CASE WHEN nv >= 5 OR nf >= 10 THEN us + 300000000 ELSE until END, b, m, CASE WHEN nv >= 5 THEN [] ELSE v END, CASE WHEN nf >= 10 THEN [] ELSE f END,
+    outcome, CASE WHEN nv >= 5 OR nf >= 10 THEN us END, nv, nf
+  FROM (
+    SELECT client, rn, us, until, outcome, CASE WHEN outcome IN ('rate', 'denied', 'accepted') THEN list_append(b, {{'tier': tier, 'us': us}}) ELSE b END AS b, CASE WHEN outcome IN ('denied', 'accepted') THEN list_append(m, {{'tier': tier, 'us': us}}) ELSE m END AS m,
+      CASE WHEN outcome IN ('blocked', 'burst', 'rate') THEN list_append(v, us) ELSE v END AS v, CASE WHEN outcome = 'denied' THEN list_append(f, us) ELSE f END AS f,
+      CASE WHEN outcome IN ('blocked', 'burst', 'rate') THEN len(v) + 1 ELSE 0 END AS nv, CASE WHEN outcome = 'denied' THEN len(f) + 1 ELSE 0 END AS nf
+    FROM (
+      SELECT *, CASE WHEN us < until THEN 'banned' WHEN blocked THEN 'blocked' WHEN len(list_filter(b, lambda e: e.tier = tier)) >= burst THEN 'burst' WHEN len(list_filter(m, lambda e: e.tier = tier)) >= lim THEN 'rate' WHEN denied THEN 'denied' ELSE 'accepted' END AS outcome
+      FROM (SELECT q.*, s.until, {KEEP.format(x='s.b', us='.us', seconds=5)} AS b, {KEEP.format(x='s.m', us='.us', seconds=60)} AS m, {KEEP.format(x='s.v', us='', seconds=300)} AS v, {KEEP.format(x='s.f', us='', seconds=600)} AS f
+        FROM s JOIN q ON q.client = s.client AND q.rn = s.rn + 1)))
+)
+SELECT client, {', '.join(f"COUNT(*) FILTER (outcome = '{o}') AS {o}" for o in ('accepted', 'denied', 'blocked', 'burst', 'rate', 'banned'))}, COUNT(ban) AS bans, make_timestamp(MIN(ban)) AS first_ban, make_timestamp(MAX(ban)) AS last_ban,
+  MAX(nf) AS peak_failures, MAX(nv) AS peak_violations, COUNT(ban) > 0 AS is_candidate FROM s WHERE rn > 0 GROUP BY client""")
+oracle("suspicious_agents", "SELECT client, reason, COUNT(*) AS request_count FROM v_requests WHERE reason IS NOT NULL GROUP BY 1, 2")
 
 # The forest is random, but what its trees are grown from, and how scores and flags agree, is not.
 oracle("iforest_trees", """

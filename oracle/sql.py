@@ -48,7 +48,9 @@ def oracle(key: str, body: str) -> None:
     _needed(body, order)
     ctes = ",\n".join(f"v_{n} AS {'MATERIALIZED ' if n in MATERIALIZED else ''}({_text(n).strip()})" for n in order)
     stmt = body.strip()
-    if ctes and stmt.upper().startswith("WITH "):
+    if ctes and stmt.upper().startswith("WITH RECURSIVE "):
+        stmt = f"WITH RECURSIVE {ctes},\n{stmt[15:]}"
+    elif ctes and stmt.upper().startswith("WITH "):
         stmt = f"WITH {ctes},\n{stmt[5:]}"
     elif ctes:
         stmt = f"WITH {ctes}\n{stmt}"

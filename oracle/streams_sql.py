@@ -10,7 +10,8 @@ g AS (SELECT warehouse_id, MIN(usage_start_time) AS session_start, MAX(usage_end
 SELECT * FROM g WHERE epoch_ms(session_end) + 3600001 <= (SELECT epoch_ms(MAX(usage_start_time)) - 7200000 FROM u)""")
 oracle("stream_rate_violations", """
 SELECT client, tier, make_timestamp(w * 5000000) AS window_start, COUNT(*) AS n FROM (
-  SELECT source_ip AS client, CASE service_name WHEN 'accounts' THEN 'auth' WHEN 'iamService' THEN 'heavy' WHEN 'dashboards' THEN 'static' ELSE 'api' END AS tier, epoch_us(event_time) // 5000000 - k AS w FROM v_audit, range(0, 12) x(k)) GROUP BY 1, 2, 3 HAVING COUNT(*) > 1""")
+  SELECT client, CASE service_name WHEN 'accounts' THEN 'auth' WHEN 'iamService' THEN 'heavy' WHEN 'dashboards' THEN 'static' ELSE 'api' END AS tier, epoch_us(event_time) // 5000000 - k AS w FROM v_request_log, range(0, 12) x(k)) GROUP BY 1, 2, 3
+HAVING COUNT(*) > CASE tier WHEN 'auth' THEN 20 WHEN 'heavy' THEN 30 WHEN 'api' THEN 120 ELSE 200 END""")
 KEYS = "cloud_provider, account_id, usage_date, service_name, sku_description, region, resource_group"
 oracle("stream_upsert_costs", f"""SELECT cloud_provider, usage_date, COUNT(*) AS row_count, {r('SUM(cost_usd)', 2)} AS cost_usd FROM (SELECT {KEYS}, SUM(cost_usd) * CASE WHEN {within(2)} THEN 2 ELSE 1 END AS cost_usd FROM v_cloud_costs GROUP BY 1, 2, 3, 4, 5, 6, 7) GROUP BY 1, 2""")
 from oracle.anomaly_sql import A2  # noqa: E402

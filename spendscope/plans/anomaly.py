@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from spendscope.context import Ctx, day_start
 from spendscope.functions import classify as C
+from spendscope.functions.documents import field, is_broken, parsed
 from spendscope.functions.features import FEATURES, anomaly_features
 from spendscope.functions.measures import desc, hours_between, rnd, total
+from spendscope.operators.admission import Rules, admissions
 from spendscope.operators.iforest import NODE_SCHEMA, IsolationForest, IsolationForestModel
 from spendscope.operators.pricing import priced_usage
-from spendscope.operators.rates import trailing_count, trailing_totals
+from spendscope.operators.rates import trailing_totals
 from spendscope.plans.cost import with_workspace
 from spendscope.plans.registry import report
 from spendscope.plans.running import running_anomalies
 from spendscope.sources.catalog import empty
+from spendscope.sources.sinks import shared_folder
 
 HISTORY_DAYS, DRIFT_DAYS = 90, 30
 MIN_SESSIONS = 5
@@ -298,8 +301,6 @@ def anomaly_summary(ctx: Ctx) -> DataFrame:
 # Requests allowed per minute and per five seconds, and services by tier.
 RATE_LIMITS = {"auth": (20, 5), "heavy": (30, 5), "api": (120, 20), "static": (200, 40)}
 TIER_OF_SERVICE = {"accounts": "auth", "iamService": "heavy", "dashboards": "static"}
-BAN_FAILURES, BAN_FAILURE_SECONDS = 10, 600
-BAN_VIOLATIONS, BAN_VIOLATION_SECONDS = 5, 300
 # Fixed value: agents that are taken for bots.
 BOT_PATTERN = (
     r"python-requests|httpx|curl/|wget/|scrapy|bot|spider|crawl|headless|phantom|selenium|puppeteer|playwright|httrack"
@@ -315,17 +316,41 @@ def rate_limit(tier: Column, burst: bool) -> Column:
     return C.lookup(tier, {t: str(pair[1 if burst else 0]) for t, pair in RATE_LIMITS.items()}).cast("int")
 
 
-def requests(audit: DataFrame) -> DataFrame:
-    return audit.select(
-        F.col("source_ip_address").alias("client"), request_tier(F.col("service_name")).alias("tier"), "event_time",
-        F.col("response.statusCode").alias("status_code"), "user_agent",
+RULES = Rules(RATE_LIMITS)
+LOG = "platform.request_log"
+
+
+def requests(log: DataFrame) -> DataFrame:
+    """client, tier, event_time, request_id, status_code and, from the JSON headers, agent, accept and headers_broken."""
+    headers = parsed("headers")
+    return log.select(
+        "client", request_tier(F.col("service_name")).alias("tier"), "event_time", "request_id", "status_code",
+        F.coalesce(field(headers, "$['user-agent']"), F.lit("")).alias("agent"), F.coalesce(field(headers, "$.accept"), F.lit("")).alias("accept"),
+        is_broken("headers").alias("headers_broken"),
+    )
+
+
+def suspicion(rows: DataFrame) -> DataFrame:
+    """``requests`` with the reason why an agent looks like no browser, NULL if it does not.
+
+    Headers that are no JSON are a reason of their own. Only calls of the API must say what they accept.
+    """
+    bot, api = F.lower("agent").rlike(BOT_PATTERN), F.col("tier") != "static"
+    reason = (
+        F.when(F.col("headers_broken"), "unreadable_headers").when(F.col("agent") == "", "missing_user_agent")
+        .when(bot, "bot_user_agent").when(api & (F.col("accept") == ""), "missing_accept_header")
     )
+    return rows.withColumn("reason", reason)
+
+
+def _recent_requests(ctx: Ctx) -> DataFrame:
+    return requests(ctx.recent_ts(LOG, "event_time", 30))
 
 
 @report("request_rate_violations")
 def request_rate_violations(ctx: Ctx) -> DataFrame:
     """Per client and tier: busiest minute and five seconds, and the seconds at which they were over the limit."""
-    rows = requests(ctx.recent_ts("access.audit", "event_time", 30, "event_date"))
+    rows = _recent_requests(ctx)
 
     def side(seconds: int, burst: bool) -> DataFrame:
         over = F.col("trailing") > rate_limit(F.col("tier"), burst)
@@ -337,28 +362,17 @@ def request_rate_violations(ctx: Ctx) -> DataFrame:
 
 
 @report("failure_ban_candidates")
-def failure_ban_candidates(ctx: Ctx) -> DataFrame:
-    """Clients by their worst ten minutes of denied requests and five minutes of rate violations."""
-    rows = requests(ctx.recent_ts("access.audit", "event_time", 30, "event_date"))
-    denied = trailing_count(rows.where(F.col("status_code") == 403), ["client"], "event_time", BAN_FAILURE_SECONDS)
-    per_minute = trailing_count(rows, ["client", "tier"], "event_time", 60)
-    broken = per_minute.where(F.col("trailing") > rate_limit(F.col("tier"), False)).drop("trailing")
-    broken = trailing_count(broken, ["client"], "event_time", BAN_VIOLATION_SECONDS)
-
-    def worst(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("client").agg(F.max("trailing").alias(name))
-
-    both = worst(denied, "peak_failures").join(worst(broken, "peak_violations"), "client", "full_outer")
-    both = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("peak_failures", "peak_violations")})
-    ban = (F.col("peak_failures") >= BAN_FAILURES) | (F.col("peak_violations") >= BAN_VIOLATIONS)
-    return both.withColumn("is_candidate", ban)
+def failure_ban_candidates(ctx: Ctx, rules: Rules = RULES) -> DataFrame:
+    """What a limiter with these rules would have done to each client: outcomes of its requests, bans and what led there."""
+    rows = suspicion(_recent_requests(ctx)).select(
+        "client", "event_time", "request_id", "tier", F.coalesce(F.col("status_code") == 403, F.lit(False)).alias("denied"),
+        (F.col("reason").isNotNull() & (F.col("tier") != "static")).alias("blocked"),
+    )
+    return admissions(rows, rules, shared_folder(ctx.spark, "admission")).withColumn("is_candidate", F.col("bans") > 0)
 
 
 @report("suspicious_agents")
 def suspicious_agents(ctx: Ctx) -> DataFrame:
-    """Requests without a user agent or with that of a known scanner, per client."""
-    agent = F.coalesce("user_agent", F.lit(""))
-    bot = F.lower(agent).rlike(BOT_PATTERN)
-    reason = F.when(agent == "", "missing_user_agent").when(bot, "bot_user_agent")
-    rows = requests(ctx.recent_ts("access.audit", "event_time", 30, "event_date")).withColumn("reason", reason)
+    """Requests whose headers look like no browser's, per client and reason."""
+    rows = suspicion(_recent_requests(ctx))
     return rows.where(F.col("reason").isNotNull()).groupBy("client", "reason").agg(F.count("*").alias("request_count"))

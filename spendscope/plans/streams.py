@@ -38,10 +38,10 @@ def stream_sessions(ctx: Ctx) -> DataFrame:
 
 
 @report("stream_rate_violations")
-def stream_rate_violations(ctx: Ctx, limit: int | None = 1) -> DataFrame:
-    """Every minute-long window in which a client sent more than one request to a tier."""
+def stream_rate_violations(ctx: Ctx, limit: int | None = None) -> DataFrame:
+    """Every minute-long window in which a client sent more requests to a tier than it allows, or than ``limit``."""
     base = shared_folder(ctx.spark, "stream-rates")
-    rows = S.rate_violations(ctx.catalog.stream("access.audit"), limit=limit)
+    rows = S.rate_violations(ctx.catalog.stream("platform.request_log"), limit=limit)
     R.run_available(rows, f"{base}/checkpoint", R.batch_writer(f"{base}/out"))
     return R.newest(ctx.spark, f"{base}/out", ["client", "tier", "window_start"])
 

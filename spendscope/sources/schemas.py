@@ -21,8 +21,10 @@ SCHEMAS: dict[str, str] = {
     "access.audit": """
         workspace_id string, event_time timestamp, event_date date, source_ip_address string,
         user_agent string, user_identity struct<email:string>, service_name string,
-        action_name string, request_params map<string,string>, response struct<statusCode:int>,
+        action_name string, request_params string, response struct<statusCode:int>,
         event_id string""",
+    "platform.request_log": """
+        request_id string, client string, event_time timestamp, service_name string, status_code int, headers string""",
     "access.table_lineage": """
         source_catalog string, source_schema string, source_table string,
         target_catalog string, target_schema string, target_table string, event_time timestamp""",

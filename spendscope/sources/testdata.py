@@ -158,7 +158,19 @@ SELECT concat('ws-', user_id % 25) AS workspace_id, ts AS event_time, CAST(ts AS
   CASE event_id % 9 WHEN 0 THEN 'createToken' WHEN 1 THEN 'revokeToken' WHEN 2 THEN 'addPrincipalToGroup' WHEN 3 THEN 'updateGroup' WHEN 4 THEN 'changePermissions'
     WHEN 5 THEN 'createServicePrincipal' WHEN 6 THEN 'login' WHEN 7 THEN 'runCommand' ELSE 'getTable' END AS action_name,
   concat('10.0.0.', user_id % 50) AS source_ip, CASE WHEN event_id % 41 = 0 THEN 'curl/8.0' WHEN event_id % 43 = 0 THEN '' ELSE 'Mozilla/5.0' END AS user_agent,
-  CASE WHEN event_type = 'error' THEN 403 ELSE 200 END AS status_code, concat('e-', event_id) AS event_id
+  CASE WHEN event_type = 'error' THEN 403 ELSE 200 END AS status_code, concat('e-', event_id) AS event_id,
+  CASE WHEN event_id % 67 = 0 THEN NULL WHEN event_id % 61 = 0 THEN '{{"groupName": "gro'
+    ELSE concat('{{"groupName": "group-', user_id % 12, '", "principal": {{"id": ', user_id, ', "kind": "', CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'group' END,
+      '"}}, "changes": [{{"object": "cat-', event_id % 9, '", "level": ', CASE WHEN event_id % 5 = 0 THEN 'null' ELSE '"CAN_USE"' END, '}}]}}') END AS request_params
+FROM {events}""",
+    # One client sends a third of all requests, every other 2000 of the log in clumps of one second.
+    "request_log": """
+SELECT concat('q-', event_id) AS request_id, CASE WHEN event_id % 3 = 0 THEN '10.0.0.1' ELSE concat('10.0.1.', user_id % 50) END AS client,
+  TIMESTAMP '2024-01-31 00:00:00' + INTERVAL '1' SECOND * CAST(CASE WHEN event_id % 3 = 0 AND CAST(floor(event_id / 2000.0) AS BIGINT) % 2 = 0 THEN floor(event_id / 500.0) * 200 ELSE floor(event_id * 0.4) END AS INT) AS event_time,
+  CASE event_type WHEN 'click' THEN 'notebook' WHEN 'view' THEN 'dashboards' WHEN 'purchase' THEN 'iamService' WHEN 'signup' THEN 'accounts' ELSE 'clusters' END AS service_name,
+  CASE WHEN event_type = 'error' THEN 403 ELSE 200 END AS status_code,
+  CASE WHEN event_id % 59 = 0 THEN '{{"user-agent": "Moz' ELSE concat('{{', CASE WHEN event_id % 43 = 0 THEN '' ELSE concat('"user-agent": "', CASE WHEN event_id % 41 = 0 THEN 'curl/8.0' ELSE 'Mozilla/5.0' END, '", ') END,
+    CASE WHEN event_id % 47 = 0 THEN '' ELSE '"accept": "*/*", ' END, '"host": "app"}}') END AS headers
 FROM {events}""",
     "query_history": """
 SELECT concat('stmt-', event_id) AS statement_id, concat('user', user_id, '@example.com') AS executed_by,
@@ -389,7 +401,7 @@ def _jobs(df: DataFrame) -> DataFrame:
 
 def _audit(df: DataFrame) -> DataFrame:
     return df.select(
-        "workspace_id", "event_time", "event_date", "service_name", "action_name", "user_agent", "event_id",
+        "workspace_id", "event_time", "event_date", "service_name", "action_name", "user_agent", "event_id", "request_params",
         F.col("source_ip").alias("source_ip_address"),
         F.struct(F.col("user_email").alias("email")).alias("user_identity"),
         F.struct(F.col("status_code").alias("statusCode")).alias("response"),
@@ -437,6 +449,7 @@ VIEWS = {
     "compute.cluster_events": ("cluster_events", None),
     "compute.warehouse_events": ("warehouse_events", None),
     "access.audit": ("audit", _audit),
+    "platform.request_log": ("request_log", None),
     "query.history": ("query_history", _queries),
     "ai_gateway.usage": ("gateway_usage", None),
     "serving.endpoint_usage": ("endpoint_usage", None),
@@ -474,7 +487,7 @@ VIEWS = {
 }
 
 _EVENT_BASED = (
-    "access.audit", "query.history", "ai_gateway.usage", "serving.endpoint_usage",
+    "access.audit", "platform.request_log", "query.history", "ai_gateway.usage", "serving.endpoint_usage",
     "compute.cluster_events", "compute.warehouse_events", "dashboards.dashboard_events",
     "marketplace.listing_events",
 )
@@ -504,7 +517,7 @@ def _view(sf_dir: str, flat: str, wrap):
 
 def testdata_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     locations = {name: _view(sf_dir, flat, wrap) for name, (flat, wrap) in VIEWS.items()}
-    bases = {"billing.usage": "lineitem", "platform.cloud_costs": "lineitem", "access.audit": "events"}
+    bases = {"billing.usage": "lineitem", "platform.cloud_costs": "lineitem", "platform.request_log": "events"}
     streams = {name: _stream(sf_dir, *VIEWS[name], base) for name, base in bases.items()}
     return Catalog(spark, locations, streams=streams)
 

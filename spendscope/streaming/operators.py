@@ -44,10 +44,10 @@ def warehouse_sessions(usage: DataFrame, lateness: str = "2 hours", gap_seconds:
 
 
 def rate_violations(
-    audit: DataFrame, seconds: int = 60, slide: int = 5, limit: int | None = None, lateness: str = "1 minute"
+    log: DataFrame, seconds: int = 60, slide: int = 5, limit: int | None = None, lateness: str = "1 minute"
 ) -> DataFrame:
     """Sliding windows in which a client sent more than its tier's limit, or more than ``limit``."""
-    timed = requests(audit.withWatermark("event_time", lateness))
+    timed = requests(log.withWatermark("event_time", lateness))
     counts = streaming_sliding_counts(timed, ["client", "tier"], "event_time", seconds, slide)
     allowed = F.lit(limit) if limit is not None else rate_limit(F.col("tier"), burst=seconds <= 5)
     return counts.where(F.col("n") > allowed)
