@@ -81,15 +81,19 @@ SELECT g.catalog_name, g.grantee AS principal, g.privilege_type AS action, COUNT
 
 # ---- governance ----
 E30 = ets_within(30, "event_time")
-DERIVED["gov"] = f"SELECT event_id, event_time, workspace_id, service_name, action_name, COALESCE(user_email, '') AS actor FROM v_audit WHERE {E30}"
+DERIVED["gov"] = f"SELECT event_id, event_time, workspace_id, service_name, action_name, COALESCE(user_email, '') AS actor, request_params FROM v_audit WHERE {E30}"
 DERIVED["iam"] = f"""SELECT * FROM v_gov WHERE service_name IN ('iamService', 'accountsManager', 'tokenManagement', 'groups', 'servicePrincipals', 'users', 'permissions', 'iam', 'accounts')
   OR action_name IN ('createServicePrincipal', 'createToken', 'revokeToken', 'changePermissions', 'updateGroup', 'addPrincipalToGroup') """
 COLS = "event_id, event_time, workspace_id, action_name, actor"
 DERIVED["sp_ev"] = f"SELECT {COLS} FROM v_gov WHERE action_name = 'createServicePrincipal'"
 DERIVED["token_ev"] = f"SELECT {COLS} FROM v_gov WHERE action_name IN ('createToken', 'deleteToken', 'revokeToken')"
-DERIVED["group_ev"] = f"SELECT {COLS} FROM v_gov WHERE action_name IN ('updateGroup', 'addPrincipalToGroup')"
-DERIVED["perm_ev"] = f"SELECT {COLS} FROM v_gov WHERE action_name = 'changePermissions'"
-oracle("iam_events", "SELECT * FROM v_iam")
+PARAMS = "request_params NOT LIKE '%}'"
+WHOLE = f"CASE WHEN NOT ({PARAMS}) THEN request_params END"
+PRINCIPAL = f"CAST(NULLIF(regexp_extract({WHOLE}, '\"id\": ([0-9]+)', 1), '') AS BIGINT) AS principal_id"
+BROKEN = f"COALESCE({PARAMS}, FALSE) AS params_broken"
+DERIVED["group_ev"] = f"SELECT {COLS}, NULLIF(regexp_extract({WHOLE}, '\"groupName\": \"([^\"]*)\"', 1), '') AS group_name, {PRINCIPAL}, NULLIF(regexp_extract({WHOLE}, '\"kind\": \"([^\"]*)\"', 1), '') AS principal_kind, {BROKEN} FROM v_gov WHERE action_name IN ('updateGroup', 'addPrincipalToGroup')"
+DERIVED["perm_ev"] = f"SELECT {COLS}, NULLIF(regexp_extract({WHOLE}, '\"object\": \"([^\"]*)\"', 1), '') AS object, NULLIF(regexp_extract({WHOLE}, '\"level\": \"([^\"]*)\"', 1), '') AS level, {PRINCIPAL}, {BROKEN} FROM v_gov WHERE action_name = 'changePermissions'"
+oracle("iam_events", "SELECT * EXCLUDE (request_params) FROM v_iam")
 for key, view in (("sp_events", "sp_ev"), ("token_events", "token_ev"), ("group_events", "group_ev"), ("permission_events", "perm_ev")):
     oracle(key, f"SELECT * FROM v_{view}")
 oracle("token_summary", "SELECT COUNT(*) FILTER (action_name = 'createToken') AS creates, COUNT(*) FILTER (action_name <> 'createToken') AS deletes FROM v_token_ev")

@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OFFSET_ACCURACY = 10_000  # the offset quantile is off by at most one rank in so many
+from spendscope.operators.quantiles import exact_percentiles
+
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, depth int, size int"
 
 
@@ -105,7 +106,7 @@ class IsolationForest:
             nodes = self.nodes(rows, id_cols, row_count).toPandas()
             model = IsolationForestModel(tuple(self.features), nodes, 0.0)
             scored = model.normality(rows.select(*self.features)).select("normality")
-            mark = scored.agg(F.percentile_approx("normality", self.contamination, OFFSET_ACCURACY)).first()[0]
+            mark = exact_percentiles(scored, [], "normality", {"mark": self.contamination}).first()["mark"]
             return IsolationForestModel(tuple(self.features), nodes, float(mark))
         finally:
             rows.unpersist()

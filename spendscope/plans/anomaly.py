@@ -157,15 +157,12 @@ def _scored(ctx: Ctx, model: IsolationForestModel | None = None) -> DataFrame:
     rows = _running_features(ctx)
     model = model or FOREST.fit(training_rows(ctx), TRAINING_ID)
     scored = model.transform(rows) if model else rows.withColumn("if_score", F.lit(None).cast("double"))
-    return scored.drop(*FEATURES)
+    return scored.withColumn("if_score", rnd("if_score", 3)).drop(*FEATURES)
 
 
 @report("iforest_score")
 def iforest_score(ctx: Ctx) -> DataFrame:
-    return _scored(ctx).select(
-        "resource_id", "service_type", "name", rnd("if_score", 3).alias("if_score"),
-        (F.col("if_score") >= 0.5).alias("is_anomaly"),
-    )
+    return _scored(ctx).select("resource_id", "service_type", "name", "if_score", (F.col("if_score") >= 0.5).alias("is_anomaly"))
 
 
 @report("iforest_checks")
@@ -182,7 +179,7 @@ def iforest_checks(ctx: Ctx) -> DataFrame:
 def resource_anomalies(ctx: Ctx) -> DataFrame:
     """Running resources flagged by their baseline or by the forest, scored by the stronger of the two."""
     rows = zscores(_scored(ctx), baselines(resource_history(ctx)))
-    by_z, by_if = F.when(_z_hit(), _z_score()), F.when(F.col("if_score") >= 0.5, rnd("if_score", 3))
+    by_z, by_if = F.when(_z_hit(), _z_score()), F.when(F.col("if_score") >= 0.5, F.col("if_score"))
     rows = rows.withColumns({"baseline_score": by_z, "forest_score": by_if})
     rows = rows.where("baseline_score IS NOT NULL OR forest_score IS NOT NULL").withColumn(
         "ml_score", F.greatest("baseline_score", "forest_score")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendscope.context import Ctx
 from spendscope.functions import classify as C
+from spendscope.functions.documents import field, is_broken, parsed
 from spendscope.functions.measures import desc, top
 from spendscope.plans.registry import report
 
 AUDIT = "access.audit"
 LOOKBACK = 30
+# Request parameters by column: where they stand in the JSON, and their kind.
+GROUP_PARAMS = {"group_name": ("$.groupName", "string"), "principal_id": ("$.principal.id", "bigint"), "principal_kind": ("$.principal.kind", "string")}
+PERMISSION_PARAMS = {"object": ("$.changes[0].object", "string"), "level": ("$.changes[0].level", "string"), "principal_id": ("$.principal.id", "bigint")}
 
 
 def _events(ctx: Ctx) -> DataFrame:
@@ -31,6 +35,16 @@ def _of(ctx: Ctx, actions: Sequence[str]) -> DataFrame:
     return _events(ctx).where(F.col("action_name").isin(*actions)).drop("service_name")
 
 
+def _with_params(ctx: Ctx, actions: Sequence[str], params: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Events with fields of their request parameters; ``params_broken`` where these are there but no JSON."""
+    given = ctx.recent_ts(AUDIT, "event_time", LOOKBACK, "event_date").where(F.col("action_name").isin(*actions))
+    request = parsed("request_params")
+    return given.select(
+        "event_id", "event_time", "workspace_id", "action_name", F.coalesce("user_identity.email", F.lit("")).alias("actor"),
+        *(field(request, path, kind).alias(name) for name, (path, kind) in params.items()), is_broken("request_params").alias("params_broken"),
+    )
+
+
 def _iam(ctx: Ctx) -> DataFrame:
     return _events(ctx).where(C.is_iam_event())
 
@@ -53,12 +67,12 @@ def token_events(ctx: Ctx, n: int | None = None) -> DataFrame:
 
 @report("group_events")
 def group_events(ctx: Ctx, n: int | None = None) -> DataFrame:
-    return _latest(_of(ctx, C.GROUP_ACTIONS), n)
+    return _latest(_with_params(ctx, C.GROUP_ACTIONS, GROUP_PARAMS), n)
 
 
 @report("permission_events")
 def permission_events(ctx: Ctx, n: int | None = None) -> DataFrame:
-    return _latest(_of(ctx, C.PERMISSION_ACTIONS), n)
+    return _latest(_with_params(ctx, C.PERMISSION_ACTIONS, PERMISSION_PARAMS), n)
 
 
 @report("token_summary")

@@ -13,7 +13,8 @@ from spendscope.operators.pricing import priced_usage
 from spendscope.plans.registry import report
 from spendscope.sources import ingest, permissions, quality
 from spendscope.sources.catalog import first_col, first_nonempty
-from spendscope.sources.sinks import COST_KEYS, shared_folder, upsert, upsert_partitions, write_partitioned
+from spendscope.sources.live import LiveTable
+from spendscope.sources.sinks import COST_KEYS, shared_folder, write_partitioned
 
 
 
@@ -121,7 +122,7 @@ MONTHLY_KEYS = (*COST_KEYS, "usage_month")
 
 
 def by_month(costs: DataFrame) -> DataFrame:
-    """With the month to partition by: years of small days would make thousands of folders."""
+    """With the month to partition by: seven years of days of some twenty rows each would be thousands of small files."""
     return costs.withColumn("usage_month", F.trunc("usage_date", "month"))
 
 
@@ -146,14 +147,20 @@ def sink_partitioned(ctx: Ctx) -> DataFrame:
     return _cost_totals(ctx.spark.read.parquet(path))
 
 
+def stored_costs(ctx: Ctx, purpose: str) -> LiveTable:
+    """All costs of the unified table by provider and month, in a folder of their own."""
+    table = LiveTable(ctx.spark, shared_folder(ctx.spark, purpose), MONTHLY, MONTHLY_KEYS)
+    table.write(by_month(_keyed_costs(ctx.table("platform.cloud_costs"))))
+    return table
+
+
 @report("upsert_cloud_costs")
 def upsert_cloud_costs(ctx: Ctx) -> DataFrame:
     """Totals after merging the correction into the table, twice: the second load changes nothing."""
-    path = shared_folder(ctx.spark, "cloud-costs")
-    write_partitioned(by_month(_keyed_costs(ctx.table("platform.cloud_costs"))), path, MONTHLY)
+    table = stored_costs(ctx, "cloud-costs")
     for _ in range(2):
-        upsert_partitions(ctx.spark, path, by_month(_correction(ctx)), MONTHLY_KEYS, MONTHLY)
-    return _cost_totals(ctx.spark.read.parquet(path))
+        table.upsert(by_month(_correction(ctx)))
+    return _cost_totals(table.read())
 
 
 @report("upsert_permissions")

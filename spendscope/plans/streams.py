@@ -9,9 +9,9 @@ from spendscope.context import Ctx
 from spendscope.functions.measures import rnd
 from spendscope.operators.pricing import join_effective_price
 from spendscope.plans.alerts import HISTORY_DAYS, daily_spikes
-from spendscope.plans.inputs import MONTHLY, _cost_totals, _keyed_costs, by_month
+from spendscope.plans.inputs import _cost_totals, _keyed_costs, by_month, stored_costs
 from spendscope.plans.registry import report
-from spendscope.sources.sinks import COST_KEYS, shared_folder, write_partitioned
+from spendscope.sources.sinks import shared_folder
 from spendscope.streaming import operators as S
 from spendscope.streaming import runner as R
 
@@ -60,14 +60,11 @@ def stream_spend_alerts(ctx: Ctx) -> DataFrame:
 @report("stream_upsert_costs")
 def stream_upsert_costs(ctx: Ctx) -> DataFrame:
     """All stored costs, then the last three days arriving again as a stream."""
-    base = shared_folder(ctx.spark, "stream-costs")
-    write_partitioned(by_month(_keyed_costs(ctx.table("platform.cloud_costs"))), f"{base}/table", MONTHLY)
+    table = stored_costs(ctx, "stream-costs")
 
-    def keyed(batch: DataFrame) -> DataFrame:
-        return by_month(batch.groupBy(*COST_KEYS).agg(
-            (F.sum("cost_usd") * 2).cast("decimal(18,4)").alias("cost_usd"), F.count("*").alias("row_count")
-        ))
+    def doubled(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("cost_usd", (F.col("cost_usd") * 2).cast("decimal(18,4)"))
 
-    writer = R.upsert_writer(f"{base}/table", f"{base}/arrived", keyed, partitions=MONTHLY)
-    R.run_available(_recent(ctx, "platform.cloud_costs", 2), f"{base}/checkpoint", writer, mode="append")
-    return _cost_totals(ctx.spark.read.parquet(f"{base}/table"))
+    writer = R.sums_writer(table, lambda batch: by_month(_keyed_costs(batch)), doubled)
+    R.run_available(_recent(ctx, "platform.cloud_costs", 2), f"{table.path}-checkpoint", writer, mode="append")
+    return _cost_totals(table.read())

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendscope.sources.live import LiveTable
 from spendscope.sources.sinks import COST_KEYS, COST_PARTITIONS, matching, upsert_partitions
 
 
@@ -59,14 +60,55 @@ def daily_spike_writer(state: str, alerts: str, rule: Callable[[DataFrame], Data
     return write
 
 
+ARRIVED, BATCH = "arrived_", "last_batch"
+
+
+def sums_writer(
+    table: LiveTable, sums: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame],
+) -> Callable[[DataFrame, int], None]:
+    """Upserts what ``finish`` makes of the sums over all rows that arrived for a batch's keys.
+
+    ``sums`` maps a batch to one row per key with additive columns, ``finish`` rows with the running sums under the same
+    names to the columns of the table. The running sums are kept in the table, as ``arrived_`` columns, with the number
+    of the last batch that a key was met in. So a batch reads and writes only the partitions of its own keys, whatever
+    came before, and one that is run again finds its number and adds nothing.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        new = sums(batch)
+        names = [c for c in new.columns if c not in table.keys]
+
+        def add(stored: DataFrame, source: DataFrame) -> DataFrame:
+            kinds = dict(source.dtypes)
+            extra = {ARRIVED + c: kinds[c] for c in names} | {BATCH: "bigint"}
+            missing = {c: F.lit(None).cast(t) for c, t in extra.items() if c not in stored.columns}
+            known = stored.withColumns(missing) if missing else stored
+            both = known.alias("t").join(source.withColumn("_here", F.lit(True)).alias("s"), matching(table.keys, "t", "s"), "full_outer")
+            met = F.col("s._here").isNotNull()
+            again = F.coalesce(F.col(f"t.{BATCH}") >= number, F.lit(False))
+            before = lambda c: F.coalesce(F.col(f"t.{ARRIVED}{c}"), F.lit(0))
+            now = {c: F.when(again | ~met, F.col(f"t.{ARRIVED}{c}")).otherwise((before(c) + F.col(f"s.{c}")).cast(kinds[c])) for c in names}
+            rows = both.select(
+                *(F.coalesce(f"s.{k}", f"t.{k}").alias(k) for k in table.keys), *(F.col(f"t.{c}").alias(f"old_{c}") for c in stored.columns if c not in (*table.keys, *extra)),
+                *(v.alias(ARRIVED + c) for c, v in now.items()), F.when(met, F.greatest(F.lit(number), F.coalesce(f"t.{BATCH}", F.lit(0)))).otherwise(F.col(f"t.{BATCH}")).cast("bigint").alias(BATCH), met.alias("_met"),
+            )
+            finished = finish(rows.select("*", *(F.col(ARRIVED + c).alias(c) for c in names)))
+            values = [c for c in stored.columns if c not in (*table.keys, *extra)]
+            return finished.select(*table.keys, *(F.when(F.col("_met"), F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in values), *extra)
+
+        table.upsert(new, add)
+
+    return write
+
+
 def upsert_writer(
     path: str, arrived: str, prepare: Callable[[DataFrame], DataFrame], keys: Sequence[str] = COST_KEYS,
     partitions: Sequence[str] = COST_PARTITIONS,
 ) -> Callable[[DataFrame, int], None]:
     """Upserts into the partitioned cost table what ``prepare`` makes of all rows that arrived for a batch's keys.
 
-    Batches are kept under their number in ``arrived``, so a key that is met in several batches gets the total
-    over all of them, and a batch that is run again replaces itself.
+    For results that are no sums; for those see ``sums_writer``, which does not read what came before. Batches are kept
+    under their number in ``arrived``, so a key that is met in several batches gets the result over all of them, and a
+    batch that is run again replaces itself.
     """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
