@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from spendscope.context import Ctx
 from spendscope.functions.measures import rnd
 from spendscope.operators.pricing import join_effective_price
-from spendscope.plans.alerts import HISTORY_DAYS, daily_spikes
+from spendscope.plans.alerts import DAY_FACTOR, HISTORY_DAYS, RECENT_ROWS
 from spendscope.plans.inputs import _cost_totals, _keyed_costs, by_month, stored_costs
 from spendscope.plans.registry import report
 from spendscope.sources.sinks import shared_folder
 from spendscope.streaming import operators as S
 from spendscope.streaming import runner as R
+from spendscope.streaming.spikes import SpikeRule, daily_spike_alerts, present_alerts, with_rocks
+
+SPIKES = SpikeRule(HISTORY_DAYS, RECENT_ROWS, DAY_FACTOR)
 
 
 def _recent(ctx: Ctx, name: str, days: int) -> DataFrame:
@@ -48,13 +51,12 @@ def stream_rate_violations(ctx: Ctx, limit: int | None = None) -> DataFrame:
 
 @report("stream_spend_alerts")
 def stream_spend_alerts(ctx: Ctx) -> DataFrame:
+    """Days above twice the baseline of the total spend, from totals that are kept as state of the stream."""
     base = shared_folder(ctx.spark, "stream-alerts")
     rows = join_effective_price(_recent(ctx, "billing.usage", HISTORY_DAYS), ctx.table("billing.list_prices"))
-    writer = R.daily_spike_writer(f"{base}/state", f"{base}/alerts", daily_spikes)
-    R.run_available(rows.select("usage_date", "cost"), f"{base}/checkpoint", writer, mode="append")
-    alerts = ctx.spark.read.parquet(f"{base}/alerts")
-    last = alerts.select(F.max("batch")).scalar()
-    return alerts.where(F.col("batch") == last).drop("batch")
+    alerts = daily_spike_alerts(rows.withColumn("series", F.lit("all")), SPIKES)
+    with_rocks(ctx.spark, lambda: R.run_available(alerts, f"{base}/checkpoint", R.batch_writer(f"{base}/alerts")))
+    return present_alerts(ctx.spark, f"{base}/alerts").drop("series")
 
 
 @report("stream_upsert_costs")

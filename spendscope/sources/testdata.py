@@ -24,6 +24,7 @@ EVENTS_DAY = dt.date(2024, 1, 31)
 # Base price per SKU and unit; prices rose by a tenth in 1999. The serving SKU has no price.
 _BASE_PRICES = {
     "JOBS_COMPUTE": "0.15", "PREMIUM_ALL_PURPOSE_COMPUTE": "0.70", "PRO_SQL": "0.55", "DLT_PRO_COMPUTE": "0.25", "SERVERLESS_SQL": "0.70",
+    "SERVERLESS_SQL_FAST": "0.90",
 }
 
 
@@ -44,15 +45,17 @@ SELECT concat('ws-', n.n_nationkey) AS workspace_id,
   CASE WHEN n.n_nationkey % 5 = 4 THEN '' ELSE CASE n.n_regionkey % 3 WHEN 0 THEN 'AWS' WHEN 1 THEN 'AZURE' ELSE 'GCP' END END AS cloud, r.r_name AS region,
   concat('sub-', n.n_nationkey % 4) AS subscription_id, concat('RG-', n.n_nationkey % 6) AS resource_group
 FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey""",
+    # So that every rule over spend fires: five times the use on the last day, a SKU that began in the last week, and from
+    # June on one pipeline with daily rows under the same tags.
     "usage_flat": """
 SELECT concat('r-', l.l_orderkey, '-', l.l_linenumber, '-', l.l_partkey) AS record_id,
-  CASE WHEN p.p_type = 'ECONOMY' THEN concat('ws-', (o.o_custkey % 200) % 25) ELSE concat('ws-', s.s_nationkey) END AS workspace_id,
+  CASE WHEN (p.p_type = 'MEDIUM' AND l.l_suppkey % 2 = 0 AND l.l_shipdate >= DATE '2001-06-01') THEN 'ws-2' WHEN p.p_type = 'ECONOMY' THEN concat('ws-', (o.o_custkey % 200) % 25) ELSE concat('ws-', s.s_nationkey) END AS workspace_id,
   CASE p.p_type WHEN 'ECONOMY' THEN 'JOBS_COMPUTE' WHEN 'STANDARD' THEN 'PREMIUM_ALL_PURPOSE_COMPUTE' WHEN 'SMALL' THEN 'PRO_SQL'
-    WHEN 'MEDIUM' THEN 'DLT_PRO_COMPUTE' WHEN 'LARGE' THEN 'SERVERLESS_SQL' ELSE 'FOUNDATION_MODEL_SERVING' END AS sku_name,
+    WHEN 'MEDIUM' THEN 'DLT_PRO_COMPUTE' WHEN 'LARGE' THEN CASE WHEN l.l_shipdate >= DATE '2001-07-26' AND l.l_suppkey % 2 = 0 THEN 'SERVERLESS_SQL_FAST' ELSE 'SERVERLESS_SQL' END ELSE 'FOUNDATION_MODEL_SERVING' END AS sku_name,
   CASE l.l_partkey % 3 WHEN 0 THEN 'AWS' WHEN 1 THEN 'AZURE' ELSE 'GCP' END AS cloud,
   l.l_shipdate + INTERVAL '1' HOUR * CAST(l.l_partkey % 24 AS INT) AS usage_start_time,
   l.l_shipdate + INTERVAL '1' HOUR * CAST(l.l_partkey % 24 AS INT) + INTERVAL '1' MINUTE * CAST(10 + l.l_suppkey % 171 AS INT) AS usage_end_time,
-  CAST(l.l_shipdate AS DATE) AS usage_date, CAST(l.l_quantity AS DECIMAL(18,4)) AS usage_quantity,
+  CAST(l.l_shipdate AS DATE) AS usage_date, CAST(l.l_quantity * CASE WHEN CAST(l.l_shipdate AS DATE) = DATE '2001-08-01' THEN 5 ELSE 1 END AS DECIMAL(18,4)) AS usage_quantity,
   CASE WHEN l.l_linenumber = 7 THEN 'NETWORK_BYTE' WHEN l.l_linenumber = 6 THEN 'STORAGE_SPACE' ELSE 'COMPUTE_TIME' END AS usage_type,
   CASE p.p_type WHEN 'ECONOMY' THEN 'JOBS' WHEN 'STANDARD' THEN 'ALL_PURPOSE' WHEN 'SMALL' THEN 'SQL' WHEN 'MEDIUM' THEN 'DLT'
     WHEN 'LARGE' THEN 'SQL' ELSE 'MODEL_SERVING' END AS billing_origin_product,
@@ -60,13 +63,13 @@ SELECT concat('r-', l.l_orderkey, '-', l.l_linenumber, '-', l.l_partkey) AS reco
   CASE WHEN p.p_type IN ('SMALL', 'LARGE') THEN concat('wh-', l.l_suppkey % 20) END AS warehouse_id,
   CASE WHEN p.p_type = 'ECONOMY' THEN concat('job-', o.o_custkey % 200) END AS job_id,
   CASE WHEN p.p_type = 'ECONOMY' THEN concat('run-', l.l_orderkey) END AS job_run_id,
-  CASE WHEN p.p_type = 'MEDIUM' THEN concat('dlt-', l.l_partkey % 40) END AS dlt_pipeline_id,
+  CASE WHEN (p.p_type = 'MEDIUM' AND l.l_suppkey % 2 = 0 AND l.l_shipdate >= DATE '2001-06-01') THEN 'dlt-2' WHEN p.p_type = 'MEDIUM' THEN concat('dlt-', l.l_partkey % 40) END AS dlt_pipeline_id,
   CASE WHEN p.p_type = 'PROMO' THEN concat('ep-', l.l_partkey % 25) END AS endpoint_name,
   concat('user', o.o_custkey % 150, '@example.com') AS run_as,
-  CASE WHEN o.o_custkey % 5 <> 0 THEN c.c_mktsegment END AS tag_team,
-  CASE WHEN l.l_partkey % 4 = 0 THEN p.p_brand END AS tag_product_name,
-  CASE WHEN l.l_partkey % 4 = 1 THEN p.p_brand END AS tag_product,
-  CASE o.o_custkey % 4 WHEN 0 THEN 'prod' WHEN 1 THEN 'dev' WHEN 2 THEN 'uat' END AS tag_env
+  CASE WHEN (p.p_type = 'MEDIUM' AND l.l_suppkey % 2 = 0 AND l.l_shipdate >= DATE '2001-06-01') THEN 'STEADY' WHEN o.o_custkey % 5 <> 0 THEN c.c_mktsegment END AS tag_team,
+  CASE WHEN l.l_partkey % 4 = 0 AND NOT (p.p_type = 'MEDIUM' AND l.l_suppkey % 2 = 0 AND l.l_shipdate >= DATE '2001-06-01') THEN p.p_brand END AS tag_product_name,
+  CASE WHEN l.l_partkey % 4 = 1 AND NOT (p.p_type = 'MEDIUM' AND l.l_suppkey % 2 = 0 AND l.l_shipdate >= DATE '2001-06-01') THEN p.p_brand END AS tag_product,
+  CASE WHEN (p.p_type = 'MEDIUM' AND l.l_suppkey % 2 = 0 AND l.l_shipdate >= DATE '2001-06-01') THEN 'prod' ELSE CASE o.o_custkey % 4 WHEN 0 THEN 'prod' WHEN 1 THEN 'dev' WHEN 2 THEN 'uat' END END AS tag_env
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
 JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey""",
     "list_prices": f"SELECT * FROM (VALUES {_price_rows()}) AS p(sku_name, cloud, price_start_time, price_end_time, price_default)",
@@ -152,7 +155,8 @@ SELECT concat('wh-', user_id % 20) AS warehouse_id, ts AS event_time, CAST(1 + e
   CASE event_type WHEN 'signup' THEN 'STARTING' WHEN 'error' THEN 'STOPPED' WHEN 'view' THEN 'SCALED_UP' ELSE 'RUNNING' END AS event_type
 FROM {events}""",
     "audit": """
-SELECT concat('ws-', user_id % 25) AS workspace_id, ts AS event_time, CAST(ts AS DATE) AS event_date,
+SELECT concat('ws-', user_id % 25) AS workspace_id, CASE WHEN user_id % 13 = 5 THEN ts - INTERVAL '45' DAY ELSE ts END AS event_time,
+  CAST(CASE WHEN user_id % 13 = 5 THEN ts - INTERVAL '45' DAY ELSE ts END AS DATE) AS event_date,
   CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 89 = 0 THEN ' ' WHEN user_id % 10 = 0 THEN concat(1000 + user_id, '@9001') ELSE concat('user', user_id, '@example.com') END AS user_email,
   CASE event_type WHEN 'click' THEN 'notebook' WHEN 'view' THEN 'dashboards' WHEN 'purchase' THEN 'iamService' WHEN 'signup' THEN 'accounts' ELSE 'clusters' END AS service_name,
   CASE event_id % 9 WHEN 0 THEN 'createToken' WHEN 1 THEN 'revokeToken' WHEN 2 THEN 'addPrincipalToGroup' WHEN 3 THEN 'updateGroup' WHEN 4 THEN 'changePermissions'

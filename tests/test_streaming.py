@@ -2,14 +2,17 @@
 
 import datetime as dt
 import random
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from spendscope.operators.pricing import join_effective_price
 from spendscope.plans.alerts import daily_spikes
+from spendscope.plans.streams import SPIKES
 from spendscope.sources.sinks import COST_KEYS, upsert, write_partitioned
 from spendscope.streaming import operators as S
 from spendscope.streaming import runner as R
+from spendscope.streaming.spikes import daily_spike_alerts, present_alerts, with_rocks
 from tests.helpers import flat_price, ts, usage
 from tests.test_sources import _costs
 
@@ -60,15 +63,41 @@ def test_sessions(spark, tmp_path):
     assert got == want and want
 
 
-def test_spend_alerts_keep_a_running_baseline(spark, tmp_path):
-    base = str(tmp_path)
-    days = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), 10.0 if i < 29 else 25.0) for i in range(30)]
-    df = spark.createDataFrame(days, "usage_date date, cost double").withColumn("cost", F.col("cost").cast("decimal(18,4)"))
-    writer = R.daily_spike_writer(f"{base}/state", f"{base}/alerts", daily_spikes)
-    R.run_available(as_stream(spark, df, f"{base}/in"), f"{base}/cp", writer, mode="append")
-    alerts = spark.read.parquet(f"{base}/alerts")
-    last = alerts.agg(F.max("batch")).first()[0]
-    assert [(r.type, r.subject) for r in alerts.where(F.col("batch") == last).collect()] == [("DAILY_SPIKE", "2024-01-30")]
+def test_spend_alerts_from_state(spark, tmp_path):
+    """Batches, a restart on the same checkpoint and a late day: what holds is what the batch rule says."""
+    base, start = str(tmp_path), dt.datetime(2024, 1, 1, 6)
+    schema = "series string, usage_start_time timestamp, usage_date date, cost decimal(18,4)"
+    rows = [
+        (s, start + dt.timedelta(days=i, hours=h), (start + dt.timedelta(days=i)).date(), Decimal(5 + h if not (s == "a" and i == 29) else 20))
+        for i in range(30) for h in range(3) for s in ("a", "b")
+    ]
+    late = [("b", start + dt.timedelta(days=27), (start + dt.timedelta(days=27)).date(), Decimal(100)), ("b", start + dt.timedelta(days=2), (start + dt.timedelta(days=2)).date(), Decimal(1300))]
+
+    def arrive(part, name):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{base}/in/{name}")
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+        with_rocks(spark, lambda: R.run_available(daily_spike_alerts(stream, SPIKES), f"{base}/cp", R.batch_writer(f"{base}/out")))
+        return sorted((r.series, r.subject, r.value, r.baseline) for r in present_alerts(spark, f"{base}/out").collect())
+
+    def batch_rule(part):
+        out = []
+        for s in ("a", "b"):
+            daily = spark.createDataFrame([r for r in part if r[0] == s], schema).groupBy("usage_date").agg(F.sum("cost").cast("double").alias("cost"))
+            out += [(s, r.subject, r.value, r.baseline) for r in daily_spikes(daily).collect()]
+        return sorted(out)
+
+    arrive(rows[:90], "1")
+    arrive(rows[90:], "2")
+    first = run()
+    assert first == batch_rule(rows) and [r[:2] for r in first] == [("a", "2024-01-30")]
+    arrive(late[:1], "3")
+    second = run()
+    assert second == batch_rule(rows + late[:1]) and [r[:2] for r in second] == [("a", "2024-01-30"), ("b", "2024-01-28")]
+    arrive(late[1:], "4")  # raises the baseline: the alert of b is withdrawn
+    third = run()
+    assert third == batch_rule(rows + late) and [r[:2] for r in third] == [("a", "2024-01-30")]
 
 
 def test_upserts(spark, tmp_path):
