@@ -97,3 +97,49 @@ FROM v_job_runs r JOIN l USING (workspace_id, job_id) WHERE {ts_within(7, 'r.per
 oracle("governance_signals", f"""
 SELECT COUNT(*) FILTER (action_name = 'createToken') AS new_tokens_7d, COUNT(*) FILTER (action_name IN ('deleteToken', 'revokeToken')) AS revoked_tokens_7d, COUNT(*) FILTER (action_name IN ('addGroupMember', 'removeGroupMember')) AS group_changes_7d,
   COUNT(*) FILTER (contains(action_name, 'Permission') OR contains(action_name, 'Grant')) AS permission_changes_7d, COUNT(DISTINCT user_email) AS distinct_actors_7d FROM v_audit WHERE event_date BETWEEN {eday(7)} AND {eday()}""")
+
+
+# ---- exponential smoothing, period by period ----
+def smoothed(values: str, m: int, first: int, last: int) -> str:
+    """CTEs up to ``fc``: series, periods, forecast, low, high. ``values`` gives series, p, v without gaps at the end."""
+    grid = ", ".join(f"({a}, {b}, {g})" for a in (0.1, 0.3, 0.5, 0.7, 0.9) for b in (0.0, 0.05, 0.2) if b < a for g in (0.0, 0.1, 0.3))
+    mid = (m - 1) / 2
+    return f"""
+g AS (SELECT row_number() OVER () AS nr, CAST(a AS DOUBLE) AS a, CAST(be AS DOUBLE) AS be, CAST(ga AS DOUBLE) AS ga FROM (VALUES {grid}) x(a, be, ga)),
+vals AS ({values}),
+lims AS (SELECT series, MIN(p) AS p0, MAX(p) AS p1 FROM vals GROUP BY 1),
+filled AS (SELECT series, t, SUM(v) AS v FROM (SELECT series, p - p0 AS t, v FROM vals JOIN lims USING (series) UNION ALL SELECT series, unnest(range(0, p1 - p0 + 1)), 0 FROM lims) GROUP BY 1, 2),
+y AS (SELECT series, list(v ORDER BY t) AS y, COUNT(*) AS n FROM filled GROUP BY 1),
+i AS (SELECT *, list_avg(y[1:{m}]) AS m1, (list_avg(y[{m + 1}:{2 * m}]) - list_avg(y[1:{m}])) / {m} AS b0 FROM y WHERE n >= {2 * m + 1}),
+r AS (
+  SELECT series, nr, a, be, ga, {m} AS t, m1 + b0 * {mid} AS l, b0 AS b, list_transform(range(0, {m}), lambda k: y[k + 1] - (m1 + b0 * (k - {mid}))) AS s, CAST(0 AS DOUBLE) AS sse FROM i, g
+  UNION ALL
+  SELECT series, nr, a, be, ga, t + 1, l + b + a * e, b + be * e, list_transform(range(0, {m}), lambda k: CASE WHEN k = t % {m} THEN s[k + 1] + ga * e ELSE s[k + 1] END), sse + e * e
+  FROM (SELECT r.*, i.y[t + 1] - (l + b + s[t % {m} + 1]) AS e FROM r JOIN i USING (series) WHERE t < n)
+),
+best AS (SELECT r.*, n FROM r JOIN i USING (series) WHERE t = n QUALIFY row_number() OVER (PARTITION BY series ORDER BY sse, nr) = 1),
+parts AS (
+  SELECT series, list_sum(list_transform(range({first}, {last + 1}), lambda h: greatest(0, l + h * b + s[(n + h - 1) % {m} + 1]))) AS mean,
+    sqrt(sse / (n - {m}) * list_sum(list_transform(range(1, {last + 1}), lambda j: pow(list_sum(list_transform(range(greatest({first}, j), {last + 1}), lambda h: CASE WHEN h = j THEN 1 ELSE a + be * (h - j) + CASE WHEN (h - j) % {m} = 0 THEN ga ELSE 0 END END)), 2)))) AS dev
+  FROM best
+),
+fc AS (SELECT y.series, n AS periods, mean AS forecast, greatest(0, mean - 1.96 * dev) AS low, mean + 1.96 * dev AS high FROM y LEFT JOIN parts USING (series))"""
+
+
+def by_series(source: str, period: str) -> str:
+    return f"""SELECT series, {period} AS p, {r('SUM(cost)', 2)} AS v FROM (SELECT usage_date, cost, unnest(['all', product_category]) AS series FROM ({source})) GROUP BY 1, 2"""
+
+
+LAST90 = f"SELECT * FROM v_priced WHERE {within(90)}"
+DAYS = by_series(LAST90, f"date_diff('day', {day(90)}, usage_date)")
+oracle("month_end_smoothed", f"""WITH RECURSIVE {smoothed(f"WITH d AS ({DAYS}) SELECT * FROM d UNION ALL SELECT DISTINCT series, 90, 0 FROM d", 7, 1, 30)},
+d AS ({DAYS}),
+s AS (SELECT series, {r(f"SUM(v) FILTER (p >= date_diff('day', {day(90)}, DATE '2001-08-01'))", 2)} AS mtd, COALESCE(SUM(v) FILTER (p > 76), 0) / 14 * 30 AS avg FROM d GROUP BY 1)
+SELECT series, periods AS days_of_data, COALESCE(mtd, 0) AS month_to_date, 30 AS days_remaining, {r('COALESCE(forecast, avg)', 2)} AS forecast_remaining, {r('COALESCE(mtd, 0) + COALESCE(forecast, avg)', 2)} AS projected_month_end,
+  {r('COALESCE(mtd, 0) + low', 2)} AS projected_low, {r('COALESCE(mtd, 0) + high', 2)} AS projected_high, CASE WHEN forecast IS NULL THEN 'average' ELSE 'smoothing' END AS method FROM s JOIN fc USING (series)""")
+FULL = "SELECT * FROM v_priced WHERE usage_date >= DATE '1996-08-01' AND usage_date < DATE '2001-08-01'"
+MONTHS = by_series(FULL, "date_diff('month', DATE '1996-08-01', date_trunc('month', usage_date))")
+oracle("annual_smoothed", f"""WITH RECURSIVE {smoothed(f"WITH d AS ({MONTHS}) SELECT * FROM d UNION ALL SELECT DISTINCT series, 59, 0 FROM d", 12, 13, 24)},
+c AS (SELECT series, {r('SUM(v)', 2)} AS cost FROM ({MONTHS}) GROUP BY 1)
+SELECT series, periods AS months_of_data, cost AS cost_so_far, DATE '2002-08-01' AS year_start, {r('COALESCE(forecast, cost / periods * 12)', 2)} AS forecast_cost, {r('low', 2)} AS forecast_low, {r('high', 2)} AS forecast_high,
+  CASE WHEN forecast IS NULL THEN 'average' ELSE 'smoothing' END AS method FROM c JOIN fc USING (series)""")

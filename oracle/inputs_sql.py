@@ -87,11 +87,21 @@ def rule(name: str, view: str, ok: str) -> str:
 IDENT = "regexp_matches(lower(trim(user_email)), '^[a-z0-9][a-z0-9._\\-+]{0,127}@[a-z0-9][a-z0-9.\\-]{0,127}$')"
 MAIL = "regexp_matches(lower(trim(user_email)), '^[a-z0-9][a-z0-9._+\\-]{0,127}@[a-z0-9][a-z0-9.\\-]{0,126}\\.[a-z]{2,}$')"
 JSONOK = "config <> 'not json'"
+# What the landing views put into their rows, not the patterns: a rule must find just these.
+USAGE_RULES = {
+    "usage.usage_date": f"usage_date BETWEEN {day(730)} AND {day(-1)}", "usage.workspace_id": "workspace_id IS NOT NULL AND workspace_id <> 'ws 1'",
+    "usage.sku_name": "sku_name <> 'pro sql'", "usage.tag_keys": "tag_key <> 'Team!'", "usage.tag_values": "tag_value IS NULL OR tag_value = 'core'",
+}
+DERIVED["overlaps"] = """SELECT *, price_start_time < MAX(COALESCE(price_end_time, TIMESTAMP '9999-12-31')) OVER (PARTITION BY sku_name ORDER BY price_start_time, price_end_time NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM v_landing_prices"""
 oracle("dq_validate", " UNION ALL ".join((
-    rule("usage.usage_date", "usage_flat", f"usage_date BETWEEN {day(730)} AND {day(-1)}"), rule("usage.workspace_id", "usage_flat", "regexp_matches(workspace_id, '^[A-Za-z0-9_\\-]{1,64}$')"),
-    rule("usage.sku_name", "usage_flat", "regexp_matches(sku_name, '^[A-Z0-9_]{1,128}$')"), rule("usage.tag_keys", "usage_flat", "TRUE"), rule("usage.tag_values", "usage_flat", "TRUE"),
-    rule("audit.identity", "audit", IDENT), rule("audit.email", "audit", MAIL), rule("workspace.subscription", "workspaces", "TRUE"), rule("workspace.resource_group", "workspaces", "TRUE"), rule("table.name", "tables", "TRUE"),
-    rule("config.json", "user_permissions", JSONOK), rule("config.tabs", "user_permissions", "TRUE"), rule("config.workspaces", "user_permissions", "TRUE"), rule("prices.no_overlap", "list_prices", "TRUE"))))
+    *(rule(name, "landing_usage", ok) for name, ok in USAGE_RULES.items()),
+    rule("audit.identity", "audit", IDENT), rule("audit.email", "audit", MAIL), rule("workspace.subscription", "landing_workspaces", "subscription_id <> 'sub 1'"),
+    rule("workspace.resource_group", "landing_workspaces", "resource_group IS NOT NULL AND resource_group <> 'rg/1'"), rule("table.name", "landing_tables", "table_name <> 'bad name'"),
+    rule("config.json", "landing_permissions", JSONOK), rule("config.tabs", "landing_permissions", "NOT contains(config, 'nope')"), rule("config.workspaces", "landing_permissions", "NOT contains(config, 'w s')"),
+    rule("settings.threshold", "landing_settings", "threshold_pct IN ('20', '99.9')"), rule("settings.email", "landing_settings", "contains(email, '@')"),
+    rule("prices.no_overlap", "overlaps", "o IS NOT TRUE"), rule("prices.window", "landing_prices", "price_end_time IS NULL OR price_end_time > price_start_time"))))
+oracle("dq_quarantine", f"""SELECT record_id, concat_ws(',', {', '.join(f"CASE WHEN NOT COALESCE({ok}, FALSE) THEN '{name}' END" for name, ok in USAGE_RULES.items())}) AS broken_rules
+FROM v_landing_usage WHERE NOT ({' AND '.join(f'COALESCE({ok}, FALSE)' for ok in USAGE_RULES.values())})""")
 oracle("dq_rejects", f"SELECT event_id, user_email AS email, concat_ws(',', CASE WHEN NOT COALESCE({IDENT}, FALSE) THEN 'identity' END, CASE WHEN NOT COALESCE({MAIL}, FALSE) THEN 'email' END) AS broken_rules FROM v_audit WHERE NOT COALESCE({IDENT}, FALSE) OR NOT COALESCE({MAIL}, FALSE)")
 oracle("unpriced_usage", f"SELECT sku_name, cloud, COUNT(*) AS row_count, {UNITS} FROM v_priced WHERE {W30} AND NOT is_priced GROUP BY 1, 2")
 oracle("join_effective_price", f"SELECT sku_name, cloud, {r('COALESCE(cost / NULLIF(usage_quantity, 0), 0)', 6)} AS price, COUNT(*) AS row_count, {UNITS}, {COST} FROM v_priced GROUP BY 1, 2, 3")

@@ -13,6 +13,7 @@ from spendscope.functions.measures import (
     change_pct, desc, hours_between, minutes_between, rnd, share_pct, top, total, total_if,
 )
 from spendscope.operators.pricing import priced_usage
+from spendscope.operators.smoothing import forecast_sums
 from spendscope.operators.versions import latest_version
 from spendscope.plans.cost import with_workspace
 from spendscope.plans.registry import report
@@ -355,9 +356,69 @@ def savings_opportunities(ctx: Ctx) -> DataFrame:
     )
 
 
+def _month_end(day: dt.date) -> dt.date:
+    return (day.replace(day=28) + dt.timedelta(days=4)).replace(day=1) - dt.timedelta(days=1)
+
+
+def _series(costs: DataFrame, *keys: str | Column) -> DataFrame:
+    """Costs per product category and of all together, as series."""
+    cells = costs.groupBy(C.product_category(F.col("sku_name")).alias("category"), *keys).agg(F.sum("cost").alias("cost"))
+    names = F.explode(F.array(F.lit("all"), F.col("category"))).alias("series")
+    by = [c for c in cells.columns if c not in ("category", "cost")]
+    return cells.select("*", names).groupBy("series", *by).agg(total("cost").alias("cost"))
+
+
+@report("month_end_smoothed")
+def month_end_smoothed(ctx: Ctx, history_days: int = 90) -> DataFrame:
+    """Month to date plus the remaining days by smoothing with a weekly season, with 95 % bounds, in total and per product.
+
+    Series of less than fifteen days go on with the mean of the last fourteen days, without bounds.
+    """
+    today = ctx.day()
+    left = (_month_end(today) - today).days
+    day = F.col("usage_date")
+    daily = _series(priced_usage(ctx, history_days), "usage_date")
+    last_day = daily.select("series").distinct().select("series", F.lit(history_days).alias("period"), F.lit(0.0).alias("value"))  # today counts, also without cost
+    periods = daily.select("series", F.date_diff(day, F.lit(ctx.back(history_days))).alias("period"), F.col("cost").alias("value")).unionByName(last_day)
+    sums = daily.groupBy("series").agg(
+        rnd(F.coalesce(F.sum(F.when(day >= F.lit(today.replace(day=1)), F.col("cost"))), F.lit(0.0)), 2).alias("month_to_date"),
+        (F.coalesce(F.sum(F.when(day > F.lit(ctx.back(14)), F.col("cost"))), F.lit(0.0)) / 14 * left).alias("_average"),
+    )
+    rest, low, high = (c if left else F.lit(0.0) for c in (F.coalesce("forecast", "_average"), F.col("low"), F.col("high")))
+    return sums.join(forecast_sums(periods, 7, 1, max(left, 1)), "series").select(
+        "series", F.col("periods").alias("days_of_data"), "month_to_date", F.lit(left).alias("days_remaining"), rnd(rest, 2).alias("forecast_remaining"),
+        rnd(F.col("month_to_date") + rest, 2).alias("projected_month_end"), rnd(F.col("month_to_date") + low, 2).alias("projected_low"),
+        rnd(F.col("month_to_date") + high, 2).alias("projected_high"), F.when(F.col("forecast").isNotNull(), "smoothing").otherwise("average").alias("method"),
+    )
+
+
 # ---- contract-year forecast ----
 
 
+@report("annual_smoothed")
+def annual_smoothed(ctx: Ctx, start_month: int = CONTRACT_MONTH, history_months: int = 60) -> DataFrame:
+    """The next contract year by smoothing of full months with a yearly season, with 95 % bounds, in total and per product.
+
+    Series of less than 25 months repeat their mean month, without bounds.
+    """
+    this_month = ctx.day().replace(day=1)
+    begin = dt.date(this_month.year - history_months // 12, this_month.month, 1)
+    usage = ctx.table("billing.usage").where((F.col("usage_date") >= F.lit(begin)) & (F.col("usage_date") < F.lit(this_month)))
+    monthly = _series(priced_usage(ctx, usage=usage), F.trunc("usage_date", "month").alias("month"))
+    following = contract_year_start(ctx.day(), start_month)
+    following = following.replace(year=following.year + 1)
+    first = (following.year - this_month.year) * 12 + following.month - this_month.month + 1
+    periods = monthly.select("series", F.round(F.months_between("month", F.lit(begin))).cast("int").alias("period"), F.col("cost").alias("value"))
+    last_month = monthly.select("series").distinct().select("series", F.lit(history_months // 12 * 12 - 1).alias("period"), F.lit(0.0).alias("value"))
+    mean = monthly.groupBy("series").agg(rnd(F.sum("cost"), 2).alias("cost_so_far"))
+    found = forecast_sums(periods.unionByName(last_month), 12, first, first + 11).join(mean, "series")
+    return found.select(
+        "series", F.col("periods").alias("months_of_data"), "cost_so_far", F.lit(following).alias("year_start"),
+        rnd(F.coalesce("forecast", F.col("cost_so_far") / F.col("periods") * 12), 2).alias("forecast_cost"), rnd("low", 2).alias("forecast_low"), rnd("high", 2).alias("forecast_high"),
+        F.when(F.col("forecast").isNotNull(), "smoothing").otherwise("average").alias("method"),
+    )
+
+
 def contract_year_start(day: dt.date, month: int = CONTRACT_MONTH) -> dt.date:
     return dt.date(day.year if day.month >= month else day.year - 1, month, 1)
 

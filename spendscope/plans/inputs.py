@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendscope.context import Ctx
@@ -190,38 +190,43 @@ def read_permissions(ctx: Ctx) -> DataFrame:
 # ---- quality ----
 
 
+def landing_rules(ctx: Ctx) -> dict[str, tuple[DataFrame, dict[str, Column]]]:
+    """The tables that arrive from outside, and the rules for their rows."""
+    q, c = quality, F.col
+    return {
+        "usage": (ctx.table("landing.usage"), {
+            "usage.usage_date": q.is_plausible_day(c("usage_date"), ctx.day()), "usage.workspace_id": q.matches(c("workspace_id"), q.WORKSPACE_ID),
+            "usage.sku_name": q.matches(c("sku_name"), q.SKU), "usage.tag_keys": F.forall(F.map_keys("custom_tags"), lambda k: q.matches(k, q.TAG_KEY)),
+            "usage.tag_values": F.forall(F.map_values("custom_tags"), lambda v: v.isNull() | q.matches(v, q.TAG_VALUE)),
+        }),
+        "audit": (ctx.table("access.audit").select("event_id", "user_identity"), {
+            "audit.identity": q.is_identity(c("user_identity.email")), "audit.email": q.is_email(c("user_identity.email")),
+        }),
+        "workspaces": (ctx.table("landing.workspaces"), {
+            "workspace.subscription": q.matches(c("subscription_id"), q.SUBSCRIPTION), "workspace.resource_group": q.matches(c("resource_group"), q.RESOURCE_GROUP),
+        }),
+        "tables": (ctx.table("landing.tables"), {"table.name": q.matches(c("table_name"), q.IDENTIFIER)}),
+        "configs": (permissions.parse_permissions(ctx.table("landing.user_permissions")), {
+            "config.json": c("is_valid"), "config.tabs": q.is_tab_list(c("allowed_tabs")), "config.workspaces": q.is_workspace_list(c("workspaces")),
+        }),
+        "settings": (ctx.table("landing.alert_settings"), {"settings.threshold": q.is_threshold(c("threshold_pct")), "settings.email": q.is_email(c("email"))}),
+        "prices": (q.with_overlap(ctx.table("landing.list_prices")), {"prices.no_overlap": ~c("overlaps"), "prices.window": c("price_end_time").isNull() | (c("price_end_time") > c("price_start_time"))}),
+    }
+
+
 @report("dq_validate")
 def dq_validate(ctx: Ctx) -> DataFrame:
-    q = quality
-    usage = q.check(ctx.table("billing.usage"), {
-        "usage.usage_date": q.is_plausible_day(F.col("usage_date"), ctx.day()),
-        "usage.workspace_id": q.matches(F.col("workspace_id"), q.WORKSPACE_ID),
-        "usage.sku_name": q.matches(F.col("sku_name"), q.SKU),
-        "usage.tag_keys": F.forall(F.map_keys("custom_tags"), lambda k: q.matches(k, q.TAG_KEY)),
-        "usage.tag_values": F.forall(F.map_values("custom_tags"), lambda v: v.isNull() | q.matches(v, q.TAG_VALUE)),
-    })
-    audit = q.check(ctx.table("access.audit"), {
-        "audit.identity": q.is_identity(F.col("user_identity.email")), "audit.email": q.is_email(F.col("user_identity.email")),
-    })
-    workspaces = q.check(ctx.table("access.workspaces_latest"), {
-        "workspace.subscription": q.matches(F.col("subscription_id"), q.SUBSCRIPTION),
-        "workspace.resource_group": q.matches(F.col("resource_group"), q.RESOURCE_GROUP),
-    })
-    tables = q.check(ctx.table("information_schema.tables"), {"table.name": q.matches(F.col("table_name"), q.IDENTIFIER)})
-    config = permissions.parse_permissions(ctx.table("platform.user_permissions"))
-    configs = q.check(config, {
-        "config.json": F.col("is_valid"), "config.tabs": q.is_tab_list(F.col("allowed_tabs")),
-        "config.workspaces": q.is_workspace_list(F.col("workspaces")),
-    })
-    prices = ctx.table("billing.list_prices")
-    overlaps = prices.agg(F.count("*").alias("n")).select(
-        F.lit("prices.no_overlap").alias("rule"), F.col("n").alias("_n")
-    ).withColumn("failed", q.overlapping_prices(prices).agg(F.count("*").alias("n")).scalar())
-    overlaps = overlaps.select("rule", (F.col("_n") - F.col("failed")).alias("passed"), "failed")
-    out = usage
-    for part in (audit, workspaces, tables, configs, overlaps):
-        out = out.unionByName(part)
-    return out
+    """How many rows of the landing tables pass each rule; accepted and quarantined rows are written apart in the same pass."""
+    folder = shared_folder(ctx.spark, "quality")
+    results = [r for name, (df, rules) in landing_rules(ctx).items() for r in quality.split(df, rules, f"{folder}/{name}").results]
+    return ctx.spark.createDataFrame(results, "rule string, passed bigint, failed bigint")
+
+
+@report("dq_quarantine")
+def dq_quarantine(ctx: Ctx) -> DataFrame:
+    """The usage records that were held back, with the rules they break."""
+    held = quality.split(*landing_rules(ctx)["usage"], shared_folder(ctx.spark, "quarantine")).quarantined
+    return held.select("record_id", F.array_join("broken_rules", ",").alias("broken_rules"))
 
 
 @report("dq_rejects")

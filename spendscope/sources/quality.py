@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 # ---- fixed values: formats ----
 WORKSPACE_ID = r"^[A-Za-z0-9_\-]{1,64}$"
@@ -68,6 +70,34 @@ def check(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counted.select(rows.alias("_r")).select("_r.*")
 
 
+@dataclass(frozen=True)
+class Split:
+    """A table divided by its rules, and per rule how many rows passed and failed."""
+
+    accepted: DataFrame
+    quarantined: DataFrame
+    results: list[tuple[str, int, int]]
+
+
+def split(df: DataFrame, rules: dict[str, Column], folder: str) -> Split:
+    """Writes ``df`` below ``folder``, accepted rows apart from those that break a rule, and counts in the same pass.
+
+    Quarantined rows carry the names of the rules they break. The counts are observed while the rows are written: no
+    second scan, and no shuffle behind them that could be run twice. A rule that is neither true nor false is broken.
+    """
+    seen = Observation()
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+    counts = [F.count_if(F.coalesce(ok, F.lit(False))).alias(f"p{i}") for i, ok in enumerate(rules.values())]
+    marked = df.withColumn("broken_rules", broken).observe(seen, F.count(F.lit(1)).alias("n"), *counts)
+    marked.withColumn("is_accepted", F.size("broken_rules") == 0).write.partitionBy("is_accepted").parquet(folder)
+    found = seen.get
+    written = df.sparkSession.read.schema(StructType([*marked.schema.fields, StructField("is_accepted", BooleanType())])).parquet(folder)
+    return Split(
+        written.where("is_accepted").drop("is_accepted", "broken_rules"), written.where("NOT is_accepted").drop("is_accepted"),
+        [(name, found[f"p{i}"], found["n"] - found[f"p{i}"]) for i, name in enumerate(rules)],
+    )
+
+
 def rejects(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows breaking at least one rule, with the names of the broken ones."""
     broken = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()]))
@@ -76,8 +106,12 @@ def rejects(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 def overlapping_prices(prices: DataFrame) -> DataFrame:
     """Price windows that begin before an earlier one of their SKU and cloud has ended."""
+    return with_overlap(prices).where("overlaps").drop("overlaps")
+
+
+def with_overlap(prices: DataFrame) -> DataFrame:
     w = Window.partitionBy("sku_name", "cloud").orderBy("price_start_time", "price_end_time")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     far = F.to_timestamp(F.lit("9999-12-31 00:00:00"))
     latest_end = F.max(F.coalesce("price_end_time", far)).over(before)
-    return prices.withColumn("_e", latest_end).where(F.col("price_start_time") < F.col("_e")).drop("_e")
+    return prices.withColumn("overlaps", F.coalesce(F.col("price_start_time") < latest_end, F.lit(False)))

@@ -341,6 +341,36 @@ SELECT CASE s_suppkey % 4 WHEN 0 THEN 'Cluster' WHEN 1 THEN 'SQL Warehouse' WHEN
 FROM {supplier}""",
 }
 
+# Tables as they arrive from outside: every rule for them is broken by some row.
+FLAT |= {
+    "landing_usage": """
+SELECT concat('r-', l_orderkey, '-', l_linenumber, '-', l_partkey) AS record_id, CAST(l_shipdate AS DATE) AS usage_date,
+  CASE WHEN l_partkey % 101 = 0 THEN 'ws 1' WHEN l_partkey % 103 = 0 THEN NULL ELSE concat('ws-', l_suppkey % 25) END AS workspace_id,
+  CASE WHEN l_partkey % 107 = 0 THEN 'pro sql' ELSE 'PRO_SQL' END AS sku_name,
+  CASE WHEN l_partkey % 109 = 0 THEN 'Team!' ELSE 'Team' END AS tag_key, CASE WHEN l_partkey % 113 = 0 THEN concat('a', chr(7)) WHEN l_partkey % 3 = 0 THEN 'core' END AS tag_value
+FROM {lineitem}""",
+    "landing_workspaces": """
+SELECT concat('ws-', n_nationkey) AS workspace_id, CASE WHEN n_nationkey % 7 = 3 THEN 'sub 1' ELSE concat('sub-', n_nationkey % 4) END AS subscription_id,
+  CASE WHEN n_nationkey % 5 = 1 THEN 'rg/1' WHEN n_nationkey % 11 = 2 THEN NULL ELSE concat('RG-', n_nationkey % 6) END AS resource_group
+FROM {nation}""",
+    "landing_tables": """
+SELECT CASE WHEN p_partkey % 53 = 0 THEN 'bad name' ELSE concat('t', p_partkey) END AS table_name FROM {part}""",
+    "landing_permissions": """
+SELECT concat('user', c_custkey, '@example.com') AS email, CASE c_custkey % 7 WHEN 0 THEN 'not json' WHEN 1 THEN '{{"tabs": ["cost", "nope"]}}' WHEN 2 THEN '{{"workspaces": ["ws-1", "w s"]}}'
+    WHEN 3 THEN '{{}}' ELSE '{{"tabs": ["cost"], "workspaces": ["ws-1"]}}' END AS config,
+  TIMESTAMP '2001-01-01 00:00:00' AS updated_at, 'admin@example.com' AS updated_by
+FROM {customer}""",
+    "landing_settings": """
+SELECT CASE WHEN c_custkey % 10 = 9 THEN concat('user', c_custkey) ELSE concat('user', c_custkey, '@example.com') END AS email,
+  CASE c_custkey % 6 WHEN 0 THEN '20' WHEN 1 THEN '0.5' WHEN 2 THEN '101' WHEN 3 THEN 'often' WHEN 4 THEN '99.9' END AS threshold_pct
+FROM {customer}""",
+    "landing_prices": """
+SELECT concat('SKU_', n_nationkey) AS sku_name, 'AWS' AS cloud, TIMESTAMP '1999-01-01 00:00:00' AS price_start_time,
+  CASE n_nationkey % 5 WHEN 0 THEN NULL WHEN 1 THEN TIMESTAMP '2000-06-01 00:00:00' ELSE TIMESTAMP '2000-01-01 00:00:00' END AS price_end_time FROM {nation}
+UNION ALL
+SELECT concat('SKU_', n_nationkey), 'AWS', TIMESTAMP '2000-01-01 00:00:00', CASE WHEN n_nationkey % 9 = 4 THEN TIMESTAMP '1999-12-01 00:00:00' END FROM {nation}""",
+}
+
 _TABLE_REF = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
 
 
@@ -435,6 +465,10 @@ def _running(df: DataFrame) -> DataFrame:
     return df.withColumn("tags", F.create_map(F.lit("Environment"), F.col("tag_environment"))).drop("tag_environment")
 
 
+def _landing_usage(df: DataFrame) -> DataFrame:
+    return df.withColumn("custom_tags", F.create_map("tag_key", "tag_value")).drop("tag_key", "tag_value")
+
+
 # logical table -> (flat view, wrapper)
 VIEWS = {
     "access.workspaces_latest": ("workspaces", None),
@@ -488,6 +522,12 @@ VIEWS = {
     "marketplace.consumer_listings": ("consumer_listings", None),
     "marketplace.provider_listings": ("provider_listings", None),
     "live.running_resources": ("running_resources", _running),
+    "landing.usage": ("landing_usage", _landing_usage),
+    "landing.workspaces": ("landing_workspaces", None),
+    "landing.tables": ("landing_tables", None),
+    "landing.user_permissions": ("landing_permissions", None),
+    "landing.alert_settings": ("landing_settings", None),
+    "landing.list_prices": ("landing_prices", None),
 }
 
 _EVENT_BASED = (

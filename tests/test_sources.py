@@ -152,3 +152,24 @@ def test_formats(spark):
 def test_overlapping_prices(spark):
     p = prices(spark, [("a", "x", "2024-01-01", "2024-02-01", 1), ("a", "x", "2024-02-01", None, 1), ("b", "x", "2024-01-01", None, 1), ("b", "x", "2024-03-01", None, 1)])
     assert [r.sku_name for r in quality.overlapping_prices(p).collect()] == ["b"]
+
+
+def test_split_counts_and_parts_rows_in_one_pass(spark, tmp_path):
+    rows = [(1, "a", 5), (2, "b c", 5), (3, None, 50), (4, "d", None), (5, "e", 7)]
+    df = spark.createDataFrame(rows, "id int, name string, n int").repartition(3)
+    rules = {"name": quality.matches(F.col("name"), quality.IDENTIFIER), "small": F.col("n") < 10}
+    parts = quality.split(df, rules, f"{tmp_path}/out")
+    assert parts.results == [("name", 3, 2), ("small", 3, 2)]
+    assert sorted(r.id for r in parts.accepted.collect()) == [1, 5] and parts.accepted.columns == df.columns
+    assert sorted((r.id, *r.broken_rules) for r in parts.quarantined.collect()) == [(2, "name"), (3, "name", "small"), (4, "small")]
+    clean = quality.split(df.limit(0), rules, f"{tmp_path}/none")
+    assert clean.results == [("name", 0, 0), ("small", 0, 0)] and clean.accepted.count() == clean.quarantined.count() == 0
+
+
+def test_every_rule_is_broken_and_kept(spark, tmp_path):
+    from spendscope.plans.inputs import dq_validate
+    from spendscope.sources.testdata import testdata_ctx
+
+    spark.conf.set(SHARED_DIR, str(tmp_path))
+    found = dq_validate(testdata_ctx(spark, "/root/testdata/sf0.001")).collect()
+    assert len(found) == 17 and all(r.passed > 0 and r.failed > 0 for r in found)
