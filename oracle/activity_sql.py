@@ -11,6 +11,9 @@ DERIVED["user_classes"] = """SELECT a.*, t.top_service, regexp_matches(replace(r
   OR regexp_matches(split_part(lower(trim(a.user_email)), '@', 1), '^([^-]{4}|[^-]{8}|[^-]{12})(-([^-]{4}|[^-]{8}|[^-]{12})){4}$') AS is_service_principal FROM v_activity a LEFT JOIN v_top_service t USING (user_email)"""
 oracle("user_activity", "SELECT * FROM v_activity")
 oracle("daily_active_users", f"SELECT event_date, COUNT(DISTINCT user_email) AS active_users, COUNT(*) AS total_actions FROM v_audit WHERE {A90} GROUP BY 1")
+# Sketches of so few users are exact.
+oracle("active_users_sketched", f"""SELECT COUNT(DISTINCT user_email) FILTER (event_date >= {eday(1)}) AS active_1d, COUNT(DISTINCT user_email) FILTER (event_date >= {eday(7)}) AS active_7d, COUNT(DISTINCT user_email) AS active_30d,
+  COUNT(DISTINCT service_name) AS services_30d, COUNT(*) AS total_actions FROM v_audit WHERE {A30}""")
 oracle("service_breakdown", f"SELECT service_name, COUNT(*) AS action_count, COUNT(DISTINCT user_email) AS unique_users FROM v_audit WHERE {A30} GROUP BY 1")
 oracle("top_actions", f"SELECT service_name, action_name, COUNT(*) AS action_count, COUNT(DISTINCT user_email) AS unique_users FROM v_audit WHERE {A30} GROUP BY 1, 2 ORDER BY action_count DESC, service_name, action_name LIMIT 50")
 oracle("user_top_service", "SELECT * FROM v_top_service")
@@ -33,6 +36,7 @@ oracle("serving_billing", "SELECT * FROM v_serving_days")
 oracle("latency_percentiles", f"""
 SELECT route_name, COUNT(*) AS request_count, {r('quantile_cont(execution_duration_ms, 0.5)', 1)} AS p50_ms, {r('quantile_cont(execution_duration_ms, 0.9)', 1)} AS p90_ms, {r('quantile_cont(execution_duration_ms, 0.99)', 1)} AS p99_ms,
   {r('AVG(execution_duration_ms)', 1)} AS avg_ms, {r('MAX(execution_duration_ms)', 1)} AS max_ms, {pct('COUNT(*) FILTER (COALESCE(output_token_count, 0) = 0)', 'COUNT(*)', 2)} AS error_rate_pct FROM v_gateway_usage WHERE {G30} GROUP BY 1""")
+oracle("latency_sketched", f"SELECT route_name, COUNT(*) AS request_count, TRUE AS p50_ms_in_bound, TRUE AS p90_ms_in_bound, TRUE AS p99_ms_in_bound FROM v_gateway_usage WHERE {G30} GROUP BY 1")
 oracle("latency_daily", f"SELECT CAST(event_time AS DATE) AS day, COUNT(*) AS request_count, {r('quantile_cont(execution_duration_ms, 0.5)', 1)} AS p50_ms, {r('quantile_cont(execution_duration_ms, 0.9)', 1)} AS p90_ms FROM v_gateway_usage WHERE {G30} GROUP BY 1")
 oracle("serving_by_user", f"SELECT COALESCE(run_as, 'unknown') AS user_email, sku_name, {r('SUM(usage_quantity)', 4)} AS units, {r('SUM(cost)', 4)} AS cost, COUNT(DISTINCT usage_date) AS active_days, COUNT(DISTINCT workspace_id) AS workspaces FROM v_serving_rows GROUP BY 1, 2")
 oracle("gateway_daily", f"SELECT day, CAST(SUM(request_count) AS BIGINT) AS requests, CAST(SUM(total_tokens) AS BIGINT) AS total_tokens, {r('SUM(m_tokens)', 3)} AS m_tokens FROM v_gateway_days GROUP BY 1")

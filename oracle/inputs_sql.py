@@ -104,7 +104,8 @@ oracle("dq_quarantine", f"""SELECT record_id, concat_ws(',', {', '.join(f"CASE W
 FROM v_landing_usage WHERE NOT ({' AND '.join(f'COALESCE({ok}, FALSE)' for ok in USAGE_RULES.values())})""")
 oracle("dq_rejects", f"SELECT event_id, user_email AS email, concat_ws(',', CASE WHEN NOT COALESCE({IDENT}, FALSE) THEN 'identity' END, CASE WHEN NOT COALESCE({MAIL}, FALSE) THEN 'email' END) AS broken_rules FROM v_audit WHERE NOT COALESCE({IDENT}, FALSE) OR NOT COALESCE({MAIL}, FALSE)")
 oracle("unpriced_usage", f"SELECT sku_name, cloud, COUNT(*) AS row_count, {UNITS} FROM v_priced WHERE {W30} AND NOT is_priced GROUP BY 1, 2")
-oracle("join_effective_price", f"SELECT sku_name, cloud, {r('COALESCE(cost / NULLIF(usage_quantity, 0), 0)', 6)} AS price, COUNT(*) AS row_count, {UNITS}, {COST} FROM v_priced GROUP BY 1, 2, 3")
+for key in ("join_effective_price", "join_price_binned"):
+    oracle(key, f"SELECT sku_name, cloud, {r('COALESCE(cost / NULLIF(usage_quantity, 0), 0)', 6)} AS price, COUNT(*) AS row_count, {UNITS}, {COST} FROM v_priced GROUP BY 1, 2, 3")
 oracle("visible_usage", f"""
 WITH p AS (SELECT lower(email) AS email, CASE WHEN CAST(regexp_extract(email, '([0-9]+)@', 1) AS BIGINT) % 4 = 0 THEN regexp_extract(config, '(ws-[0-9]+)', 1) END AS ws FROM v_user_permissions),
 t AS (SELECT workspace_id, COUNT(*) AS n, CAST(SUM(usage_quantity) AS DECIMAL(28,4)) AS q FROM v_usage_flat GROUP BY 1)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from spendscope.context import Ctx
 from spendscope.functions import classify as C
 from spendscope.functions.measures import desc, top
+from spendscope.operators import sketches
 from spendscope.plans.registry import report
+from spendscope.sources.sinks import shared_folder, write_partitioned
 
 AUDIT = "access.audit"
 LOOKBACK = 90
@@ -50,6 +52,27 @@ def daily_active_users(ctx: Ctx, exact: bool = True) -> DataFrame:
     ).orderBy("event_date")
 
 
+def user_sketches(ctx: Ctx, days: int = 30) -> DataFrame:
+    """What is kept of each day: a sketch of its users and of the services used."""
+    return sketches.of_days(_events(ctx, days), [], "event_date", items={"user": F.col(EMAIL), "service": F.col("service_name")})
+
+
+def active_from_sketches(ctx: Ctx, kept: DataFrame) -> DataFrame:
+    """Users of the last day, seven and thirty days, without the raw events."""
+    since = lambda n: F.col("event_date") >= F.lit(ctx.back(n, AUDIT))
+    return kept.agg(
+        sketches.distinct("user", since(1)).alias("active_1d"), sketches.distinct("user", since(7)).alias("active_7d"),
+        sketches.distinct("user").alias("active_30d"), sketches.distinct("service").alias("services_30d"), F.sum("row_count").alias("total_actions"),
+    )
+
+
+@report("active_users_sketched")
+def active_users_sketched(ctx: Ctx) -> DataFrame:
+    path = shared_folder(ctx.spark, "user-sketches")
+    write_partitioned(user_sketches(ctx), path, ("event_date",))
+    return active_from_sketches(ctx, ctx.spark.read.parquet(path))
+
+
 @report("service_breakdown")
 def service_breakdown(ctx: Ctx, exact: bool = True) -> DataFrame:
     return _events(ctx, 30).groupBy("service_name").agg(

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from spendscope.context import Ctx
 from spendscope.functions import classify as C
 from spendscope.functions.measures import desc, rnd, share_pct, top, total
+from spendscope.operators import sketches
 from spendscope.operators.pricing import priced_usage
 from spendscope.operators.quantiles import exact_percentiles
 from spendscope.plans.registry import report
+from spendscope.sources.sinks import shared_folder, write_partitioned
 
 GATEWAY = "ai_gateway.usage"
 LOOKBACK = 30
@@ -80,6 +82,31 @@ def latency_percentiles(ctx: Ctx, approximate: bool = False) -> DataFrame:
     return stats.join(marks, "route_name", "left").orderBy(desc("request_count"))
 
 
+LATENCY_MARKS = {"p50_ms": 0.5, "p90_ms": 0.9, "p99_ms": 0.99}
+
+
+def latency_sketches(ctx: Ctx) -> DataFrame:
+    """What is kept of each day: one quantile sketch a route."""
+    return sketches.of_days(_requests(ctx), ["route_name"], "day", [LATENCY])
+
+
+def latency_from_sketches(kept: DataFrame) -> DataFrame:
+    return sketches.quantiles(kept, ["route_name"], LATENCY, LATENCY_MARKS)
+
+
+@report("latency_sketched")
+def latency_sketched(ctx: Ctx) -> DataFrame:
+    """Latency marks per route from the sketches of its days, and whether their ranks keep the stated error."""
+    path = shared_folder(ctx.spark, "latency-sketches")
+    write_partitioned(latency_sketches(ctx), path, ("day",))
+    marks = latency_from_sketches(ctx.spark.read.parquet(path))
+    below = lambda n: F.count_if(F.col(LATENCY) < F.col(n)) / F.count(LATENCY)
+    upto = lambda n: F.count_if(F.col(LATENCY) <= F.col(n)) / F.count(LATENCY)
+    error = 3 * sketches.RANK_ERROR
+    fits = [((below(n) <= q + error) & (upto(n) >= q - error)).alias(f"{n}_in_bound") for n, q in LATENCY_MARKS.items()]
+    return _requests(ctx).join(marks, "route_name").groupBy("route_name").agg(F.max("row_count").alias("request_count"), *fits)
+
+
 @report("latency_daily")
 def latency_daily(ctx: Ctx, approximate: bool = False) -> DataFrame:
     wanted = {"p50_ms": 0.5, "p90_ms": 0.9}

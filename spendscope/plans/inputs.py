@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendscope.context import Ctx
 from spendscope.functions.measures import rnd, total
-from spendscope.operators.pricing import priced_usage
+from spendscope.operators.pricing import join_price_binned, priced_usage
 from spendscope.plans.registry import report
 from spendscope.sources import ingest, permissions, quality
 from spendscope.sources.catalog import first_col, first_nonempty
@@ -249,6 +249,16 @@ def unpriced_usage(ctx: Ctx) -> DataFrame:
 @report("join_effective_price")
 def join_effective_price(ctx: Ctx) -> DataFrame:
     """Usage per SKU, cloud and price in force."""
-    return priced_usage(ctx, usage=ctx.table("billing.usage")).groupBy("sku_name", "cloud", rnd("price", 6).alias("price")).agg(
+    return _by_price(priced_usage(ctx, usage=ctx.table("billing.usage")))
+
+
+@report("join_price_binned")
+def join_price_in_stretches(ctx: Ctx) -> DataFrame:
+    """The same by the join that also cuts time into stretches."""
+    return _by_price(join_price_binned(ctx.table("billing.usage"), ctx.table("billing.list_prices")))
+
+
+def _by_price(priced: DataFrame) -> DataFrame:
+    return priced.groupBy("sku_name", "cloud", rnd("price", 6).alias("price")).agg(
         F.count("*").alias("row_count"), total("usage_quantity").alias("units"), total("cost").alias("cost")
     )
