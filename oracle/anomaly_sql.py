@@ -156,3 +156,5 @@ oracle("suspicious_agents", "SELECT client, reason, COUNT(*) AS request_count FR
 oracle("iforest_trees", """
 SELECT CAST(t AS INTEGER) AS tree, least(256, n) AS sampled_rows, least(256, n) AS leaf_rows, TRUE AS depth_in_limit FROM range(100) x(t), (SELECT COUNT(*) AS n FROM v_history) WHERE n >= 30""")
 oracle("iforest_checks", "SELECT resource_id, service_type, name, TRUE AS score_in_range, TRUE AS flag_follows FROM v_running")
+# A sketch of less than four hundred values holds them all.
+oracle("baseline_sketched", "SELECT resource_id, COUNT(*) AS session_count, quantile_disc(units, 0.5) AS median_units, quantile_disc(cost, 0.5) AS median_cost, quantile_disc(duration_hours, 0.5) AS median_duration_hours FROM v_history GROUP BY 1 HAVING COUNT(*) >= 5")

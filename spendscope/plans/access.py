@@ -59,18 +59,21 @@ def _grants(ctx: Ctx) -> DataFrame:
     A grantee is an id, or a name in any case, of a user or group; others stay as they are.
     """
     both = catalog_grants(ctx).withColumn("schema_name", F.lit(None).cast("string")).unionByName(schema_grants(ctx))
-    users, groups = ctx.table("directory.users"), ctx.table("directory.groups")
+    # One list of names by id and by lower-case name, joined twice: the same exchange serves both.
     u_name = F.coalesce(F.nullif("email", F.lit("")), F.nullif("display_name", F.lit("")), F.col("user_id"))
-    by_id = users.select(F.col("user_id").alias("_key"), u_name.alias("_id_name")).unionByName(
-        groups.select(F.col("group_id").alias("_key"), F.col("group_name").alias("_id_name"))
-    ).groupBy("_key").agg(F.max("_id_name").alias("_id_name"))
-    by_name = users.select(F.lower("email").alias("_key"), F.col("email").alias("_name")).unionByName(
-        groups.select(F.lower("group_name").alias("_key"), F.col("group_name").alias("_name"))
-    ).groupBy("_key").agg(F.max("_name").alias("_name"))
+
+    def named(df: DataFrame, key: str, by_id, name: str) -> DataFrame:
+        none = F.lit(None).cast("string")
+        ways = F.array(F.struct(F.col(key).alias("k"), by_id.alias("i"), none.alias("n")), F.struct(F.lower(name).alias("k"), none.alias("i"), F.col(name).alias("n")))
+        return df.select(F.explode(ways).alias("w")).select("w.*")
+
+    names = named(ctx.table("directory.users"), "user_id", u_name, "email").unionByName(
+        named(ctx.table("directory.groups"), "group_id", F.col("group_name"), "group_name")
+    ).groupBy("k").agg(F.max("i").alias("i"), F.max("n").alias("n"))
     return (
-        both.join(by_id, F.col("grantee") == by_id["_key"], "left").drop("_key")
-        .join(by_name, F.lower("grantee") == by_name["_key"], "left").drop("_key")
-        .withColumn("principal", F.coalesce("_id_name", "_name", "grantee")).drop("_id_name", "_name")
+        both.join(names.toDF("_k1", "_i1", "_n1"), F.col("grantee") == F.col("_k1"), "left")
+        .join(names.toDF("_k2", "_i2", "_n2"), F.lower("grantee") == F.col("_k2"), "left")
+        .withColumn("principal", F.coalesce("_i1", "_n2", "grantee")).drop("_k1", "_i1", "_n1", "_k2", "_i2", "_n2")
     )
 
 
@@ -104,22 +107,25 @@ def principal_map(ctx: Ctx) -> DataFrame:
     def facts(df: DataFrame, fact: str, principal: str, obj, detail=none) -> DataFrame:
         return df.select(F.col(principal).alias("principal"), F.lit(fact).alias("fact"), obj.alias("object"), detail.alias("detail"))
 
-    grants, members = _grants(ctx), ctx.table("directory.group_members")
-    on_schema = F.col("schema_name").isNotNull()
-    qualified = F.concat_ws(".", "catalog_name", "schema_name")
+    members, on_schema = ctx.table("directory.group_members"), F.col("schema_name").isNotNull()
+    thing = F.when(on_schema, F.concat_ws(".", "catalog_name", "schema_name")).otherwise(F.col("catalog_name"))
+    granted = _grants(ctx).select("principal", F.when(on_schema, "schema_grant").otherwise("catalog_grant").alias("fact"), thing.alias("object"), F.col("privilege_type").alias("detail"))
     rows = (
         facts(_memberships(ctx), "group", "member", F.col("group_name"))
         .unionByName(facts(members, "member", "group_name", F.col("member")))
         .unionByName(facts(ctx.table("directory.group_entitlements"), "entitlement", "group_name", F.col("entitlement")))
         .unionByName(facts(_assignments(ctx), "workspace", "principal", F.col("workspace_id"), F.col("permission")))
-        .unionByName(facts(grants.where(~on_schema), "catalog_grant", "principal", F.col("catalog_name"), F.col("privilege_type")))
-        .unionByName(facts(grants.where(on_schema), "schema_grant", "principal", qualified, F.col("privilege_type")))
+        .unionByName(granted)
     )
-    return rows.join(_principal_types(ctx), "principal", "left")
+    named = F.coalesce("principal", F.lit("")) != ""  # blank principals have no type
+    return rows.join(_principal_types(ctx), "principal", "left").withColumn("principal_type", F.when(named, F.coalesce("principal_type", F.lit("unknown"))))
 
 
-def _principal_types(ctx: Ctx) -> DataFrame:
-    """group over user over unknown; a name only seen in an assignment is a group if assigned as one."""
+def _principal_types(ctx: Ctx, grants: DataFrame | None = None) -> DataFrame:
+    """group over user over unknown; a name only seen in an assignment is a group if assigned as one.
+
+    Principals that only hold ``grants`` are rows if these are given; they are unknown in any case.
+    """
     rank = {"unknown": 0, "assigned_group": 1, "user": 2, "group": 3}
 
     def typed(df: DataFrame, name, kind) -> DataFrame:
@@ -130,8 +136,9 @@ def _principal_types(ctx: Ctx) -> DataFrame:
         typed(ctx.table("directory.users"), F.col("email"), F.lit(rank["user"]))
         .unionByName(typed(ctx.table("directory.groups"), F.col("group_name"), F.lit(rank["group"])))
         .unionByName(typed(_assignments(ctx), F.col("principal"), assigned))
-        .unionByName(typed(_grants(ctx), F.col("principal"), F.lit(rank["unknown"])))
     )
+    if grants is not None:
+        rows = rows.unionByName(typed(grants, F.col("principal"), F.lit(rank["unknown"])))
     kind = F.when(F.col("_rank").isin(1, 3), "group").when(F.col("_rank") == 2, "user").otherwise("unknown")
     return rows.where(F.coalesce("principal", F.lit("")) != "").groupBy("principal").agg(F.max("_rank").alias("_rank")).select(
         "principal", kind.alias("principal_type")
@@ -149,7 +156,8 @@ def principal_summary(ctx: Ctx) -> DataFrame:
         F.count("*").alias("total_grants"),
     )
     workspaces = _assignments(ctx).groupBy("principal").agg(F.count("*").alias("workspace_count"))
-    rows = _principal_types(ctx).join(counted, "principal", "left").join(workspaces, "principal", "left")
+    known = _principal_types(ctx).join(counted.where(F.coalesce("principal", F.lit("")) != ""), "principal", "full_outer")
+    rows = known.withColumn("principal_type", F.coalesce("principal_type", F.lit("unknown"))).join(workspaces, "principal", "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("catalog_count", "schema_count", "total_grants", "workspace_count")}
     return rows.withColumns({**zero, "privilege_types": F.coalesce("privilege_types", F.lit(""))}).orderBy(
         F.col("principal_type") != "group", desc("total_grants"), F.lower("principal")
@@ -160,7 +168,7 @@ def principal_summary(ctx: Ctx) -> DataFrame:
 def access_summary(ctx: Ctx) -> DataFrame:
     kind = F.col("principal_type")
     n = F.count("*").alias("n")
-    return _principal_types(ctx).agg(
+    return _principal_types(ctx, _grants(ctx)).agg(
         F.count_if(kind == "user").alias("total_users"), F.count_if(kind == "group").alias("total_groups"),
         F.count("*").alias("total_principals"),
     ).withColumns({
@@ -182,15 +190,13 @@ def permission_edges(ctx: Ctx, privileges: tuple[str, ...] = (), node_types: tup
     def edges(df, src, src_type, dst, dst_type, privilege) -> DataFrame:
         return df.select(src.alias("src"), src_type.alias("src_type"), dst.alias("dst"), F.lit(dst_type).alias("dst_type"), privilege.alias("privilege"))
 
-    typed = grants.join(types, "principal", "left")
-    who, kind, right = F.col("principal"), F.col("principal_type"), F.col("privilege_type")
-    out = (
-        edges(_memberships(ctx), F.col("member"), F.lit("user"), F.col("group_name"), "group", F.lit("MEMBER"))
-        .unionByName(edges(typed.where(~on_schema), who, kind, F.col("catalog_name"), "catalog", right))
-        .unionByName(edges(typed.where(on_schema), who, kind, schema, "schema", right))
-        .unionByName(edges(grants.where(on_schema), F.col("catalog_name"), F.lit("catalog"), schema, "schema", F.lit("CONTAINS")))
-        .distinct()
-    )
+    # A grant on a schema gives two edges, one on a catalog one: both from one pass over the resolved grants.
+    kind = F.when(F.coalesce("principal", F.lit("")) != "", F.coalesce("principal_type", F.lit("unknown")))
+    shape = lambda *c: F.struct(*(x.alias(n) for x, n in zip(c, ("src", "src_type", "dst", "dst_type", "privilege"), strict=True)))
+    granted = shape(F.col("principal"), kind, F.when(on_schema, schema).otherwise(F.col("catalog_name")), F.when(on_schema, "schema").otherwise("catalog"), F.col("privilege_type"))
+    contains = shape(F.col("catalog_name"), F.lit("catalog"), schema, F.lit("schema"), F.lit("CONTAINS"))
+    of_grants = grants.join(types, "principal", "left").select(F.explode(F.when(on_schema, F.array(granted, contains)).otherwise(F.array(granted))).alias("e"))
+    out = edges(_memberships(ctx), F.col("member"), F.lit("user"), F.col("group_name"), "group", F.lit("MEMBER")).unionByName(of_grants.select("e.*")).distinct()
     if node_types:
         out = out.where(F.col("src_type").isin(*node_types) & F.col("dst_type").isin(*node_types))
     return out

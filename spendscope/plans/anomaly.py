@@ -13,6 +13,7 @@ from spendscope.functions import classify as C
 from spendscope.functions.documents import field, is_broken, parsed
 from spendscope.functions.features import FEATURES, anomaly_features
 from spendscope.functions.measures import desc, hours_between, rnd, total
+from spendscope.operators import sketches
 from spendscope.operators.admission import Rules, admissions
 from spendscope.operators.iforest import NODE_SCHEMA, IsolationForest, IsolationForestModel
 from spendscope.operators.pricing import priced_usage
@@ -21,7 +22,7 @@ from spendscope.plans.cost import with_workspace
 from spendscope.plans.registry import report
 from spendscope.plans.running import running_anomalies
 from spendscope.sources.catalog import empty
-from spendscope.sources.sinks import shared_folder
+from spendscope.sources.sinks import shared_folder, write_partitioned
 
 HISTORY_DAYS, DRIFT_DAYS = 90, 30
 MIN_SESSIONS = 5
@@ -73,6 +74,21 @@ def baseline_profile(ctx: Ctx) -> DataFrame:
     return rows.withColumns({c: rnd(c, 6) for c in rows.columns if c.startswith(("p50_", "std_"))})
 
 
+MEASURES = ("units", "cost", "duration_hours")
+
+
+@report("baseline_sketched")
+def baseline_sketched(ctx: Ctx) -> DataFrame:
+    """Medians per resource from sketches that are kept of each day and merged over the window."""
+    path = shared_folder(ctx.spark, "baseline-sketches")
+    write_partitioned(sketches.of_days(resource_history(ctx), ["resource_id"], "usage_date", MEASURES), path, ("usage_date",))
+    kept, out = ctx.spark.read.parquet(path), None
+    for c in MEASURES:
+        marks = sketches.quantiles(kept, ["resource_id"], c, {f"median_{c}": 0.5})
+        out = marks if out is None else out.join(marks.drop("row_count"), "resource_id")
+    return out.where(F.col("row_count") >= MIN_SESSIONS).withColumnRenamed("row_count", "session_count")
+
+
 def zscores(running: DataFrame, profile: DataFrame) -> DataFrame:
     """One-sided distance from the median in spreads for each measure, and the largest."""
     rows = running.join(profile.drop("resource_type"), "resource_id", "left")
@@ -267,12 +283,16 @@ def last_billing(ctx: Ctx) -> DataFrame:
     )
 
 
+def _with_idleness(ctx: Ctx) -> DataFrame:
+    since = (F.unix_timestamp(day_start(ctx.day())) - F.unix_timestamp("last_billing_end")) / 3600.0
+    idle = F.coalesce(since.cast("double"), "duration_hours", F.lit(0.0))
+    return running_anomalies(ctx).join(last_billing(ctx), "resource_id", "left").withColumn("_idle", idle)
+
+
 @report("idle_resources")
 def idle_resources(ctx: Ctx) -> DataFrame:
     """Running but not billed for 1.5 hours or more; never billed counts from the start."""
-    since = (F.unix_timestamp(day_start(ctx.day())) - F.unix_timestamp("last_billing_end")) / 3600.0
-    idle = F.coalesce(since.cast("double"), "duration_hours", F.lit(0.0))
-    rows = running_anomalies(ctx).join(last_billing(ctx), "resource_id", "left").withColumn("_idle", idle)
+    rows = _with_idleness(ctx)
     return rows.where(F.col("_idle") >= IDLE_HOURS).select(
         "resource_id", "service_type", "name", "workspace_name", "environment", "started_at", "duration_hours",
         "last_billing_end", rnd("_idle", 1).alias("idle_hours"),
@@ -282,14 +302,16 @@ def idle_resources(ctx: Ctx) -> DataFrame:
 
 @report("anomaly_summary")
 def anomaly_summary(ctx: Ctx) -> DataFrame:
-    n, history = F.count("*").alias("n"), resource_history(ctx)
-    return history.agg(F.count("*").alias("training_records")).withColumns({
-        "training_window_days": F.lit(HISTORY_DAYS),
-        "forest_trained": F.col("training_records") >= FOREST.min_rows,
-        "resources_with_baseline": baselines(history).agg(n).scalar(),
-        "running_resources": running_anomalies(ctx).agg(n).scalar(),
-        "drift_alerts": drift_alerts(ctx).agg(n).scalar(),
-        "idle_resources": idle_resources(ctx).agg(n).scalar(),
+    by_resource = resource_history(ctx).groupBy("resource_id").agg(F.count("*").alias("_n"))
+    history = by_resource.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("training_records"), F.count_if(F.col("_n") >= MIN_SESSIONS).alias("resources_with_baseline")
+    )
+    running = _with_idleness(ctx).agg(F.count("*").alias("running_resources"), F.count_if(F.col("_idle") >= IDLE_HOURS).alias("idle_resources"))
+    drifting = drift_alerts(ctx).agg(F.count("*").alias("drift_alerts"))
+    # One row a part, put together by a sum: each part is evaluated once.
+    rows = history.unionByName(running, allowMissingColumns=True).unionByName(drifting, allowMissingColumns=True)
+    return rows.agg(*(F.sum(c).alias(c) for c in rows.columns)).withColumns({
+        "training_window_days": F.lit(HISTORY_DAYS), "forest_trained": F.col("training_records") >= FOREST.min_rows,
     })
 
 

@@ -296,12 +296,11 @@ def compute_summary(ctx: Ctx) -> DataFrame:
         F.count_distinct("runtime_version").alias("runtime_versions_in_use"),
         F.count_if((F.col("avg_task_util_pct") < 20) & (F.col("cost_30d") > 10)).alias("underutilised"),
     )
-    n = F.count("*").alias("n")
-    warehouses, pipelines = _flagged_warehouses(ctx), _billed_pipelines(ctx)
-    settings = pipeline_settings(ctx).select("pipeline_id", "has_trigger")
-    no_trigger = pipelines.join(settings, "pipeline_id").agg(F.count_if(~F.col("has_trigger")).alias("n"))
-    return clusters.withColumns({
-        "total_warehouses": warehouses.agg(n).scalar(),
-        "no_auto_stop": warehouses.agg(flagged("no_auto_stop").alias("n")).scalar(),
-        "total_pipelines": pipelines.agg(n).scalar(), "pipelines_no_trigger": no_trigger.scalar(),
-    })
+    warehouses = _flagged_warehouses(ctx).agg(F.count("*").alias("total_warehouses"), flagged("no_auto_stop").alias("no_auto_stop"))
+    settings = pipeline_settings(ctx).groupBy("pipeline_id").agg(F.count_if(~F.col("has_trigger")).alias("_none"))
+    pipelines = _billed_pipelines(ctx).join(settings, "pipeline_id", "left").agg(
+        F.count("*").alias("total_pipelines"), F.coalesce(F.sum("_none"), F.lit(0)).alias("pipelines_no_trigger")
+    )
+    # One row a part, put together by a sum: each part is evaluated once.
+    rows = clusters.unionByName(warehouses, allowMissingColumns=True).unionByName(pipelines, allowMissingColumns=True)
+    return rows.agg(*(F.sum(c).alias(c) for c in rows.columns))

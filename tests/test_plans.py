@@ -233,3 +233,19 @@ def test_deleted_tasks_stay_deleted(spark, ctx_of):
     )
     ctx = ctx_of(tables={"lakeflow.job_tasks": tasks, "access.workspaces_latest": workspaces(spark, [("ws-1", "prod one", "s", "g")])})
     assert [r.task_count for r in REPORTS["job_task_counts"](ctx).collect()] == [1]
+
+
+def test_reports_read_their_tables_few_times(spark):
+    """Grants and their principals, running resources and the parts of the summaries are evaluated once a report."""
+    from spendscope.plans import REPORTS
+    from spendscope.sources.testdata import testdata_ctx
+
+    ctx = testdata_ctx(spark, "/root/testdata/sf0.001")
+    most = {
+        "principal_map": (14, 16), "principal_summary": (10, 14), "permission_edges": (11, 13), "anomaly_summary": (31, 13),
+        "compute_summary": (19, 13),
+    }
+    for name, (scans, exchanges) in most.items():
+        plan = REPORTS[name](ctx)._jdf.queryExecution().executedPlan().toString()
+        assert (plan.count("FileScan") <= scans, plan.count("Exchange hashpartitioning") <= exchanges) == (True, True), (
+            name, plan.count("FileScan"), plan.count("Exchange hashpartitioning"))
