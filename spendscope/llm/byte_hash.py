@@ -22,6 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 VALUES = mix(np.arange(1, 257, dtype=np.uint64) * K)
+OTHER_VALUES = mix(np.arange(257, 513, dtype=np.uint64) * K)  # for a second hash that knows nothing of the first
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -53,8 +54,8 @@ class Hashes:
         return (self.sums[length:] - self.sums[:n]) * self.inverse[:n] if n > 0 else np.zeros(0, np.uint64)
 
 
-def of_bytes(buffer: bytes | np.ndarray) -> Hashes:
-    return Hashes(VALUES[np.frombuffer(buffer, np.uint8)])
+def of_bytes(buffer: bytes | np.ndarray, values: np.ndarray = VALUES) -> Hashes:
+    return Hashes(values[np.frombuffer(buffer, np.uint8)])
 
 
 IS_SPACE = np.zeros(256, bool)
@@ -69,9 +70,9 @@ def words_of(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def word_hashes(buffer: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def word_hashes(buffer: bytes, start: np.ndarray, end: np.ndarray, values: np.ndarray = VALUES) -> np.ndarray:
     """A mixed hash of each word's bytes; its length counts too."""
-    return mix(of_bytes(buffer).of(start, end) + (end - start).astype(np.uint64) * MIX_B) if len(start) else np.zeros(0, np.uint64)
+    return mix(of_bytes(buffer, values).of(start, end) + (end - start).astype(np.uint64) * MIX_B) if len(start) else np.zeros(0, np.uint64)
 
 
 def joined(texts: list[bytes], gap: bytes = b"\n") -> tuple[bytes, np.ndarray]:

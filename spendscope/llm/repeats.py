@@ -111,7 +111,13 @@ def counted_between_chunks(
     def send(chunk: pa.Table) -> pa.Table:
         return messages(chunk["chunk"][0].as_py(), keys_of(texts_of(ordered(chunk))), range_bits)
 
-    sent = chunked.groupBy("chunk").applyInArrow(send, "range int, chunk long, keys binary")
+    return answered(chunked.groupBy("chunk").applyInArrow(send, SENT), many)
+
+
+SENT = "range int, chunk long, keys binary"
+
+
+def answered(sent: DataFrame, many: int = 1 << 30) -> DataFrame:
     return sent.groupBy("range").applyInArrow(lambda t: answers(t, many), "chunk long, range int, hits binary, many binary")
 
 

@@ -2,8 +2,10 @@
 
 Every window of 35 consecutive words of every document is hashed, the hashes are counted in Spark, and windows whose
 hash stands more than once merge into maximal intervals of words that are removed. Hashes have 64 bits less the few
-that messages between tasks leave out (one in range and chunk order, see ``repeats``): two different windows among
-n share one with a chance of about n * n / 2**63, under one in a hundred for the 150 million windows of half a GB.
+that messages between tasks leave out (one in range and chunk order, see ``repeats``), and different windows do share
+one in a large corpus. So windows whose hash stands elsewhere are hashed anew, from other values of every byte, and
+counted once more: a window goes only if both hashes stand elsewhere. Two different windows among n agree on both with a
+chance of about n * n / 2**125.
 """
 
 from __future__ import annotations
@@ -12,11 +14,24 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spendscope.llm.byte_hash import Hashes, joined, mix, word_hashes, words_of
+from spendscope.llm.byte_hash import OTHER_VALUES, Hashes, joined, mix, word_hashes, words_of
 from spendscope.llm.common import table
-from spendscope.llm.repeats import Layout, counted_between_chunks, in_chunks, ordered, shared_flags, text_bytes, texts_of
+from spendscope.llm.repeats import (
+    SENT,
+    Layout,
+    answered,
+    counted_between_chunks,
+    in_chunks,
+    messages,
+    ordered,
+    shared_flags,
+    text_bytes,
+    texts_of,
+)
 
 WINDOW = 35
 
@@ -26,11 +41,11 @@ class ChunkWords:
 
     def __init__(self, texts: list[str], window: int):
         self.texts = [t.encode() for t in texts]
-        buffer, offsets = joined(self.texts)
-        start, end = words_of(buffer)
+        self.buffer, offsets = joined(self.texts)
+        start, end = self.start, self.end = words_of(self.buffer)
         self.first = np.searchsorted(start, offsets)  # of each text, its first word
         self.window = window
-        hashes = mix(Hashes(word_hashes(buffer, start, end)).windows(window))
+        hashes = mix(Hashes(word_hashes(self.buffer, start, end)).windows(window))
         self.at = np.arange(len(hashes))
         last = np.repeat(self.first[1:], np.diff(self.first))[: len(hashes)]
         self.at = self.at[self.at + window <= last]
@@ -39,12 +54,24 @@ class ChunkWords:
     def distinct(self) -> np.ndarray:
         return np.unique(self.hashes)
 
-    def covered(self, shared_keys: np.ndarray) -> np.ndarray:
-        """A flag for each word: in a window whose hash is one of ``shared_keys`` or stands here more than once."""
-        found, back, times = np.unique(self.hashes, return_inverse=True, return_counts=True)
-        bad = times > 1
-        bad[np.searchsorted(found, shared_keys)] = True
-        return covered(self.at[bad[back]], self.window, int(self.first[-1]))
+    def second(self) -> np.ndarray:
+        """Other hashes of the windows."""
+        return mix(Hashes(word_hashes(self.buffer, self.start, self.end, OTHER_VALUES)).windows(self.window))[self.at]
+
+    def shared(self, keys: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        """A flag for each window: its hash is a flagged one of the sorted ``keys``."""
+        return flags[np.searchsorted(keys, self.hashes)] if len(keys) else np.zeros(len(self.hashes), bool)
+
+    def repeated(self, shared: np.ndarray, second: np.ndarray, keys: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        """A flag for each word: in a window that both hashes found elsewhere, or that agrees with one here in both."""
+        bad = np.zeros(len(self.hashes), bool)
+        asked = np.flatnonzero(shared)
+        if len(asked):
+            bad[asked] = flags[np.searchsorted(keys, second[asked])]
+        order = np.lexsort((second, self.hashes))
+        same = (self.hashes[order][1:] == self.hashes[order][:-1]) & (second[order][1:] == second[order][:-1])
+        bad[order[1:][same]] = bad[order[:-1][same]] = True
+        return covered(self.at[bad], self.window, int(self.first[-1]))
 
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
@@ -76,11 +103,22 @@ def remove_repeated_windows(
     def keys_of(texts_in: list[str]) -> np.ndarray:
         return ChunkWords(texts_in, window).distinct()
 
-    def judge(chunk: pa.Table, answered: pa.Table) -> pa.Table:
+    def again(chunk: pa.Table, first: pa.Table) -> pa.Table:
+        """The second hashes of the windows whose first hash stands in another chunk."""
+        if not chunk.num_rows:
+            return messages(0, np.zeros(0, np.uint64), bits)
+        words = ChunkWords(texts_of(ordered(chunk)), window)
+        keys = words.distinct()
+        shared = words.shared(keys, shared_flags(keys, first, bits))
+        return messages(chunk["chunk"][0].as_py(), np.unique(words.second()[shared]) if shared.any() else np.zeros(0, np.uint64), bits)
+
+    def judge(chunk: pa.Table, both: pa.Table) -> pa.Table:
         chunk = ordered(chunk)
         words = ChunkWords(texts_of(chunk), window)
-        keys = words.distinct()
-        removed = words.covered(keys[shared_flags(keys, answered, bits)])
+        keys, second = words.distinct(), words.second()
+        shared = words.shared(keys, shared_flags(keys, both.filter(pc.equal(both["turn"], 1)), bits))
+        others = np.unique(second[shared])
+        removed = words.repeated(shared, second, others, shared_flags(others, both.filter(pc.equal(both["turn"], 2)), bits))
         n_words, n_removed, kept, intervals = [], [], [], []
         for i, raw in enumerate(words.texts):
             gone = removed[words.first[i] : words.first[i + 1]]
@@ -97,9 +135,11 @@ def remove_repeated_windows(
             "kept": pa.array(kept, pa.string()), "intervals": pa.array(intervals, pa.list_(pa.int32())),
         })
 
-    shared = counted_between_chunks(chunked, keys_of, bits)
+    first = counted_between_chunks(chunked, keys_of, bits)
+    second = answered(chunked.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(again, SENT))
+    both = first.withColumn("turn", F.lit(1)).unionByName(second.withColumn("turn", F.lit(2)))
     kind = df.schema[doc_id].dataType.simpleString()
-    out = chunked.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
+    out = chunked.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(
         judge, f"doc_id {kind}, n_words long, n_removed long, kept string, intervals array<int>"
     )
     return out.toDF(doc_id, "n_words", "n_removed", "kept" if texts else "kept_sha256", "intervals")

@@ -7,11 +7,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from spendscope.llm import suffix_dedup
+from spendscope.llm import suffix_dedup, window_dedup
 from spendscope.llm.graph import components
 from spendscope.llm.near_dedup import least_agreements, near_duplicates, similar, survivors
+from spendscope.llm.repeats import answers, messages, shared_flags
 from spendscope.llm.suffix_dedup import match, remove_repeated_strings, whole_characters
 from spendscope.llm.suffix_sort import Suffixes
 from spendscope.llm.window_dedup import remove_repeated_windows
@@ -240,3 +242,49 @@ def test_buckets_with_equal_short_sums_stay_two(spark):
     rows = [(k, d, d) for k, pair in enumerate([*pairs, pairs[0]]) for d in pair]
     found = open_once(spark.createDataFrame(rows, "key long, doc_id long, component long")).collect()
     assert sorted(r["key"] for r in found) == [0, 1]
+
+
+def test_windows_stay_exact_when_first_hashes_collide(monkeypatch):
+    """The rounds of the query, by hand over three chunks, with a first hash that has sixteen values."""
+    plain = window_dedup.Hashes.windows
+    calls = {"n": 0}
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randint(3, 40))) for _ in range(30)]
+    texts += [texts[0], "pre " + texts[1] + " post", texts[2][: len(texts[2]) // 2]]
+    size, bits, chunks = 6, 4, []
+
+    def few(self, length):
+        calls["n"] += 1
+        return plain(self, length) & np.uint64(15) if calls["n"] % 2 == 1 else plain(self, length)
+
+    for c in range(3):
+        monkeypatch.setattr(window_dedup.Hashes, "windows", few)
+        calls["n"] = 0
+        words = window_dedup.ChunkWords(texts[c::3], size)
+        chunks.append((words, words.distinct(), words.second()))
+        monkeypatch.undo()
+
+    def rounds(keys):
+        sent = [messages(c, k, bits) for c, k in enumerate(keys)]
+        by_range = pa.concat_tables(sent)
+        replies = [answers(by_range.filter(pc.equal(by_range["range"], r)), 1 << 30) for r in sorted(set(by_range["range"].to_pylist()))]
+        both = pa.concat_tables(replies)
+        return [shared_flags(k, both.filter(pc.equal(both["chunk"], c)), bits) for c, k in enumerate(keys)]
+
+    first = rounds([k for _, k, _ in chunks])
+    shared = [w.shared(k, f) for (w, k, _), f in zip(chunks, first, strict=True)]
+    others = [np.unique(s[f]) for (_, _, s), f in zip(chunks, shared, strict=True)]
+    second = rounds(others)
+    seen = {}
+    for t in texts:
+        w = t.split()
+        for i in range(len(w) - size + 1):
+            seen[tuple(w[i : i + size])] = seen.get(tuple(w[i : i + size]), 0) + 1
+    for c, (words, _, other) in enumerate(chunks):
+        gone, at = words.repeated(shared[c], other, others[c], second[c]), 0
+        for t in texts[c::3]:
+            w = t.split()
+            want = [any(seen[tuple(w[i : i + size])] > 1 for i in range(max(0, j - size + 1), min(j, len(w) - size) + 1)) for j in range(len(w))]
+            assert gone[at : at + len(w)].tolist() == want
+            at += len(w)
+    assert sum(f.mean() for f in shared) > 2.5  # the first hash alone would have taken nearly everything
