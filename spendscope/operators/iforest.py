@@ -105,8 +105,11 @@ class IsolationForest:
                 return None
             nodes = self.nodes(rows, id_cols, row_count).toPandas()
             model = IsolationForestModel(tuple(self.features), nodes, 0.0)
-            scored = model.normality(rows.select(*self.features)).select("normality")
-            mark = exact_percentiles(scored, [], "normality", {"mark": self.contamination}).first()["mark"]
+            scored = model.normality(rows.select(*self.features)).select("normality").persist()  # read more than once
+            try:
+                mark = exact_percentiles(scored, [], "normality", {"mark": self.contamination}).first()["mark"]
+            finally:
+                scored.unpersist()
             return IsolationForestModel(tuple(self.features), nodes, float(mark))
         finally:
             rows.unpersist()
